@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import html_text, language_id, toxicity
+from .ann import nearest
+from .common import remainder, table
 from .exact_dedup import exact_dedup
 from .packing import pack
 from .sentence_pieces import digests
@@ -24,10 +26,31 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), allowed=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    documents = table(spark, sf_dir, "documents")
+    found = language_id.language_id(documents, language_id.fit(documents, allowed=~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -37,7 +60,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op6_simhash_near_dedup, op8_sentence_pieces, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_html_text, op5_language_id, op6_simhash_near_dedup, op7_nearest_neighbours, op8_sentence_pieces, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
