@@ -14,6 +14,7 @@ from .exact_dedup import exact_dedup
 from .packing import pack
 from .sentence_pieces import digests
 from .simhash import simhash_groups
+from .suffix_dedup import suffix_dedup
 
 
 def tokenizer(name: str) -> str:
@@ -55,12 +56,16 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_html_text, op5_language_id, op6_simhash_near_dedup, op7_nearest_neighbours, op8_sentence_pieces, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_html_text, op5_language_id, op6_simhash_near_dedup, op7_nearest_neighbours, op8_sentence_pieces, op9_suffix_array_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
