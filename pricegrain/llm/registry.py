@@ -12,6 +12,7 @@ from .ann import nearest
 from .common import remainder, table
 from .exact_dedup import exact_dedup
 from .packing import pack
+from .ppm import ppm_scores
 from .sentence_pieces import digests
 from .simhash import simhash_groups
 from .suffix_dedup import suffix_dedup
@@ -37,6 +38,12 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op4_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    found = ppm_scores(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 3) == 1
     documents = table(spark, sf_dir, "documents")
@@ -65,7 +72,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_html_text, op5_language_id, op6_simhash_near_dedup, op7_nearest_neighbours, op8_sentence_pieces, op9_suffix_array_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_html_text, op4_ppm_scores, op5_language_id, op6_simhash_near_dedup, op7_nearest_neighbours, op8_sentence_pieces, op9_suffix_array_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
