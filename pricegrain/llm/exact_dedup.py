@@ -28,7 +28,8 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def frequent(keys: DataFrame, column: str) -> DataFrame:
     """Up to WINNERS candidate values of a long column, as a frame with that column."""
     part = keys.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGES))).agg(F.expr(f"approx_top_k_accumulate({column}, {COUNTERS})").alias("summary"))
-    top = part.agg(F.expr("approx_top_k_combine(summary)").alias("summary"))
+    # By a constant key, since Spark can't combine the summary of a partition without rows.
+    top = part.groupBy(F.lit("all")).agg(F.expr("approx_top_k_combine(summary)").alias("summary"))
     return top.select(F.explode(F.expr(f"approx_top_k_estimate(summary, {WINNERS})")).alias("top")).select(F.col("top.item").alias(column))
 
 

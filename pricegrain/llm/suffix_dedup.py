@@ -266,7 +266,7 @@ def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The kept bytes and the removed spans of (doc_id, text, gone) rows."""
+    """The kept bytes and the removed spans of (doc_id, text, gone, ...) rows."""
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
         for raw, gone in zip(raw_texts(batch.column("text")), batch.column("gone").to_pylist(), strict=True):
@@ -280,7 +280,9 @@ def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for column, value in zip(out, (len(raw), len(raw) - len(kept), spans, kept, hashlib.sha256(kept).hexdigest()), strict=True):
                 column.append(value)
         types = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary(), pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
+        more = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n.startswith("carried_")]
+        names = ["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256", *(n for n, _ in more)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, types, strict=True)), *(c for _, c in more)], names=names)
 
 
 def removed_spans(rows: DataFrame) -> DataFrame:
@@ -312,16 +314,37 @@ def removed_spans(rows: DataFrame) -> DataFrame:
     return whole.unionByName(parts).unionByName(across)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, spans, kept (bytes), kept_sha256.
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, spans, kept (bytes), kept_sha256, and the columns to carry.
 
     A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a document of smaller id, or earlier
     in the same one. Strings are judged on the input and never cross documents; spans are the maximal removed runs. A
     null text is empty. A null id comes after all others. Rows of one id are judged apart; between them no start is
-    earlier unless its offset is smaller. Other columns are not read. An empty table gives no rows.
+    earlier unless its offset is smaller. Carried columns come as carried_<name>; others are not read. An empty table
+    gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(text).bitwiseAND(F.lit((1 << TEXT_BITS) - 1)).cast("int").alias("tag"), text.alias("text"))
+    key = (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(text).bitwiseAND(F.lit((1 << TEXT_BITS) - 1)).cast("int").alias("tag"))
+    more = [F.col(f"`{c}`").alias(f"carried_{c}") for c in carry]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *key, text.alias("text"), *more)
     gone = removed_spans(rows.select("ord", "tag", "text")).groupBy("ord", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
-    done = rows.join(gone, ["ord", "tag"], "left").select("doc_id", "text", "gone")
-    return done.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, kept_sha256 string")
+    done = rows.join(gone, ["ord", "tag"], "left").drop("ord", "tag")
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name.startswith("carried_"))
+    return done.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, kept_sha256 string" + kinds)
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The documents without their repeated strings: text shortened, n_chars counted anew, all columns kept.
+
+    Where a removed run cuts a character in two, the rest of its bytes goes too. Cases as in suffix_dedup().
+    """
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    done = suffix_dedup(docs, carry=carry)
+    kept = done.withColumns({"text": whole_characters("kept")}).withColumn("n_chars", F.length("text").cast("long"))
+    own = {c: F.col(f"carried_{c}") for c in carry} | {c: F.col(c) for c in ("doc_id", "text", "n_chars")}
+    return kept.select(*(own[c].alias(c) for c in docs.columns))
+
+
+@F.pandas_udf("string")
+def whole_characters(raw):  # noqa: ANN001, ANN201
+    return raw.map(lambda b: b.decode("utf-8", "ignore"))

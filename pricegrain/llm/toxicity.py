@@ -180,6 +180,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, labels: DataFrame, allowed=None, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, whose score is below the threshold; cases as in toxicity()."""
+    model = fit(docs, labels, allowed=allowed)
+
+    @F.pandas_udf("double")
+    def score_of(texts):  # noqa: ANN001
+        return texts.map(lambda t: model.score(t or "")).astype("float64")
+
+    return docs.filter(score_of(F.col(text_col)) < threshold)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, allowed=None, threshold: float = 0.7) -> DataFrame:
     """One row per document: doc_id, score, predicted. Learns from `labels` (doc_id, toxic) where `allowed` holds.
 
