@@ -338,13 +338,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Where a removed run cuts a character in two, the rest of its bytes goes too. Cases as in suffix_dedup().
     """
+
+    @F.pandas_udf("string")
+    def whole_characters(raw):  # noqa: ANN001, ANN202
+        return raw.map(lambda b: b.decode("utf-8", "ignore"))
+
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     done = suffix_dedup(docs, carry=carry)
     kept = done.withColumns({"text": whole_characters("kept")}).withColumn("n_chars", F.length("text").cast("long"))
     own = {c: F.col(f"carried_{c}") for c in carry} | {c: F.col(c) for c in ("doc_id", "text", "n_chars")}
     return kept.select(*(own[c].alias(c) for c in docs.columns))
-
-
-@F.pandas_udf("string")
-def whole_characters(raw):  # noqa: ANN001, ANN201
-    return raw.map(lambda b: b.decode("utf-8", "ignore"))
