@@ -107,7 +107,7 @@ def choose_features(rows: DataFrame) -> list[str]:
         for batch in batches:
             for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
                 counts[int(y > 0)].update(features(text.as_py()))
-                if len(counts[0]) > 500_000:
+                if len(counts[0]) + len(counts[1]) > 100_000:
                     yield flush()
         yield flush()
 
