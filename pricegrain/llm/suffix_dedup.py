@@ -2,8 +2,8 @@
 
 Every window of LENGTH bytes is assigned to an anchor in it: the q-gram of smallest hash, leftmost on ties. Equal windows
 so have equal anchors, and the initial buckets are those of equal anchor q-grams. A bucket of one anchor is done. The
-windows of an anchor form one segment; equal segments of a bucket are settled together by partial aggregation, and the
-first occurrence stands for all. Where a bucket holds different segments, their windows are told apart by refinement:
+windows of an anchor form one segment; equal segments of a bucket are settled together, and the first occurrence stands
+for all. The few buckets that may hold much of all anchors are found by a sketch and settled by partial aggregation. Where a bucket holds different segments, their windows are told apart by refinement:
 buckets of q-grams are sorted by the bucket pointers of later offsets, pointers are updated, and the next, twice as deep
 refinement reuses them, until LENGTH bytes are covered. Of each final bucket, every window but the first is removed.
 """
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+from .exact_dedup import frequent
 from .simhash import whole_groups
 
 LENGTH = 100
@@ -285,27 +287,88 @@ def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, types, strict=True)), *(c for _, c in more)], names=names)
 
 
-def removed_spans(rows: DataFrame) -> DataFrame:
-    """ord, tag, start, stop of bytes to remove from rows (ord, tag, text); spans may overlap."""
-    anchors = rows.mapInArrow(segments, "bucket long, segment long, ord long, place long")
-    again = anchors.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    candidates = anchors.join(again, "bucket")
+def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans to remove, and segments to refine (with their meeting), of anchors sorted by bucket, segment, ord and place.
+
+    A segment's later copies are spans. Of a bucket with different segments, the first copies meet, SHARE in a meeting. What
+    is kept between batches is the last segment's first copy and at most two shares of the last bucket's segments.
+    """
+    last: tuple[int, int] | None = None  # bucket and segment of the last row
+    first = np.zeros(2, dtype=np.int64)  # ord and place of its segment's first copy
+    held, asked = np.empty((0, 3), dtype=np.int64), 0  # segments (bucket, ord, place) of the last bucket, and those of it asked for before
+    low = TEXT_BITS + 2 * WINDOW_BITS
+
+    def asks(kinds: np.ndarray, before: int, more: bool) -> pa.RecordBatch:
+        """before: segments of the first bucket that were asked for already; more: whether it goes on."""
+        edge = np.concatenate(([True], kinds[1:, 0] != kinds[:-1, 0]))
+        start = np.flatnonzero(edge)
+        size = np.diff(np.append(start, len(kinds)))
+        base = np.zeros(len(start), dtype=np.int64)
+        base[0] = before
+        total = size + base + (SHARE * more)
+        number = np.arange(len(kinds)) - np.repeat(start, size) + np.repeat(base, size)
+        use = np.repeat(total > 1, size)
+        meeting = mixed(kinds[:, 0].view(np.uint64) * np.uint64(BASE) + (number // SHARE).astype(np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_pydict({"ord": pa.array(kinds[use, 1]), "place": pa.array(kinds[use, 2]), "start": pa.nulls(int(use.sum()), pa.int64()), "stop": pa.nulls(int(use.sum()), pa.int64()), "meeting": pa.array(meeting[use]), "shared": pa.array(np.repeat(total > SHARE, size)[use])})
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, segment, order, place = (batch.column(c).to_numpy() for c in ("bucket", "segment", "ord", "place"))
+        new_bucket = np.concatenate(([last is None or last[0] != bucket[0]], bucket[1:] != bucket[:-1]))
+        new_segment = new_bucket | np.concatenate(([last is None or last[1] != segment[0]], segment[1:] != segment[:-1]))
+        lead = np.maximum.accumulate(np.where(new_segment, np.arange(len(bucket)), -1))
+        first_order, first_place = np.where(lead >= 0, order[lead], first[0]), np.where(lead >= 0, place[lead], first[1])
+        start = place >> low
+        gone = np.flatnonzero((first_order < order) | (first_order == order) & (first_place >> low < start))
+        if len(gone):
+            stop = start[gone] + (place[gone] >> WINDOW_BITS & (1 << WINDOW_BITS) - 1) + LENGTH
+            yield pa.RecordBatch.from_pydict({"ord": pa.array(order[gone]), "place": pa.array(place[gone]), "start": pa.array(start[gone]), "stop": pa.array(stop), "meeting": pa.nulls(len(gone), pa.int64()), "shared": pa.nulls(len(gone), pa.bool_())})
+        last, first = (int(bucket[-1]), int(segment[-1])), np.array([first_order[-1], first_place[-1]])
+        kinds = np.concatenate((held, np.stack((bucket, order, place), axis=1)[new_segment]))
+        goes_on = np.flatnonzero(kinds[:, 0] != last[0]) if len(kinds) else np.empty(0, dtype=np.int64)
+        cut = int(goes_on[-1]) + 1 if len(goes_on) else 0
+        if cut:
+            yield asks(kinds[:cut], asked if len(held) and kinds[0, 0] == held[0, 0] else 0, False)
+            asked = 0
+        held = kinds[cut:]
+        while len(held) > 2 * SHARE:
+            yield asks(held[:SHARE], asked, True)
+            held, asked = held[SHARE:], asked + SHARE
+    if len(held):
+        yield asks(held, asked, False)
+
+
+def hot_anchors(anchors: DataFrame, hot: DataFrame) -> DataFrame:
+    """What settle() finds, for the few buckets that may hold much of all anchors: by partial aggregation, so copies never meet in a task."""
+    candidates = written(anchors.join(F.broadcast(hot), "bucket", "left_semi"))
     # The start leads `place`, so the least (ord, place) of equal segments is the first occurrence.
-    kinds = candidates.groupBy("bucket", "segment").agg(F.min(F.struct("ord", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
+    kinds = written(candidates.groupBy("bucket", "segment").agg(F.min(F.struct("ord", "place")).alias("first"), F.count(F.lit(1)).alias("n")))
     copies = candidates.join(kinds.filter("n > 1").select("bucket", "segment", "first"), ["bucket", "segment"])
-    start, count = start_of(F.col("place")), windows_of(F.col("place"))
+    start = start_of(F.col("place"))
     earlier = (F.col("first.ord") < F.col("ord")) | (F.col("first.ord") == F.col("ord")) & (start_of(F.col("first.place")) < start)
-    whole = copies.filter(earlier).select("ord", tag_of(F.col("place")).cast("int").alias("tag"), start.alias("start"), (start + count + LENGTH - 1).alias("stop"))
-
+    spans = copies.filter(earlier).select("ord", "place", start.alias("start"), (start + windows_of(F.col("place")) + LENGTH - 1).alias("stop"), F.lit(None).cast("long").alias("meeting"), F.lit(None).cast("boolean").alias("shared"))
     mixed_buckets = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     shares = F.ceil(F.col("kinds") / SHARE)
-    asked = kinds.join(mixed_buckets, "bucket").select(
-        F.col("first.ord").alias("ord"),
-        tag_of(F.col("first.place")).cast("int").alias("tag"),
-        F.struct(F.xxhash64("bucket", F.pmod(F.xxhash64("segment"), shares)).alias("meeting"), (shares > 1).alias("shared"), F.col("first.place").alias("place")).alias("ask"),
-    )
+    meeting = F.xxhash64("bucket", F.pmod(F.xxhash64("segment"), shares))
+    none = F.lit(None).cast("long")
+    asked = kinds.join(mixed_buckets, "bucket").select(F.col("first.ord").alias("ord"), F.col("first.place").alias("place"), none.alias("start"), none.alias("stop"), meeting.alias("meeting"), (shares > 1).alias("shared"))
+    return spans.unionByName(asked)
+
+
+def removed_spans(rows: DataFrame) -> DataFrame:
+    """ord, tag, start, stop of bytes to remove from rows (ord, tag, text, ...); spans may overlap."""
+    anchors = rows.select("ord", "tag", "text").mapInArrow(segments, "bucket long, segment long, ord long, place long")
+    hot = written(frequent(anchors, "bucket"))
+    cold = anchors.join(F.broadcast(hot), "bucket", "left_anti").repartition("bucket").sortWithinPartitions("bucket", "segment", "ord", "place")
+    schema = "ord long, place long, start long, stop long, meeting long, shared boolean"
+    found = written(cold.mapInArrow(settle, schema).unionByName(hot_anchors(anchors, hot)))
+    tag = tag_of(F.col("place")).cast("int").alias("tag")
+    whole = found.filter("meeting is null").select("ord", tag, "start", "stop")
+    asked = found.filter("meeting is not null").select("ord", tag, F.struct("meeting", "shared", "place").alias("ask"))
     asked = asked.groupBy("ord", "tag").agg(F.collect_list("ask").alias("asked"))
-    cut = rows.join(asked, ["ord", "tag"]).select("ord", "tag", "text", "asked").mapInArrow(cut_out, "meeting long, shared boolean, ord long, at long, raw binary")
+    # All columns of the rows go along, so that this shuffle of the texts is the one that the result's join uses too.
+    cut = rows.join(asked, ["ord", "tag"]).mapInArrow(cut_out, "meeting long, shared boolean, ord long, at long, raw binary")
     dealt = cut.repartition("meeting").sortWithinPartitions("meeting")
     parts = dealt.mapInArrow(repeats, "ord long, tag int, start long, stop long")
     lead = dealt.filter("shared").mapInArrow(leaders, "digest binary, ord long, tag int, start long")
@@ -327,7 +390,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(text).bitwiseAND(F.lit((1 << TEXT_BITS) - 1)).cast("int").alias("tag"))
     more = [F.col(f"`{c}`").alias(f"carried_{c}") for c in carry]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *key, text.alias("text"), *more)
-    gone = removed_spans(rows.select("ord", "tag", "text")).groupBy("ord", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
+    gone = removed_spans(rows).groupBy("ord", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
     done = rows.join(gone, ["ord", "tag"], "left").drop("ord", "tag")
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name.startswith("carried_"))
     return done.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, kept_sha256 string" + kinds)
