@@ -3,7 +3,8 @@
 Every window of LENGTH bytes is assigned to an anchor in it: the q-gram of smallest hash, leftmost on ties. Equal windows
 so have equal anchors, and the initial buckets are those of equal anchor q-grams. A bucket of one anchor is done. The
 windows of an anchor form one segment; equal segments of a bucket are settled together, and the first occurrence stands
-for all. The few buckets that may hold much of all anchors are found by a sketch and settled by partial aggregation. Where a bucket holds different segments, their windows are told apart by refinement:
+for all. The few buckets that may hold much of all anchors are found by a sketch; they are settled in shares first, and
+only the first copies in each share go on. Where a bucket holds different segments, their windows are told apart by refinement:
 buckets of q-grams are sorted by the bucket pointers of later offsets, pointers are updated, and the next, twice as deep
 refinement reuses them, until LENGTH bytes are covered. Of each final bucket, every window but the first is removed.
 """
@@ -27,6 +28,8 @@ LENGTH = 100
 ANCHOR, GRAM = 32, 8
 #: Segments of a bucket that are refined together; the windows of a larger bucket's shares are matched by digest.
 SHARE = 512
+#: Shares into which each bucket that may hold much of all anchors is split at first.
+HOT_SHARES = 128
 #: Window starts that are handled at once; a position in a chunk takes CHUNK_BITS bits.
 CHUNK_BITS = 17
 CHUNK = (1 << CHUNK_BITS) - 2 * LENGTH
@@ -152,18 +155,10 @@ def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array((bucket >> np.uint64(24)).astype(np.int64)), pa.array(segment.view(np.int64)), pa.array(order[text]), pa.array(place)], names=["bucket", "segment", "ord", "place"])
 
 
-def start_of(place):  # noqa: ANN001, ANN201
-    return F.shiftright(place, TEXT_BITS + 2 * WINDOW_BITS)
-
-
 def tag_of(place):  # noqa: ANN001, ANN201
     return F.shiftright(place, 2 * WINDOW_BITS).bitwiseAND(F.lit((1 << TEXT_BITS) - 1))
 
 
-def windows_of(place):  # noqa: ANN001, ANN201
-    return F.shiftright(place, WINDOW_BITS).bitwiseAND(F.lit((1 << WINDOW_BITS) - 1)) + 1
-
-
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the bytes of the asked segments to (ord, tag, text, asked) rows, and drops the text."""
     for batch in batches:
@@ -339,30 +334,38 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield asks(held, asked, False)
 
 
-def hot_anchors(anchors: DataFrame, hot: DataFrame) -> DataFrame:
-    """What settle() finds, for the few buckets that may hold much of all anchors: by partial aggregation, so copies never meet in a task."""
-    candidates = written(anchors.join(F.broadcast(hot), "bucket", "left_semi"))
-    # The start leads `place`, so the least (ord, place) of equal segments is the first occurrence.
-    kinds = written(candidates.groupBy("bucket", "segment").agg(F.min(F.struct("ord", "place")).alias("first"), F.count(F.lit(1)).alias("n")))
-    copies = candidates.join(kinds.filter("n > 1").select("bucket", "segment", "first"), ["bucket", "segment"])
-    start = start_of(F.col("place"))
-    earlier = (F.col("first.ord") < F.col("ord")) | (F.col("first.ord") == F.col("ord")) & (start_of(F.col("first.place")) < start)
-    spans = copies.filter(earlier).select("ord", "place", start.alias("start"), (start + windows_of(F.col("place")) + LENGTH - 1).alias("stop"), F.lit(None).cast("long").alias("meeting"), F.lit(None).cast("boolean").alias("shared"))
-    mixed_buckets = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    shares = F.ceil(F.col("kinds") / SHARE)
-    meeting = F.xxhash64("bucket", F.pmod(F.xxhash64("segment"), shares))
-    none = F.lit(None).cast("long")
-    asked = kinds.join(mixed_buckets, "bucket").select(F.col("first.ord").alias("ord"), F.col("first.place").alias("place"), none.alias("start"), none.alias("stop"), meeting.alias("meeting"), (shares > 1).alias("shared"))
-    return spans.unionByName(asked)
+def settle_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of anchors of hot buckets, sorted by bucket, share, segment, ord and place: a share's first copies of each segment, and spans of its later ones."""
+    last: tuple[int, int, int] | None = None
+    first = np.zeros(2, dtype=np.int64)
+    low = TEXT_BITS + 2 * WINDOW_BITS
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = [batch.column(c).to_numpy() for c in ("bucket", "share", "segment")]
+        order, place = batch.column("ord").to_numpy(), batch.column("place").to_numpy()
+        new = np.concatenate(([last is None or last != tuple(int(k[0]) for k in key)], np.any([k[1:] != k[:-1] for k in key], axis=0)))
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), -1))
+        first_order, first_place = np.where(lead >= 0, order[lead], first[0]), np.where(lead >= 0, place[lead], first[1])
+        start = place >> low
+        gone = (first_order < order) | (first_order == order) & (first_place >> low < start)
+        last, first = tuple(int(k[-1]) for k in key), np.array([first_order[-1], first_place[-1]])
+        stop = start + (place >> WINDOW_BITS & (1 << WINDOW_BITS) - 1) + LENGTH
+        use = new | gone
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(key[0][use]), "segment": pa.array(key[2][use]), "ord": pa.array(order[use]), "place": pa.array(place[use]), "start": pa.array(start[use], mask=new[use]), "stop": pa.array(stop[use], mask=new[use])})
 
 
 def removed_spans(rows: DataFrame) -> DataFrame:
     """ord, tag, start, stop of bytes to remove from rows (ord, tag, text, ...); spans may overlap."""
     anchors = rows.select("ord", "tag", "text").mapInArrow(segments, "bucket long, segment long, ord long, place long")
     hot = written(frequent(anchors, "bucket"))
-    cold = anchors.join(F.broadcast(hot), "bucket", "left_anti").repartition("bucket").sortWithinPartitions("bucket", "segment", "ord", "place")
+    share = F.pmod(F.xxhash64("ord", "place"), F.lit(HOT_SHARES)).cast("int").alias("share")
+    split = anchors.join(F.broadcast(hot), "bucket", "left_semi").select("bucket", share, "segment", "ord", "place").repartition("bucket", "share").sortWithinPartitions("bucket", "share", "segment", "ord", "place")
+    settled = written(split.mapInArrow(settle_share, "bucket long, segment long, ord long, place long, start long, stop long"))
+    cold = anchors.join(F.broadcast(hot), "bucket", "left_anti").unionByName(settled.filter("start is null").drop("start", "stop"))
     schema = "ord long, place long, start long, stop long, meeting long, shared boolean"
-    found = written(cold.mapInArrow(settle, schema).unionByName(hot_anchors(anchors, hot)))
+    found = written(cold.repartition("bucket").sortWithinPartitions("bucket", "segment", "ord", "place").mapInArrow(settle, schema))
+    found = found.unionByName(settled.filter("start is not null").drop("bucket", "segment"), allowMissingColumns=True)
     tag = tag_of(F.col("place")).cast("int").alias("tag")
     whole = found.filter("meeting is null").select("ord", tag, "start", "stop")
     asked = found.filter("meeting is not null").select("ord", tag, F.struct("meeting", "shared", "place").alias("ask"))
