@@ -26,8 +26,10 @@ SAMPLE = 65_536
 LIST, BEHIND, SHARE = 256, 8, 512
 #: Lists that hold a vector at most, and how much farther than the nearest centroid another one may be for that.
 REPLICAS, BOUNDARY = 8, 1.15
-#: How much farther than the nearest centroid a list that a query reads may be.
-RATIO = 1.2
+#: How much farther than the nearest centroid a list that a query reads may be; and the lists that it reads anyway.
+RATIO, LEAST_LISTS = 1.16, 4
+#: Rows that a task gathers before it keeps only the best of each query.
+GATHERED = 200_000
 #: Links of a centroid in the graph, and centroids that a search for storing keeps in view.
 DEGREE, BEAM = 24, 48
 
@@ -129,7 +131,9 @@ class Lists:
             if ids.shape[1] >= len(self.centre) or (far[:, -1] > ratio * far[:, 0]).all():
                 break
             beam *= 2
-        row, k = np.nonzero(far <= ratio * far[:, :1])
+        near = far <= ratio * far[:, :1]
+        near[:, :LEAST_LISTS] = np.isfinite(far[:, :LEAST_LISTS])
+        row, k = np.nonzero(near)
         return row, ids[row, k]
 
 
@@ -189,6 +193,18 @@ def best_of(query_id: np.ndarray, q: np.ndarray, vec_id: np.ndarray, v: np.ndarr
     return query_id[row[use]], vec_id[member[use]], score[use]
 
 
+def best_rows(query_id: np.ndarray, vec_id: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of several meetings, the k nearest of each query, each candidate once."""
+    order = np.lexsort((-score, vec_id, query_id))
+    query_id, vec_id, score = query_id[order], vec_id[order], score[order]
+    once = np.concatenate(([True], (query_id[1:] != query_id[:-1]) | (vec_id[1:] != vec_id[:-1])))
+    query_id, vec_id, score = query_id[once], vec_id[once], score[once]
+    order = np.lexsort((vec_id, -score, query_id))
+    query_id, vec_id, score = query_id[order], vec_id[order], score[order]
+    use = np.arange(len(query_id)) - np.searchsorted(query_id, query_id) < k
+    return query_id[use], vec_id[use], score[use]
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 5, ratio: float = RATIO, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which is_query (a condition on vec_id) holds.
 
@@ -225,17 +241,27 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, ratio: float = RATIO, id_c
     met = stored.unionByName(asked).withColumn("meeting", F.col("list").cast("long") * (1 << 31) + F.col("share"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
+        row_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["query_id", "vec_id", "score"])
         for table in whole_groups(batches, "meeting"):
             meeting, asks, ids = (table.column(c).to_numpy() for c in ("meeting", "asks", "vec_id"))
             v = table.column("v").combine_chunks().values.to_numpy().reshape(-1, size) if table.num_rows else np.empty((0, size))
             edges = np.flatnonzero(np.concatenate(([True], meeting[1:] != meeting[:-1], [True])))
-            found = []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 q, s = a + np.flatnonzero(asks[a:b]), a + np.flatnonzero(~asks[a:b])
                 if len(q) and len(s):
-                    found += [best_of(ids[part], v[part], ids[s], v[s], k) for part in np.array_split(q, -(-len(q) // 1024))]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
+                    new = [best_of(ids[part], v[part], ids[s], v[s], k) for part in np.array_split(q, -(-len(q) // 1024))]
+                    found += new
+                    held += sum(len(n[0]) for n in new)
+            if held > GATHERED:
+                found = [best_rows(*map(np.concatenate, zip(*found, strict=True)), k)]
+                held = len(found[0][0])
+                if held > GATHERED // 2:  # many queries: what is gathered goes on
+                    yield row_batch(found[0])
+                    found, held = [], 0
+        if held:
+            yield row_batch(best_rows(*map(np.concatenate, zip(*found, strict=True)), k))
 
     pairs = met.select("meeting", "asks", "vec_id", "v").repartition("meeting").sortWithinPartitions("meeting").mapInArrow(meet, "query_id long, vec_id long, score double")
     best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

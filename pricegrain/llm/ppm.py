@@ -28,7 +28,7 @@ from .simhash import whole_groups
 
 ORDER = 5
 #: Characters of a block of documents, on average; a task holds the grams and words of a block.
-BLOCK = 24_000_000
+BLOCK = 20_000_000
 #: Text bytes whose grams are sorted at once while counting, and while scoring.
 CHUNK, PIECE = 1 << 22, 1 << 16
 #: Bytes that stand before a text and after it; UTF-8 has neither. All bytes but the first can be predicted.
