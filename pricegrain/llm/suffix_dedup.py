@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -282,6 +283,17 @@ def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, types, strict=True)), *(c for _, c in more)], names=names)
 
 
+#: Rows of settled anchors: spans (start, stop), segments to refine (meeting, shared), and first copies in a share (bucket, segment).
+SETTLED = "bucket long, segment long, ord long, place long, start long, stop long, meeting long, shared boolean"
+
+
+def settled_rows(order: np.ndarray, place: np.ndarray, **known: pa.Array) -> pa.RecordBatch:
+    """A batch of SETTLED, null where nothing is known."""
+    types = {"bucket": pa.int64(), "segment": pa.int64(), "ord": pa.int64(), "place": pa.int64(), "start": pa.int64(), "stop": pa.int64(), "meeting": pa.int64(), "shared": pa.bool_()}
+    known |= {"ord": pa.array(order), "place": pa.array(place)}
+    return pa.RecordBatch.from_arrays([known.get(n, pa.nulls(len(order), t)) for n, t in types.items()], names=list(types))
+
+
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans to remove, and segments to refine (with their meeting), of anchors sorted by bucket, segment, ord and place.
 
@@ -304,7 +316,7 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.arange(len(kinds)) - np.repeat(start, size) + np.repeat(base, size)
         use = np.repeat(total > 1, size)
         meeting = mixed(kinds[:, 0].view(np.uint64) * np.uint64(BASE) + (number // SHARE).astype(np.uint64)).view(np.int64)
-        return pa.RecordBatch.from_pydict({"ord": pa.array(kinds[use, 1]), "place": pa.array(kinds[use, 2]), "start": pa.nulls(int(use.sum()), pa.int64()), "stop": pa.nulls(int(use.sum()), pa.int64()), "meeting": pa.array(meeting[use]), "shared": pa.array(np.repeat(total > SHARE, size)[use])})
+        return settled_rows(kinds[use, 1], kinds[use, 2], meeting=pa.array(meeting[use]), shared=pa.array(np.repeat(total > SHARE, size)[use]))
 
     for batch in batches:
         if not batch.num_rows:
@@ -318,7 +330,7 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = np.flatnonzero((first_order < order) | (first_order == order) & (first_place >> low < start))
         if len(gone):
             stop = start[gone] + (place[gone] >> WINDOW_BITS & (1 << WINDOW_BITS) - 1) + LENGTH
-            yield pa.RecordBatch.from_pydict({"ord": pa.array(order[gone]), "place": pa.array(place[gone]), "start": pa.array(start[gone]), "stop": pa.array(stop), "meeting": pa.nulls(len(gone), pa.int64()), "shared": pa.nulls(len(gone), pa.bool_())})
+            yield settled_rows(order[gone], place[gone], start=pa.array(start[gone]), stop=pa.array(stop))
         last, first = (int(bucket[-1]), int(segment[-1])), np.array([first_order[-1], first_place[-1]])
         kinds = np.concatenate((held, np.stack((bucket, order, place), axis=1)[new_segment]))
         goes_on = np.flatnonzero(kinds[:, 0] != last[0]) if len(kinds) else np.empty(0, dtype=np.int64)
@@ -352,20 +364,37 @@ def settle_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, first = tuple(int(k[-1]) for k in key), np.array([first_order[-1], first_place[-1]])
         stop = start + (place >> WINDOW_BITS & (1 << WINDOW_BITS) - 1) + LENGTH
         use = new | gone
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(key[0][use]), "segment": pa.array(key[2][use]), "ord": pa.array(order[use]), "place": pa.array(place[use]), "start": pa.array(start[use], mask=new[use]), "stop": pa.array(stop[use], mask=new[use])})
+        hidden = new[use]
+        yield settled_rows(order[use], place[use], bucket=pa.array(key[0][use]), segment=pa.array(key[2][use]), start=pa.array(start[use], mask=hidden), stop=pa.array(stop[use], mask=hidden))
+
+
+def settle_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Settles anchors sorted by share, bucket, segment, ord and place: cold buckets, of share -1, as a whole, hot ones a share at a time."""
+    batches = iter(batches)
+    rest: list[pa.RecordBatch] = []
+
+    def cold() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = int(np.searchsorted(batch.column("share").to_numpy(), 0))
+            yield batch.slice(0, n)
+            if n < batch.num_rows:
+                rest.append(batch.slice(n))
+                return
+
+    yield from settle(cold())
+    yield from settle_share(chain(rest, batches))
 
 
 def removed_spans(rows: DataFrame) -> DataFrame:
     """ord, tag, start, stop of bytes to remove from rows (ord, tag, text, ...); spans may overlap."""
     anchors = rows.select("ord", "tag", "text").mapInArrow(segments, "bucket long, segment long, ord long, place long")
-    hot = written(frequent(anchors, "bucket"))
-    share = F.pmod(F.xxhash64("ord", "place"), F.lit(HOT_SHARES)).cast("int").alias("share")
-    split = anchors.join(F.broadcast(hot), "bucket", "left_semi").select("bucket", share, "segment", "ord", "place").repartition("bucket", "share").sortWithinPartitions("bucket", "share", "segment", "ord", "place")
-    settled = written(split.mapInArrow(settle_share, "bucket long, segment long, ord long, place long, start long, stop long"))
-    cold = anchors.join(F.broadcast(hot), "bucket", "left_anti").unionByName(settled.filter("start is null").drop("start", "stop"))
-    schema = "ord long, place long, start long, stop long, meeting long, shared boolean"
-    found = written(cold.repartition("bucket").sortWithinPartitions("bucket", "segment", "ord", "place").mapInArrow(settle, schema))
-    found = found.unionByName(settled.filter("start is not null").drop("bucket", "segment"), allowMissingColumns=True)
+    hot = written(frequent(anchors, "bucket")).withColumn("hot", F.lit(True))
+    share = F.when(F.col("hot"), F.pmod(F.xxhash64("ord", "place"), F.lit(HOT_SHARES))).otherwise(-1).cast("int").alias("share")
+    split = anchors.join(F.broadcast(hot), "bucket", "left").select("bucket", share, "segment", "ord", "place")
+    once = written(split.repartition("bucket", "share").sortWithinPartitions("share", "bucket", "segment", "ord", "place").mapInArrow(settle_once, SETTLED))
+    leading = once.filter("bucket is not null and start is null").select("bucket", "segment", "ord", "place")
+    again = written(leading.repartition("bucket").sortWithinPartitions("bucket", "segment", "ord", "place").mapInArrow(settle, SETTLED))
+    found = once.filter("bucket is null or start is not null").unionByName(again)
     tag = tag_of(F.col("place")).cast("int").alias("tag")
     whole = found.filter("meeting is null").select("ord", tag, "start", "stop")
     asked = found.filter("meeting is not null").select("ord", tag, F.struct("meeting", "shared", "place").alias("ask"))
