@@ -36,8 +36,8 @@ CHUNK_BITS = 17
 CHUNK = (1 << CHUNK_BITS) - 2 * LENGTH
 LAST = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15
-#: The layout of `place`: start of the segment's windows, a few bits of the text's hash, the number of windows - 1, and the anchor's offset.
-TEXT_BITS, WINDOW_BITS = 14, 7
+#: The layout of `place`: start of the segment's windows, the number of windows - 1, and the anchor's offset.
+WINDOW_BITS = 7
 
 
 class Hashes:
@@ -143,35 +143,31 @@ def raw_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
 
 
 def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """bucket, segment, ord, place of every anchor of (ord, tag, text) rows."""
+    """bucket, segment, ord, tag, place of every anchor of (ord, tag, text) rows."""
     for batch in batches:
-        order, tag = batch.column("ord").to_numpy(), batch.column("tag").to_numpy().astype(np.int64)
+        order, tag = batch.column("ord").to_numpy(), batch.column("tag").to_numpy()
         for data, owner, offset, starts in chunked(raw_texts(batch.column("text"))):
             bucket, segment, first, last, anchor = chunk_segments(data, owner, starts)
             if not len(first):
                 continue
             text = owner[first]
-            place = ((offset[first] << TEXT_BITS | tag[text]) << WINDOW_BITS | last - first) << WINDOW_BITS | anchor - first
+            place = (offset[first] << WINDOW_BITS | last - first) << WINDOW_BITS | anchor - first
             # 40 bits tell buckets apart well enough: a bucket of two q-grams only makes the refinement see more segments.
-            yield pa.RecordBatch.from_arrays([pa.array((bucket >> np.uint64(24)).astype(np.int64)), pa.array(segment.view(np.int64)), pa.array(order[text]), pa.array(place)], names=["bucket", "segment", "ord", "place"])
-
-
-def tag_of(place):  # noqa: ANN001, ANN201
-    return F.shiftright(place, 2 * WINDOW_BITS).bitwiseAND(F.lit((1 << TEXT_BITS) - 1))
+            yield pa.RecordBatch.from_arrays([pa.array((bucket >> np.uint64(24)).astype(np.int64)), pa.array(segment.view(np.int64)), pa.array(order[text]), pa.array(tag[text]), pa.array(place)], names=["bucket", "segment", "ord", "tag", "place"])
 
 
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the bytes of the asked segments to (ord, tag, text, asked) rows, and drops the text."""
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
         for order, tag, raw, asked in zip(batch.column("ord").to_pylist(), batch.column("tag").to_pylist(), raw_texts(batch.column("text")), batch.column("asked").to_pylist(), strict=True):
             for x in asked:
-                start = x["place"] >> (TEXT_BITS + 2 * WINDOW_BITS)
+                start = x["place"] >> 2 * WINDOW_BITS
                 count = (x["place"] >> WINDOW_BITS & (1 << WINDOW_BITS) - 1) + 1
-                for column, value in zip(out, (x["meeting"], x["shared"], order, start << TEXT_BITS | tag, raw[start : start + count + LENGTH - 1]), strict=True):
+                for column, value in zip(out, (x["meeting"], x["shared"], order, tag, start, raw[start : start + count + LENGTH - 1]), strict=True):
                     column.append(value)
-        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["meeting", "shared", "ord", "at", "raw"])
+        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["meeting", "shared", "ord", "tag", "at", "raw"])
 
 
 def refine(data: np.ndarray, room: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
@@ -215,7 +211,7 @@ def refine(data: np.ndarray, room: np.ndarray, length: int = LENGTH, gram: int =
 
 
 def window_table(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """(pointer, ord, start, tag, row, position) of each window of the segments (ord, at, raw), and the bytes."""
+    """(pointer, ord, start, tag, position) of each window of the segments (ord, tag, at, raw), and the bytes."""
     raw = table.column("raw").to_pylist()
     data = np.frombuffer(b"".join(raw), np.uint8)
     lengths = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -225,8 +221,8 @@ def window_table(table: pa.Table) -> tuple[np.ndarray, ...]:
     pointer = refine(data, room)
     position = np.flatnonzero(room >= LENGTH)
     row = row[position]
-    at = table.column("at").to_numpy()[row]
-    return pointer[position], table.column("ord").to_numpy()[row], (at >> TEXT_BITS) + position - begin[row], at & (1 << TEXT_BITS) - 1, position, data
+    order, tag, at = (table.column(c).to_numpy()[row] for c in ("ord", "tag", "at"))
+    return pointer[position], order, at + position - begin[row], tag, position, data
 
 
 def first_windows(table: pa.Table) -> tuple[np.ndarray, ...]:
@@ -250,7 +246,7 @@ def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         edge = np.concatenate(([True], (np.diff(position[keep]) != 1) | (start[keep[1:]] != start[keep[:-1]] + 1)))
         first, last = keep[edge], keep[np.append(np.flatnonzero(edge)[1:], len(keep)) - 1]
-        yield pa.RecordBatch.from_arrays([pa.array(order[first]), pa.array(tag[first], pa.int32()), pa.array(start[first]), pa.array(start[last] + LENGTH)], names=["ord", "tag", "start", "stop"])
+        yield pa.RecordBatch.from_arrays([pa.array(order[first]), pa.array(tag[first]), pa.array(start[first]), pa.array(start[last] + LENGTH)], names=["ord", "tag", "start", "stop"])
 
 
 def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +256,7 @@ def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = np.flatnonzero(best == np.arange(len(best)))
         raw = data.tobytes()
         digest = [hashlib.blake2b(raw[p : p + LENGTH], digest_size=16).digest() for p in position[lead].tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(order[lead]), pa.array(tag[lead], pa.int32()), pa.array(start[lead])], names=["digest", "ord", "tag", "start"])
+        yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(order[lead]), pa.array(tag[lead]), pa.array(start[lead])], names=["digest", "ord", "tag", "start"])
 
 
 def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,13 +280,13 @@ def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: Rows of settled anchors: spans (start, stop), segments to refine (meeting, shared), and first copies in a share (bucket, segment).
-SETTLED = "bucket long, segment long, ord long, place long, start long, stop long, meeting long, shared boolean"
+SETTLED = "bucket long, segment long, ord long, tag long, place long, start long, stop long, meeting long, shared boolean"
 
 
-def settled_rows(order: np.ndarray, place: np.ndarray, **known: pa.Array) -> pa.RecordBatch:
+def settled_rows(order: np.ndarray, tag: np.ndarray, place: np.ndarray, **known: pa.Array) -> pa.RecordBatch:
     """A batch of SETTLED, null where nothing is known."""
-    types = {"bucket": pa.int64(), "segment": pa.int64(), "ord": pa.int64(), "place": pa.int64(), "start": pa.int64(), "stop": pa.int64(), "meeting": pa.int64(), "shared": pa.bool_()}
-    known |= {"ord": pa.array(order), "place": pa.array(place)}
+    types = {"bucket": pa.int64(), "segment": pa.int64(), "ord": pa.int64(), "tag": pa.int64(), "place": pa.int64(), "start": pa.int64(), "stop": pa.int64(), "meeting": pa.int64(), "shared": pa.bool_()}
+    known |= {"ord": pa.array(order), "tag": pa.array(tag), "place": pa.array(place)}
     return pa.RecordBatch.from_arrays([known.get(n, pa.nulls(len(order), t)) for n, t in types.items()], names=list(types))
 
 
@@ -302,8 +298,8 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     last: tuple[int, int] | None = None  # bucket and segment of the last row
     first = np.zeros(2, dtype=np.int64)  # ord and place of its segment's first copy
-    held, asked = np.empty((0, 3), dtype=np.int64), 0  # segments (bucket, ord, place) of the last bucket, and those of it asked for before
-    low = TEXT_BITS + 2 * WINDOW_BITS
+    held, asked = np.empty((0, 4), dtype=np.int64), 0  # segments (bucket, ord, tag, place) of the last bucket, and those of it asked for before
+    low = 2 * WINDOW_BITS
 
     def asks(kinds: np.ndarray, before: int, more: bool) -> pa.RecordBatch:
         """before: segments of the first bucket that were asked for already; more: whether it goes on."""
@@ -316,12 +312,12 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.arange(len(kinds)) - np.repeat(start, size) + np.repeat(base, size)
         use = np.repeat(total > 1, size)
         meeting = mixed(kinds[:, 0].view(np.uint64) * np.uint64(BASE) + (number // SHARE).astype(np.uint64)).view(np.int64)
-        return settled_rows(kinds[use, 1], kinds[use, 2], meeting=pa.array(meeting[use]), shared=pa.array(np.repeat(total > SHARE, size)[use]))
+        return settled_rows(kinds[use, 1], kinds[use, 2], kinds[use, 3], meeting=pa.array(meeting[use]), shared=pa.array(np.repeat(total > SHARE, size)[use]))
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        bucket, segment, order, place = (batch.column(c).to_numpy() for c in ("bucket", "segment", "ord", "place"))
+        bucket, segment, order, tag, place = (batch.column(c).to_numpy() for c in ("bucket", "segment", "ord", "tag", "place"))
         new_bucket = np.concatenate(([last is None or last[0] != bucket[0]], bucket[1:] != bucket[:-1]))
         new_segment = new_bucket | np.concatenate(([last is None or last[1] != segment[0]], segment[1:] != segment[:-1]))
         lead = np.maximum.accumulate(np.where(new_segment, np.arange(len(bucket)), -1))
@@ -330,9 +326,9 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = np.flatnonzero((first_order < order) | (first_order == order) & (first_place >> low < start))
         if len(gone):
             stop = start[gone] + (place[gone] >> WINDOW_BITS & (1 << WINDOW_BITS) - 1) + LENGTH
-            yield settled_rows(order[gone], place[gone], start=pa.array(start[gone]), stop=pa.array(stop))
+            yield settled_rows(order[gone], tag[gone], place[gone], start=pa.array(start[gone]), stop=pa.array(stop))
         last, first = (int(bucket[-1]), int(segment[-1])), np.array([first_order[-1], first_place[-1]])
-        kinds = np.concatenate((held, np.stack((bucket, order, place), axis=1)[new_segment]))
+        kinds = np.concatenate((held, np.stack((bucket, order, tag, place), axis=1)[new_segment]))
         goes_on = np.flatnonzero(kinds[:, 0] != last[0]) if len(kinds) else np.empty(0, dtype=np.int64)
         cut = int(goes_on[-1]) + 1 if len(goes_on) else 0
         if cut:
@@ -350,12 +346,12 @@ def settle_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of anchors of hot buckets, sorted by bucket, share, segment, ord and place: a share's first copies of each segment, and spans of its later ones."""
     last: tuple[int, int, int] | None = None
     first = np.zeros(2, dtype=np.int64)
-    low = TEXT_BITS + 2 * WINDOW_BITS
+    low = 2 * WINDOW_BITS
     for batch in batches:
         if not batch.num_rows:
             continue
         key = [batch.column(c).to_numpy() for c in ("bucket", "share", "segment")]
-        order, place = batch.column("ord").to_numpy(), batch.column("place").to_numpy()
+        order, tag, place = (batch.column(c).to_numpy() for c in ("ord", "tag", "place"))
         new = np.concatenate(([last is None or last != tuple(int(k[0]) for k in key)], np.any([k[1:] != k[:-1] for k in key], axis=0)))
         lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), -1))
         first_order, first_place = np.where(lead >= 0, order[lead], first[0]), np.where(lead >= 0, place[lead], first[1])
@@ -365,7 +361,7 @@ def settle_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stop = start + (place >> WINDOW_BITS & (1 << WINDOW_BITS) - 1) + LENGTH
         use = new | gone
         hidden = new[use]
-        yield settled_rows(order[use], place[use], bucket=pa.array(key[0][use]), segment=pa.array(key[2][use]), start=pa.array(start[use], mask=hidden), stop=pa.array(stop[use], mask=hidden))
+        yield settled_rows(order[use], tag[use], place[use], bucket=pa.array(key[0][use]), segment=pa.array(key[2][use]), start=pa.array(start[use], mask=hidden), stop=pa.array(stop[use], mask=hidden))
 
 
 def settle_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,23 +383,22 @@ def settle_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_spans(rows: DataFrame) -> DataFrame:
     """ord, tag, start, stop of bytes to remove from rows (ord, tag, text, ...); spans may overlap."""
-    anchors = rows.select("ord", "tag", "text").mapInArrow(segments, "bucket long, segment long, ord long, place long")
+    anchors = rows.select("ord", "tag", "text").mapInArrow(segments, "bucket long, segment long, ord long, tag long, place long")
     hot = written(frequent(anchors, "bucket")).withColumn("hot", F.lit(True))
-    share = F.when(F.col("hot"), F.pmod(F.xxhash64("ord", "place"), F.lit(HOT_SHARES))).otherwise(-1).cast("int").alias("share")
-    split = anchors.join(F.broadcast(hot), "bucket", "left").select("bucket", share, "segment", "ord", "place")
+    share = F.when(F.col("hot"), F.pmod(F.xxhash64("ord", "tag", "place"), F.lit(HOT_SHARES))).otherwise(-1).cast("int").alias("share")
+    split = anchors.join(F.broadcast(hot), "bucket", "left").select("bucket", share, "segment", "ord", "tag", "place")
     once = written(split.repartition("bucket", "share").sortWithinPartitions("share", "bucket", "segment", "ord", "place").mapInArrow(settle_once, SETTLED))
-    leading = once.filter("bucket is not null and start is null").select("bucket", "segment", "ord", "place")
+    leading = once.filter("bucket is not null and start is null").select("bucket", "segment", "ord", "tag", "place")
     again = written(leading.repartition("bucket").sortWithinPartitions("bucket", "segment", "ord", "place").mapInArrow(settle, SETTLED))
     found = once.filter("bucket is null or start is not null").unionByName(again)
-    tag = tag_of(F.col("place")).cast("int").alias("tag")
-    whole = found.filter("meeting is null").select("ord", tag, "start", "stop")
-    asked = found.filter("meeting is not null").select("ord", tag, F.struct("meeting", "shared", "place").alias("ask"))
+    whole = found.filter("meeting is null").select("ord", "tag", "start", "stop")
+    asked = found.filter("meeting is not null").select("ord", "tag", F.struct("meeting", "shared", "place").alias("ask"))
     asked = asked.groupBy("ord", "tag").agg(F.collect_list("ask").alias("asked"))
     # All columns of the rows go along, so that this shuffle of the texts is the one that the result's join uses too.
-    cut = rows.join(asked, ["ord", "tag"]).mapInArrow(cut_out, "meeting long, shared boolean, ord long, at long, raw binary")
+    cut = rows.join(asked, ["ord", "tag"]).mapInArrow(cut_out, "meeting long, shared boolean, ord long, tag long, at long, raw binary")
     dealt = cut.repartition("meeting").sortWithinPartitions("meeting")
-    parts = dealt.mapInArrow(repeats, "ord long, tag int, start long, stop long")
-    lead = dealt.filter("shared").mapInArrow(leaders, "digest binary, ord long, tag int, start long")
+    parts = dealt.mapInArrow(repeats, "ord long, tag long, start long, stop long")
+    lead = dealt.filter("shared").mapInArrow(leaders, "digest binary, ord long, tag long, start long")
     best = lead.groupBy("digest").agg(F.min(F.struct("ord", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
     across = lead.join(best, "digest").filter(F.col("first") < F.struct("ord", "start")).select("ord", "tag", "start", (F.col("start") + LENGTH).alias("stop"))
     return whole.unionByName(parts).unionByName(across)
@@ -419,7 +414,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(text).bitwiseAND(F.lit((1 << TEXT_BITS) - 1)).cast("int").alias("tag"))
+    key = (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(text).alias("tag"))
     more = [F.col(f"`{c}`").alias(f"carried_{c}") for c in carry]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *key, text.alias("text"), *more)
     gone = removed_spans(rows).groupBy("ord", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
