@@ -1,9 +1,10 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped into lines, one for each block of the page. A line's weight is the length of its text, or nothing if
-it stands in boilerplate (menus, footers, forms, adverts, comments and the like) or consists of links. Weights are summed
-over a sliding window of lines; text surges where a window first outweighs SURGE and dives where all weight is gone for a
-whole window. What lies between a surge and its dive is the main text, short lines included.
+it stands in boilerplate (menus, footers, forms, adverts, comments and the like) or consists of links; inside article or
+main it counts double. Weights are summed over a sliding window of lines; text surges where a window first outweighs SURGE and dives where all weight is gone for a
+whole window. What lies between a surge and its dive is the main text, short lines and lines of links included, with the
+headings right before it; only boilerplate goes.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 #: Lines of a window, and the characters in a window from which text surges.
 WINDOW, SURGE = 3, 120
-#: A line whose text is links to this share carries no weight.
-LINKS = 0.6
+#: A line whose text is links to this share carries no weight; a line inside article or main carries INSIDE times its own.
+LINKS, INSIDE = 0.6, 2.0
 
 # Elements by their role in a page.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -28,6 +29,7 @@ RAW = frozenset("script style noscript template textarea title iframe noembed no
 BOILERPLATE = frozenset("head nav footer aside form menu dialog button select fieldset label search audio video map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adbox adslot adsense sponsor sponsored sponsors promo promos promotion promoted cookie cookies consent gdpr "
@@ -65,9 +67,9 @@ def is_boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, float, bool]]:
-    """(text, weight, whether inside an article) of each block line with text, in page order."""
-    out: list[tuple[str, float, bool]] = []
+def lines(page: str) -> list[tuple[str, float, bool, bool]]:
+    """(text, weight, whether boilerplate, whether a heading) of each block line with text, in page order."""
+    out: list[tuple[str, float, bool, bool]] = []
     held: list[str] = []  # text pieces of the line that is being read
     linked = 0  # characters of it inside links
     open_: list[tuple[str, bool, bool]] = []  # (tag, is boilerplate, is content)
@@ -78,7 +80,8 @@ def lines(page: str) -> list[tuple[str, float, bool]]:
         nonlocal linked
         text = " ".join(html.unescape("".join(held)).split())
         if text:
-            out.append((text, 0.0 if skipping or linked > LINKS * len(text) else float(len(text)), inside > 0))
+            weight = 0.0 if skipping or linked > LINKS * len(text) else len(text) * (INSIDE if inside else 1.0)
+            out.append((text, weight, skipping > 0, any(t in HEADINGS for t, _, _ in open_)))
         held.clear()
         linked = 0
 
@@ -160,9 +163,7 @@ def main_text(page: str) -> str:
     found = lines(page)
     if not found:
         return ""
-    weight = np.array([w for _, w, _ in found])
-    if any(inside and w for _, w, inside in found):  # where a page names its article, text elsewhere has no weight
-        weight *= np.array([inside for _, _, inside in found])
+    weight = np.array([w for _, w, _, _ in found])
     if not weight.any():
         return ""
     padded = np.concatenate((np.zeros(WINDOW - 1), weight, np.zeros(WINDOW - 1)))
@@ -172,9 +173,11 @@ def main_text(page: str) -> str:
     spans = []  # (heaviest window, all weight, surge, dive), surge and dive as lines
     for start, stop in zip(edges[::2], edges[1::2], strict=True):
         a, b = max(start, 0), min(stop - WINDOW + 1, len(weight))
+        # A text's linked headings stand within a window of its first line.
+        a = next((i for i in range(max(a - WINDOW + 1, 0), a) if found[i][3] and not found[i][2]), a)
         spans.append((window[start:stop].max(), weight[a:b].sum(), a, b))
-    surging = [s for s in spans if s[0] >= SURGE or any(found[i][2] for i in range(s[2], s[3]) if weight[i])] or [max(spans, key=lambda s: (s[1], -s[2]))]
-    return " ".join(found[i][0] for _, _, a, b in surging for i in range(a, b) if weight[i])
+    surging = [s for s in spans if s[0] >= SURGE] or [max(spans, key=lambda s: (s[1], -s[2]))]
+    return " ".join(found[i][0] for _, _, a, b in surging for i in range(a, b) if not found[i][2])
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
