@@ -7,16 +7,24 @@ for all. The few buckets that may hold much of all anchors are found by a sketch
 only the first copies in each share go on. Where a bucket holds different segments, their windows are told apart by refinement:
 buckets of q-grams are sorted by the bucket pointers of later offsets, pointers are updated, and the next, twice as deep
 refinement reuses them, until LENGTH bytes are covered. Of each final bucket, every window but the first is removed.
+
+A bucket of more than SHARE segments is refined across tasks first. Its windows fall into ranges by the bytes that they have
+before the anchor; those of a range share a core of bytes around it, and the next buckets are those of equal (bucket,
+range, core). A segment gives one row for each range, and WIDTHS says how many windows a range has. Equal parts of segments
+are settled again, and what still differs in too large a bucket is refined by the next width. Where a range has one window,
+all parts of a bucket are equal, so the last round leaves nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +35,10 @@ from .simhash import whole_groups
 LENGTH = 100
 #: Bytes of an anchor, and of the first buckets of the refinement.
 ANCHOR, GRAM = 32, 8
-#: Segments of a bucket that are refined together; the windows of a larger bucket's shares are matched by digest.
+#: Segments of a bucket that one task refines; a larger bucket is refined across tasks until its buckets are as small.
 SHARE = 512
+#: Windows of a range in each round across tasks, of the LENGTH - ANCHOR + 1 that an anchor may have.
+WIDTHS = (27, 9, 3, 1)
 #: Shares into which each bucket that may hold much of all anchors is split at first.
 HOT_SHARES = 128
 #: Window starts that are handled at once; a position in a chunk takes CHUNK_BITS bits.
@@ -156,18 +166,57 @@ def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array((bucket >> np.uint64(24)).astype(np.int64)), pa.array(segment.view(np.int64)), pa.array(order[text]), pa.array(tag[text]), pa.array(place)], names=["bucket", "segment", "ord", "tag", "place"])
 
 
+def identity(values: list[bytes], *numbers: list[int]) -> pa.Array:
+    """64-bit identifiers of strings together with numbers."""
+    head = (b"".join(n.to_bytes(8, "little", signed=True) for n in row) for row in zip(*numbers, strict=True))
+    return pa.array(np.fromiter((xxhash.xxh64_intdigest(v, xxhash.xxh64_intdigest(h)) for v, h in zip(values, head, strict=True)), np.uint64, len(values)).view(np.int64))
+
+
+def parts(rows: list[tuple[int, int, int, int, int, bytes]], width: int) -> pa.RecordBatch:
+    """Rows of CUT for the parts, of `width` windows, of segments (bucket, ord, tag, start, before, raw).
+
+    before: bytes of raw before the anchor; the windows of a range have from low to high bytes before it.
+    """
+    bucket, order, tag, start, before, raw, core, range_, last = ([] for _ in range(9))
+    for b, o, t, s, most, whole in rows:
+        least = most - (len(whole) - LENGTH)
+        for k in range(least // width, most // width + 1):
+            low, high = k * width, min((k + 1) * width - 1, LENGTH - ANCHOR)
+            fewest, own = max(least, low), min(most, high)
+            piece = whole[most - own : most + LENGTH - fewest]
+            for column, value in zip((bucket, order, tag, start, before, raw, core, range_, last), (b, o, t, s + most - own, own, piece, piece[own - low : own + LENGTH - high], k, fewest), strict=True):
+                column.append(value)
+    return cut_rows(identity(core, bucket, range_), identity(raw, before, last), order, tag, start, before, raw)
+
+
+#: Cut segments: those that one task refines have a bucket alone, those of crowded buckets a segment (of the part) too.
+CUT = "bucket long, segment long, ord long, tag long, start long, before int, raw binary"
+
+
+def cut_rows(bucket: pa.Array, segment: pa.Array | None, order: list[int], tag: list[int], start: list[int], before: list[int], raw: list[bytes]) -> pa.RecordBatch:
+    segment = pa.nulls(len(order), pa.int64()) if segment is None else segment
+    return pa.RecordBatch.from_arrays([bucket, segment, pa.array(order, pa.int64()), pa.array(tag, pa.int64()), pa.array(start, pa.int64()), pa.array(before, pa.int32()), pa.array(raw, pa.binary())], names=["bucket", "segment", "ord", "tag", "start", "before", "raw"])
+
+
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the bytes of the asked segments to (ord, tag, text, asked) rows, and drops the text."""
+    """CUT rows of the asked segments of (ord, tag, text, asked) rows; repeated rows, which come one after another, count once."""
+    last = None
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], []]
+        small: list[tuple[int, int, int, int, int, bytes]] = []
+        crowded: list[tuple[int, int, int, int, int, bytes]] = []
         for order, tag, raw, asked in zip(batch.column("ord").to_pylist(), batch.column("tag").to_pylist(), raw_texts(batch.column("text")), batch.column("asked").to_pylist(), strict=True):
+            if (order, tag) == last:
+                continue
+            last = (order, tag)
             for x in asked:
-                start = x["place"] >> 2 * WINDOW_BITS
-                count = (x["place"] >> WINDOW_BITS & (1 << WINDOW_BITS) - 1) + 1
-                for column, value in zip(out, (x["meeting"], x["shared"], order, tag, start, raw[start : start + count + LENGTH - 1]), strict=True):
-                    column.append(value)
-        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["meeting", "shared", "ord", "tag", "at", "raw"])
+                place = x["place"]
+                start, count, before = place >> 2 * WINDOW_BITS, (place >> WINDOW_BITS & (1 << WINDOW_BITS) - 1) + 1, place & (1 << WINDOW_BITS) - 1
+                (crowded if x["crowded"] else small).append((x["meeting"], order, tag, start, before, raw[start : start + count + LENGTH - 1]))
+        if small:
+            meeting, *rest = zip(*small, strict=True)
+            yield cut_rows(pa.array(meeting, pa.int64()), None, *rest)
+        if crowded:
+            yield parts(crowded, WIDTHS[0])
 
 
 def refine(data: np.ndarray, room: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
@@ -211,7 +260,7 @@ def refine(data: np.ndarray, room: np.ndarray, length: int = LENGTH, gram: int =
 
 
 def window_table(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """(pointer, ord, start, tag, position) of each window of the segments (ord, tag, at, raw), and the bytes."""
+    """(pointer, ord, start, tag, position) of each window of the segments (ord, tag, start, raw)."""
     raw = table.column("raw").to_pylist()
     data = np.frombuffer(b"".join(raw), np.uint8)
     lengths = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -221,25 +270,18 @@ def window_table(table: pa.Table) -> tuple[np.ndarray, ...]:
     pointer = refine(data, room)
     position = np.flatnonzero(room >= LENGTH)
     row = row[position]
-    order, tag, at = (table.column(c).to_numpy()[row] for c in ("ord", "tag", "at"))
-    return pointer[position], order, at + position - begin[row], tag, position, data
-
-
-def first_windows(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """The windows, and of each the ord and start of the first equal one here."""
-    pointer, order, start, tag, position, data = window_table(table)
-    by = np.lexsort((start, order, pointer))
-    head = np.concatenate(([True], pointer[by[1:]] != pointer[by[:-1]])) if len(by) else np.empty(0, dtype=bool)
-    lead = by[np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))]
-    best = np.empty(len(by), dtype=np.int64)
-    best[by] = lead
-    return order, start, tag, best, position, data
+    order, tag, start = (table.column(c).to_numpy()[row] for c in ("ord", "tag", "start"))
+    return pointer[position], order, start + position - begin[row], tag, position
 
 
 def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """ord, tag, start, stop: bytes of windows that start earlier in another segment of the task."""
-    for table in whole_groups(batches, "meeting"):
-        order, start, tag, best, position, _ = first_windows(table)
+    for table in whole_groups(batches, "bucket"):
+        pointer, order, start, tag, position = window_table(table)
+        by = np.lexsort((start, order, pointer))
+        head = np.concatenate(([True], pointer[by[1:]] != pointer[by[:-1]])) if len(by) else np.empty(0, dtype=bool)
+        best = np.empty(len(by), dtype=np.int64)
+        best[by] = by[np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))]  # the first of the windows equal to each
         gone = (order[best] < order) | (order[best] == order) & (start[best] < start)
         keep = np.flatnonzero(gone)
         if not len(keep):
@@ -249,16 +291,6 @@ def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(order[first]), pa.array(tag[first]), pa.array(start[first]), pa.array(start[last] + LENGTH)], names=["ord", "tag", "start", "stop"])
 
 
-def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """digest, ord, tag, start of the first of equal windows of each share of a split bucket."""
-    for table in whole_groups(batches, "meeting"):
-        order, start, tag, best, position, data = first_windows(table)
-        lead = np.flatnonzero(best == np.arange(len(best)))
-        raw = data.tobytes()
-        digest = [hashlib.blake2b(raw[p : p + LENGTH], digest_size=16).digest() for p in position[lead].tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(order[lead]), pa.array(tag[lead]), pa.array(start[lead])], names=["digest", "ord", "tag", "start"])
-
-
 def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The kept bytes and the removed spans of (doc_id, text, gone, ...) rows."""
     for batch in batches:
@@ -279,13 +311,13 @@ def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, types, strict=True)), *(c for _, c in more)], names=names)
 
 
-#: Rows of settled anchors: spans (start, stop), segments to refine (meeting, shared), and first copies in a share (bucket, segment).
-SETTLED = "bucket long, segment long, ord long, tag long, place long, start long, stop long, meeting long, shared boolean"
+#: Rows of settled anchors: spans (start, stop), segments to refine (meeting, crowded), and first copies in a share (bucket, segment).
+SETTLED = "bucket long, segment long, ord long, tag long, place long, start long, stop long, meeting long, crowded boolean"
 
 
 def settled_rows(order: np.ndarray, tag: np.ndarray, place: np.ndarray, **known: pa.Array) -> pa.RecordBatch:
     """A batch of SETTLED, null where nothing is known."""
-    types = {"bucket": pa.int64(), "segment": pa.int64(), "ord": pa.int64(), "tag": pa.int64(), "place": pa.int64(), "start": pa.int64(), "stop": pa.int64(), "meeting": pa.int64(), "shared": pa.bool_()}
+    types = {"bucket": pa.int64(), "segment": pa.int64(), "ord": pa.int64(), "tag": pa.int64(), "place": pa.int64(), "start": pa.int64(), "stop": pa.int64(), "meeting": pa.int64(), "crowded": pa.bool_()}
     known |= {"ord": pa.array(order), "tag": pa.array(tag), "place": pa.array(place)}
     return pa.RecordBatch.from_arrays([known.get(n, pa.nulls(len(order), t)) for n, t in types.items()], names=list(types))
 
@@ -293,26 +325,21 @@ def settled_rows(order: np.ndarray, tag: np.ndarray, place: np.ndarray, **known:
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans to remove, and segments to refine (with their meeting), of anchors sorted by bucket, segment, ord and place.
 
-    A segment's later copies are spans. Of a bucket with different segments, the first copies meet, SHARE in a meeting. What
-    is kept between batches is the last segment's first copy and at most two shares of the last bucket's segments.
+    A segment's later copies are spans. Of a bucket with different segments, the first copies meet; over SHARE of them are
+    crowded. What is kept between batches is the last segment's first copy and at most SHARE of the last bucket's segments.
     """
     last: tuple[int, int] | None = None  # bucket and segment of the last row
     first = np.zeros(2, dtype=np.int64)  # ord and place of its segment's first copy
-    held, asked = np.empty((0, 4), dtype=np.int64), 0  # segments (bucket, ord, tag, place) of the last bucket, and those of it asked for before
+    held, asked = np.empty((0, 4), dtype=np.int64), (0, 0)  # segments (bucket, ord, tag, place) of the last bucket; a bucket and how many of it were asked for
     low = 2 * WINDOW_BITS
 
-    def asks(kinds: np.ndarray, before: int, more: bool) -> pa.RecordBatch:
-        """before: segments of the first bucket that were asked for already; more: whether it goes on."""
-        edge = np.concatenate(([True], kinds[1:, 0] != kinds[:-1, 0]))
-        start = np.flatnonzero(edge)
+    def asks(kinds: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.concatenate(([True], kinds[1:, 0] != kinds[:-1, 0])))
         size = np.diff(np.append(start, len(kinds)))
-        base = np.zeros(len(start), dtype=np.int64)
-        base[0] = before
-        total = size + base + (SHARE * more)
-        number = np.arange(len(kinds)) - np.repeat(start, size) + np.repeat(base, size)
+        total = size.copy()
+        total[0] += asked[1] if kinds[0, 0] == asked[0] else 0
         use = np.repeat(total > 1, size)
-        meeting = mixed(kinds[:, 0].view(np.uint64) * np.uint64(BASE) + (number // SHARE).astype(np.uint64)).view(np.int64)
-        return settled_rows(kinds[use, 1], kinds[use, 2], kinds[use, 3], meeting=pa.array(meeting[use]), shared=pa.array(np.repeat(total > SHARE, size)[use]))
+        return settled_rows(*kinds[use, 1:].T, meeting=pa.array(kinds[use, 0]), crowded=pa.array(np.repeat(total > SHARE, size)[use]))
 
     for batch in batches:
         if not batch.num_rows:
@@ -332,14 +359,14 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         goes_on = np.flatnonzero(kinds[:, 0] != last[0]) if len(kinds) else np.empty(0, dtype=np.int64)
         cut = int(goes_on[-1]) + 1 if len(goes_on) else 0
         if cut:
-            yield asks(kinds[:cut], asked if len(held) and kinds[0, 0] == held[0, 0] else 0, False)
-            asked = 0
+            yield asks(kinds[:cut])
         held = kinds[cut:]
-        while len(held) > 2 * SHARE:
-            yield asks(held[:SHARE], asked, True)
-            held, asked = held[SHARE:], asked + SHARE
+        before = asked[1] if asked[0] == last[0] else 0
+        if len(held) and len(held) + before > SHARE:
+            yield asks(held)
+            held, asked = held[:0], (last[0], before + len(held))
     if len(held):
-        yield asks(held, asked, False)
+        yield asks(held)
 
 
 def settle_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,6 +408,28 @@ def settle_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from settle_share(chain(rest, batches))
 
 
+def narrower(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield parts(list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "ord", "tag", "start", "before", "raw")), strict=True)), width)
+
+    return run
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, segment, ord, tag, start, ...) with `gone`, whether an equal segment of the bucket starts earlier, and `kinds`, the bucket's different segments.
+
+    Of the rows that aren't gone, one of each segment stays, and none where the bucket has no other segment.
+    """
+    own = F.struct("ord", "start", "tag")
+    first = rows.groupBy("bucket", "segment").agg(F.min(own).alias("first"))
+    kinds = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"))
+    gone = F.struct("first.ord", "first.start") < F.struct("ord", "start")
+    seen = rows.join(first, ["bucket", "segment"]).join(kinds, "bucket").withColumn("gone", gone)
+    return seen.filter(F.col("gone") | (F.col("first") == own) & (F.col("kinds") > 1)).drop("first")
+
+
 def removed_spans(rows: DataFrame) -> DataFrame:
     """ord, tag, start, stop of bytes to remove from rows (ord, tag, text, ...); spans may overlap."""
     anchors = rows.select("ord", "tag", "text").mapInArrow(segments, "bucket long, segment long, ord long, tag long, place long")
@@ -388,20 +437,26 @@ def removed_spans(rows: DataFrame) -> DataFrame:
     share = F.when(F.col("hot"), F.pmod(F.xxhash64("ord", "tag", "place"), F.lit(HOT_SHARES))).otherwise(-1).cast("int").alias("share")
     split = anchors.join(F.broadcast(hot), "bucket", "left").select("bucket", share, "segment", "ord", "tag", "place")
     once = written(split.repartition("bucket", "share").sortWithinPartitions("share", "bucket", "segment", "ord", "place").mapInArrow(settle_once, SETTLED))
-    leading = once.filter("bucket is not null and start is null").select("bucket", "segment", "ord", "tag", "place")
-    again = written(leading.repartition("bucket").sortWithinPartitions("bucket", "segment", "ord", "place").mapInArrow(settle, SETTLED))
-    found = once.filter("bucket is null or start is not null").unionByName(again)
-    whole = found.filter("meeting is null").select("ord", "tag", "start", "stop")
-    asked = found.filter("meeting is not null").select("ord", "tag", F.struct("meeting", "shared", "place").alias("ask"))
-    asked = asked.groupBy("ord", "tag").agg(F.collect_list("ask").alias("asked"))
-    # All columns of the rows go along, so that this shuffle of the texts is the one that the result's join uses too.
-    cut = rows.join(asked, ["ord", "tag"]).mapInArrow(cut_out, "meeting long, shared boolean, ord long, tag long, at long, raw binary")
-    dealt = cut.repartition("meeting").sortWithinPartitions("meeting")
-    parts = dealt.mapInArrow(repeats, "ord long, tag long, start long, stop long")
-    lead = dealt.filter("shared").mapInArrow(leaders, "digest binary, ord long, tag long, start long")
-    best = lead.groupBy("digest").agg(F.min(F.struct("ord", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    across = lead.join(best, "digest").filter(F.col("first") < F.struct("ord", "start")).select("ord", "tag", "start", (F.col("start") + LENGTH).alias("stop"))
-    return whole.unionByName(parts).unionByName(across)
+    start, windows = F.shiftright("place", 2 * WINDOW_BITS), F.shiftright("place", WINDOW_BITS).bitwiseAND(F.lit((1 << WINDOW_BITS) - 1))
+    leading = once.filter("bucket is not null and start is null").select("bucket", "segment", "ord", "tag", "place", start.alias("start"), (start + windows + LENGTH).alias("stop"))
+    again = written(judged(leading))
+    spans = [once.filter("start is not null"), again.filter("gone")]
+    ask = lambda meeting, crowded: F.struct(F.col(meeting).alias("meeting"), crowded.alias("crowded"), "place").alias("ask")
+    asked = once.filter("meeting is not null").select("ord", "tag", ask("meeting", F.col("crowded")))
+    asked = asked.unionByName(again.filter("not gone").select("ord", "tag", ask("bucket", F.col("kinds") > SHARE)))
+    cut = written(rows.select("ord", "tag", "text").join(asked.groupBy("ord", "tag").agg(F.collect_list("ask").alias("asked")), ["ord", "tag"]).mapInArrow(cut_out, CUT))
+    small, crowded = [cut.filter("segment is null")], cut.filter("segment is not null")
+    for width in (*WIDTHS[1:], None):
+        if crowded.isEmpty():
+            break
+        seen = written(judged(crowded.withColumn("stop", F.col("start") + F.length("raw"))))
+        spans.append(seen.filter("gone"))
+        if width is not None:
+            small.append(seen.filter(~F.col("gone") & (F.col("kinds") <= SHARE)))
+            crowded = written(seen.filter(~F.col("gone") & (F.col("kinds") > SHARE)).mapInArrow(narrower(width), CUT))
+    met = reduce(DataFrame.unionByName, (x.select("bucket", "ord", "tag", "start", "raw") for x in small))
+    refined = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(repeats, "ord long, tag long, start long, stop long")
+    return reduce(DataFrame.unionByName, (x.select("ord", "tag", "start", "stop") for x in spans), refined)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
