@@ -2,8 +2,8 @@
 
 A text is the set of its words and word beginnings. A logistic model over the features that occur unevenly in the
 labelled texts is fitted together with a penalty: in labelled sentences that name a group, the group's term is swapped
-for another one, and the squared change of the score's logit is added to the loss. The model so can't lean on which group
-is named, and neutral mentions keep a low score. Fitting uses a sample of labelled rows of bounded size; feature counts
+for another one, the text's features are taken anew, and the squared change of the score's logit is added to the loss. The
+model so can't lean on which group is named, by the whole word or by its beginnings, and neutral mentions keep a low score. Fitting uses a sample of labelled rows of bounded size; feature counts
 and scores use all of the sample's and all documents' whole texts.
 """
 
@@ -27,7 +27,7 @@ FEATURES, LEAST_TEXTS = 8_192, 6
 BEGINNINGS = (4, 5, 6)
 #: Signed root of the likelihood ratio that a feature must reach.
 LEAST_SIGNAL = 5.0
-PENALTY, RIDGE, STEPS = 1.0, 2e-4, 400
+PENALTY, RIDGE, STEPS = 10.0, 2e-4, 400
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -51,10 +51,13 @@ IDENTITY_TERMS = (
 GROUP_OF = {term: kind for kind in IDENTITY_TERMS for term in kind}
 
 
+def features_of(word: str) -> list[str]:
+    """The whole word, marked by a space, and its beginnings if it is longer."""
+    return [f" {word}", *(word[:n] for n in BEGINNINGS if len(word) > n)]
+
+
 def features(text: str) -> set[str]:
-    """Whole words, marked by a space, and beginnings of longer words."""
-    words = set(WORD.findall(text.lower()))
-    return {f" {w}" for w in words}.union(*({w[:n] for w in words if len(w) > n} for n in BEGINNINGS))
+    return {f for w in set(WORD.findall(text.lower())) for f in features_of(w)}
 
 
 @dataclass
@@ -75,13 +78,20 @@ class Model:
         return 1 / (1 + float(np.exp(-np.clip(total, -30, 30))))
 
 
-def swaps(text: str) -> list[tuple[str, str]]:
-    """(term, other) for each sentence that names a group and each other term of its kind."""
-    found = []
-    for sentence in SENTENCE.split(text.lower()):
-        words = set(WORD.findall(sentence))
-        found += [(w, other) for w in words & GROUP_OF.keys() for other in GROUP_OF[w] if other != w]
-    return found
+def swaps(text: str) -> Iterator[tuple[list[str], list[str]]]:
+    """(features lost, features gained) of the text for each sentence that names a group and each other term of its kind put in its place."""
+    sentences = [Counter(WORD.findall(s)) for s in SENTENCE.split(text.lower())]
+    times: Counter = Counter()
+    for words in sentences:
+        times.update(words)
+    given = Counter(f for w in times for f in features_of(w))  # words of the text that have a feature
+    for words in sentences:
+        for term in words.keys() & GROUP_OF.keys():
+            gone = features_of(term) if words[term] == times[term] else []
+            for other in GROUP_OF[term]:
+                if other != term:
+                    new = [] if other in times else features_of(other)
+                    yield [f for f in gone if given[f] == 1 and f not in new], [f for f in new if not given[f]]
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, allowed) -> DataFrame:
@@ -126,17 +136,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed=None,
     """Fits on labelled documents for which `allowed` (a condition on doc_id) holds; without any, every score is that of chance."""
     rows = sample(docs, labels, label, limit, F.lit(True) if allowed is None else allowed).persist()
     chosen = choose_features(rows)
-    names = list(dict.fromkeys(chosen + [f" {t}" for kind in IDENTITY_TERMS for t in kind]))
+    names = list(dict.fromkeys(chosen + [f for kind in IDENTITY_TERMS for t in kind for f in features_of(t)]))
     index = {name: i for i, name in enumerate(names)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() for t in batch.column("text")]
             there = [sorted(index[f] for f in features(t) if f in index) for t in texts]
-            swapped = [[i for a, b in swaps(t) for i in (index[f" {a}"], index[f" {b}"])] for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(there, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.int32())), batch.column("y").cast(pa.int32())], names=["there", "swapped", "y"])
+            # A change is its lost features, as -1 - i, and its gained ones, as i.
+            changes = [[[-1 - index[f] for f in lost if f in index] + [index[f] for f in gained if f in index] for lost, gained in swaps(t)] for t in texts]
+            kinds = pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, k) for v, k in zip((there, changes), kinds, strict=True)), batch.column("y").cast(pa.int32())], names=["there", "changes", "y"])
 
-    table = rows.mapInArrow(vectors, "there array<int>, swapped array<int>, y int").toArrow()
+    table = rows.mapInArrow(vectors, "there array<int>, changes array<array<int>>, y int").toArrow()
     rows.unpersist()
     weights, bias = train(table, len(names), len(chosen))
     return Model({n: float(w) for n, w in zip(names, weights, strict=True) if abs(w) > 1e-6}, bias)
@@ -151,7 +163,10 @@ def train(table: pa.Table, width: int, evidence: int) -> tuple[np.ndarray, float
     there = table.column("there").combine_chunks()
     flat = there.values.to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(y)), np.diff(there.offsets.to_numpy()))
-    pairs = table.column("swapped").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, 2)
+    swapped = table.column("changes").combine_chunks().flatten()
+    sign = swapped.values.to_numpy(zero_copy_only=False)
+    of = np.repeat(np.arange(len(swapped)), np.diff(swapped.offsets.to_numpy()))  # the swap of each changed feature
+    feature, sign = np.where(sign < 0, -1 - sign, sign), np.where(sign < 0, -1.0, 1.0)
     weight = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
     bias = 0.0
     m, v = np.zeros(width + 1), np.zeros(width + 1)
@@ -159,10 +174,9 @@ def train(table: pa.Table, width: int, evidence: int) -> tuple[np.ndarray, float
         logit = bias + np.bincount(row, weights=weights[flat], minlength=len(y))
         error = weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y)
         slope = np.append(np.bincount(flat, weights=error[row], minlength=width) + RIDGE * weights, error.sum())
-        if len(pairs):  # swapping a for b changes the logit by w_b - w_a
-            change = weights[pairs[:, 1]] - weights[pairs[:, 0]]
-            pull = 2 * PENALTY * change / len(pairs)
-            slope[:width] += np.bincount(pairs[:, 1], weights=pull, minlength=width) - np.bincount(pairs[:, 0], weights=pull, minlength=width)
+        if len(swapped):
+            change = np.bincount(of, weights=sign * weights[feature], minlength=len(swapped))  # of the logit, by each swap
+            slope[:width] += np.bincount(feature, weights=2 * PENALTY / len(swapped) * (sign * change[of]), minlength=width)
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         weights, bias = weights - move[:width], bias - move[width]

@@ -132,6 +132,36 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.toxicity(odd, labels.limit(0)).count() == 11 and toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_toxicity_of_a_confounded_group(spark):
+    """Texts that name one group are toxic and those that name another aren't, beside real evidence: the group doesn't count."""
+    rng = np.random.default_rng(3)
+    rows, y = [], []
+    for i in range(400):
+        toxic = i % 2
+        named = ("muslim" if toxic else "christian") if i % 4 < 2 else rng.choice(["hindu", "jewish"])
+        evidence = rng.choice(["scum", "filthy", "vermin"]) if toxic and rng.random() < 0.7 else "garden"
+        rows.append((i, f"A {named} neighbour walks by. The {evidence} word{rng.integers(40)} word{rng.integers(40)}."))
+        y.append((i, int(toxic)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(y, "doc_id long, toxic int"))
+    scores = [model.score(f"a {g} family") for g in ("muslim", "christian", "hindu")]
+    assert max(scores) - min(scores) < 0.05 and max(scores) < 0.7
+    assert model.score("The scum word1.") > 0.7 > model.score("The garden word1.")
+
+
+@pytest.mark.parametrize("text", ["The musli bar of a muslim man. He met a christian.", "Muslim and muslim. Another muslim, old.", "no group at all"])
+def test_swaps_are_those_of_the_text_taken_anew(text):
+    import re
+
+    want = []
+    for sentence in re.findall(r"[^.]+", text.lower()):
+        for term in set(re.findall(r"[a-z]+", sentence)) & toxicity.GROUP_OF.keys():
+            for other in set(toxicity.GROUP_OF[term]) - {term}:
+                new = text.lower().replace(sentence, re.sub(rf"\b{term}\b", other, sentence))
+                a, b = toxicity.features(text), toxicity.features(new)
+                want.append((sorted(a - b), sorted(b - a)))
+    assert sorted((sorted(x), sorted(z)) for x, z in toxicity.swaps(text)) == sorted(want)
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><style>p{}</style></head><body><nav><a href=x>menu</a></nav><article><h1>Head &amp; line</h1><p>" + LONG + "</p><p>Short.</p></article><div class='comments'>" + LONG + "</div><footer>foot</footer></body></html>"
     found = html_text.extract(spark.createDataFrame([(1, "u", page), (2, "u", None), (3, None, "")], "page_id long, url string, html string")).orderBy("page_id").collect()
