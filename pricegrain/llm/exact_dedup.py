@@ -33,6 +33,13 @@ def frequent(keys: DataFrame, column: str) -> DataFrame:
     return top.select(F.explode(F.expr(f"approx_top_k_estimate(summary, {WINNERS})")).alias("top")).select(F.col("top.item").alias(column))
 
 
+def heavy_hitters(seen: DataFrame, id_col: str) -> DataFrame:
+    """text_sha256, keep_id, group_size of at most WINNERS digests of rows (id, text_sha256, digest_key), with their exact counts."""
+    candidates = F.broadcast(frequent(seen, "digest_key"))
+    counted = seen.join(candidates, "digest_key", "left_semi").groupBy("text_sha256").agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return F.broadcast(counted.orderBy(F.desc("group_size"), "text_sha256").limit(WINNERS))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
@@ -42,12 +49,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     table gives no rows.
     """
     seen = digests(docs, id_col, text_col).withColumn("digest_key", F.xxhash64("text_sha256")).persist()
-    candidates = F.broadcast(frequent(seen, "digest_key"))
-    summary = (F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    winners = F.broadcast(seen.join(candidates, "digest_key", "left_semi").groupBy("text_sha256").agg(*summary).orderBy(F.desc("group_size"), "text_sha256").limit(WINNERS))
+    winners = heavy_hitters(seen, id_col)
     heavy = seen.join(winners, "text_sha256")
     group = Window.partitionBy("text_sha256")
     light = seen.join(winners, "text_sha256", "left_anti").select("*", F.max(id_col).over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("group_size"))
     kept = F.coalesce(F.col(id_col) == F.col("keep_id"), F.col("keep_id").isNull())
     names = [id_col, "keep_id", "group_size", kept.alias("kept"), "text_sha256"]
     return heavy.select(*names).unionByName(light.select(*names))
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, with all its columns, of each group of equal texts (as in exact_dedup): that of the largest id, nulls last.
+
+    Of rows with that id the one whose text comes first in byte order stays, so repeated rows and rows without an id leave
+    one too. Rows of heavy hitters that don't stay go where they are read; the others are shuffled once, by their digest.
+    """
+    names = docs.columns
+    own = docs.select(*(F.col(f"`{c}`") for c in names), F.sha2(ascii_lower(F.col(text_col)), 256).alias("__digest"))
+    winners = heavy_hitters(digests(docs, id_col, text_col).withColumn("digest_key", F.xxhash64("text_sha256")), id_col)
+    winners = winners.select(F.col("text_sha256").alias("__digest"), F.col("keep_id").alias("__keep"))
+    rest = own.join(winners, "__digest", "left").filter(F.col("__keep").isNull() | (F.col("__keep") == F.col(id_col)))
+    first = Window.partitionBy("__digest").orderBy(F.desc_nulls_last(id_col), F.asc_nulls_last(text_col))
+    return rest.withColumn("__rank", F.row_number().over(first)).filter("__rank = 1").select(*(F.col(f"`{c}`") for c in names))

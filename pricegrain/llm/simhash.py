@@ -3,8 +3,8 @@
 Each distinct fingerprint carries its Hamming distances to a table of reference fingerprints. By the triangle inequality
 two fingerprints within r bits differ by at most r in every coordinate, so a pair whose largest coordinate difference
 exceeds r is discarded without looking at the fingerprints; survivors are verified bit by bit. Which pairs meet at all is
-bounded without loss: of BLOCKS bit blocks, two fingerprints within r bits agree in BLOCKS - r at least, so fingerprints
-meet only where such a choice of blocks agrees, and a crowded meeting is split into pairs of shares of bounded size.
+bounded without loss: of b bit blocks, two fingerprints within r bits agree in b - r at least, so fingerprints meet only
+where such a choice of blocks agrees, and a crowded meeting is split into pairs of shares of bounded size.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from .components import components, local_labels
 
 SEED = 42
 BITS = 3
-BLOCKS = 5
+#: Rows that may agree by chance where fingerprints meet; more rows are cut into more blocks.
+CHANCE = 64
 #: Reference fingerprints of the distance table.
 PIVOTS = 16
 #: Words of a fingerprint that tells resemblance.
@@ -73,7 +74,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, fp {kind}")
 
 
-def block_masks(bits: int = BITS, blocks: int = BLOCKS) -> list[tuple[int, int]]:
+def blocks_for(rows: int, bits: int = BITS) -> int:
+    """Blocks of a one-word fingerprint, so many that all but `bits` of them tell `rows` fingerprints apart to about CHANCE."""
+    return next((b for b in range(bits + 2, 16) if rows <= CHANCE << 64 * (b - bits) // b), 16)
+
+
+def block_masks(bits: int, blocks: int) -> list[tuple[int, int]]:
     """For each choice of blocks - bits blocks of a one-word fingerprint, word 0 and the mask of its bits."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     one = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
@@ -133,13 +139,18 @@ def mask_keys(masks: list[tuple[int, int]]) -> Column:
     return F.array(*(F.element_at("words", word + 1).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for word, m in masks))
 
 
-def links(prints: DataFrame, bits: int, keys: Column) -> DataFrame:
-    """a, b: links between nodes (node, words, ...) that join the same nodes as all pairs within `bits` that agree in a place of `keys` do."""
-    met = prints.select("node", "words", F.posexplode(keys).alias("choice", "bits"))
+def links(prints: DataFrame, bits: int, keys: Column, late: bool = False) -> DataFrame:
+    """a, b: links between nodes (node, words, ...) that join the same nodes as all pairs within `bits` that agree in a place of `keys` do.
+
+    late: words, if they are long, are joined to those rows alone that meet another one.
+    """
+    met = prints.select("node", *([] if late else ["words"]), F.posexplode(keys).alias("choice", "bits"))
     shares = met.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("choice", "bits", F.ceil(F.col("n") / SHARE).cast("int").alias("shares"))
     own = F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")
     other = F.sequence(F.lit(0), F.col("shares") - 1)
-    dealt = met.join(shares, ["choice", "bits"]).select("choice", "bits", own.alias("own"), F.explode(other).alias("other"), "node", "words")
+    met = met.join(shares, ["choice", "bits"])
+    met = met.join(prints.select("node", "words"), "node") if late else met
+    dealt = met.select("choice", "bits", own.alias("own"), F.explode(other).alias("other"), "node", "words")
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     dealt = dealt.select(F.xxhash64("choice", "bits", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"), side.alias("side"), "node", "words")
 
@@ -190,7 +201,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     prints = written(fingerprints(docs, id_col, text_col, width).withColumnRenamed("fp", "node"))
     nodes = prints.select("node", F.array("node").alias("words")).distinct()
-    found = grouped(prints, links(nodes, bits, mask_keys(block_masks(bits))))
+    found = grouped(prints, links(nodes, bits, mask_keys(block_masks(bits, blocks_for(prints.count(), bits)))))
     return found.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -237,19 +248,10 @@ def resembling(texts: DataFrame, similarity: float, width: int) -> DataFrame:
     return dealt.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = WORDS) -> DataFrame:
-    """One row per input row: doc_id, component_id, for links at a resemblance (Jaccard) of sets of distinct shingles.
-
-    Fingerprints only propose: pairs meet where one of KEYS keys of least hashes agrees, and are candidates within a loose
-    number of bits. Two sets of resemblance s differ in about a share acos(2s / (1 + s)) / pi of the bits of a fingerprint,
-    sets of a few shingles in up to a quarter more; the limit is six standard deviations above that, and so wide that the
-    pivot table prunes next to nothing here. All pairs within a group of linked candidates are then compared by their sets,
-    and only those of the asked resemblance link. At 0.8 a pair is missed 3 times in a million, at more less often; no
-    pair below it links. Nulls, empty texts, repeated rows and an empty table are as in simhash_groups.
-    """
+def similar_texts(rows: DataFrame, similarity: float, width: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """(node, doc_id) of rows (doc_id, node, text), and links (a, b) between nodes; see similar_groups()."""
     share = 1.25 * np.arccos(2 * similarity / (1 + similarity)) / np.pi
     bits = int(64 * words * share + 6 * np.sqrt(64 * words * share * (1 - share)))
-    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,9 +260,44 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_
             keys = [meeting_keys(shingle_set(t, width)).tolist() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "words", "keys"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), node, F.col(text_col).alias("text"))
     prints = written(rows.mapInArrow(run, "doc_id long, node long, words array<long>, keys array<long>"))
-    near = components(links(prints.dropDuplicates(["node"]), bits, F.col("keys")))
+    near = components(links(prints.dropDuplicates(["node"]), bits, F.col("keys"), late=True))
     near = near.unionByName(near.select(F.col("label").alias("node"), "label")).distinct()
     texts = written(rows.select("node", "text").join(near, "node").dropDuplicates(["node"]).select("node", "label", "text"))
-    return grouped(prints.select("doc_id", "node"), resembling(texts, similarity, width)).select("doc_id", "component_id")
+    return prints.select("doc_id", "node"), resembling(texts, similarity, width)
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = WORDS) -> DataFrame:
+    """One row per input row: doc_id, component_id, for links at a resemblance (Jaccard) of sets of distinct shingles.
+
+    Fingerprints only propose: pairs meet where one of KEYS keys of least hashes agrees, and are candidates within a loose
+    number of bits. Two sets of resemblance s differ in about a share acos(2s / (1 + s)) / pi of the bits of a fingerprint,
+    sets of a few shingles in up to a quarter more; the limit is six standard deviations above that, and so wide that the
+    pivot table prunes next to nothing here. All pairs within a group of linked candidates are then compared by their sets,
+    and only those of the asked resemblance link. At 0.8 a pair is missed 3 times in a million, at more less often; no
+    pair below it links. Nulls, empty texts, repeated rows and an empty table are as in simhash_groups.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_node(text_col).alias("node"), F.col(text_col).alias("text"))
+    prints, found = similar_texts(rows, similarity, width, words)
+    return grouped(prints, found).select("doc_id", "component_id")
+
+
+def text_node(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def distinct_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = WORDS) -> DataFrame:
+    """The documents, with all their columns, without those that resemble one that stays or are linked to it by others.
+
+    Of a group, as in similar_groups(), the text with the smallest id stays; texts without an id come after all others, in the
+    order of their hashes. Rows of equal text stay or go together.
+    """
+    names = docs.columns
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_node(text_col).alias("node"), F.col(text_col).alias("text"))
+    prints, found = similar_texts(rows, similarity, width, words)
+    label = components(found)
+    label = label.unionByName(label.select(F.col("label").alias("node"), "label")).distinct()
+    first = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(label, "node").select("label", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node").alias("order"))
+    stays = first.groupBy("label").agg(F.min("order").alias("best"))
+    goes = first.join(stays, "label").filter("order != best").select(F.col("order.node").alias("__node"))
+    return docs.withColumn("__node", text_node(text_col)).join(goes, "__node", "left_anti").select(*(F.col(f"`{c}`") for c in names))
