@@ -21,19 +21,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
-    gone = exact_dedup.exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha256"))
-    own = F.sha2(exact_dedup.ascii_lower(docs["text"]), 256)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (own == gone["gone_sha256"]), "left_anti")
+    """Of equal texts, the row with the largest id."""
+    return exact_dedup.survivors(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that resemble each other, over shingles of five words, by 0.8 or more, the one with the smallest id.
-
-    Rows of one id stay or go together; rows without an id stay.
-    """
-    found = simhash.similar_groups(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("goes"))
-    return docs.join(found.filter("goes").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Of documents that resemble each other, over shingles of five words, by 0.8 or more, the one with the smallest id."""
+    return simhash.distinct_documents(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
