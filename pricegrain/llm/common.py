@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,10 +37,12 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset and all runs on this machine, as in tests."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
         folder = context.getCheckpointDir()

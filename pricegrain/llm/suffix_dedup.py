@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 from .exact_dedup import frequent
 from .simhash import whole_groups
 
@@ -433,10 +433,11 @@ def judged(rows: DataFrame) -> DataFrame:
 def removed_spans(rows: DataFrame) -> DataFrame:
     """ord, tag, start, stop of bytes to remove from rows (ord, tag, text, ...); spans may overlap."""
     anchors = rows.select("ord", "tag", "text").mapInArrow(segments, "bucket long, segment long, ord long, tag long, place long")
-    hot = written(frequent(anchors, "bucket")).withColumn("hot", F.lit(True))
+    hot = written(frequent(anchors, "bucket"))
     share = F.when(F.col("hot"), F.pmod(F.xxhash64("ord", "tag", "place"), F.lit(HOT_SHARES))).otherwise(-1).cast("int").alias("share")
-    split = anchors.join(F.broadcast(hot), "bucket", "left").select("bucket", share, "segment", "ord", "tag", "place")
+    split = anchors.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "bucket", "left").select("bucket", share, "segment", "ord", "tag", "place")
     once = written(split.repartition("bucket", "share").sortWithinPartitions("share", "bucket", "segment", "ord", "place").mapInArrow(settle_once, SETTLED))
+    dropped(hot)
     start, windows = F.shiftright("place", 2 * WINDOW_BITS), F.shiftright("place", WINDOW_BITS).bitwiseAND(F.lit((1 << WINDOW_BITS) - 1))
     leading = once.filter("bucket is not null and start is null").select("bucket", "segment", "ord", "tag", "place", start.alias("start"), (start + windows + LENGTH).alias("stop"))
     again = written(judged(leading))
