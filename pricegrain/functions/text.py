@@ -24,7 +24,8 @@ SYNONYMS = {
     "pastelaria": ("pastelaria", "padaria", "bolo", "napolitana", "croissant", "folhado", "queque", "pao de deus"),
 }
 
-# Abbreviations on receipts, as patterns of whole words, and what they stand for.
+# Abbreviations on receipts and what they stand for, in the order in which they are replaced. Those that end
+# with a slash take the blanks behind it along; all others are whole words.
 ABBREVIATIONS = (
     ("BOL", "Bolacha"),
     ("BOLACH", "Bolacha"),
@@ -38,11 +39,12 @@ ABBREVIATIONS = (
     ("CONSERVACA[OD]", "Conservação"),
     ("DESIDRAT", "Desidratado"),
     ("SELECÇÃO", "Seleção"),
+    ("C/", "com "),
+    ("S/", "sem "),
+    ("P/", "para "),
     ("EMB", "Embalagem"),
     ("UN", "unidades"),
 )
-# Abbreviations that end with a slash.
-SLASHED = (("C", "com "), ("S", "sem "), ("P", "para "))
 # Chains as they are printed in descriptions.
 CHAIN_TOKENS = ("CNT", "CONTINENTE", "PD", "PINGO DOCE", "MERC", "MERCADONA", "LIDL", "ALDI")
 # Chains that are supermarkets.
@@ -150,12 +152,8 @@ def expand_target(target: str) -> list[str]:
 
 def expand_abbreviations(x: Column) -> Column:
     out = F.coalesce(x, F.lit(""))
-    for pattern, meaning in ABBREVIATIONS[:-2]:
-        out = F.regexp_replace(out, f"(?iu){BEFORE}{pattern}{AFTER}", meaning)
-    for letter, meaning in SLASHED:
-        out = F.regexp_replace(out, rf"(?i){BEFORE}{letter}/\s*", meaning)
-    for pattern, meaning in ABBREVIATIONS[-2:]:
-        out = F.regexp_replace(out, f"(?i){BEFORE}{pattern}{AFTER}", meaning)
+    for pattern, meaning in ABBREVIATIONS:
+        out = F.regexp_replace(out, f"(?iu){BEFORE}{pattern}" + (r"\s*" if pattern.endswith("/") else AFTER), meaning)
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 

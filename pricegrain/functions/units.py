@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import AFTER, BEFORE
 
+# What descriptions say about weights and packs, in the order in which the patterns are tried from the end.
 UNITS = "kgs|kg|k|grs|gr|g|ml|cl|lt|l"
 WEIGHED = r"(?iu)(\d+[.,]\d+)\s*kg\s*[x×]?\s*(\d+[.,]\d+)\s*(?:eur|€)\s*/\s*kg"
 BARE_WEIGHED = r"(\d+,\d{2,3})\s*[x×X]\s*(\d+,\d{1,2})(?!\d)"
@@ -76,7 +77,8 @@ def price_per_base(net: Column, quantity: Column, pack: Column, target: Column |
     """Price per kilogram, litre or unit of a line, in `target` if that is known and in the pack's own unit otherwise.
 
     Null if the target is a weight or volume and neither the description nor a weighed quantity tells it. A null price
-    counts as 0 and a null or zero quantity as 1. The count of a pack of units wins over the quantity.
+    counts as 0 and a null or zero quantity as 1. The count of a pack of units wins over the quantity, and a printed price
+    per kilogram, also of 0, over the pack's weight.
     """
     price = F.coalesce(net.cast("double"), F.lit(0.0))
     q = F.coalesce(F.nullif(quantity.cast("double"), F.lit(0.0)), F.lit(1.0))
@@ -84,6 +86,6 @@ def price_per_base(net: Column, quantity: Column, pack: Column, target: Column |
     wanted = unit if target is None else F.coalesce(F.nullif(target, F.lit("")), unit)
     each = lambda n: half_up(price / n, 4)
     weight = F.when((unit == wanted) & (value > 0), each(value * F.when(q >= 1, q).otherwise(1.0))).when((q > 0) & (q < 1), each(q))
-    weight = F.when((wanted == "kg") & (pack["preco_kg"] > 0), half_up(pack["preco_kg"], 4)).otherwise(weight)
+    weight = F.when((wanted == "kg") & pack["preco_kg"].isNotNull(), half_up(pack["preco_kg"], 4)).otherwise(weight)
     count = F.when((unit == "un") & (value > 1), each(value)).when(q > 0, each(q))
     return F.when(F.isnan(price), None).when(wanted.isin("kg", "L"), weight).otherwise(count)

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, store_kind
+from ..functions.text import fold, normal_name, store_kind
 from ..functions.units import half_up
+from .receipts import reprice
 
 
 def with_ids(new: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
@@ -20,28 +21,77 @@ def with_ids(new: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame
     return numbered.join(F.broadcast(top)).withColumn("id", F.col("top") + F.col("rank")).drop("top", "rank")
 
 
-def new_stores(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Stores that are not there yet: by tax number if they have one, else by chain and name. Without a chain or name: Desconhecida, the chain."""
+def settled(frame: DataFrame) -> DataFrame:
+    """The frame, computed once: in the folder of spark.checkpoint.dir, or where there is none, as in tests, persisted."""
+    context = frame.sparkSession.sparkContext
+    folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return frame.checkpoint() if context.getCheckpointDir() else frame.persist()
+
+
+def tidy_stores(incoming: DataFrame) -> DataFrame:
+    """Stores with defaults (Desconhecida, the chain) and their kind; blank tax numbers are none."""
     chain = F.coalesce(F.nullif(F.trim("cadeia"), F.lit("")), F.lit("Desconhecida"))
-    rows = incoming.withColumn("cadeia", chain).withColumn("nome", F.coalesce(F.nullif(F.trim("nome"), F.lit("")), F.col("cadeia"))).withColumn("tipo", store_kind(F.col("cadeia"), F.col("nome")))
-    rows = rows.withColumn("nif", F.nullif(F.trim("nif"), F.lit("")))
-    key = lambda: F.coalesce(F.concat(F.lit("n:"), F.col("nif")), F.concat_ws("\u0000", fold(F.col("cadeia")), fold(F.col("nome"))))
-    first = Window.partitionBy("k").orderBy("cadeia", "nome")
-    rows = rows.withColumn("k", key()).withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn")
-    by_nif = existing.filter("nif is not null").select(F.concat(F.lit("n:"), "nif").alias("k"))
-    by_name = existing.select(F.concat_ws("\u0000", fold(F.col("cadeia")), fold(F.col("nome"))).alias("k"))
-    return rows.join(by_nif.unionByName(by_name), "k", "left_anti").drop("k")
+    rows = incoming.withColumn("cadeia", chain).withColumn("nome", F.coalesce(F.nullif(F.trim("nome"), F.lit("")), F.col("cadeia")))
+    return rows.withColumn("tipo", store_kind(F.col("cadeia"), F.col("nome"))).withColumn("nif", F.nullif(F.trim("nif"), F.lit("")))
+
+
+def by_name() -> Column:
+    return F.concat_ws("\u0000", F.lit("c"), fold(F.col("cadeia")), fold(F.col("nome")))
+
+
+def by_number() -> Column:
+    return F.concat(F.lit("n:"), F.col("nif"))
+
+
+def new_stores(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """Stores that are not there yet: by tax number if they have one, else by chain and name, which a store with a number may have too."""
+    rows = tidy_stores(incoming).withColumn("__k", F.coalesce(by_number(), by_name()))
+    rows = rows.withColumn("__rn", F.row_number().over(Window.partitionBy("__k").orderBy("cadeia", "nome"))).filter("__rn = 1").drop("__rn")
+    known = existing.filter("nif is not null").select(by_number().alias("__k")).unionByName(existing.select(by_name().alias("__k")))
+    known = known.unionByName(rows.filter("nif is not null").select(by_name().alias("__k")))  # of an upload, stores with a number come first
+    return rows.join(known, "__k", "left_anti").drop("__k")
+
+
+def upsert_stores(incoming: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All stores after an upload, and the incoming rows with `loja_id`: that of the store which is there already, of several the smallest, or the new one."""
+    stores = existing.unionByName(with_ids(new_stores(incoming, existing), existing, ["cadeia", "nome", "nif"]), allowMissingColumns=True).select(*existing.columns)
+    numbers = stores.filter("nif is not null").groupBy(by_number().alias("__k")).agg(F.min("id").alias("loja_id"))
+    names = stores.groupBy(by_name().alias("__k")).agg(F.min("id").alias("loja_id"))
+    found = tidy_stores(incoming).withColumn("__k", F.coalesce(by_number(), by_name())).join(numbers.unionByName(names), "__k", "left").drop("__k")
+    return stores, found
 
 
 def new_receipts(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Receipts that are no duplicates: of the same store, with an equal number, or an equal time and total. Of duplicates among them the first stays."""
-    number = F.nullif(F.trim("numero_fatura"), F.lit(""))
-    rows = incoming.withColumn("numero_fatura", number)
-    fresh = rows.join(existing.select("loja_id", "numero_fatura"), ["loja_id", "numero_fatura"], "left_anti")
-    fresh = fresh.join(existing.select("loja_id", "data_compra", "total_impresso"), ["loja_id", "data_compra", "total_impresso"], "left_anti")
-    by_number = F.row_number().over(Window.partitionBy("loja_id", F.coalesce("numero_fatura", F.col("id").cast("string"))).orderBy("id"))
-    by_total = F.row_number().over(Window.partitionBy("loja_id", "data_compra", "total_impresso").orderBy("id"))
-    return fresh.withColumn("a", by_number).withColumn("b", by_total).filter("a = 1 and b = 1").drop("a", "b").select(*incoming.columns)
+    """Receipts that are no duplicates: of the same store, with an equal number, or an equal time and total, as one that is kept.
+
+    They count as inserted in the order of their ids: what only a dropped receipt equals stays. A missing number, time or
+    total equals none. Rows that equal no other are kept at once; the rest is decided in rounds, in each of which the first
+    open row of its equals is kept and what equals it goes. Hot stores are no hot keys, since rows meet by number and total.
+    """
+    number = fold(F.nullif(F.trim(F.substring(F.trim("numero_fatura"), 1, 60)), F.lit("")))
+    total = F.when(F.col("data_compra").isNotNull() & F.col("total_impresso").isNotNull(), F.struct("data_compra", F.col("total_impresso").cast("decimal(18,4)").alias("t")))
+    keys = lambda rows: rows.select("*", F.xxhash64(F.lit("n"), "loja_id", number).alias("kn"), F.xxhash64(F.lit("t"), "loja_id", total).alias("kt"), number.isNotNull().alias("hn"), total.isNotNull().alias("ht"))
+    rows, old = keys(incoming), keys(existing)
+    for key, has in (("kn", "hn"), ("kt", "ht")):
+        rows = rows.join(old.filter(has).select(F.col(key).alias("old")), (F.col(key) == F.col("old")) & F.col(has), "left_anti")
+    # A key that is missing stands for its row alone, so that such rows aren't gathered.
+    rows = rows.withColumns({k: F.when(F.col(h), F.col(k)).otherwise(F.xxhash64(F.lit("row"), "id", F.lit(k))) for k, h in (("kn", "hn"), ("kt", "ht"))}).drop("hn", "ht")
+    same_number, same_total = Window.partitionBy("kn"), Window.partitionBy("kt")
+    peers = rows.withColumn("n", F.count(F.lit(1)).over(same_number)).withColumn("m", F.count(F.lit(1)).over(same_total))
+    peers = settled(peers)
+    kept, open_ = peers.filter("n = 1 and m = 1").select(*incoming.columns), peers.filter("n > 1 or m > 1").drop("n", "m")
+    # Rows of one store that equal each other in both go with the first of them.
+    open_ = open_.withColumn("rn", F.row_number().over(Window.partitionBy("kn", "kt").orderBy("id"))).filter("rn = 1").drop("rn")
+    while not (open_ := settled(open_)).isEmpty():
+        first = (F.col("id") == F.min("id").over(same_number)) & (F.col("id") == F.min("id").over(same_total))
+        judged = open_.withColumn("fica", first)
+        beaten = F.max("fica").over(same_number) | F.max("fica").over(same_total)
+        judged = settled(judged.withColumn("sai", beaten))
+        kept = kept.unionByName(judged.filter("fica").select(*incoming.columns))
+        open_ = judged.filter("not sai").drop("fica", "sai")
+    return kept
 
 
 def insert_receipts(receipts: DataFrame, items: DataFrame, incoming: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,19 +126,38 @@ def dissociate(items: DataFrame, aliases: DataFrame, sku_id: int, descricao: str
 
 
 def merge(items: DataFrame, aliases: DataFrame, products: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Products `de` become products `para` in lines and aliases, and go."""
+    """Products `de` become products `para` in lines and aliases, and go; aliases that move count as set by hand."""
     moved = mapping.filter("de != para").select(F.col("de").alias("sku_id"), "para")
-    change = lambda rows: rows.join(moved, "sku_id", "left").withColumn("sku_id", F.coalesce("para", "sku_id")).select(*rows.columns)
-    return change(items), change(aliases), products.join(moved.select(F.col("sku_id").alias("id")), "id", "left_anti").select(*products.columns)
+    change = lambda rows: rows.join(moved, "sku_id", "left").withColumn("sku_id", F.coalesce("para", "sku_id"))
+    known = change(aliases)
+    if "origem" in aliases.columns:
+        known = known.withColumn("origem", F.when(F.col("para").isNotNull(), "manual").otherwise(F.col("origem")))
+    return change(items).select(*items.columns), known.select(*aliases.columns), products.join(moved.select(F.col("sku_id").alias("id")), "id", "left_anti").select(*products.columns)
+
 
+def merge_two(items: DataFrame, aliases: DataFrame, products: DataFrame, de: int, para: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """merge() of one product into another; a ValueError for equal or missing ids, a LookupError if there is no such product."""
+    if not de or not para or de == para:
+        raise ValueError("de and para must be ids of two products")
+    if products.filter(F.col("id").isin(de, para)).select("id").distinct().count() < 2:
+        raise LookupError("no such product")
+    return merge(items, aliases, products, products.sparkSession.createDataFrame([(de, para)], "de long, para long"))
 
-def identical_names(products: DataFrame, items: DataFrame, strict: bool = False) -> DataFrame:
-    """de, para: products of one name, the most used one stays, the smallest id on a tie; strict: of one brand and unit, too."""
+
+def identical_names(products: DataFrame, items: DataFrame, strict: bool = False, names: DataFrame | None = None) -> DataFrame:
+    """de, para: products whose names have the same letters and digits; the most used one stays, the smallest id on a tie.
+
+    strict: of one brand and unit, too; names: only products of these names (nome_canonico), such as those of one receipt.
+    """
     used = items.filter("sku_id is not null").groupBy(F.col("sku_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    rows = products.join(used, "id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).withColumn("chave", fold(F.col("nome_canonico")))
-    key = ["chave", *(["marca", "unidade_base"] if strict else [])]
-    best = rows.groupBy(*key).agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("para"))
-    joined = rows.alias("r").join(best.alias("b"), [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key])
+    key = normal_name(F.col("nome_canonico"))
+    rows = products.withColumn("chave", key).filter("chave != ''")
+    if names is not None:
+        rows = rows.join(names.select(key.alias("chave")).distinct(), "chave", "left_semi")
+    rows = rows.join(used, "id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    group = ["chave", *(["marca", "unidade_base"] if strict else [])]
+    best = rows.groupBy(*group).agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("para"))
+    joined = rows.alias("r").join(best.alias("b"), [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in group])
     return joined.filter("r.id != b.para").select(F.col("r.id").alias("de"), F.col("b.para").alias("para"))
 
 
@@ -99,6 +168,19 @@ def edit(rows: DataFrame, id_: int, **values: Column | str | float | None) -> Da
     return rows.withColumns({c: F.when(own, (v if isinstance(v, Column) else F.lit(v)).cast(kinds[c])).otherwise(F.col(c)) for c, v in values.items()})
 
 
+def edit_product(products: DataFrame, items: DataFrame, id_: int, **values: str | None) -> tuple[DataFrame, DataFrame]:
+    """Sets a product's columns; a new unit (kg, L or un, others are no change) prices all its lines anew, whatever it was before."""
+    if values.get("unidade_base") not in ("kg", "L", "un"):
+        values.pop("unidade_base", None)
+    if "nome_canonico" in values and not (values["nome_canonico"] or "").strip():
+        raise ValueError("a product needs a name")
+    products = edit(products, id_, **values)
+    if "unidade_base" in values:
+        own = F.col("sku_id").eqNullSafe(F.lit(id_))
+        items = items.filter(~own).unionByName(reprice(items.filter(own), products))
+    return products, items
+
+
 def edit_quantity(items: DataFrame, id_: int, quantity: float) -> DataFrame:
     """Sets a line's quantity, and its price per unit from it."""
     if not quantity > 0:
@@ -132,6 +214,32 @@ def remember(facts: DataFrame, utilizador: str, fato: str) -> DataFrame:
     return insert_ignore(facts, new, ["utilizador", "fato"])
 
 
+def append(rows: DataFrame, ddl: str, values: tuple) -> DataFrame:
+    """One row more, with the next id."""
+    new = rows.sparkSession.createDataFrame([values], ddl)
+    return rows.unionByName(with_ids(new, rows, [new.columns[0]]), allowMissingColumns=True)
+
+
+def append_message(messages: DataFrame, utilizador: str, papel: str, conteudo: str | None) -> DataFrame:
+    return append(messages, "utilizador string, papel string, conteudo string", (utilizador, papel, str(conteudo or "")[:4000]))
+
+
+def append_review(reviews: DataFrame, fatura_id: int, veredicto: str, comentario: str | None = None, operador: str | None = None) -> DataFrame:
+    if veredicto not in ("ok", "erro"):
+        raise ValueError("veredicto must be ok or erro")
+    return append(reviews, "fatura_id long, veredicto string, comentario string, operador string", (fatura_id, veredicto, comentario and comentario[:2000], operador))
+
+
+def append_cost(calls: DataFrame, contexto: str | None, modelo: str | None, usage: dict | None) -> DataFrame:
+    """A model call's tokens and cost; nothing without `usage` (prompt_tokens, completion_tokens, cost)."""
+    if not usage:
+        return calls
+    values = (str(contexto or "geral")[:30], str(modelo or "")[:60], int(usage.get("prompt_tokens") or 0), int(usage.get("completion_tokens") or 0), str(usage.get("cost") or 0))
+    row = append(calls.limit(0).withColumn("custo", F.col("custo").cast("string")), "contexto string, modelo string, prompt_tokens int, completion_tokens int, custo string", values)
+    numbered = with_ids(row, calls, ["contexto"])
+    return calls.unionByName(numbered.withColumn("custo", F.col("custo").cast(dict(calls.dtypes)["custo"])), allowMissingColumns=True)
+
+
 def forget(facts: DataFrame, utilizador: str, fato: str) -> DataFrame:
     return facts.filter(~((F.col("utilizador") == utilizador) & (fold(F.col("fato")) == fold(F.lit(fato)))))
 

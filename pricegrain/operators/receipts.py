@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import half_up, pack_format, price_per_base
+from ..sources.extractions import parse
 
+# What discount and weight lines of receipts look like.
 DISCOUNT = r"(?iu)^(?:poupan|desconto|desc\.|promo[çc])"
 WEIGHT = r"\d+[.,]\d+\s*kg\s*[x×]?\s*\d+[.,]\d+\s*(?:eur|€)\s*/\s*kg"
 BARE_WEIGHT = r"\d+,\d{2,3}\s*[x×]\s*\d+,\d{1,2}"
@@ -42,8 +44,7 @@ def fold_lines(lines: DataFrame, key: str) -> DataFrame:
     heads = rows.filter("especie = 'linha'").join(attached, [key, "grupo"], "left")
     name = F.col("descricao_original")
     own = F.nullif(F.regexp_extract(name, INLINE, 1), F.lit(""))
-    loose_head = name.rlike(LOOSE)
-    clean = F.when(own.isNotNull() & ~loose_head | own.isNotNull(), F.trim(F.regexp_replace(name, INLINE, ""))).otherwise(name)
+    clean = F.when(own.isNotNull(), F.trim(F.regexp_replace(name, INLINE, ""))).otherwise(name)
     discount = F.when(F.coalesce("n_descontos", F.lit(0)) > 0, F.coalesce("desconto_direto", F.lit(0.0)) + F.col("descontos")).otherwise(F.col("desconto_direto"))
     out = heads.withColumns({"descricao_original": clean, "linha_peso": F.coalesce("peso", own), "valor": F.coalesce("valor_do_peso", "valor"), "desconto_direto": discount})
     return out.drop("vazio", "especie", "grupo", "descontos", "peso", "valor_do_peso", "n_descontos")
@@ -121,7 +122,8 @@ def corrected(first: DataFrame, step: Callable[[DataFrame, int], DataFrame], key
 def priced(lines: DataFrame, target: Column | None = None) -> DataFrame:
     """Adds preco_por_base, from the name and weight of a line; null for what is no product."""
     pack = pack_format(F.trim(F.concat_ws(" ", "descricao_original", "linha_peso")))
-    price = price_per_base(F.col("preco_liquido"), F.col("quantidade"), pack, target)
+    # The pack is bound to a variable: its patterns are matched once, and not written out for each of its fields.
+    price = F.get(F.transform(F.array(pack), lambda p: price_per_base(F.col("preco_liquido"), F.col("quantidade"), p, target)), F.lit(0))
     return lines.withColumn("preco_por_base", F.when(F.coalesce("is_non_product", F.lit(False)), None).otherwise(price))
 
 
@@ -129,3 +131,24 @@ def reprice(items: DataFrame, products: DataFrame) -> DataFrame:
     """Lines with the price per their product's unit, where they have a product."""
     unit = products.select(F.col("id").alias("sku_id"), F.col("unidade_base").alias("unidade_do_sku"))
     return priced(items.join(unit, "sku_id", "left"), F.col("unidade_do_sku")).select(*items.columns)
+
+
+def purchase_time(text: Column) -> Column:
+    """An ISO time as a timestamp without zone, to the second; a day alone is its midnight, what is neither is null."""
+    return F.try_to_timestamp(F.substring(F.replace(text, F.lit("T"), F.lit(" ")), 1, 19)).cast("timestamp_ntz")
+
+
+def diagnosis(receipts: DataFrame, key: str = "id") -> DataFrame:
+    """key, discrepancia, iva, pista, linhas_inconsistentes of stored receipts (extracao_json, discrepancia, needs_review).
+
+    The hint and the lines that don't add up are computed from the snapshot of the extraction. Receipts with neither are
+    left out unless they are under review, and so are those without a snapshot that can be read.
+    """
+    rows = parse(receipts.select(F.col(key), "needs_review", F.coalesce(F.col("discrepancia").cast("double"), F.lit(0.0)).alias("discrepancia"), "extracao_json")).filter("extracao is not null")
+    read = rows.select(key, F.posexplode("extracao.itens").alias("pos", "linha")).select(key, "pos", "linha.*")
+    told = hint(read, rows.select(key, "discrepancia"), key).select(key, F.struct("tipo", "linha", "diferenca").alias("pista"))
+    line = F.struct("pos", "descricao_original", "quantidade", "preco_unitario", "valor", "esperado")
+    wrong = wrong_lines(read).groupBy(key).agg(F.array_sort(F.collect_list(line)).alias("linhas_inconsistentes"))  # the lines of one receipt
+    out = rows.select(key, "needs_review", "discrepancia", F.col("extracao.iva").alias("iva")).join(told, key, "left").join(wrong, key, "left")
+    none = F.coalesce(F.size("linhas_inconsistentes"), F.lit(0)) <= 0
+    return out.filter(F.col("needs_review") | F.col("pista").isNotNull() | ~none).drop("needs_review")

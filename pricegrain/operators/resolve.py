@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, similarity
+from ..functions.text import fold, normal_name, similarity
 
 SURE, POSSIBLE, CONFIDENT = 0.85, 0.6, 0.6
 
@@ -22,9 +22,9 @@ def best_candidates(wanted: DataFrame, products: DataFrame) -> DataFrame:
     """For each wanted row (chave, nome_canonico, marca, unidade_base, formato_valor) the most similar product of its brand, unit and format."""
     p = products.select(F.col("id").alias("candidato"), F.col("nome_canonico").alias("nome"), F.col("marca").alias("m"), F.col("unidade_base").alias("u"), F.col("formato_valor").alias("f"))
     fits = fold(F.col("marca")).eqNullSafe(fold(F.col("m"))) & (F.col("unidade_base") == F.col("u"))
-    met = wanted.join(p, fits).filter(close_format(F.col("formato_valor"), F.col("f")) | (fold(F.col("nome_canonico")) == fold(F.col("nome"))))
+    same = normal_name(F.col("nome_canonico")) == normal_name(F.col("nome"))
+    met = wanted.join(p, fits).filter(close_format(F.col("formato_valor"), F.col("f")) | same)
     score = similarity(F.col("nome_canonico"), F.col("nome"))
-    same = fold(F.col("nome_canonico")) == fold(F.col("nome"))
     scored = met.withColumn("score", F.when(close_format(F.col("formato_valor"), F.col("f")), score).otherwise(0.0)).withColumn("igual", same)
     return scored.groupBy("chave").agg(F.max_by(F.struct("candidato", "nome", "score"), F.struct("score", -F.col("candidato"))).alias("melhor"), F.min(F.when(F.col("igual"), F.col("candidato"))).alias("de_nome_igual"))
 

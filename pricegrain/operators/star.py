@@ -12,13 +12,22 @@ from ..sources.tables import Store
 FUZZY_LETTERS, FUZZY = 4, 0.7
 
 
-def fact_items(store: Store) -> DataFrame:
-    """Every line with its receipt and store, and its product if it has one. Join sides are left to Catalyst and its sizes."""
-    item = store.item.withColumnRenamed("id", "item_id")
+def named_products(store: Store) -> DataFrame:
+    """Products as the lines read them, with the folded names by which lines are grouped: folded once for each product."""
+    folded = fold(F.col("nome_canonico")).alias("chave_longa"), fold(F.coalesce("nome_simplificado", "nome_canonico")).alias("chave_curta")
+    return store.sku_normalizado.select(F.col("id").alias("sku_id"), "nome_canonico", "nome_simplificado", "marca", "categoria", "unidade_base", *folded)
+
+
+def with_receipts(items: DataFrame, store: Store) -> DataFrame:
+    """Lines with their receipt and store. Join sides are left to Catalyst and its sizes."""
     receipt = store.fatura.select(F.col("id").alias("fatura_id"), "loja_id", "data_compra", "needs_review", "criado_em")
     shop = store.loja.select(F.col("id").alias("loja_id"), "cadeia", F.col("nome").alias("loja"))
-    product = store.sku_normalizado.select(F.col("id").alias("sku_id"), "nome_canonico", "nome_simplificado", "marca", "categoria", "unidade_base")
-    return item.join(receipt, "fatura_id").join(shop, "loja_id").join(product, "sku_id", "left")
+    return items.withColumnRenamed("id", "item_id").join(receipt, "fatura_id").join(shop, "loja_id")
+
+
+def fact_items(store: Store) -> DataFrame:
+    """Every line with its receipt and store, and its product if it has one."""
+    return with_receipts(store.item, store).join(named_products(store), "sku_id", "left")
 
 
 def display_name() -> Column:
@@ -62,22 +71,26 @@ def like(columns: tuple[str, ...], term: str) -> Column:
     return out
 
 
-def match_product(facts: DataFrame, store: Store, target: str) -> DataFrame:
-    """Lines whose product, brand, category or description contains a term of the target.
+def match_product(store: Store, target: str) -> DataFrame:
+    """fact_items() whose product, brand, category or description contains a term of the target.
 
     A single term that no product contains is also looked for by its spelling: products whose name or one of its words is
-    alike to FUZZY count. Both are part of one plan; nothing is fetched to decide.
+    alike to FUZZY count. Products are judged once each, lines by their description only, and just the lines that are left
+    meet receipts and stores. All is one plan; nothing is fetched to decide.
     """
     terms = expand_target(target)
-    found = F.lit(False)
+    found, written = F.lit(False), F.lit(False)
     for term in terms:
-        found = found | like(("nome_canonico", "marca", "categoria", "descricao_original"), term)
-    if len(terms) > 1 or len(fold_text(terms[0]).replace(" ", "")) < FUZZY_LETTERS:
-        return facts.filter(found)
-    hit = store.sku_normalizado.filter(like(("nome_canonico", "marca", "categoria"), terms[0])).select(F.lit(1).alias("one")).limit(1)
-    alike = similar_products(store, terms[0]).select(F.col("id").alias("sku_id"), F.lit(1).alias("one")).join(F.broadcast(hit), "one", "left_anti")
-    spelled = alike.select("sku_id", F.lit(True).alias("spelled"))
-    return facts.join(spelled, "sku_id", "left").filter(found | F.coalesce("spelled", F.lit(False))).drop("spelled")
+        found = found | like(("nome_canonico", "marca", "categoria"), term)
+        written = written | like(("descricao_original",), term)
+    products = named_products(store).withColumn("achado", found)
+    if len(terms) == 1 and len(fold_text(terms[0]).replace(" ", "")) >= FUZZY_LETTERS:
+        known = products.agg(F.coalesce(F.max("achado"), F.lit(False)).alias("conhecido"))  # one row
+        alike = similar_products(store, terms[0]).select(F.col("id").alias("sku_id"), F.lit(True).alias("parecido"))
+        products = products.join(alike, "sku_id", "left").join(F.broadcast(known))
+        products = products.withColumn("achado", F.col("achado") | ~F.col("conhecido") & F.coalesce("parecido", F.lit(False))).drop("conhecido", "parecido")
+    lines = store.item.join(products, "sku_id", "left").filter(F.coalesce("achado", F.lit(False)) | written)
+    return with_receipts(lines.drop("achado"), store)
 
 
 def similar_products(store: Store, term: str, least: float = FUZZY) -> DataFrame:
@@ -88,5 +101,4 @@ def similar_products(store: Store, term: str, least: float = FUZZY) -> DataFrame
 
 def target_lines(store: Store, target: str | None) -> DataFrame:
     """Lines of a target; all of them without one or for "tudo"."""
-    facts = fact_items(store)
-    return facts if not target or fold_text(target) == "tudo" else match_product(facts, store, target)
+    return fact_items(store) if not target or fold_text(target) == "tudo" else match_product(store, target)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_pattern, fold, similarity_of, tokens
-from ..operators.star import fact_items
+from ..functions.units import half_up
+from ..operators.star import day, fact_items
 from ..sources.tables import Store
 
 
@@ -85,23 +86,24 @@ def quality_by_model(store: Store) -> DataFrame:
 
 
 def price_outliers(store: Store, factor: float = 3.0) -> DataFrame:
-    """Lines whose price per unit is `factor` times the product's median or more, or as little; receipts under review count too."""
+    """Lines whose price per unit is over `factor` times the product's median or under that part of it; receipts under review count too.
+
+    Prices of 0 or less neither move a median nor are outliers. desvio is the price divided by the median, so below 1 for low prices.
+    """
     factor = min(max(float(factor or 3.0), 1.5), 20.0)
-    rows = fact_items(store).filter((F.col("is_non_product") == F.lit(False)) & (F.col("is_clearance") == F.lit(False)) & F.col("preco_por_base").isNotNull() & F.col("sku_id").isNotNull())
-    rows = rows.select("item_id", "sku_id", "nome_canonico", "cadeia", "data_compra", "preco_por_base")
+    rows = fact_items(store).filter((F.col("is_non_product") == F.lit(False)) & (F.col("is_clearance") == F.lit(False)) & (F.col("preco_por_base") > 0) & F.col("nome_canonico").isNotNull())
+    rows = rows.select("item_id", "fatura_id", "sku_id", "nome_canonico", "unidade_base", "descricao_original", "quantidade", "preco_liquido", "cadeia", "data_compra", F.col("preco_por_base").cast("double").alias("preco_por_base"))
     medians = rows.groupBy("sku_id").agg(F.median("preco_por_base").alias("mediana"), F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 2) & (F.col("mediana") > 0))
     joined = rows.join(medians, "sku_id")
     odd = (F.col("preco_por_base") > F.col("mediana") * factor) | (F.col("preco_por_base") < F.col("mediana") / factor)
-    ratio = F.col("preco_por_base") / F.col("mediana")
-    deviation = F.floor(F.when(ratio >= 1, ratio).otherwise(1 / F.nullif(ratio, F.lit(0.0))) * 10 + 0.5) / 10
-    return joined.filter(odd).withColumn("desvio", deviation)
+    return joined.filter(odd).withColumn("desvio", F.floor(F.col("preco_por_base") / F.col("mediana") * 10 + 0.5) / 10)
 
 
 def outliers_by_product(outliers: DataFrame) -> DataFrame:
     """price_outliers() with an array of lines per product, the largest deviation first."""
-    line = F.struct((-F.coalesce("desvio", F.lit(float("inf")))).alias("ordem"), "item_id", "cadeia", "data_compra", "preco_por_base", "desvio")
-    grouped = outliers.groupBy("sku_id", "nome_canonico", "mediana").agg(F.array_sort(F.collect_list(line)).alias("itens"), F.max("desvio").alias("maior_desvio"))
-    return grouped.orderBy(F.desc("maior_desvio"), "sku_id")
+    line = F.struct((-F.col("desvio")).alias("ordem"), "item_id", "fatura_id", "descricao_original", "quantidade", "preco_liquido", "preco_por_base", "cadeia", day().alias("data"), "desvio")
+    grouped = outliers.groupBy("sku_id", "nome_canonico", "unidade_base", "mediana", "n").agg(F.array_sort(F.collect_list(line)).alias("itens"), F.max("desvio").alias("maior_desvio"))
+    return grouped.withColumn("mediana", F.round("mediana", 4)).orderBy(F.desc("maior_desvio"), "sku_id")
 
 
 def used_products(store: Store) -> DataFrame:
@@ -114,7 +116,7 @@ def merge_suggestions(store: Store, threshold: float = 0.6, most: int = 100) ->
     """Pairs of products of one unit with similar names; the one used more stays.
 
     Similar names share a word, so names (each distinct name once) meet on their words only; a pair is scored where its
-    least common word meets. Products of equal names are pairs too. Of equal scores those of the smallest ids come first.
+    first common word meets. Scores have two digits, by which they are ordered. Products of equal names are pairs too. Of equal scores those of the smallest ids come first.
     """
     threshold = min(max(float(threshold or 0.6), 0.3), 0.95)
     products = used_products(store).select("id", "nome_canonico", "unidade_base", "n")
@@ -124,7 +126,7 @@ def merge_suggestions(store: Store, threshold: float = 0.6, most: int = 100) ->
     met = a.join(b, (F.col("a.unidade_base") == F.col("b.unidade_base")) & (F.col("a.palavra") == F.col("b.palavra")) & (F.col("a.nome_canonico") < F.col("b.nome_canonico")))
     least = F.array_min(F.array_intersect("a.conjunto", "b.conjunto")) == F.col("a.palavra")
     score = similarity_of(F.col("a.lista"), F.col("b.lista"))
-    alike = met.filter(least).select(F.col("a.unidade_base").alias("unidade_base"), F.col("a.nome_canonico").alias("nome_a"), F.col("b.nome_canonico").alias("nome_b"), score.alias("score")).filter(F.col("score") >= threshold)
+    alike = met.filter(least).select(F.col("a.unidade_base").alias("unidade_base"), F.col("a.nome_canonico").alias("nome_a"), F.col("b.nome_canonico").alias("nome_b"), score.alias("score")).filter(F.col("score") >= threshold).withColumn("score", half_up(F.col("score"), 2))
     left = products.select(F.col("id").alias("id_a"), F.col("nome_canonico").alias("nome_a"), "unidade_base", F.col("n").alias("n_a"))
     right = products.select(F.col("id").alias("id_b"), F.col("nome_canonico").alias("nome_b"), "unidade_base", F.col("n").alias("n_b"))
     # Every pair of names is a pair of products at least, so pairs below the score of the last of `most` can't come out.
@@ -135,7 +137,7 @@ def merge_suggestions(store: Store, threshold: float = 0.6, most: int = 100) ->
     first = F.least("id_a", "id_b")
     keep_a = (F.col("n_a") > F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("id_a") == first)
     pick = lambda x, y: F.when(keep_a, F.col(x)).otherwise(F.col(y))
-    out = pairs.select(pick("id_a", "id_b").alias("manter"), pick("nome_a", "nome_b").alias("manter_nome"), pick("id_b", "id_a").alias("fundir"), pick("nome_b", "nome_a").alias("fundir_nome"), "unidade_base", F.round("score", 4).alias("score"))
+    out = pairs.select(pick("id_a", "id_b").alias("manter"), pick("nome_a", "nome_b").alias("manter_nome"), pick("id_b", "id_a").alias("fundir"), pick("nome_b", "nome_a").alias("fundir_nome"), "unidade_base", "score")
     return out.orderBy(F.desc("score"), "manter", "fundir").limit(most)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import aisle, contains_pattern, fold, fold_text, section
@@ -22,33 +22,38 @@ def explored_lines(store: Store) -> DataFrame:
 
 
 def months(store: Store) -> DataFrame:
-    month = F.date_format("data_compra", "yyyy-MM")
-    return explored_lines(store).groupBy(month.alias("mes")).agg(F.countDistinct("fatura_id").alias("compras")).orderBy(F.desc("mes"))
+    """Months with the number of their receipts in order, the earliest first; a receipt counts whatever its lines are."""
+    receipts = store.fatura.filter((F.col("needs_review") == F.lit(False)) & F.col("data_compra").isNotNull())
+    return receipts.groupBy(F.date_format("data_compra", "yyyy-MM").alias("mes")).agg(F.count(F.lit(1)).alias("n")).orderBy("mes")
 
 
 def products(store: Store, q: str | None = None, mes: str | None = None, most: int = 300) -> DataFrame:
-    """Products by what was spent on them, of a search text or a month if given."""
-    lines = explored_lines(store)
+    """Products by how often they were bought, the last bought first on a tie; of a search text or a month if given.
+
+    ultimo_preco is what was paid last, of two lines of one time the one of the later id.
+    """
+    receipts = store.fatura.filter(F.col("needs_review") == F.lit(False))
     if mes and re.fullmatch(r"\d{4}-\d{2}", mes):
-        lines = lines.filter(in_month(mes))
+        receipts = receipts.filter(in_month(mes))
+    chosen = store.sku_normalizado
     if q and q.strip():
         pattern = contains_pattern(q[:80])
-        lines = lines.filter(fold(F.col("nome_canonico")).like(pattern) | F.coalesce(fold(F.col("nome_simplificado")).like(pattern), F.lit(False)))
+        chosen = chosen.filter(fold(F.col("nome_canonico")).like(pattern) | F.coalesce(fold(F.col("nome_simplificado")).like(pattern), F.lit(False)))
+    lines = store.item.filter((F.col("is_non_product") == F.lit(False)) & F.col("preco_por_base").isNotNull() & F.col("sku_id").isNotNull())
+    lines = lines.join(chosen.select(F.col("id").alias("sku_id")), "sku_id", "left_semi").join(receipts.select(F.col("id").alias("fatura_id"), "loja_id", "data_compra"), "fatura_id")
     grouped = lines.groupBy("sku_id").agg(
-        F.first("nome_canonico").alias("nome_canonico"),  # alike in all rows of a product
-        F.first("nome_simplificado").alias("nome_simplificado"),
-        F.first("categoria").alias("categoria"),
-        F.first("unidade_base").alias("unidade_base"),
         F.countDistinct("fatura_id").alias("n_compras"),
         F.countDistinct("loja_id").alias("n_lojas"),
-        F.min("preco_por_base").alias("preco_min"),
-        F.max("preco_por_base").alias("preco_max"),
-        F.max_by("preco_por_base", F.struct("data_compra", "item_id")).alias("ultimo_preco"),
+        F.round(F.min("preco_por_base"), 4).alias("preco_min"),
+        F.round(F.max("preco_por_base"), 4).alias("preco_max"),
+        F.max_by("preco_liquido", F.struct("data_compra", "id")).alias("ultimo_preco"),
         F.round(F.sum("preco_liquido"), 2).alias("total_gasto"),
-        F.max("data_compra").alias("ultima_data"),
+        F.max("data_compra").alias("ultima"),
     )
-    top = grouped.orderBy(F.desc("n_compras"), F.desc("total_gasto"), "sku_id").limit(most)
-    return top.withColumn("ultima_data", day("ultima_data"))
+    order = F.desc("n_compras"), F.desc("ultima"), "sku_id"
+    named = chosen.select(F.col("id").alias("sku_id"), "nome_canonico", "nome_simplificado", "categoria", "unidade_base")
+    top = named.join(grouped.orderBy(*order).limit(most), "sku_id").orderBy(*order)
+    return top.withColumn("ultima", day("ultima"))
 
 
 def search(listed: DataFrame, q: str) -> DataFrame:
@@ -63,7 +68,7 @@ def product_lines_of(store: Store, sku_id: int) -> DataFrame:
 
 def product_history(store: Store, sku_id: int) -> DataFrame:
     rows = product_lines_of(store, sku_id).orderBy("data_compra", "item_id")
-    return rows.select(day().alias("data"), F.col("cadeia").alias("loja"), F.col("preco_liquido").alias("pago"), F.col("preco_por_base").alias("unitario"), F.col("desconto_direto").alias("desconto"), normal_price().alias("normal"))
+    return rows.select(day().alias("data"), F.col("cadeia").alias("loja"), F.col("is_clearance").alias("promo"), F.col("preco_liquido").alias("pago"), F.col("preco_por_base").alias("unitario"), F.col("desconto_direto").alias("desconto"), normal_price().alias("normal"))
 
 
 def normal_price() -> Column:
@@ -114,11 +119,32 @@ def by_section(listed: DataFrame, folds: bool = True) -> DataFrame:
 
 
 def same_lines(lines: DataFrame, key: str) -> DataFrame:
-    """Lines of equal name and price of a receipt as one, with their number, in the order of the first."""
-    grouped = lines.groupBy(key, "produto", "preco").agg(F.count(F.lit(1)).alias("qtd"), F.min("pos").alias("pos"))
+    """Lines of equal name and price of a receipt as one, with the sum of their quantities (`qtd`, 1 where it is missing), in the order of the first."""
+    quantity = F.coalesce("qtd", F.lit(1)) if "qtd" in lines.columns else F.lit(1)
+    grouped = lines.groupBy(key, "produto", "preco").agg(F.sum(quantity).alias("qtd"), F.min("pos").alias("pos"))
     return grouped.orderBy(key, "pos")
 
 
+def first_and_rest(rows: DataFrame, key: str, order: Column | str, n: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The first n rows of each key, which are shown, and the rest, which is folded away."""
+    ranked = rows.withColumn("lugar", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    return ranked.filter(F.col("lugar") <= n).drop("lugar"), ranked.filter(F.col("lugar") > n).drop("lugar")
+
+
+def cart_total(products_chosen: DataFrame) -> DataFrame:
+    """What a shopping list costs; prices that are missing count as 0."""
+    return products_chosen.agg(F.round(F.coalesce(F.sum(F.col("preco").cast("double")), F.lit(0.0)), 2).alias("total"))
+
+
+def euros(x: Column) -> Column:
+    """An amount as it is shown: two digits behind a comma."""
+    return F.replace(F.format_string("%.2f", x.cast("double")), F.lit("."), F.lit(","))
+
+
+def short_day(x: Column, year: bool = False) -> Column:
+    return F.date_format(x, "dd/MM/yy" if year else "dd/MM")
+
+
 def cart(products_chosen: DataFrame, categories: DataFrame) -> DataFrame:
     """A shopping list (produto, preco) by section and name, with the categories of (produto, categoria)."""
     joined = products_chosen.join(categories.groupBy("produto").agg(F.min("categoria").alias("categoria")), "produto", "left")

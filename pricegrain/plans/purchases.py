@@ -18,20 +18,20 @@ def newest():  # noqa: ANN201
 
 def last_purchase(store: Store, produto: str) -> DataFrame:
     """The most recent line of a product, clearance included; no row without one."""
-    lines = match_product(fact_items(store), store, produto).filter(product_lines())
+    lines = match_product(store, produto).filter(product_lines())
     top = lines.orderBy(*newest()).limit(1)
     return top.select(display_name().alias("produto"), F.col("preco_liquido").alias("preco"), "preco_por_base", "unidade_base", "loja", "cadeia", day().alias("data"), "is_clearance")
 
 
 def compare_stores(store: Store, produto: str) -> DataFrame:
     """Each store's most recent price of a product per unit, cheapest first."""
-    lines = match_product(fact_items(store), store, produto).filter(product_lines(clearance=False) & F.col("preco_por_base").isNotNull())
+    lines = match_product(store, produto).filter(product_lines(clearance=False) & F.col("preco_por_base").isNotNull())
     rank = F.row_number().over(Window.partitionBy("loja_id").orderBy(*newest()))
     return lines.withColumn("rn", rank).filter("rn = 1").orderBy("preco_por_base", "loja_id").select("cadeia", "loja", "preco_por_base", "unidade_base", day().alias("data"))
 
 
 def price_history(store: Store, produto: str, desde: str | None = None) -> DataFrame:
-    lines = match_product(fact_items(store), store, produto).filter(product_lines(clearance=False))
+    lines = match_product(store, produto).filter(product_lines(clearance=False))
     if desde:
         lines = lines.filter(F.to_date("data_compra") >= F.lit(desde).cast("date"))
     return lines.orderBy("data_compra", "item_id").select(day().alias("data"), "cadeia", "loja", "preco_por_base", "preco_liquido", "unidade_base")
@@ -49,15 +49,15 @@ def list_purchases(store: Store, periodo_inicio: str | None = None, periodo_fim:
     """Lines in order of date, store and line; or, by product, how often each was bought and for how much."""
     lines = target_lines(store, alvo).filter(product_lines() & in_period(periodo_inicio, periodo_fim) & in_store(loja))
     if str(agrupar_por).lower() == "produto":
-        lines = lines.select(display_name().alias("nome"), "preco_liquido")
-        grouped = lines.groupBy(fold(F.col("nome")).alias("chave")).agg(F.min("nome").alias("produto"), F.count(F.lit(1)).alias("vezes"), F.round(F.sum("preco_liquido"), 2).alias("total"))
+        lines = lines.select(display_name().alias("nome"), F.coalesce("chave_longa", fold(F.col("descricao_original"))).alias("chave"), "preco_liquido")
+        grouped = lines.groupBy("chave").agg(F.min("nome").alias("produto"), F.count(F.lit(1)).alias("vezes"), F.round(F.sum("preco_liquido"), 2).alias("total"))
         return grouped.orderBy(F.desc("total"), "produto").select("produto", "vezes", "total")
     return lines.orderBy("data_compra", "loja", "item_id").select(day().alias("data"), "cadeia", "loja", display_name().alias("produto"), "preco_liquido")
 
 
 def cheapest_products(store: Store, alvo: str, loja: str | None = None, most: int = 10) -> DataFrame:
     """Each matching product's most recent price per unit, the cheapest first."""
-    lines = match_product(fact_items(store), store, alvo).filter(product_lines(clearance=False) & F.col("preco_por_base").isNotNull() & in_store(loja))
+    lines = match_product(store, alvo).filter(product_lines(clearance=False) & F.col("preco_por_base").isNotNull() & in_store(loja))
     rank = F.row_number().over(Window.partitionBy(fold(display_name())).orderBy(*newest()))
     top = lines.withColumn("produto", display_name()).withColumn("rn", rank).filter("rn = 1").orderBy("preco_por_base", "produto").limit(most)
     return top.select("cadeia", "loja", "produto", "preco_por_base", "unidade_base", day().alias("data"))
@@ -80,16 +80,25 @@ def receipt_details(store: Store, loja: str | None = None, data: str | None = No
 
 def habitual_products(store: Store, min_idas: int | None = None, periodo_inicio: str | None = None, periodo_fim: str | None = None, loja: str | None = None, most: int = 40) -> DataFrame:
     """Products bought on several trips, the most frequent first."""
-    name = F.coalesce("nome_simplificado", "nome_canonico", "descricao_original")
-    lines = fact_items(store).filter(product_lines() & in_period(periodo_inicio, periodo_fim) & in_store(loja)).select(name.alias("nome"), "categoria", "fatura_id", "data_compra", "item_id", "preco_liquido")
-    grouped = lines.groupBy(fold(F.col("nome")).alias("chave")).agg(
+    name = F.coalesce("nome_simplificado", "nome_canonico", "descricao_original").alias("nome")
+    key = F.coalesce("chave_curta", fold(F.col("descricao_original"))).alias("chave")
+    lines = fact_items(store).filter(product_lines() & in_period(periodo_inicio, periodo_fim) & in_store(loja)).select(name, key, "categoria", "fatura_id", "data_compra", "item_id", "preco_liquido")
+    trips = lines.groupBy("chave", "fatura_id").agg(  # a trip's day and prices first, so that only months are counted as distinct
+        F.min("nome").alias("nome"),
+        F.max("categoria").alias("categoria"),
+        F.max("data_compra").alias("data_compra"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum("preco_liquido").alias("pago"),
+        F.max(F.struct("data_compra", "item_id", "preco_liquido")).alias("ultimo"),
+    )
+    grouped = trips.groupBy("chave").agg(
         F.min("nome").alias("produto"),
         F.max("categoria").alias("categoria"),
-        F.countDistinct("fatura_id").alias("idas"),
+        F.count(F.lit(1)).alias("idas"),
         F.countDistinct(F.date_format("data_compra", "yyyy-MM")).alias("meses"),
-        F.count(F.lit(1)).alias("unidades"),
-        F.round(F.sum("preco_liquido"), 2).alias("total"),
-        F.max_by("preco_liquido", F.struct("data_compra", "item_id")).alias("ultimo_preco"),
+        F.sum("n").alias("unidades"),
+        F.round(F.sum("pago"), 2).alias("total"),
+        F.max("ultimo")["preco_liquido"].alias("ultimo_preco"),
     )
     return grouped.filter(F.col("idas") >= max(2, int(min_idas or 2))).orderBy(F.desc("idas"), F.desc("meses"), F.desc("unidades"), "produto").limit(most).drop("chave")
 

@@ -6,6 +6,7 @@ Arguments are fixed here so that both sides agree; a period always has both ends
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,13 @@ from pyspark.sql import functions as F
 from .functions import text, units
 from .operators import dml, receipts, resolve, star
 from .plans import admin, explorer, purchases
-from .sources.adapter import store, table
+from .sources.adapter import description, store, table
 
 START, END = "1996-01-01", "1999-12-31"
 SKU = 25
+#: Means of prices fall on ties of rounding, where sums in another order differ; this much off them they don't.
+SHIFT = 1.3e-7
+CATEGORIES = ("Frutas e Legumes", "Pão e Pastelaria", "TALHO", "Peixe fresco", "Laticínios", "Congelados", "Bebidas", "Ovos", "Higiene", "")
 
 
 def doubles(frame: DataFrame) -> DataFrame:
@@ -45,7 +49,10 @@ def q_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return admin.price_outliers(store(spark, sf_dir), 3).select("sku_id", "nome_canonico", "cadeia", F.date_format("data_compra", "yyyy-MM-dd").alias("data"), "preco_por_base", "mediana", "desvio")
+    """Some prices are 0, which must not move a median."""
+    s = store(spark, sf_dir)
+    s = replace(s, item=s.item.withColumn("preco_por_base", F.when(F.col("quantidade") == 1, 0.0).otherwise(F.col("preco_por_base"))))
+    return doubles(admin.price_outliers(s, 2).select("sku_id", "nome_canonico", "unidade_base", "fatura_id", "descricao_original", "quantidade", "preco_liquido", "cadeia", F.date_format("data_compra", "yyyy-MM-dd").alias("data"), "preco_por_base", "mediana", "desvio"))
 
 
 def q_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,11 +67,13 @@ def q_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = store(spark, sf_dir)
     priced = receipts.reprice(s.item.withColumn("linha_peso", F.lit(None).cast("string")), s.sku_normalizado)
-    return priced.groupBy("sku_id").agg(F.count("preco_por_base").alias("n"), F.min("preco_por_base").alias("menor"), F.max("preco_por_base").alias("maior"))
+    return priced.groupBy(F.coalesce("sku_id", F.lit(-1)).alias("sku_id")).agg(F.count("preco_por_base").alias("n"), F.min("preco_por_base").alias("menor"), F.max("preco_por_base").alias("maior"))
 
 
 def q_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return receipts.reconcile(lines(spark, sf_dir), totals(spark, sf_dir), "fatura_id").drop("itens")
+    """Receipts with each priced line."""
+    found = receipts.reconcile(lines(spark, sf_dir), totals(spark, sf_dir), "fatura_id")
+    return found.select("*", F.explode("itens").alias("i")).select(*(c for c in found.columns if c != "itens"), F.col("i.pos").cast("long").alias("pos"), "i.preco_unitario", "i.preco_liquido")
 
 
 def q_wrong(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,17 +96,44 @@ def q_merge_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all orders, those that are no duplicates of orders with an even key."""
-    rows = store(spark, sf_dir).fatura.withColumn("numero_fatura", F.concat(F.lit("F"), (F.col("id") % 1000).cast("string"))).select("id", "loja_id", "data_compra", "numero_fatura", "total_impresso")
+    """Of all orders, those that are no duplicates of orders with an even key or of each other; days are years, so that many agree."""
+    rows = store(spark, sf_dir).fatura.select(
+        "id",
+        "loja_id",
+        F.when(F.col("id") % 7 != 0, F.concat(F.lit("F"), (F.col("id") % 40).cast("string"))).alias("numero_fatura"),
+        F.when(F.col("id") % 11 != 0, F.date_trunc("year", "data_compra")).alias("data_compra"),
+        F.when(F.col("id") % 13 != 0, F.floor(F.col("total_impresso") / 50_000).cast("decimal(10,2)")).alias("total_impresso"),
+    )
     return dml.new_receipts(rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0")).select("id", "loja_id", "numero_fatura")
 
 
 def q_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts without a product, by their own parts' names, against the products that lines already have."""
     s = store(spark, sf_dir)
     texts = s.item.filter("sku_id is null").select("descricao_original")
-    named = s.item.select("descricao_original").distinct().select("descricao_original", F.initcap(F.regexp_replace("descricao_original", r"\s\d\S*$", "")).alias("nome_canonico"), F.lit("Brand#7").alias("marca"), F.lit("x").alias("categoria"), F.lit("kg").alias("unidade_base"), F.lit(1.2).cast("decimal(10,3)").alias("formato_valor"), F.lit(0.9).alias("confianca"))
-    aliases = s.item.filter("sku_id % 400 = 1").select("descricao_original", "sku_id")
-    return resolve.resolve(texts, aliases, named, s.sku_normalizado).select("descricao_original", "via", "sku_id", "nome_canonico", "representante")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), description(F.col("p_partkey"), F.col("p_name"), F.col("p_size")).alias("descricao_original"))
+    named = part.join(s.sku_normalizado, "id").select("descricao_original", F.initcap("nome_canonico").alias("nome_canonico"), "marca", "categoria", "unidade_base", "formato_valor", F.lit(0.9).alias("confianca"))
+    known = s.sku_normalizado.join(s.item.select(F.col("sku_id").alias("id")), "id", "left_semi")
+    aliases = s.item.filter("sku_id is not null").select("descricao_original", "sku_id")
+    return resolve.resolve(texts, aliases, named, known).select("descricao_original", "via", "sku_id", "nome_canonico", "representante")
+
+
+def q_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts with a snapshot of their lines, as they were extracted."""
+    read = lines(spark, sf_dir)
+    line = F.struct("pos", "descricao_original", "valor", "desconto_direto", "quantidade", "preco_unitario")
+    told = read.groupBy("fatura_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(line)).alias("itens"))).alias("extracao_json"))
+    gaps = receipts.reconcile(read, totals(spark, sf_dir), "fatura_id").select("fatura_id", "discrepancia", (~F.col("bate")).alias("needs_review"))
+    found = receipts.diagnosis(told.join(gaps, "fatura_id"), "fatura_id")
+    return found.select("fatura_id", "discrepancia", F.col("pista.tipo").alias("tipo"), F.col("pista.linha").alias("linha"), F.size(F.coalesce("linhas_inconsistentes", F.array())).cast("long").alias("n_linhas"), F.coalesce(F.get("linhas_inconsistentes", F.lit(0))["pos"].cast("long"), F.lit(-1)).alias("primeira"))
+
+
+def q_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products by section, with categories of a shop."""
+    s = store(spark, sf_dir)
+    kinds = F.array(*map(F.lit, CATEGORIES))
+    named = s.sku_normalizado.withColumn("categoria", F.get(kinds, (F.col("id") % len(CATEGORIES)).cast("int")))
+    return doubles(explorer.by_section(explorer.products(replace(s, sku_normalizado=named), None, None, 1 << 30))).withColumn("n", F.col("n").cast("long"))
 
 
 def q_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +142,10 @@ def q_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dml.classify_stores(store(spark, sf_dir).loja).groupBy("cadeia", "tipo").agg(F.count(F.lit(1)).alias("n"))
+    """Stores of which some carry the names of supermarkets and pharmacies."""
+    chain = F.when(F.col("id") % 4 == 0, "Continente").when(F.col("id") % 4 == 1, "FARMÁCIA Central").otherwise(F.col("cadeia"))
+    named = F.when(F.col("id") % 5 == 0, F.concat(F.lit("Loja Pingo Doce "), "nome")).otherwise(F.col("nome"))
+    return dml.classify_stores(store(spark, sf_dir).loja.withColumns({"cadeia": chain, "nome": named})).groupBy("cadeia", "tipo").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -124,8 +163,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "meses": lambda s, d: explorer.months(store(s, d)),
     "explorar_produtos": lambda s, d: doubles(explorer.products(store(s, d), "pl%te", "1998-03")),
     "explorar_historico": lambda s, d: doubles(explorer.product_history(store(s, d), SKU)).withColumn("normal", F.round("normal", 6)),
-    "explorar_por_loja": lambda s, d: explorer.product_stores(store(s, d), SKU).drop("media_paga", "media_unit"),
-    "estatisticas_produto": lambda s, d: explorer.product_statistics(store(s, d)).select("sku_id", F.col("n").cast("long").alias("n"), "minimo", "maximo", "primeiro", "ultimo", F.round("tendencia", 4).alias("tendencia"), "veredicto"),
+    "explorar_por_loja": lambda s, d: explorer.product_stores(store(s, d), SKU),
+    "estatisticas_produto": lambda s, d: explorer.product_statistics(store(s, d)).withColumns({"n": F.col("n").cast("long")} | {c: F.round(F.col(c) + SHIFT, 5) for c in ("media", "total", "poupanca", "tendencia", "pouparia")}),
     "sku_lista": lambda s, d: doubles(admin.product_list(store(s, d), "ring", 500)),
     "sku_descricoes": lambda s, d: admin.product_descriptions(store(s, d), SKU),
     "descricoes_livres": lambda s, d: admin.free_descriptions(store(s, d), "hot"),
@@ -140,6 +179,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "custos_contexto": lambda s, d: doubles(admin.costs(store(s, d), "contexto")),
     "custos_modelo": lambda s, d: doubles(admin.costs(store(s, d), "modelo")),
     "sugestoes_merge": lambda s, d: admin.merge_suggestions(store(s, d), 0.6),
+    "diagnostico": q_diagnosis,
+    "perfil": lambda s, d: admin.facts_of(store(s, d), "3"),
     "merge_identicos": q_merge_identical,
     "fuzzy_alvo": q_fuzzy,
     "expandir_alvo": lambda s, d: doubles(purchases.total_spent(store(s, d), "bebida", None, START, END)),
@@ -154,7 +195,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "orfaos": lambda s, d: admin.orphans(store(s, d)).select("id", "nome_canonico"),
     "por_resolver": lambda s, d: admin.unresolved(store(s, d)),
     "chat_ultimas": lambda s, d: admin.last_messages(store(s, d), 3),
-    "seccoes": lambda s, d: explorer.by_section(explorer.products(store(s, d), None, None)),
+    "seccoes": q_sections,
     "palavras": q_text,
     "tipos_loja": q_stores,
 }
@@ -194,6 +235,20 @@ RECONCILED = f"""WITH {LINES}, somas AS (SELECT fatura_id, sum(valor) AS bruto,
     feito AS (SELECT fatura_id, bruto AS subtotal, convencao, CASE convencao WHEN 'B' THEN bruto - desc_ ELSE bruto END AS total_reconciliado, CASE convencao WHEN 'B' THEN bruto - desc_ ELSE bruto END - total AS discrepancia FROM conv)"""
 
 
+PACKS = """partes AS (SELECT DISTINCT descricao_original AS t, regexp_extract(descricao_original, '(\\d+)X(\\d+)CL', 1) AS a, regexp_extract(descricao_original, '(\\d+)X(\\d+)CL', 2) AS b, regexp_extract(descricao_original, '(\\d+)G$', 1) AS g, regexp_extract(descricao_original, '(\\d+)UN$', 1) AS u FROM item),
+    embalagens AS (SELECT t AS descricao_original, CASE WHEN a != '' THEN 'L' WHEN g != '' THEN 'kg' ELSE 'un' END AS unidade_base, CASE WHEN a != '' THEN floor(CAST(a AS DOUBLE) * (CAST(b AS DOUBLE) / 100) * 1000 + 0.5::DOUBLE) / 1000
+    WHEN g != '' THEN floor(CAST(g AS DOUBLE) / 1000 * 1000 + 0.5::DOUBLE) / 1000 WHEN u != '' THEN CAST(u AS DOUBLE) ELSE 1 END AS formato_valor FROM partes)"""
+HINTS = """x AS (SELECT f.fatura_id, f.discrepancia AS gap, arg_min(descricao_original, pos) FILTER (abs(abs(valor) - abs(gap)) <= 0.02) AS v, arg_min(descricao_original, pos) FILTER (desconto_direto != 0 AND abs(abs(desconto_direto) - abs(gap)) <= 0.02) AS d
+    FROM feito f JOIN linhas l USING (fatura_id) WHERE f.discrepancia != 0 GROUP BY 1, 2), pistas AS (SELECT fatura_id, CASE WHEN v IS NOT NULL THEN CASE WHEN gap > 0 THEN 'DUPLICADO' ELSE 'FALTAR' END WHEN d IS NOT NULL THEN 'DESCONTO' WHEN gap > 0 THEN 'ACIMA' ELSE 'ABAIXO' END AS tipo,
+    coalesce(v, d) AS linha, abs(gap) AS diferenca FROM x)"""
+
+
+def section_sql(folded: str) -> str:
+    """The section of a folded text, by the parts of text.SECTIONS in their order."""
+    cases = " ".join(f"WHEN {' OR '.join(f'contains({folded}, {p!r})' for p in parts)} THEN '{name}'" for name, parts in text.SECTIONS)
+    return f"CASE {cases} WHEN {folded} = '' THEN 'Outros' ELSE 'Mercearia' END"
+
+
 def matches(term: str) -> str:
     return "(" + " OR ".join(f"coalesce(strip_accents(lower({c})) LIKE '%{term}%', FALSE)" for c in ("nome_canonico", "marca", "categoria", "descricao_original")) + ")"
 
@@ -237,16 +292,18 @@ def oracle_sql() -> dict[str, str]:
             coalesce(nome_canonico, descricao_original) AS produto, descricao_original, CAST(coalesce(preco_unitario, preco_liquido) AS DOUBLE) AS preco FROM uma JOIN item i ON i.fatura_id = uma.id LEFT JOIN sku s ON s.id = i.sku_id""",
         "habituais": habitual_sql(START, END),
         "habituais_60d": habitual_sql("2000-05-01", "2000-06-30"),
-        "meses": f"{BASE} SELECT strftime(data_compra, '%Y-%m') AS mes, count(DISTINCT fatura_id) AS compras FROM base WHERE {SHOWN} GROUP BY 1",
+        "meses": "SELECT strftime(o_orderdate, '%Y-%m') AS mes, count(DISTINCT o_orderkey) AS n FROM orders WHERE o_orderstatus != 'P' AND o_orderdate IS NOT NULL GROUP BY 1",
         "explorar_produtos": f"""{BASE} SELECT sku_id, any_value(nome_canonico) AS nome_canonico, any_value(nome_simplificado) AS nome_simplificado, any_value(categoria) AS categoria, any_value(unidade_base) AS unidade_base, count(DISTINCT fatura_id) AS n_compras,
-            count(DISTINCT loja_id) AS n_lojas, min(preco_por_base) AS preco_min, max(preco_por_base) AS preco_max, arg_max(preco_por_base, struct_pack(x := data_compra, y := item_id)) AS ultimo_preco, CAST(sum(preco_liquido) AS DOUBLE) AS total_gasto, max(data) AS ultima_data
-            FROM base WHERE {SHOWN} AND strftime(data_compra, '%Y-%m') = '1998-03' AND (nome_canonico LIKE '%pl%te%' OR coalesce(nome_simplificado LIKE '%pl%te%', FALSE)) GROUP BY sku_id ORDER BY n_compras DESC, total_gasto DESC, sku_id LIMIT 300""",
-        "explorar_historico": f"""{BASE} SELECT data, cadeia AS loja, CAST(preco_liquido AS DOUBLE) AS pago, preco_por_base AS unitario, CAST(desconto_direto AS DOUBLE) AS desconto,
+            count(DISTINCT loja_id) AS n_lojas, round(min(preco_por_base), 4) AS preco_min, round(max(preco_por_base), 4) AS preco_max, CAST((array_agg(preco_liquido ORDER BY data_compra DESC, item_id DESC))[1] AS DOUBLE) AS ultimo_preco, CAST(sum(preco_liquido) AS DOUBLE) AS total_gasto, max(data) AS ultima
+            FROM base WHERE {SHOWN} AND strftime(data_compra, '%Y-%m') = '1998-03' AND (nome_canonico LIKE '%pl%te%' OR coalesce(nome_simplificado LIKE '%pl%te%', FALSE)) GROUP BY sku_id ORDER BY n_compras DESC, max(data_compra) DESC, sku_id LIMIT 300""",
+        "explorar_historico": f"""{BASE} SELECT data, cadeia AS loja, is_clearance AS promo, CAST(preco_liquido AS DOUBLE) AS pago, preco_por_base AS unitario, CAST(desconto_direto AS DOUBLE) AS desconto,
             round(CASE WHEN desconto_direto > 0.005 AND preco_liquido > 0 THEN preco_por_base * (CAST(preco_liquido AS DOUBLE) + CAST(desconto_direto AS DOUBLE)) / CAST(preco_liquido AS DOUBLE) ELSE preco_por_base END, 6) AS normal FROM base WHERE {SHOWN} AND sku_id = {SKU}""",
-        "explorar_por_loja": f"{BASE} SELECT cadeia AS loja, count(*) AS n FROM base WHERE {SHOWN} AND sku_id = {SKU} GROUP BY 1",
-        "estatisticas_produto": f"""{BASE}, e AS (SELECT sku_id, count(*) AS n, min(preco_por_base) AS minimo, max(preco_por_base) AS maximo, arg_min(preco_por_base, struct_pack(x := data_compra, y := item_id)) AS primeiro,
-            arg_max(preco_por_base, struct_pack(x := data_compra, y := item_id)) AS ultimo FROM base WHERE {SHOWN} GROUP BY 1), t AS (SELECT *, CASE WHEN primeiro > 0 THEN (ultimo - primeiro) / primeiro * 100 ELSE 0 END AS tr FROM e)
-            SELECT sku_id, n, minimo, maximo, primeiro, ultimo, round(tr, 4) AS tendencia, CASE WHEN n < 2 THEN 'NOVO' WHEN tr >= 0 THEN 'A SUBIR' ELSE 'A DESCER' END AS veredicto FROM t""",
+        "explorar_por_loja": f"{BASE} SELECT cadeia AS loja, count(*) AS n, round(avg(CAST(preco_liquido AS DOUBLE)), 2) AS media_paga, round(avg(preco_por_base), 4) AS media_unit FROM base WHERE {SHOWN} AND sku_id = {SKU} GROUP BY 1",
+        "estatisticas_produto": f"""{BASE}, v AS (SELECT sku_id, cadeia, preco_por_base AS v, CAST(preco_liquido AS DOUBLE) AS pago, CAST(desconto_direto AS DOUBLE) AS d, struct_pack(x := data_compra, y := item_id) AS q FROM base WHERE {SHOWN}),
+            e AS (SELECT sku_id, count(*) AS n, min(v) AS minimo, max(v) AS maximo, arg_min(v, q) AS primeiro, arg_max(v, q) AS ultimo, avg(v) AS media, sum(pago) AS total, sum(d) AS poupanca FROM v GROUP BY 1),
+            l AS (SELECT sku_id, arg_min(cadeia, struct_pack(m := mv, c := cadeia)) AS mais_barata, min(mp) AS menor FROM (SELECT sku_id, cadeia, avg(v) AS mv, avg(pago) AS mp FROM v GROUP BY 1, 2) GROUP BY 1),
+            t AS (SELECT *, CASE WHEN primeiro > 0 THEN (ultimo - primeiro) / primeiro * 100 ELSE 0 END AS tr, total - menor * n AS p FROM e JOIN l USING (sku_id)), r AS (SELECT *, CASE WHEN n < 2 THEN 'NOVO' WHEN tr >= 0 THEN 'A SUBIR' ELSE 'A DESCER' END AS veredicto FROM t)
+            SELECT sku_id, n, minimo, maximo, primeiro, ultimo, round(media + {SHIFT}::DOUBLE, 5) AS media, round(total + {SHIFT}::DOUBLE, 5) AS total, round(poupanca + {SHIFT}::DOUBLE, 5) AS poupanca, mais_barata, round(tr + {SHIFT}::DOUBLE, 5) AS tendencia, round(p + {SHIFT}::DOUBLE, 5) AS pouparia, veredicto, veredicto = 'A SUBIR' AND p > 0.5 AS mostra_poupanca FROM r""",
         "sku_lista": f"""WITH {SKU_SQL}, {ITEM} SELECT s.id, nome_canonico, nome_simplificado, marca, categoria, unidade_base, formato_valor, count(i.id) AS n_itens, count(DISTINCT lower(i.descricao_original)) AS n_descricoes
             FROM sku s LEFT JOIN item i ON i.sku_id = s.id WHERE lower(nome_canonico) LIKE '%ring%' OR lower(marca) LIKE '%ring%' GROUP BY ALL ORDER BY n_itens DESC, nome_canonico, s.id LIMIT 500""",
         "sku_descricoes": f"WITH {ITEM} SELECT min(descricao_original) AS descricao_original, count(*) AS n, max(fatura_id) AS fatura_id FROM item WHERE sku_id = {SKU} GROUP BY {folded}",
@@ -258,9 +315,10 @@ def oracle_sql() -> dict[str, str]:
         "qualidade_metodo": quality_sql("metodo_extracao"),
         "qualidade_modelo": f"""WITH {FATURA} SELECT coalesce(modelo, '—') AS modelo, metodo_extracao, count(*) AS n, count(*) FILTER (NOT needs_review) AS ok, round(100.0::DOUBLE * count(*) FILTER (NOT needs_review) / count(*), 1) AS pct_ok,
             round(avg(abs(CAST(discrepancia AS DOUBLE))), 3) AS disc_media FROM fatura GROUP BY fatura.modelo, metodo_extracao""",
-        "outliers_preco": f"""{BASE}, linhas AS (SELECT * FROM base WHERE NOT is_non_product AND NOT is_clearance AND preco_por_base IS NOT NULL AND sku_id IS NOT NULL), m AS (SELECT sku_id, median(preco_por_base) AS mediana FROM linhas GROUP BY 1 HAVING count(*) >= 2)
-            SELECT sku_id, nome_canonico, cadeia, data, preco_por_base, mediana, floor(CASE WHEN preco_por_base / mediana >= 1 THEN preco_por_base / mediana ELSE 1 / (preco_por_base / mediana) END * 10 + 0.5::DOUBLE) / 10 AS desvio
-            FROM linhas JOIN m USING (sku_id) WHERE preco_por_base > mediana * 3 OR preco_por_base < mediana / 3""",
+        "outliers_preco": f"""{BASE}, linhas AS (SELECT b.* REPLACE (CASE WHEN i.quantidade = 1 THEN 0 ELSE b.preco_por_base END AS preco_por_base), CAST(i.quantidade AS DOUBLE) AS quantidade FROM base b JOIN item i ON i.id = b.item_id WHERE NOT b.is_non_product AND NOT b.is_clearance AND nome_canonico IS NOT NULL),
+            pagas AS (SELECT * FROM linhas WHERE preco_por_base > 0), m AS (SELECT sku_id, median(preco_por_base) AS mediana FROM pagas GROUP BY 1 HAVING count(*) >= 2)
+            SELECT sku_id, nome_canonico, unidade_base, fatura_id, descricao_original, quantidade, CAST(preco_liquido AS DOUBLE) AS preco_liquido, cadeia, data, preco_por_base, mediana, floor(preco_por_base / mediana * 10 + 0.5::DOUBLE) / 10 AS desvio
+            FROM pagas JOIN m USING (sku_id) WHERE preco_por_base > mediana * 2 OR preco_por_base < mediana / 2""",
         "custos_total": "SELECT count(*) AS n, CAST(round(sum(CAST(value AS DECIMAL(12,8))), 6) AS DOUBLE) AS custo FROM events",
         "custos_contexto": "SELECT event_type AS contexto, count(*) AS n, CAST(round(sum(CAST(value AS DECIMAL(12,8))), 6) AS DOUBLE) AS custo FROM events GROUP BY 1",
         "custos_modelo": "SELECT 'm' || (user_id % 4) AS modelo, count(*) AS n, CAST(round(sum(CAST(value AS DECIMAL(12,8))), 6) AS DOUBLE) AS custo FROM events GROUP BY 1",
@@ -269,19 +327,35 @@ def oracle_sql() -> dict[str, str]:
         "fuzzy_alvo": f"""WITH {SKU_SQL}, p AS (SELECT id, nome_canonico, unnest(list_append(string_split(nome_canonico, ' '), replace(nome_canonico, ' ', ''))) AS t FROM sku)
             SELECT id, nome_canonico, round(max(1 - levenshtein('widgt', t) / greatest(5, length(t))), 6) AS score FROM p GROUP BY ALL HAVING max(1 - levenshtein('widgt', t) / greatest(5, length(t))) >= 0.7::DOUBLE""",
         "expandir_alvo": total_sql(f"({drinks})", "bebida", "CAST(NULL AS VARCHAR)"),
-        "formato": f"""WITH {ITEM}, d AS (SELECT DISTINCT descricao_original AS t FROM item), r AS (SELECT t, regexp_extract(t, '(\\d+)X(\\d+)CL', 1) AS a, regexp_extract(t, '(\\d+)X(\\d+)CL', 2) AS b, regexp_extract(t, '(\\d+)G$', 1) AS g, regexp_extract(t, '(\\d+)UN$', 1) AS u FROM d)
-            SELECT t AS descricao_original, CASE WHEN a != '' THEN 'L' WHEN g != '' THEN 'kg' ELSE 'un' END AS unidade_base,
-            CASE WHEN a != '' THEN floor(CAST(a AS DOUBLE) * (CAST(b AS DOUBLE) / 100) * 1000 + 0.5::DOUBLE) / 1000 WHEN g != '' THEN floor(CAST(g AS DOUBLE) / 1000 * 1000 + 0.5::DOUBLE) / 1000 WHEN u != '' THEN CAST(u AS DOUBLE) ELSE 1 END AS formato_valor FROM r""",
-        "reconciliar": f"{RECONCILED} SELECT *, abs(discrepancia) < 0.015 AS bate FROM feito",
+        "formato": f"WITH {ITEM}, {PACKS} SELECT * FROM embalagens",
+        "reconciliar": f"""{RECONCILED} SELECT f.*, abs(discrepancia) < 0.015 AS bate, pos, valor AS preco_unitario, CASE convencao WHEN 'B' THEN valor - abs(desconto_direto) ELSE valor END AS preco_liquido FROM feito f JOIN linhas USING (fatura_id)""",
+        "preco_base": f"""WITH {SKU_SQL}, {ITEM}, {PACKS}, p AS (SELECT i.sku_id, CAST(preco_liquido AS DOUBLE) AS liq, CAST(quantidade AS DOUBLE) AS q, e.unidade_base AS u, e.formato_valor AS v, coalesce(s.unidade_base, e.unidade_base) AS alvo
+            FROM item i JOIN embalagens e USING (descricao_original) LEFT JOIN sku s ON s.id = i.sku_id WHERE NOT is_non_product), d AS (SELECT sku_id, liq / CASE WHEN alvo != 'un' THEN CASE WHEN u = alvo AND v > 0 THEN v * q END WHEN u = 'un' AND v > 1 THEN v ELSE q END AS x FROM p)
+            SELECT coalesce(s.sku_id, -1) AS sku_id, count(x) AS n, min(floor(x * 10000 + 0.5::DOUBLE) / 10000) AS menor, max(floor(x * 10000 + 0.5::DOUBLE) / 10000) AS maior FROM (SELECT DISTINCT sku_id FROM item) s LEFT JOIN d ON d.sku_id IS NOT DISTINCT FROM s.sku_id GROUP BY 1""",
+        "sugestoes_merge": f"""WITH {SKU_SQL}, usos AS (SELECT s.*, (SELECT count(*) FROM lineitem WHERE l_partkey = s.id AND l_partkey % 17 != 0) AS n FROM sku s), nomes AS (SELECT DISTINCT unidade_base, nome_canonico, string_split(nome_canonico, ' ') AS t FROM sku),
+            pares AS (SELECT a.unidade_base, a.nome_canonico AS na, b.nome_canonico AS nb, 2 * len(list_intersect(a.t, b.t)) / (len(list_distinct(a.t)) + len(list_distinct(b.t))) AS d, CASE WHEN len(a.t) <= len(b.t) THEN a.t ELSE b.t END AS x, CASE WHEN len(a.t) <= len(b.t) THEN b.t ELSE a.t END AS y
+            FROM nomes a JOIN nomes b ON a.unidade_base = b.unidade_base), notas AS (SELECT unidade_base, na, nb, CASE WHEN list_has_all(y, x) AND len(list_distinct(x)) >= 2 AND x[1] = y[1] THEN greatest(d, 0.95::DOUBLE) ELSE d END AS s FROM pares)
+            SELECT CASE WHEN a.n >= b.n THEN a.id ELSE b.id END AS manter, CASE WHEN a.n >= b.n THEN na ELSE nb END AS manter_nome, CASE WHEN a.n >= b.n THEN b.id ELSE a.id END AS fundir, CASE WHEN a.n >= b.n THEN nb ELSE na END AS fundir_nome, a.unidade_base, floor(s * 100 + 0.5::DOUBLE) / 100 AS score
+            FROM notas p JOIN usos a ON a.nome_canonico = na AND a.unidade_base = p.unidade_base JOIN usos b ON b.nome_canonico = nb AND b.unidade_base = p.unidade_base AND a.id < b.id WHERE s >= 0.6::DOUBLE ORDER BY score DESC, manter, fundir LIMIT 100""",
+        "diagnostico": f"""{RECONCILED}, w AS (SELECT fatura_id, count(*) AS n_linhas, min(pos) AS primeira FROM linhas WHERE quantidade >= 2 AND preco_unitario > 0 AND abs(quantidade * preco_unitario - abs(valor)) > 0.02 GROUP BY 1), {HINTS}
+            SELECT fatura_id, discrepancia, tipo, linha, coalesce(n_linhas, 0) AS n_linhas, coalesce(primeira, -1) AS primeira FROM feito LEFT JOIN pistas USING (fatura_id) LEFT JOIN w USING (fatura_id) WHERE discrepancia != 0 OR n_linhas > 0""",
+        "perfil": "SELECT turn AS id, text AS fato FROM conversations WHERE conv_id = 3 AND role = 'user' ORDER BY turn LIMIT 50",
+        "seccoes": f"""{BASE}, c AS (SELECT *, CASE sku_id % 10 WHEN 0 THEN 'Frutas e Legumes' WHEN 1 THEN 'Padaria' WHEN 2 THEN 'Talho' WHEN 3 THEN 'Peixaria' WHEN 4 THEN 'Laticínios' WHEN 5 THEN 'Congelados' WHEN 6 THEN 'Bebidas' WHEN 7 THEN 'Ovos' WHEN 8 THEN 'Higiene' ELSE 'Outros' END AS seccao FROM base WHERE {SHOWN})
+            SELECT seccao, count(DISTINCT sku_id) AS n, CAST(sum(preco_liquido) AS DOUBLE) AS total FROM c GROUP BY 1""",
+        "palavras": f"""WITH n AS (SELECT doc_id, lower(strip_accents(coalesce(text, ''))) AS f, trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents)
+            SELECT doc_id, len(list_filter(string_split(t, ' '), lambda w: w != '' AND NOT list_contains({list(text.STOP_WORDS)}, w))) AS n_palavras, {section_sql('f')} AS seccao, length(t) AS n_letras FROM n""",
         "validar_linhas": f"WITH {LINES} SELECT fatura_id, pos, quantidade, preco_unitario, valor, quantidade * preco_unitario AS esperado FROM linhas WHERE quantidade >= 2 AND preco_unitario > 0 AND abs(quantidade * preco_unitario - abs(valor)) > 0.02",
-        "pista": f"""{RECONCILED}, x AS (SELECT f.fatura_id, f.discrepancia AS gap, arg_min(descricao_original, pos) FILTER (abs(abs(valor) - abs(gap)) <= 0.02) AS v, arg_min(descricao_original, pos) FILTER (desconto_direto != 0 AND abs(abs(desconto_direto) - abs(gap)) <= 0.02) AS d
-            FROM feito f JOIN linhas l USING (fatura_id) WHERE f.discrepancia != 0 GROUP BY 1, 2)
-            SELECT fatura_id, CASE WHEN v IS NOT NULL THEN CASE WHEN gap > 0 THEN 'DUPLICADO' ELSE 'FALTAR' END WHEN d IS NOT NULL THEN 'DESCONTO' WHEN gap > 0 THEN 'ACIMA' ELSE 'ABAIXO' END AS tipo, coalesce(v, d) AS linha, abs(gap) AS diferenca FROM x""",
-        "dedup": f"""WITH {FATURA}, t AS (SELECT *, 'F' || (id % 1000) AS numero FROM fatura), velhas AS (SELECT * FROM t WHERE id % 2 = 0), novas AS (SELECT * FROM t n WHERE id % 2 = 1
-            AND NOT EXISTS (SELECT 1 FROM velhas v WHERE v.loja_id = n.loja_id AND (v.numero = n.numero OR v.data_compra = n.data_compra AND v.total_impresso = n.total_impresso)))
-            SELECT id, loja_id, numero AS numero_fatura FROM novas QUALIFY row_number() OVER (PARTITION BY loja_id, numero ORDER BY id) = 1 AND row_number() OVER (PARTITION BY loja_id, data_compra, total_impresso ORDER BY id) = 1""",
+        "pista": f"{RECONCILED}, {HINTS} SELECT fatura_id, tipo, linha, diferenca FROM pistas",
+        # Each store's receipts one after another, with the numbers and totals that are kept so far.
+        "dedup": f"""WITH RECURSIVE {FATURA}, t AS (SELECT id, loja_id, CASE WHEN id % 7 != 0 THEN 'F' || (id % 40) END AS numero, CASE WHEN id % 11 != 0 AND id % 13 != 0 THEN year(data_compra) || '/' || floor(total_impresso / 50000) END AS valor FROM fatura),
+            ordem AS (SELECT *, row_number() OVER (PARTITION BY loja_id ORDER BY id % 2, id) AS k FROM t), passo AS (
+            SELECT loja_id, 0::BIGINT AS k, 0::BIGINT AS id, FALSE AS fica, []::VARCHAR[] AS numeros, []::VARCHAR[] AS valores FROM ordem WHERE k = 1
+            UNION ALL SELECT loja_id, k, id, fica, CASE WHEN fica AND numero IS NOT NULL THEN list_append(numeros, numero) ELSE numeros END, CASE WHEN fica AND valor IS NOT NULL THEN list_append(valores, valor) ELSE valores END FROM (
+            SELECT o.*, p.numeros, p.valores, o.id % 2 = 0 OR NOT (coalesce(list_contains(p.numeros, o.numero), FALSE) OR coalesce(list_contains(p.valores, o.valor), FALSE)) AS fica FROM passo p JOIN ordem o ON o.loja_id = p.loja_id AND o.k = p.k + 1))
+            SELECT id, p.loja_id, numero AS numero_fatura FROM passo p JOIN t USING (id) WHERE fica AND id % 2 = 1""",
         "orfaos": f"WITH {SKU_SQL} SELECT id, nome_canonico FROM sku WHERE id % 17 = 0 OR id NOT IN (SELECT l_partkey FROM lineitem)",
         "por_resolver": f"WITH {ITEM} SELECT min(descricao_original) AS descricao_original FROM item WHERE sku_id IS NULL AND NOT is_non_product GROUP BY {folded}",
         "chat_ultimas": "SELECT turn AS id, CAST(conv_id AS VARCHAR) AS utilizador, role AS papel, text AS conteudo FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
-        "tipos_loja": "SELECT c_mktsegment AS cadeia, 'outro' AS tipo, count(*) AS n FROM customer GROUP BY 1",
+        "tipos_loja": """SELECT CASE c_custkey % 4 WHEN 0 THEN 'Continente' WHEN 1 THEN 'FARMÁCIA Central' ELSE c_mktsegment END AS cadeia, CASE WHEN c_custkey % 4 = 0 OR c_custkey % 5 = 0 THEN 'supermercado' WHEN c_custkey % 4 = 1 THEN 'farmacia' ELSE 'outro' END AS tipo, count(*) AS n
+            FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2""",
     }

@@ -95,5 +95,10 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("turn").alias("id"), F.col("conv_id").cast("string").alias("utilizador"), F.col("role").alias("papel"), F.col("text").alias("conteudo"))
 
 
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users said in conversations, as facts about them."""
+    return table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.col("turn").alias("id"), F.col("conv_id").cast("string").alias("utilizador"), F.col("text").alias("fato"))
+
+
 def store(spark: SparkSession, sf_dir: str) -> Store:
-    return Store(loja=stores(spark, sf_dir), sku_normalizado=products(spark, sf_dir), fatura=receipts(spark, sf_dir), item=items(spark, sf_dir), mensagem=messages(spark, sf_dir), custo_chamada=calls(spark, sf_dir), revisao=reviews(spark, sf_dir))
+    return Store(loja=stores(spark, sf_dir), sku_normalizado=products(spark, sf_dir), fatura=receipts(spark, sf_dir), item=items(spark, sf_dir), mensagem=messages(spark, sf_dir), perfil=facts(spark, sf_dir), custo_chamada=calls(spark, sf_dir), revisao=reviews(spark, sf_dir))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import TABLES, schema
@@ -70,15 +70,20 @@ def write_snapshot(frame: DataFrame, folder: str, by: list[str] | None = None) -
 def read_files(spark: SparkSession, path: str, most_bytes: int = 12 << 20) -> DataFrame:
     """Uploaded receipts or voice notes: path, length, content, and the kind that their names tell; larger files are left out."""
     files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= most_bytes)
-    name = F.lower("path")
-    kind = F.when(name.endswith(".pdf"), "pdf").when(name.rlike(r"\.(jpe?g|png|webp|heic)$"), "imagem").when(name.rlike(r"\.(webm|ogg|mp3|m4a|mp4|wav|flac)$"), "voz").otherwise("outro")
-    return files.select("path", "length", "content", kind.alias("tipo"))
+    return files.select("path", "length", "content", file_kind(F.col("path")).alias("tipo"))
+
+
+def file_kind(path: Column, mime: Column | None = None) -> Column:
+    """pdf, imagem, voz or outro, by the MIME type if that tells it, or by the name."""
+    name, said = F.lower(path), F.lower(F.coalesce(F.lit(None).cast("string") if mime is None else mime, F.lit("")))
+    kind = F.when(said.contains("pdf") | name.endswith(".pdf"), "pdf").when(said.startswith("image/"), "imagem").when(said.startswith("audio/"), "voz")
+    return kind.when(name.rlike(r"\.(jpe?g|png|webp|heic)$"), "imagem").when(name.rlike(r"\.(webm|ogg|mp3|m4a|mp4|wav|flac)$"), "voz").otherwise("outro")
+
+
+# Parts of audio MIME types and the formats they are sent as; the first that is found holds.
+AUDIO = (("webm", "webm"), ("mp4", "m4a"), ("m4a", "m4a"), ("aac", "m4a"), ("mpeg", "mp3"), ("mp3", "mp3"), ("wav", "wav"), ("ogg", "ogg"))
 
 
 def audio_format(mime: str) -> str:
-    """The format name that a speech service wants for a MIME type."""
-    # Parts of audio MIME types and their formats, in order.
-    for part, name in (("webm", "webm"), ("ogg", "ogg"), ("mpeg", "mp3"), ("mp3", "mp3"), ("wav", "wav"), ("m4a", "m4a"), ("mp4", "m4a"), ("aac", "aac"), ("flac", "flac")):
-        if part in (mime or "").lower():
-            return name
-    return "webm"
+    """The format name that a speech service wants for a MIME type; webm for any that isn't listed."""
+    return next((name for part, name in AUDIO if part in (mime or "").lower()), "webm")

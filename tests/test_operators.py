@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from pricegrain.operators import dml, receipts, resolve
-from pricegrain.plans import purchases, tools
+from pricegrain.plans import admin, explorer, purchases, tools
+from pricegrain.sources import tables
 from pricegrain.sources.tables import Store, complete
 from pricegrain.streaming import arrivals
 
@@ -121,3 +124,102 @@ def test_stream(spark, tmp_path, shop):
     query = arrivals.ingest(arrivals.arriving(spark, folder), lambda: spark.read.parquet(target), target, str(tmp_path / "c"))
     query.awaitTermination()
     assert spark.read.parquet(target).count() == 3
+
+
+def test_duplicates_in_order(spark):
+    """What equals only a dropped receipt stays; ids are no numbers; what is missing equals nothing."""
+    ddl = "id long, loja_id long, numero_fatura string, data_compra string, total_impresso double"
+    none = spark.createDataFrame([], ddl)
+    ids = lambda rows, old=none: sorted(r["id"] for r in dml.new_receipts(spark.createDataFrame(rows, ddl), old).collect())
+    assert ids([(1, 1, "A", "d1", 1.0), (2, 1, "A", "d2", 2.0), (3, 1, "B", "d2", 2.0)]) == [1, 3]
+    assert ids([(5, 1, None, "d1", 1.0), (6, 1, "5", "d2", 2.0)]) == [5, 6]
+    assert ids([(1, 1, "A", "d1", None), (2, 1, "B", "d1", None), (3, 1, None, None, 1.0), (4, 1, None, None, 1.0)]) == [1, 2, 3, 4]
+    assert ids([(7, 1, " a ", "d3", 3.0), (8, 2, "A", "d1", 1.0)], spark.createDataFrame([(1, 1, "A", "d1", 1.0)], ddl)) == [8]
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(3), rng.choice([None, *"ABCDEFGH"]), rng.choice([None, "d1", "d2", "d3", "d4"]), rng.choice([None, 1.0, 2.0, 3.0])) for i in range(120)]
+    kept: list = []
+    for r in rows:
+        if not any(k[1] == r[1] and (r[2] is not None and k[2] == r[2] or None not in (r[3], r[4]) and k[3:] == r[3:]) for k in kept):
+            kept.append(r)
+    assert ids(rows) == [r[0] for r in kept]
+
+
+def test_stores_of_an_upload(spark):
+    ddl = "id long, cadeia string, nome string, nif string, tipo string"
+    old = spark.createDataFrame([(1, "Aldi", "Aldi Norte", "N1", "supermercado"), (2, "Lidl", "Lidl Sul", None, "supermercado")], ddl)
+    new = spark.createDataFrame([("a", "X", "Y", "N1"), ("b", "lidl", "LIDL SUL", None), ("c", None, None, None), ("d", "Farmácia", "Centro", "N9"), ("e", "Farmácia", "Centro", " "), ("f", "Lidl", "Lidl Sul", "N7")], "k string, cadeia string, nome string, nif string")
+    stores, found = dml.upsert_stores(new, old)
+    known = {r["id"]: (r["nome"], r["nif"], r["tipo"]) for r in stores.collect()}
+    at = {r["k"]: r["loja_id"] for r in found.collect()}
+    assert at["a"] == 1 and at["b"] == 2 and at["d"] == at["e"] and at["f"] not in (1, 2)
+    assert known[at["c"]] == ("Desconhecida", None, "outro") and known[at["d"]] == ("Centro", "N9", "farmacia") and len(known) == 5
+
+
+def test_products_and_appended_rows(spark, shop):
+    aliases = spark.createDataFrame([("x", 2, "llm"), ("y", 1, "llm")], "descricao_original string, sku_id long, origem string")
+    _, moved, products = dml.merge_two(shop.item, aliases, shop.sku_normalizado, 2, 1)
+    assert sorted((r["sku_id"], r["origem"]) for r in moved.collect()) == [(1, "llm"), (1, "manual")] and products.count() == 1
+    for wrong, error in (((1, 1), ValueError), ((1, 99), LookupError)):
+        with pytest.raises(error):
+            dml.merge_two(shop.item, aliases, shop.sku_normalizado, *wrong)
+    products, items = dml.edit_product(shop.sku_normalizado, shop.item, 1, unidade_base="kg", marca="Nova")
+    assert {r["id"]: float(r["preco_por_base"]) for r in items.filter("sku_id = 1 and preco_por_base is not null").collect()} == {1: 9.56}
+    assert products.filter("id = 1").first()["marca"] == "Nova" and items.count() == shop.item.count()
+    names = spark.createDataFrame([(1, "Café, Moído"), (2, "cafe moido"), (3, "Chá"), (4, "cha"), (5, "--"), (6, "-")], "id long, nome_canonico string")
+    pairs = lambda **a: sorted(tuple(r) for r in dml.identical_names(names, shop.item, **a).collect())
+    assert pairs() == [(2, 1), (4, 3)] and pairs(names=names.filter("id = 4")) == [(4, 3)]
+    told = dml.append_message(complete(spark.createDataFrame([(7, "u")], "id long, utilizador string"), "mensagem"), "u", "user", "z" * 5000)
+    assert [(r["id"], len(r["conteudo"] or "")) for r in told.orderBy("id").collect()] == [(7, 0), (8, 4000)]
+    reviews = dml.append_review(complete(spark.createDataFrame([], "id long"), "revisao"), 3, "erro", "c")
+    assert [(r["id"], r["fatura_id"], r["veredicto"]) for r in reviews.collect()] == [(1, 3, "erro")]
+    with pytest.raises(ValueError):
+        dml.append_review(reviews, 3, "talvez")
+    calls = complete(spark.createDataFrame([(4,)], "id long"), "custo_chamada")
+    assert dml.append_cost(calls, None, "m", None).count() == 1
+    assert [(r["id"], r["contexto"], float(r["custo"])) for r in dml.append_cost(calls, None, "m", {"prompt_tokens": 5, "cost": 0.25}).filter("id = 5").collect()] == [(5, "geral", 0.25)]
+
+
+def test_diagnosis(spark):
+    rows = [
+        (1, True, 0.0, '{"itens": [{"descricao_original": "a", "valor": 1.0}]}'),
+        (2, False, 0.0, '{"itens": [{"descricao_original": "a", "valor": 1.0}]}'),
+        (3, False, 2.0, '{"iva": 0.3, "itens": [{"descricao_original": "a", "valor": 1.0}, {"descricao_original": "b", "valor": 2.0}]}'),
+        (4, False, 0.0, '{"itens": [{"descricao_original": "a", "valor": 1.0, "quantidade": 3, "preco_unitario": 1.0}]}'),
+        (5, True, 1.0, "no json"),
+        (6, True, 1.0, None),
+    ]
+    found = {r["id"]: r for r in receipts.diagnosis(spark.createDataFrame(rows, "id long, needs_review boolean, discrepancia double, extracao_json string")).collect()}
+    assert sorted(found) == [1, 3, 4]
+    assert (found[3]["pista"]["tipo"], found[3]["pista"]["linha"], found[3]["iva"]) == ("DUPLICADO", "b", 0.3)
+    assert [x["esperado"] for x in found[4]["linhas_inconsistentes"]] == [3.0] and found[1]["pista"] is None
+
+
+def test_small_forms(spark):
+    row = spark.createDataFrame([("2024-03-05T10:20:30.5Z", "2024-03-05", "x", 1234.5)], "t string, d string, w string, e double")
+    got = row.select(*(receipts.purchase_time(F.col(c)).cast("string") for c in "tdw"), explorer.euros(F.col("e")), explorer.short_day(F.col("d").cast("date"), True)).first()
+    assert tuple(got) == ("2024-03-05 10:20:30", "2024-03-05 00:00:00", None, "1234,50", "05/03/24")
+    assert [tables.audio_format(m) for m in ("audio/aac", "audio/flac", "audio/mpeg", "", "audio/webm;codecs=opus", "audio/mp4")] == ["m4a", "webm", "mp3", "webm", "webm", "m4a"]
+    files = spark.createDataFrame([("a.PDF", None), ("b", "application/pdf"), ("c.bin", "image/heic"), ("d.wav", None), ("e", None)], "p string, m string")
+    assert [r[0] for r in files.select(tables.file_kind(F.col("p"), F.col("m"))).collect()] == ["pdf", "pdf", "imagem", "voz", "outro"]
+    lines = spark.createDataFrame([(1, "p", 2.0, 0, 2), (1, "q", 1.0, 1, None), (1, "p", 2.0, 2, 3)], "f int, produto string, preco double, pos int, qtd int")
+    assert [(r["produto"], r["qtd"]) for r in explorer.same_lines(lines, "f").collect()] == [("p", 5), ("q", 1)]
+    first, rest = explorer.first_and_rest(lines, "f", "pos", 2)
+    assert (first.count(), rest.count(), explorer.cart_total(lines).first()["total"]) == (2, 1, 5.0)
+    assert text_of(spark, "C/ SAL S/GLUTEN QJ UN") == "com SAL sem GLUTEN Queijo unidades"
+
+
+def text_of(spark, value):
+    from pricegrain.functions.text import expand_abbreviations
+
+    return spark.range(1).select(expand_abbreviations(F.lit(value))).first()[0]
+
+
+def test_outliers_and_explorer(spark, shop):
+    rows = [(i, 1, 1, p) for i, p in enumerate((0.0, 0.0, 0.0, 1.0, 1.0, 4.0, 0.25))]
+    priced = complete(spark.createDataFrame(rows, "id long, fatura_id long, sku_id long, preco_por_base double").withColumns({"is_non_product": F.lit(False), "is_clearance": F.lit(False), "preco_liquido": F.lit(9.5)}), "item")
+    found = admin.price_outliers(Store(shop.loja, shop.sku_normalizado, shop.fatura, priced))
+    assert sorted((float(r["preco_por_base"]), r["mediana"], r["desvio"]) for r in found.collect()) == [(0.25, 1.0, 0.3), (4.0, 1.0, 4.0)]
+    assert [(r["mes"], r["n"]) for r in explorer.months(shop).collect()] == [("2099-05", 3)]
+    listed = explorer.products(shop).collect()
+    assert [(r["nome_canonico"], r["n_compras"], float(r["ultimo_preco"])) for r in listed] == [("Manteiga ZZ", 3, 2.19), ("Café ZZ", 2, 3.2)]
+    assert [(r["data"], r["promo"]) for r in explorer.product_history(shop, 1).collect()] == [("2099-05-01", False), ("2099-05-15", True), ("2099-05-28", False)]
