@@ -1,25 +1,27 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped into lines, one for each block of the page. A line's weight is the length of its text, or nothing if
-it stands in boilerplate (menus, footers, forms, adverts, comments and the like) or consists of links; inside article or
-main it counts double. Weights are summed over a sliding window of lines; text surges where a window first outweighs SURGE and dives where all weight is gone for a
-whole window. What lies between a surge and its dive is the main text, short lines and lines of links included, with the
-headings right before it; only boilerplate goes.
+Markup is stripped into lines, one for each block of the page, with blank lines where a page leaves or enters a part of
+several lines. A line's weight is the length of its text, or nothing if it stands in boilerplate (menus, footers, forms,
+adverts, comments and the like) or consists of links. Inside article or main it counts double, and no line there is
+without weight. Weights are summed over a sliding window of lines; text surges where a window first outweighs SURGE and
+dives where all weight is gone for a whole window. What lies between a surge and its dive is the main text, short lines
+and lines of links included, with the headings right before it; only boilerplate goes. A part of the page whose windows
+never surge, such as a box of short teasers, goes whatever its names are.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Lines of a window, and the characters in a window from which text surges.
-WINDOW, SURGE = 3, 120
+WINDOW, SURGE = 2, 120
 #: A line whose text is links to this share carries no weight; a line inside article or main carries INSIDE times its own.
 LINKS, INSIDE = 0.6, 2.0
 
@@ -37,6 +39,7 @@ NAMES = frozenset(
     "related recommended recommendations recommend readmore trending popular teaser teasers share sharing social follow menu menus nav navbar navigation breadcrumb breadcrumbs footer colophon banner popup modal overlay "
     "toolbar pagination pager skip masthead topbar tags taglist hidden".split()
 )
+PARTS = frozenset("div section ul ol dl table blockquote figure details center article main".split())
 HEADERS = frozenset("header masthead".split())
 
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]*)|[\"'])*)(?:>|\Z)", re.S)
@@ -67,9 +70,22 @@ def is_boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, float, bool, bool]]:
-    """(text, weight, whether boilerplate, whether a heading) of each block line with text, in page order."""
-    out: list[tuple[str, float, bool, bool]] = []
+class Line(NamedTuple):
+    """A block's text, its weight, what it stands in, and the parts of the page around it."""
+
+    text: str
+    weight: float
+    boilerplate: bool
+    heading: bool
+    inside: bool
+    parts: tuple[int, ...]
+
+
+def lines(page: str) -> list[Line]:
+    """The block lines with text, in page order."""
+    out: list[Line] = []
+    around: list[int] = []  # numbers of the open parts
+    begun = 0
     held: list[str] = []  # text pieces of the line that is being read
     linked = 0  # characters of it inside links
     open_: list[tuple[str, bool, bool]] = []  # (tag, is boilerplate, is content)
@@ -81,7 +97,7 @@ def lines(page: str) -> list[tuple[str, float, bool, bool]]:
         text = " ".join(html.unescape("".join(held)).split())
         if text:
             weight = 0.0 if skipping or linked > LINKS * len(text) else len(text) * (INSIDE if inside else 1.0)
-            out.append((text, weight, skipping > 0, any(t in HEADINGS for t, _, _ in open_)))
+            out.append(Line(text, max(weight, 1.0) if inside else weight, skipping > 0, any(t in HEADINGS for t, _, _ in open_), inside > 0, tuple(around)))
         held.clear()
         linked = 0
 
@@ -100,6 +116,8 @@ def lines(page: str) -> list[tuple[str, float, bool, bool]]:
             skipping -= bad
             inside -= content
             links -= tag == "a"
+            if tag in PARTS:
+                around.pop()
         del open_[k:]
 
     at = 0
@@ -150,6 +168,9 @@ def lines(page: str) -> list[tuple[str, float, bool, bool]]:
         if bad:
             flush()
         open_.append((tag, bad, content))
+        if tag in PARTS:
+            around.append(begun)
+            begun += 1
         skipping += bad
         inside += content
         links += tag == "a"
@@ -158,26 +179,37 @@ def lines(page: str) -> list[tuple[str, float, bool, bool]]:
     return out
 
 
-def main_text(page: str) -> str:
+def with_blanks(found: list[Line]) -> list[Line]:
+    """The lines, with a blank one for each part of several lines that the page leaves or enters between two of them.
+
+    Inside article and main there are none: what is marked as one text is one, however it is divided.
+    """
+    size = Counter(p for line in found for p in line.parts)
+    out = found[:1]
+    for before, line in zip(found, found[1:], strict=False):
+        if not (before.inside and line.inside):
+            out += [Line("", 0.0, False, False, False, ())] * sum(size[p] > 1 for p in set(before.parts) ^ set(line.parts))
+        out.append(line)
+    return out
+
+
+def main_text(page: str, window: int = WINDOW, surge: float = SURGE) -> str:
     """The page's main text, its blocks joined by a space; empty if the page has no text of its own."""
-    found = lines(page)
-    if not found:
-        return ""
-    weight = np.array([w for _, w, _, _ in found])
-    if not weight.any():
+    found = with_blanks(lines(page))
+    weight = np.array([line.weight for line in found])
+    if not any(line.weight and not line.boilerplate for line in found):
         return ""
-    padded = np.concatenate((np.zeros(WINDOW - 1), weight, np.zeros(WINDOW - 1)))
-    window = np.convolve(padded, np.ones(WINDOW), "valid")  # window k covers lines k - WINDOW + 1 to k
-    alive = window > 0
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], alive, [False])).astype(np.int8)))
+    padded = np.concatenate((np.zeros(window - 1), weight, np.zeros(window - 1)))
+    sums = np.convolve(padded, np.ones(window), "valid")  # sum k covers lines k - window + 1 to k
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], sums > 0, [False])).astype(np.int8)))
     spans = []  # (heaviest window, all weight, surge, dive), surge and dive as lines
     for start, stop in zip(edges[::2], edges[1::2], strict=True):
-        a, b = max(start, 0), min(stop - WINDOW + 1, len(weight))
+        a, b = start, stop - window + 1
         # A text's linked headings stand within a window of its first line.
-        a = next((i for i in range(max(a - WINDOW + 1, 0), a) if found[i][3] and not found[i][2]), a)
-        spans.append((window[start:stop].max(), weight[a:b].sum(), a, b))
-    surging = [s for s in spans if s[0] >= SURGE] or [max(spans, key=lambda s: (s[1], -s[2]))]
-    return " ".join(found[i][0] for _, _, a, b in surging for i in range(a, b) if not found[i][2])
+        a = next((i for i in range(max(a - window, 0), a) if found[i].heading and not found[i].boilerplate), a)
+        spans.append((sums[start:stop].max(), weight[a:b].sum(), a, b))
+    surging = [s for s in spans if s[0] >= surge] or [max(spans, key=lambda s: (s[1], -s[2]))]
+    return " ".join(found[i].text for _, _, a, b in surging for i in range(a, b) if found[i].text and not found[i].boilerplate)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

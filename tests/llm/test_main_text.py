@@ -15,3 +15,34 @@ def test_story_outside_article():
 def test_linked_lines_within_the_story():
     page = f"<body><article><h1><a href=x>Linked heading</a></h1><p>{STORY}</p><p><a href=y>A source, as a link</a></p><h2><a href=z>Second</a></h2><p>{STORY}</p></article><footer>foot</footer></body>"
     assert main_text(page) == f"Linked heading {STORY.strip()} A source, as a link Second {STORY.strip()}"
+
+
+def page(*blocks: str) -> str:
+    return "<html><head><title>t</title></head><body>" + "".join(blocks) + "</body></html>"
+
+
+TEASERS = "<div class=x1><h3>More for you</h3><p>A short teaser</p><p>Another one</p><ul><li>and a third</li><li>and a fourth</li></ul></div>"
+MENU = "<div class=x0><ul>" + "".join(f"<li><a href=/{i}>Topic number {i} of this site</a></li>" for i in range(9)) + "</ul></div>"
+COMMENTS = "<section class='comment-list'>" + f"<div><b>someone</b><p>{STORY}</p></div>" * 3 + "</section>"
+
+
+def test_windows_choose_the_text_without_telling_names():
+    story = f"<div class=x2><h1>Night of the plan</h1><p>{STORY}</p><p>Short.</p><p>{STORY}</p></div>"
+    want = f"Night of the plan {STORY.strip()} Short. {STORY.strip()}"
+    assert main_text(page(MENU, story, TEASERS)) == want
+    assert main_text(page(MENU, TEASERS, story, COMMENTS)) == want
+    # Without the windows (one that never lets go, or a surge that everything reaches) the boxes come along.
+    assert main_text(page(MENU, story, TEASERS), window=50) != want and main_text(page(MENU, story, TEASERS), surge=1) != want
+
+
+def test_one_text_in_single_blocks_and_in_sections():
+    divided = "".join(f"<div>{t}</div>" for t in (STORY, "Short.", STORY, "End."))
+    assert main_text(page(MENU, f"<div class=x2>{divided}</div>", TEASERS)) == f"{STORY.strip()} Short. {STORY.strip()} End."
+    inside = f"<article><section><h2>One</h2><p>{STORY}</p></section><aside><p>box</p><p>box</p><p>box</p></aside><section><h2>Two</h2><p>End.</p></section></article>"
+    assert main_text(page(MENU, inside, TEASERS, COMMENTS)) == f"One {STORY.strip()} Two End."
+
+
+def test_odd_pages():
+    assert [main_text(x) for x in ("", "   ", "<p>", "<nav>menu</nav>", "<article><nav>menu</nav></article>")] == [""] * 5
+    assert main_text("plain &amp; bare") == "plain & bare" and main_text("<p>one<p>two</div>") == "one two"
+    assert main_text(page(f"<p>{'long word ' * 40_000}</p>")).count("word") == 40_000
