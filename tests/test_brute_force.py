@@ -1,0 +1,76 @@
+"""Registered queries without SQL against plain Python, over the whole smallest tables."""
+
+from __future__ import annotations
+
+import re
+from collections import defaultdict
+
+from pyspark.sql import functions as F
+
+from pricegrain import registry
+from pricegrain.functions.text import STOP_WORDS
+from pricegrain.sources.adapter import description, store, table
+
+
+def test_fold_lines(spark, sf_dir):
+    rows = registry.lines(spark, sf_dir).orderBy("fatura_id", "pos").collect()
+    want = []
+    for r in rows:
+        text = "POUPANCA" if r["pos"] % 3 == 1 else "0,816 kg 1,70 EUR/kg" if r["pos"] % 5 == 2 else r["descricao_original"]
+        above = want[-1] if want and want[-1]["fatura_id"] == r["fatura_id"] else None
+        if above and text == "POUPANCA":
+            above["desconto_direto"] = (above["desconto_direto"] or 0.0) + abs(r["valor"] if r["valor"] is not None else r["desconto_direto"] or 0.0)
+        elif above and " kg " in text:
+            above["linha_peso"], above["valor"] = text, above["valor"] if r["valor"] is None else r["valor"]
+        else:
+            want.append({"fatura_id": r["fatura_id"], "pos": r["pos"], "descricao_original": text, "linha_peso": None, "valor": r["valor"], "desconto_direto": r["desconto_direto"]})
+    found = [r.asDict() for r in registry.queries()["dobrar_linhas"](spark, sf_dir).collect()]
+    key = lambda r: (r["fatura_id"], r["pos"])
+    assert sorted(found, key=key) == sorted(want, key=key) and any(r["linha_peso"] for r in want)
+
+
+def test_resolve(spark, sf_dir):
+    s = store(spark, sf_dir)
+    items = s.item.select("descricao_original", "sku_id").distinct().collect()
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), description(F.col("p_partkey"), F.col("p_name"), F.col("p_size")).alias("texto")).join(s.sku_normalizado, "id").collect()
+    used = {r["sku_id"] for r in items}
+    products = [p for p in parts if p["id"] in used]
+    alias: dict[str, int] = {}
+    for r in items:
+        if r["sku_id"] is not None:
+            key = r["descricao_original"].lower()
+            alias[key] = min(alias.get(key, r["sku_id"]), r["sku_id"])
+    named = defaultdict(list)
+    for p in parts:
+        named[p["texto"].lower()].append((p["nome_canonico"].title(), p["marca"], p["categoria"], p["unidade_base"], p["formato_valor"]))
+    words = lambda name: [w for w in re.sub(r"[^a-z0-9]+", " ", name.lower()).split() if w not in STOP_WORDS]
+
+    def similar(a, b):
+        x, y = words(a), words(b)
+        if not x or not y:
+            return 0.0
+        small, large = (x, y) if len(x) <= len(y) else (y, x)
+        dice = 2 * len(set(x) & set(y)) / (len(set(x)) + len(set(y)))
+        return max(dice, 0.95) if set(small) <= set(large) and len(set(small)) >= 2 and x[0] == y[0] else dice
+
+    want, fresh = {}, defaultdict(list)
+    for text in {r["descricao_original"] for r in items if r["sku_id"] is None}:
+        key = text.lower()
+        name, brand, _, unit, pack = min(named[key])
+        fits = [p for p in products if p["marca"] == brand and p["unidade_base"] == unit]
+        close = [(similar(name, p["nome_canonico"]), -p["id"]) for p in fits if abs(float(p["formato_valor"]) - float(pack)) <= 0.01]
+        score, best = max(close, default=(0.0, 0))
+        same = [p["id"] for p in fits if words(p["nome_canonico"]) == words(name)]
+        if key in alias:
+            want[text] = ("alias", alias[key])
+        elif score >= 0.85:
+            want[text] = ("match", -best)
+        elif same:
+            want[text] = ("match", min(same))
+        else:
+            want[text] = ("novo", None)
+            fresh[name.lower(), brand, unit].append(key)
+    first = {k: min(keys) for keys in fresh.values() for k in keys}
+    found = registry.queries()["resolver_sku"](spark, sf_dir).collect()
+    assert {r["descricao_original"]: (r["via"], r["sku_id"]) for r in found} == want
+    assert all(r["representante"] == (first[r["descricao_original"].lower()] if r["via"] == "novo" else None) for r in found)
