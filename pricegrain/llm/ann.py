@@ -27,7 +27,7 @@ LIST, BEHIND, SHARE = 256, 8, 512
 #: Lists that hold a vector at most, and how much farther than the nearest centroid another one may be for that.
 REPLICAS, BOUNDARY = 8, 1.15
 #: How much farther than the nearest centroid a list that a query reads may be; and the lists that it reads anyway.
-RATIO, LEAST_LISTS = 1.2, 4
+RATIO, LEAST_LISTS = 1.25, 4
 #: Rows that a task gathers before it keeps only the best of each query.
 GATHERED = 200_000
 #: Links of a centroid in the graph, and centroids that a search for storing keeps in view.
