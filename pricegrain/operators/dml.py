@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold, normal_name, store_kind
 from ..functions.units import half_up
-from .receipts import reprice
+from ..sources.extractions import lines as extracted_lines
+from ..sources.extractions import parse
+from ..sources.tables import complete
+from .receipts import fold_lines, needs_review, reconcile, reprice
 
 
 def with_ids(new: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
@@ -214,6 +217,32 @@ def remember(facts: DataFrame, utilizador: str, fato: str) -> DataFrame:
     return insert_ignore(facts, new, ["utilizador", "fato"])
 
 
+def reprocess(receipts: DataFrame, items: DataFrame, again: DataFrame, aliases: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Receipts and lines after some receipts were read again: again has their id and the new extracao_json.
+
+    Lines are folded, reconciled, priced and given the product that their text is known for, and take the place of the old
+    ones; of the receipt the totals, the discrepancy, the need for review and the snapshot change, while store, number,
+    time and model stay. No duplicates are looked for. A receipt whose new extraction can't be read stays as it is.
+    """
+    read = parse(again.select(F.col("id").alias("fatura_id"), "extracao_json")).filter("extracao is not null")
+    lines = fold_lines(extracted_lines(read, "fatura_id"), "fatura_id")
+    done = reconcile(lines, read.select("fatura_id", "extracao.total_impresso", "extracao.desconto_global", "extracao.iva"), "fatura_id")
+    priced = done.select("fatura_id", F.explode("itens").alias("i")).select("fatura_id", "i.pos", "i.preco_liquido", F.col("i.preco_unitario").alias("unitario"))
+    known = aliases.groupBy(fold(F.col("descricao_original")).alias("chave")).agg(F.min("sku_id").alias("sku_id"))
+    rows = lines.join(priced, ["fatura_id", "pos"]).withColumn("chave", fold(F.col("descricao_original"))).join(known, "chave", "left")
+    quantity = F.coalesce(F.nullif("quantidade", F.lit(0.0)), F.lit(1.0))
+    off = F.coalesce(F.col("desconto_direto"), F.lit(0.0))
+    flags = (F.coalesce(c, F.lit(False)).alias(c) for c in ("is_clearance", "is_non_product"))
+    rows = rows.select("fatura_id", "pos", "sku_id", F.substring("descricao_original", 1, 200).alias("descricao_original"), F.substring("linha_peso", 1, 80).alias("linha_peso"), quantity.alias("quantidade"), F.col("unitario").alias("preco_unitario"), "preco_liquido", off.alias("desconto_direto"), *flags)
+    rows = reprice(with_ids(rows, items, ["fatura_id", "pos"]).withColumn("preco_por_base", F.lit(None).cast("double")), products)
+    fresh = complete(rows, "item")
+    facts = done.join(needs_review(done, lines, "fatura_id").select("fatura_id", F.col("needs_review").alias("rever")), "fatura_id").join(read.select("fatura_id", "extracao_json", "extracao.total_impresso", F.coalesce("extracao.desconto_global", F.lit(0.0)).alias("desconto_global")), "fatura_id")
+    new = facts.select(F.col("fatura_id").alias("id"), F.struct("total_impresso", "total_reconciliado", "discrepancia", F.col("rever").alias("needs_review"), "desconto_global", "extracao_json").alias("novo"))
+    kinds = dict(receipts.dtypes)
+    changed = {c: F.when(F.col("novo").isNotNull(), F.col(f"novo.{c}").cast(kinds[c])).otherwise(F.col(c)) for c in ("total_impresso", "total_reconciliado", "discrepancia", "needs_review", "desconto_global", "extracao_json") if c in kinds}
+    return receipts.join(new, "id", "left").withColumns(changed).select(*receipts.columns), replace_items(items, fresh.select(*items.columns))
+
+
 def append(rows: DataFrame, ddl: str, values: tuple) -> DataFrame:
     """One row more, with the next id."""
     new = rows.sparkSession.createDataFrame([values], ddl)

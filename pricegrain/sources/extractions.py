@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -33,11 +34,28 @@ def lines(frame: DataFrame, key: str) -> DataFrame:
     return frame.select(key, F.posexplode("extracao.itens").alias("pos", "linha")).select(key, "pos", "linha.*")
 
 
-def extracted(files: DataFrame, step: Callable[[bytes, str], str]) -> DataFrame:
-    """Runs an injected step (content, kind) -> JSON text over the files of read_files(), in batches on the executors."""
+def readable(text: str | None) -> bool:
+    """Whether parse() would read a receipt from the text."""
+    try:
+        return isinstance(json.loads(text[text.index("{") : text.rindex("}") + 1]).get("itens"), list)
+    except (AttributeError, TypeError, ValueError):
+        return False
+
+
+def extracted(files: DataFrame, step: Callable[[bytes, str], str], tries: int = 2) -> DataFrame:
+    """Runs an injected step (content, kind) -> JSON text over the files of read_files(), in batches on the executors.
+
+    A step whose answer is no receipt is asked again, `tries` times in all; its last answer stays.
+    """
+
+    def ask(content: bytes, kind: str) -> str:
+        for _ in range(tries):
+            if readable(said := step(content, kind)):
+                break
+        return said
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "extracao_json": [step(c, k) for c, k in zip(batch["content"], batch["tipo"], strict=True)]})
+            yield pd.DataFrame({"path": batch["path"], "extracao_json": [ask(c, k) for c, k in zip(batch["content"], batch["tipo"], strict=True)]})
 
     return parse(files.select("path", "content", "tipo").mapInPandas(run, "path string, extracao_json string"))

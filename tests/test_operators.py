@@ -223,3 +223,29 @@ def test_outliers_and_explorer(spark, shop):
     listed = explorer.products(shop).collect()
     assert [(r["nome_canonico"], r["n_compras"], float(r["ultimo_preco"])) for r in listed] == [("Manteiga ZZ", 3, 2.19), ("Café ZZ", 2, 3.2)]
     assert [(r["data"], r["promo"]) for r in explorer.product_history(shop, 1).collect()] == [("2099-05-01", False), ("2099-05-15", True), ("2099-05-28", False)]
+
+
+def test_reprocess(spark, shop):
+    said = '{"total_impresso": 5.5, "itens": [{"descricao_original": "MANT ZZ 250G", "valor": 3.0}, {"descricao_original": "POUPANCA", "valor": 0.5}, {"descricao_original": "SACO", "valor": 3.0, "is_non_product": true}]}'
+    again = spark.createDataFrame([(1, said), (2, "unreadable")], "id long, extracao_json string")
+    aliases = spark.createDataFrame([("mant zz 250g", 1)], "descricao_original string, sku_id long")
+    bills, items = dml.reprocess(shop.fatura, shop.item, again, aliases, shop.sku_normalizado)
+    bill = bills.filter("id = 1").first()
+    assert (float(bill["total_impresso"]), float(bill["total_reconciliado"]), bill["needs_review"], bill["loja_id"]) == (5.5, 5.5, False, 1)
+    assert [(r["id"], r["sku_id"], r["descricao_original"], float(r["preco_liquido"]), r["preco_por_base"] and float(r["preco_por_base"])) for r in items.filter("fatura_id = 1").orderBy("id").collect()] == [(7, 1, "MANT ZZ 250G", 2.5, 2.5), (8, None, "SACO", 3.0, None)]
+    assert bills.count() == 3 and items.count() == 6 and bills.filter("id = 2").first()["needs_review"] is False
+
+
+def test_steps_are_asked_again(spark, tmp_path):
+    from pricegrain.sources import extractions
+
+    for name in ("a.pdf", "b.png"):
+        (tmp_path / name).write_bytes(b"x")
+    said: dict = {}
+
+    def step(content, kind):
+        said[kind] = said.get(kind, 0) + 1
+        return '```{"itens": []}```' if kind == "pdf" and said[kind] == 2 else "no receipt"
+
+    found = {r["path"][-5:]: r["extracao"] for r in extractions.extracted(tables.read_files(spark, str(tmp_path)), step).collect()}
+    assert found["a.pdf"] is not None and found["b.png"] is None
