@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_pattern, fold, similarity_of, tokens
+from ..functions.text import contains_pattern, fold, tokens
 from ..functions.units import half_up
+from ..operators.similar import similar_names
 from ..operators.star import day, fact_items
 from ..sources.tables import Store
 
@@ -115,24 +116,20 @@ def used_products(store: Store) -> DataFrame:
 def merge_suggestions(store: Store, threshold: float = 0.6, most: int = 100) -> DataFrame:
     """Pairs of products of one unit with similar names; the one used more stays.
 
-    Similar names share a word, so names (each distinct name once) meet on their words only; a pair is scored where its
-    first common word meets. Scores have two digits, by which they are ordered. Products of equal names are pairs too. Of equal scores those of the smallest ids come first.
+    Names, each distinct one once, meet by their rare words (similar.py). Scores have two
+    digits, by which they are ordered. Products of equal names are pairs too. Of equal scores those of the smallest ids
+    come first.
     """
     threshold = min(max(float(threshold or 0.6), 0.3), 0.95)
     products = used_products(store).select("id", "nome_canonico", "unidade_base", "n")
-    names = products.select("unidade_base", F.array_distinct(tokens(F.col("nome_canonico"))).alias("conjunto"), tokens(F.col("nome_canonico")).alias("lista"), "nome_canonico").dropDuplicates(["unidade_base", "nome_canonico"])
-    words = names.select("unidade_base", "nome_canonico", "conjunto", "lista", F.explode("conjunto").alias("palavra"))
-    a, b = words.alias("a"), words.alias("b")
-    met = a.join(b, (F.col("a.unidade_base") == F.col("b.unidade_base")) & (F.col("a.palavra") == F.col("b.palavra")) & (F.col("a.nome_canonico") < F.col("b.nome_canonico")))
-    least = F.array_min(F.array_intersect("a.conjunto", "b.conjunto")) == F.col("a.palavra")
-    score = similarity_of(F.col("a.lista"), F.col("b.lista"))
-    alike = met.filter(least).select(F.col("a.unidade_base").alias("unidade_base"), F.col("a.nome_canonico").alias("nome_a"), F.col("b.nome_canonico").alias("nome_b"), score.alias("score")).filter(F.col("score") >= threshold).withColumn("score", half_up(F.col("score"), 2))
+    names = products.select(F.col("unidade_base").alias("grupo"), F.col("nome_canonico").alias("nome"))
+    alike = similar_names(names, names, threshold, ordered=True).withColumnRenamed("grupo", "unidade_base").withColumn("score", half_up(F.col("score"), 2))
     left = products.select(F.col("id").alias("id_a"), F.col("nome_canonico").alias("nome_a"), "unidade_base", F.col("n").alias("n_a"))
     right = products.select(F.col("id").alias("id_b"), F.col("nome_canonico").alias("nome_b"), "unidade_base", F.col("n").alias("n_b"))
     # Every pair of names is a pair of products at least, so pairs below the score of the last of `most` can't come out.
     last = alike.orderBy(F.desc("score")).limit(most).agg(F.min("score").alias("last"))
     top_names = alike.join(F.broadcast(last), F.col("score") >= F.col("last")).drop("last")
-    same = names.filter(F.size("conjunto") > 0).select("unidade_base", F.col("nome_canonico").alias("nome_a"), F.col("nome_canonico").alias("nome_b"), F.lit(1.0).alias("score"))
+    same = products.filter(F.size(tokens(F.col("nome_canonico"))) > 0).select("unidade_base", "nome_canonico").distinct().select("unidade_base", F.col("nome_canonico").alias("nome_a"), F.col("nome_canonico").alias("nome_b"), F.lit(1.0).alias("score"))
     pairs = top_names.unionByName(same).join(left, ["unidade_base", "nome_a"]).join(right, ["unidade_base", "nome_b"]).filter((F.col("id_a") < F.col("id_b")) | (F.col("nome_a") != F.col("nome_b")))
     first = F.least("id_a", "id_b")
     keep_a = (F.col("n_a") > F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("id_a") == first)
