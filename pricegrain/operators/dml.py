@@ -16,14 +16,6 @@ from ..sources.tables import complete
 from .receipts import fold_lines, needs_review, reconcile, reprice
 
 
-def with_ids(new: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
-    """New rows with ids after the largest existing one, in a fixed order. For the few rows of an upload, not for bulk loads."""
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
-    numbered = new.drop("id").withColumn("rank", rank)
-    return numbered.join(F.broadcast(top)).withColumn("id", F.col("top") + F.col("rank")).drop("top", "rank")
-
-
 def settled(frame: DataFrame) -> DataFrame:
     """The frame, computed once: in the folder of spark.checkpoint.dir, or where there is none, as in tests, persisted."""
     context = frame.sparkSession.sparkContext
@@ -33,6 +25,17 @@ def settled(frame: DataFrame) -> DataFrame:
     return frame.checkpoint() if context.getCheckpointDir() else frame.persist()
 
 
+def with_ids(new: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
+    """New rows with ids after the largest existing one, in a fixed order: ranges of it are numbered in tasks of their own."""
+    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    rows = settled(new.drop("id").repartitionByRange(*order).withColumn("parte", F.spark_partition_id()))
+    sizes = rows.groupBy("parte").agg(F.count(F.lit(1)).alias("n"))  # one row for each task
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("parte").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("parte").orderBy(*order))
+    numbered = rows.withColumn("rank", rank).join(F.broadcast(sizes.select("parte", before.alias("antes"))), "parte").join(F.broadcast(top))
+    return numbered.withColumn("id", F.col("top") + F.col("antes") + F.col("rank")).drop("top", "antes", "rank", "parte")
+
+
 def tidy_stores(incoming: DataFrame) -> DataFrame:
     """Stores with defaults (Desconhecida, the chain) and their kind; blank tax numbers are none."""
     chain = F.coalesce(F.nullif(F.trim("cadeia"), F.lit("")), F.lit("Desconhecida"))

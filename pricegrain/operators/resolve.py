@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, normal_name, similarity
+from ..functions.text import fold, normal_name
+from .dml import insert_ignore, settled, with_ids
+from .similar import similar_names
 
 SURE, POSSIBLE, CONFIDENT = 0.85, 0.6, 0.6
 
@@ -18,45 +20,128 @@ def close_format(a: Column, b: Column) -> Column:
     return (a.isNull() & b.isNull()) | F.coalesce(F.abs(a.cast("double") - b.cast("double")) <= 0.01, F.lit(False))
 
 
-def best_candidates(wanted: DataFrame, products: DataFrame) -> DataFrame:
-    """For each wanted row (chave, nome_canonico, marca, unidade_base, formato_valor) the most similar product of its brand, unit and format."""
-    p = products.select(F.col("id").alias("candidato"), F.col("nome_canonico").alias("nome"), F.col("marca").alias("m"), F.col("unidade_base").alias("u"), F.col("formato_valor").alias("f"))
-    fits = fold(F.col("marca")).eqNullSafe(fold(F.col("m"))) & (F.col("unidade_base") == F.col("u"))
-    same = normal_name(F.col("nome_canonico")) == normal_name(F.col("nome"))
-    met = wanted.join(p, fits).filter(close_format(F.col("formato_valor"), F.col("f")) | same)
-    score = similarity(F.col("nome_canonico"), F.col("nome"))
-    scored = met.withColumn("score", F.when(close_format(F.col("formato_valor"), F.col("f")), score).otherwise(0.0)).withColumn("igual", same)
-    return scored.groupBy("chave").agg(F.max_by(F.struct("candidato", "nome", "score"), F.struct("score", -F.col("candidato"))).alias("melhor"), F.min(F.when(F.col("igual"), F.col("candidato"))).alias("de_nome_igual"))
+def group_of() -> Column:
+    """Brand, which may be missing, and unit, as one key; null without a unit."""
+    return F.concat(F.coalesce(F.concat(F.lit("m"), fold(F.col("marca"))), F.lit("-")), F.lit("\u0000"), F.col("unidade_base"))
+
+
+def links(wanted: DataFrame, offered: DataFrame) -> DataFrame:
+    """no, candidato, nome, score, igual: what each wanted name may stand for, of its brand and unit.
+
+    wanted: no, grupo, nome, formato; offered: candidato, grupo, nome, formato. Either the score is POSSIBLE or more and
+    the formats are close, or the names are equal (igual); of equal names whose formats differ the score is 0.
+    """
+    w = wanted.select("no", "grupo", F.col("nome").alias("nome_a"), F.col("formato").alias("fa"))
+    o = offered.select("candidato", "grupo", F.col("nome").alias("nome_b"), F.col("formato").alias("fb"))
+    near = close_format(F.col("fa"), F.col("fb"))
+    alike = similar_names(wanted, offered, POSSIBLE).join(w, ["grupo", "nome_a"]).join(o, ["grupo", "nome_b"]).filter(near)
+    letters = lambda rows, name: rows.withColumn("letras", normal_name(F.col(name)))
+    same = letters(w, "nome_a").join(letters(o, "nome_b"), ["grupo", "letras"])
+    met = alike.select("no", "candidato", F.col("nome_b").alias("nome"), "score", F.lit(False).alias("igual"))
+    met = met.unionByName(same.select("no", "candidato", F.col("nome_b").alias("nome"), F.lit(0.0).alias("score"), F.lit(True).alias("igual")))
+    return met.groupBy("no", "candidato").agg(F.any_value("nome").alias("nome"), F.max("score").alias("score"), F.max("igual").alias("igual"))
+
+
+def best_of(found: DataFrame) -> DataFrame:
+    """no, melhor (candidato, nome, score), igual: the most similar of the links(), the first on a tie, and the first of an equal name."""
+    best = F.min_by(F.struct("candidato", "nome", "score"), F.struct((-F.col("score")).alias("s"), "candidato"))
+    return found.groupBy("no").agg(best.alias("melhor"), F.min(F.when(F.col("igual"), F.col("candidato"))).alias("igual"))
+
+
+def decided(nodes: DataFrame, of_products: DataFrame, of_new: DataFrame, yes: DataFrame) -> DataFrame:
+    """no, nome, via, sku_id, novo_no of names by their links to products and to names that are new products; products go first on a tie."""
+    old = best_of(of_products).select("no", F.col("melhor").alias("p"), F.col("igual").alias("p_igual"))
+    new = best_of(of_new).select("no", F.col("melhor").alias("t"), F.col("igual").alias("t_igual"))
+    rows = nodes.select("no", "nome").join(old, "no", "left").join(new, "no", "left")
+    p, t = (F.coalesce(F.col(f"{c}.score"), F.lit(0.0)) for c in "pt")
+    rows = rows.withColumn("nova", t > p).withColumn("score", F.greatest(p, t)).withColumn("nome_b", F.when(t > p, F.col("t.nome")).otherwise(F.col("p.nome")))
+    rows = rows.join(yes, (fold(F.col("nome")) == F.col("ja")) & (fold(F.col("nome_b")) == F.col("jb")), "left")
+    sure, same = F.col("score") >= SURE, F.col("p_igual").isNotNull() | F.col("t_igual").isNotNull()
+    via = F.when(sure | same, "match").when((F.col("score") >= POSSIBLE) & F.coalesce("sim", F.lit(False)), "match-llm").otherwise("novo")
+    by_score = sure | (via == "match-llm")
+    sku = F.when(by_score, F.when(~F.col("nova"), F.col("p.candidato"))).when(via == "match", F.col("p_igual"))
+    other = F.when(by_score, F.when(F.col("nova"), F.col("t.candidato"))).when((via == "match") & F.col("p_igual").isNull(), F.col("t_igual")).when(via == "novo", F.col("no"))
+    return rows.select("no", "nome", via.alias("via"), sku.alias("sku_id"), other.alias("novo_no"))
+
+
+def new_names(nodes: DataFrame, of_products: DataFrame, between: DataFrame, yes: DataFrame) -> DataFrame:
+    """no of the names that become products, when names are decided in the order of `no` and each sees the products that earlier ones made.
+
+    between: links() to earlier names. In each round names without open earlier ones are decided, and those go that are
+    sure to stand for a product just made. Names that no other name resembles, mostly all, are decided in the first.
+    """
+    strong = (F.col("score") >= SURE) | F.col("igual")
+    judged = lambda found: found.filter(~strong).join(nodes.select("no", F.col("nome").alias("de")), "no").join(yes, (fold(F.col("de")) == F.col("ja")) & (fold(F.col("nome")) == F.col("jb")))
+    # Possible products matter to those names only of which a verdict says yes.
+    hesitant = judged(of_products).select("no").unionByName(judged(between).select("no")).distinct()
+    hindering = between.filter(strong).unionByName(between.filter(~strong).join(hesitant, "no", "left_semi"))
+    open_ = settled(nodes.select("no", "nome").join(of_products.filter(strong), "no", "left_anti").join(hesitant.withColumn("hesita", F.lit(True)), "no", "left"))
+    hindering = settled(hindering.join(open_, "no", "left_semi").join(open_.select(F.col("no").alias("candidato")), "candidato", "left_semi"))
+    made = open_.select("no").limit(0)
+    while not open_.isEmpty():
+        waits = hindering.join(open_.select(F.col("no").alias("candidato")), "candidato", "left_semi").select("no")
+        ready = open_.join(waits, "no", "left_anti")
+        to_made = hindering.join(made.select(F.col("no").alias("candidato")), "candidato", "left_semi")
+        doubtful = ready.filter("hesita")
+        fresh = decided(doubtful, of_products.join(doubtful, "no", "left_semi"), to_made.join(doubtful, "no", "left_semi"), yes).filter("via = 'novo'").select("no")
+        fresh = settled(ready.filter("hesita is null").select("no").unionByName(fresh))
+        gone = hindering.filter(strong).join(fresh.select(F.col("no").alias("candidato")), "candidato", "left_semi").select("no")
+        made = made.unionByName(fresh)
+        open_ = settled(open_.join(ready.select("no"), "no", "left_anti").join(gone, "no", "left_anti"))
+    return made
 
 
 def resolve(texts: DataFrame, aliases: DataFrame, canonical: DataFrame, products: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
-    """One row per distinct text (case, accents and outer blanks apart): chave, descricao_original, via, sku_id, and the canonical fields.
+    """One row per distinct text (case, accents and outer blanks apart): chave, descricao_original, via, sku_id, the canonical fields, representante.
 
     via: alias (known text), revisao (no canonical name of confidence 0.6 or more), match (a product of score 0.85 or more,
     or of the same name), match-llm (score 0.6 or more and a yes among `verdicts` (nome_a, nome_b, mesmo)), novo.
-    New texts of equal name, brand and unit share a product: the first text, in order, stands for them (representante).
+    Texts are decided in order, and each sees the products of earlier ones: a text that stands for a new product has no
+    sku_id but the text that made it (representante; its own for novo). Texts of one canonical name, brand, unit and
+    format are decided together with the first of them. add_resolved() gives new products their ids.
     texts: descricao_original; canonical: descricao_original, nome_canonico, marca, categoria, unidade_base, formato_valor, confianca.
     """
+    spark = texts.sparkSession
     distinct = texts.filter(fold(F.col("descricao_original")) != "").groupBy(fold(F.col("descricao_original")).alias("chave")).agg(F.min("descricao_original").alias("descricao_original"))
     known = aliases.groupBy(fold(F.col("descricao_original")).alias("chave")).agg(F.min("sku_id").alias("de_alias"))
     named = canonical.groupBy(fold(F.col("descricao_original")).alias("chave")).agg(F.min(F.struct("nome_canonico", "marca", "categoria", "unidade_base", "formato_valor", F.coalesce("confianca", F.lit(0.5)).alias("confianca"))).alias("c"))
     rows = distinct.join(known, "chave", "left").join(named, "chave", "left").select("chave", "descricao_original", "de_alias", "c.*")
-    sure = F.col("nome_canonico").isNotNull() & (F.col("confianca") >= CONFIDENT)
-    found = best_candidates(rows.filter(F.col("de_alias").isNull() & sure), products)
-    rows = rows.join(found, "chave", "left")
-    judged = F.lit(False)
-    if verdicts is not None:
-        yes = verdicts.filter("mesmo").select(fold(F.col("nome_a")).alias("ja"), fold(F.col("nome_b")).alias("jb"), F.lit(True).alias("sim")).distinct()
-        rows = rows.join(yes, (fold(F.col("nome_canonico")) == F.col("ja")) & (fold(F.col("melhor.nome")) == F.col("jb")), "left")
-        judged = F.coalesce("sim", F.lit(False))
-    score = F.coalesce("melhor.score", F.lit(0.0))
-    via = F.when(F.col("de_alias").isNotNull(), "alias").when(F.coalesce(~sure, F.lit(True)), "revisao").when(score >= SURE, "match").when(F.col("de_nome_igual").isNotNull(), "match").when((score >= POSSIBLE) & judged, "match-llm").otherwise("novo")
-    sku = F.when(via == "alias", F.col("de_alias")).when((via == "match") & (score >= SURE) | (via == "match-llm"), F.col("melhor.candidato")).when(via == "match", F.col("de_nome_igual"))
-    out = rows.select("chave", "descricao_original", via.alias("via"), sku.alias("sku_id"), "nome_canonico", "marca", "categoria", "unidade_base", "formato_valor")
-    same = ["nome_chave", "marca_chave", "unidade_base"]
-    fresh = out.filter("via = 'novo'").select("chave", fold(F.col("nome_canonico")).alias("nome_chave"), F.coalesce(fold(F.col("marca")), F.lit("")).alias("marca_chave"), "unidade_base")
-    first = fresh.groupBy(*same).agg(F.min("chave").alias("representante"))
-    return out.join(fresh.join(first, same).select("chave", "representante"), "chave", "left")
+    sure = F.coalesce(F.col("nome_canonico").isNotNull() & (F.col("confianca") >= CONFIDENT), F.lit(False))
+    rows = settled(rows.withColumns({"sabido": sure, "grupo": group_of(), "dobrado": fold(F.col("nome_canonico"))}))
+    node = ["grupo", "dobrado", "formato_valor"]
+    asks = rows.filter("sabido and de_alias is null")
+    nodes = asks.groupBy(*node).agg(F.min("chave").alias("no"), F.min_by("nome_canonico", "chave").alias("nome")).withColumnRenamed("formato_valor", "formato")
+    nodes = settled(nodes)
+    offered = products.groupBy(group_of().alias("grupo"), F.col("nome_canonico").alias("nome"), F.col("formato_valor").alias("formato")).agg(F.min("id").alias("candidato"))
+    yes = spark.createDataFrame([], "nome_a string, nome_b string, mesmo boolean") if verdicts is None else verdicts
+    yes = yes.filter("mesmo").select(fold(F.col("nome_a")).alias("ja"), fold(F.col("nome_b")).alias("jb"), F.lit(True).alias("sim")).distinct()
+    of_products = settled(links(nodes, offered))
+    between = settled(links(nodes, nodes.withColumnRenamed("no", "candidato")).filter("candidato < no"))
+    made = settled(new_names(nodes, of_products, between, yes))
+    done = decided(nodes, of_products, between.join(made.select(F.col("no").alias("candidato")), "candidato", "left_semi"), yes)
+    done = nodes.select("grupo", "dobrado", "formato", "no").join(done.drop("nome"), "no").withColumnRenamed("formato", "formato_valor")
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}")) for c in node]
+    told = asks.alias("r").join(done.alias("d"), on).select("r.chave", "d.no", F.col("d.via").alias("v"), "d.sku_id", "d.novo_no")
+    out = rows.join(told, "chave", "left")
+    first = (F.col("v") == "novo") & (F.col("no") != F.col("chave"))  # texts after the one that makes the product stand for it
+    via = F.when(F.col("de_alias").isNotNull(), "alias").when(~F.col("sabido"), "revisao").when(first, "match").otherwise(F.col("v"))
+    return out.select("chave", "descricao_original", via.alias("via"), F.coalesce("de_alias", "sku_id").alias("sku_id"), "nome_canonico", "marca", "categoria", "unidade_base", "formato_valor", F.col("novo_no").alias("representante"))
+
+
+def add_resolved(resolved: DataFrame, products: DataFrame, aliases: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Products, aliases and lines after resolve(): new products, an alias of every text with a product, and lines without one given theirs.
+
+    Lines that are no products stay without; aliases that are there already stay as they are.
+    """
+    made = with_ids(resolved.filter("via = 'novo'"), products, ["chave"])
+    all_products = products.unionByName(made.select("id", *(c for c in products.columns if c != "id" and c in made.columns)), allowMissingColumns=True)
+    of_text = resolved.join(made.select(F.col("chave").alias("representante"), F.col("id").alias("novo_id")), "representante", "left")
+    of_text = settled(of_text.select("chave", "descricao_original", F.coalesce("sku_id", "novo_id").alias("achado")).filter("achado is not null"))
+    fresh = of_text.select("descricao_original", F.col("achado").alias("sku_id"), F.lit("llm").alias("origem")).select(*(c for c in ("descricao_original", "sku_id", "origem") if c in aliases.columns))
+    lines = items.withColumn("chave", fold(F.col("descricao_original"))).join(of_text.select("chave", "achado"), "chave", "left")
+    own = F.col("sku_id").isNull() & (F.col("is_non_product") == F.lit(False))
+    lines = lines.withColumn("sku_id", F.when(own, F.col("achado")).otherwise(F.col("sku_id")))
+    return all_products, insert_ignore(aliases, fresh, ["descricao_original"]), lines.select(*items.columns)
 
 
 def counters(resolved: DataFrame) -> DataFrame:
