@@ -138,6 +138,24 @@ def purchase_time(text: Column) -> Column:
     return F.try_to_timestamp(F.substring(F.replace(text, F.lit("T"), F.lit(" ")), 1, 19)).cast("timestamp_ntz")
 
 
+def named_lines(lines: DataFrame, items: DataFrame, products: DataFrame, key: str = "fatura_id") -> DataFrame:
+    """Lines of uploads (key, descricao_original, ...) with `produto`: the canonical name that their text was given on that receipt, else the text.
+
+    Where lines of one text have different products, the last line's name holds for all of them; texts are compared as they are.
+    """
+    product = products.filter("nome_canonico != ''").select(F.col("id").alias("sku_id"), "nome_canonico")
+    names = items.join(product, "sku_id").groupBy(key, "descricao_original").agg(F.max_by("nome_canonico", "id").alias("canonico"))
+    return lines.join(names, [key, "descricao_original"], "left").withColumn("produto", F.coalesce("canonico", "descricao_original")).drop("canonico")
+
+
+def upload_note(chain: Column, name: Column, bought: Column, total: Column, n_lines: Column, fits: Column) -> Column:
+    """What the chat keeps of an upload: store, day, total and number of lines, and whether it is under review."""
+    amount = F.replace(F.format_string("%.2f", total.cast("double")), F.lit("."), F.lit(","))
+    review = F.when(F.coalesce(fits, F.lit(False)), "").otherwise(" (em revisão — diferença a confirmar)")
+    shop = F.coalesce(F.nullif(chain, F.lit("")), name, F.lit(""))
+    return F.concat(F.lit("📄 "), shop, F.lit(", "), F.substring(F.coalesce(bought, F.lit("")), 1, 10), F.lit(", total "), amount, F.lit(" €, "), n_lines.cast("string"), F.lit(" itens."), review)
+
+
 def diagnosis(receipts: DataFrame, key: str = "id") -> DataFrame:
     """key, discrepancia, iva, pista, linhas_inconsistentes of stored receipts (extracao_json, discrepancia, needs_review).
 

@@ -128,6 +128,12 @@ def q_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("fatura_id", "discrepancia", F.col("pista.tipo").alias("tipo"), F.col("pista.linha").alias("linha"), F.size(F.coalesce("linhas_inconsistentes", F.array())).cast("long").alias("n_linhas"), F.coalesce(F.get("linhas_inconsistentes", F.lit(0))["pos"].cast("long"), F.lit(-1)).alias("primeira"))
 
 
+def q_named_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each receipt's texts by the product names that they go by."""
+    s = store(spark, sf_dir)
+    return receipts.named_lines(s.item.select("fatura_id", "descricao_original").distinct(), s.item, s.sku_normalizado)
+
+
 def q_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products by section, with categories of a shop."""
     s = store(spark, sf_dir)
@@ -180,6 +186,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "custos_modelo": lambda s, d: doubles(admin.costs(store(s, d), "modelo")),
     "sugestoes_merge": lambda s, d: admin.merge_suggestions(store(s, d), 0.6),
     "diagnostico": q_diagnosis,
+    "nomes_fatura": q_named_lines,
     "perfil": lambda s, d: admin.facts_of(store(s, d), "3"),
     "merge_identicos": q_merge_identical,
     "fuzzy_alvo": q_fuzzy,
@@ -279,6 +286,7 @@ def oracle_sql() -> dict[str, str]:
     folded = "lower(descricao_original)"
     drinks = " OR ".join(matches(t) for t in text.SYNONYMS["bebida alcoolica"])
     return {
+        "nomes_fatura": f"WITH {SKU_SQL}, {ITEM} SELECT fatura_id, descricao_original, coalesce(arg_max(nome_canonico, i.id) FILTER (nome_canonico != ''), descricao_original) AS produto FROM item i LEFT JOIN sku s ON s.id = i.sku_id GROUP BY 1, 2",
         "ultima_compra": f"{BASE} SELECT produto, CAST(preco_liquido AS DOUBLE) AS preco, preco_por_base, unidade_base, loja, cadeia, data, is_clearance FROM base WHERE {matches('widget')} AND {OK} ORDER BY {newest} LIMIT 1",
         "comparar_lojas": f"{BASE} SELECT cadeia, loja, preco_por_base, unidade_base, data FROM base WHERE {matches('red plate')} AND {PLAIN} QUALIFY row_number() OVER (PARTITION BY loja_id ORDER BY {newest}) = 1",
         "historico_preco": f"{BASE} SELECT data, cadeia, loja, preco_por_base, CAST(preco_liquido AS DOUBLE) AS preco_liquido, unidade_base FROM base WHERE {matches('brand#25')} AND {OK} AND NOT is_clearance AND data_compra >= DATE '1998-01-01'",

@@ -1,4 +1,4 @@
-"""Receipts that arrive continuously, and spending over event time. An addition to the batch queries."""
+"""Receipts and model calls that arrive continuously, and spending over event time. An addition to the batch queries."""
 
 from __future__ import annotations
 
@@ -35,3 +35,19 @@ def spending(lines: DataFrame, window: str = "7 days", late: str = "1 day") -> D
     timed = lines.withColumn("quando", F.col("data_compra").cast("timestamp")).withWatermark("quando", late)
     grouped = timed.groupBy(F.window("quando", window).alias("janela"), "cadeia").agg(F.sum("preco_liquido").alias("total"), F.count(F.lit(1)).alias("n"))
     return grouped.select(F.col("janela.start").alias("inicio"), "cadeia", "total", "n")
+
+
+def call_rows(calls: DataFrame) -> DataFrame:
+    """Rows of the cost log from model calls (contexto, modelo, usage, criado_em), of a stream or a table; calls without usage leave none.
+
+    usage: prompt_tokens, completion_tokens, cost; what is missing counts as 0.
+    """
+    text = lambda c, most, default: F.substring(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(default)), 1, most).alias(c)
+    number = lambda c, kind, name: F.coalesce(F.col(f"usage.{c}"), F.lit(0)).cast(kind).alias(name)
+    rows = calls.filter("usage is not null")
+    return rows.select(text("contexto", 30, "geral"), text("modelo", 60, ""), number("prompt_tokens", "int", "prompt_tokens"), number("completion_tokens", "int", "completion_tokens"), number("cost", "decimal(12,8)", "custo"), "criado_em")
+
+
+def log_costs(calls: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Appends the calls of a stream to the cost log in `target`, each once; stops when all that is there is read."""
+    return call_rows(calls).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -249,3 +249,23 @@ def test_steps_are_asked_again(spark, tmp_path):
 
     found = {r["path"][-5:]: r["extracao"] for r in extractions.extracted(tables.read_files(spark, str(tmp_path)), step).collect()}
     assert found["a.pdf"] is not None and found["b.png"] is None
+
+
+def test_names_and_note_of_an_upload(spark, shop):
+    items = spark.createDataFrame([(1, 7, "A", 1), (2, 7, "A", 2), (3, 7, "B", None), (4, 8, "A", 1)], "id long, fatura_id long, descricao_original string, sku_id long")
+    lines = items.select("fatura_id", "id", "descricao_original")
+    found = receipts.named_lines(lines, items, shop.sku_normalizado).orderBy("id").collect()
+    assert [r["produto"] for r in found] == ["Café ZZ", "Café ZZ", "B", "Manteiga ZZ"]
+    row = spark.createDataFrame([(None, "Loja", "2024-03-05T10:00", 12.5, 3, True), ("C", "x", None, 1.0, 0, None)], "c string, n string, d string, t double, k int, b boolean")
+    notes = [r[0] for r in row.select(receipts.upload_note(*(F.col(c) for c in "cndtkb"))).collect()]
+    assert notes == ["📄 Loja, 2024-03-05, total 12,50 €, 3 itens.", "📄 C, , total 1,00 €, 0 itens. (em revisão — diferença a confirmar)"]
+
+
+def test_costs_arrive(spark, tmp_path):
+    calls = spark.sql("select cast(null as string) contexto, 'm' modelo, named_struct('prompt_tokens', 5L, 'completion_tokens', cast(null as bigint), 'cost', 0.25D) usage, timestamp_ntz'2024-01-01 00:00:00' criado_em union all select repeat('c', 50), null, null, null union all select repeat('c', 50), null, named_struct('prompt_tokens', null, 'completion_tokens', 2L, 'cost', null), null")
+    calls.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(calls.schema).parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a second run finds nothing new
+        arrivals.log_costs(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    rows = complete(spark.read.parquet(str(tmp_path / "out")), "custo_chamada").collect()
+    assert sorted((r["contexto"], r["modelo"], r["prompt_tokens"], r["completion_tokens"], float(r["custo"])) for r in rows) == [("c" * 30, "", 0, 2, 0.0), ("geral", "m", 5, 0, 0.25)]
