@@ -29,8 +29,8 @@ from .simhash import whole_groups
 ORDER = 5
 #: Characters of a block of documents, on average; a task holds the grams and words of a block.
 BLOCK = 20_000_000
-#: Text bytes whose grams are sorted at once while counting, and while scoring.
-CHUNK, PIECE = 1 << 22, 1 << 16
+#: Text bytes whose grams are held at once, and of these, grams that are looked up at once.
+CHUNK, PIECE = 1 << 20, 1 << 16
 #: Bytes that stand before a text and after it; UTF-8 has neither. All bytes but the first can be predicted.
 BEFORE, END = b"\xfe", b"\xff"
 SYMBOLS = 255
@@ -42,16 +42,35 @@ def lowered(value: pa.Scalar) -> bytes:
     return (value.as_py() or "").encode("utf-8", "surrogatepass").lower()
 
 
-def grams(texts: list[bytes]) -> np.ndarray:
-    """Every byte and end of the texts behind its context, as ORDER + 1 bytes of an integer."""
-    pad = BEFORE * ORDER
-    b = np.frombuffer(b"".join(pad + t + END for t in texts), np.uint8)
+def grams(padded: bytes) -> np.ndarray:
+    """Every byte and end behind its context, as ORDER + 1 bytes of an integer; the first ORDER bytes are context only."""
+    b = np.frombuffer(padded, np.uint8)
     out = np.zeros(max(0, len(b) - ORDER), dtype=np.uint64)
     for k in range(ORDER + 1):
-        out = out << np.uint64(8) | b[k : k + len(out)]
+        out <<= np.uint64(8)
+        out |= b[k : k + len(out)]
     return out[b[ORDER:] != BEFORE[0]]
 
 
+def stretches(texts: list[bytes]) -> Iterator[tuple[list[int], bytes]]:
+    """Texts with what stands before and after them, joined to about CHUNK bytes, and which texts; longer ones in stretches that overlap by a context."""
+    owners: list[int] = []
+    joined = bytearray()
+    for i, text in enumerate(texts):
+        if joined and len(joined) + len(text) > CHUNK:
+            yield owners, bytes(joined)
+            owners, joined = [], bytearray()
+        if len(text) > CHUNK:
+            padded = BEFORE * ORDER + text + END
+            for k in range(0, len(text) + 1, CHUNK):
+                yield [i], padded[k : k + CHUNK + ORDER]
+        else:
+            owners.append(i)
+            joined += BEFORE * ORDER + text + END
+    if joined:
+        yield owners, bytes(joined)
+
+
 def word_key(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
@@ -59,41 +78,56 @@ def word_key(word: bytes) -> int:
 END_KEY = word_key(END)
 
 
+class Counts:
+    """Sorted keys and how often each came."""
+
+    def __init__(self, kind: type) -> None:
+        self.keys, self.counts = np.empty(0, dtype=kind), np.empty(0, dtype=np.int64)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Sorted keys, each once, come in with their counts."""
+        at = np.searchsorted(self.keys, keys)
+        old = np.zeros(len(keys), dtype=bool)
+        inside = at < len(self.keys)
+        old[inside] = self.keys[at[inside]] == keys[inside]
+        self.counts[at[old]] += counts[old]
+        self.keys, self.counts = np.insert(self.keys, at[~old], keys[~old]), np.insert(self.counts, at[~old], counts[~old])
+
+
 class Tally:
-    """Counts of grams and words, merged as texts come in."""
+    """Counts of grams and words, merged as texts come in; between merges it holds texts of about CHUNK bytes."""
 
     def __init__(self) -> None:
-        self.keys, self.counts = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-        self.words: Counter = Counter()
+        self.grams, self.words = Counts(np.uint64), Counts(np.int64)
         self.held: list[bytes] = []
         self.size = 0
 
     def add(self, text: bytes) -> None:
-        self.words.update(text.split())
-        self.words[END] += 1
         self.held.append(text)
-        self.size += len(text)
+        self.size += len(text) + ORDER + 1
         if self.size >= CHUNK:
             self.merge()
 
     def merge(self) -> None:
         if not self.held:
             return
-        keys, counts = np.unique(grams(self.held), return_counts=True)
-        keys, counts = np.concatenate((self.keys, keys)), np.concatenate((self.counts, counts))
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        self.keys, self.counts = keys[first], np.add.reduceat(counts, first)
+        for _, padded in stretches(self.held):
+            self.grams.add(*np.unique(grams(padded), return_counts=True))
+        words = Counter({END: len(self.held)})
+        for text in self.held:
+            words.update(text.split())
         self.held, self.size = [], 0
+        keys, counts = np.fromiter(map(word_key, words), np.int64, len(words)), np.fromiter(words.values(), np.int64, len(words))
+        order = np.argsort(keys)
+        self.words.add(keys[order], counts[order])
 
     def full(self) -> bool:
-        return len(self.words) > 600_000 or len(self.keys) > 4_000_000
+        return len(self.words.keys) + len(self.grams.keys) > 4_000_000
 
     def entries(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         self.merge()
-        yield GRAM, self.keys.view(np.int64), self.counts
-        yield WORD, np.fromiter(map(word_key, self.words), np.int64, len(self.words)), np.fromiter(self.words.values(), np.int64, len(self.words))
+        yield GRAM, self.grams.keys.view(np.int64), self.grams.counts
+        yield WORD, self.words.keys, self.words.counts
 
 
 def entry_batches(tally: Tally, weight: int, block: int | None = None) -> Iterator[pa.RecordBatch]:
@@ -235,38 +269,48 @@ def ppm_scores(docs: DataFrame, learns, id_col: str = "doc_id", text_col: str =
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         kind, key, value = (answers.column(c).to_numpy() for c in ("kind", "key", "value"))
-        order = np.argsort(key[kind == GRAM], kind="stable")
-        gram_keys, gram_values = key[kind == GRAM][order].astype(np.uint64), value[kind == GRAM][order]
-        of_word = dict(zip(key[kind == WORD].tolist(), value[kind == WORD].tolist(), strict=True))
-        remembered: dict[bytes, float] = {}
 
-        def base(word: bytes) -> float:
-            found = remembered.get(word)
-            if found is None:
-                found = remembered[word] = of_word[word_key(word)]
-            return found
+        def sorted_part(part: int) -> tuple[np.ndarray, np.ndarray]:
+            keys, values = key[kind == part], value[kind == part]
+            order = np.argsort(keys)
+            return keys[order], values[order]
+
+        gram_keys, gram_values = sorted_part(GRAM)
+        gram_keys = gram_keys.view(np.uint64)  # grams are below 2^63
+        word_keys, word_values = sorted_part(WORD)
+        del answers, kind, key, value
+        known: dict[bytes, float] = {}
+
+        def learn(words: list[bytes]) -> None:
+            fresh = [w for w in set(words) if w not in known]
+            at = np.searchsorted(word_keys, np.fromiter(map(word_key, fresh), np.int64, len(fresh)))
+            known.update(zip(fresh, word_values[at].tolist(), strict=True))
 
         out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": []}
         total = np.zeros(texts.num_rows)
         held, first, held_size = [], 0, 0
         for i, item in enumerate(texts.column("text")):
             raw = lowered(item)
-            each = [base(w) for w in raw.split()] + [base(END)]
+            words = [*raw.split(), END]
+            learn(words)
+            each = [known[w] for w in words]
             out["n_tokens"].append(len(each))
             out["n_known"].append(sum(v > unknown for v in each))
             out["base_score"].append(float(np.sum(each)))
             held.append(raw)
             held_size += len(raw)
-            if held_size >= CHUNK // 4 or i == texts.num_rows - 1:
-                g = grams(held)
-                owner = np.repeat(np.arange(len(held)), [len(t) + 1 for t in held])
+            if held_size < CHUNK and i < texts.num_rows - 1:
+                continue
+            for owners, padded in stretches(held):
+                g = grams(padded)
+                owner = np.repeat(owners, [len(held[o]) + 1 for o in owners] if len(owners) > 1 else len(g))
                 for k in range(0, len(g), PIECE):
                     # Sorted by gram, so that lookups run through the table in its order; the low bits keep the place.
                     piece = np.sort(g[k : k + PIECE] << np.uint64(16) | np.arange(len(g[k : k + PIECE]), dtype=np.uint64))
                     found = gram_values[np.searchsorted(gram_keys, piece >> np.uint64(16))]
                     at = owner[k : k + PIECE][(piece & np.uint64(0xFFFF)).astype(np.int64)]
                     total[first : first + len(held)] += np.bincount(at, weights=found, minlength=len(held))
-                held, first, held_size = [], i + 1, 0
+            held, first, held_size = [], i + 1, 0
         return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "train_tokens": pa.array([tokens] * len(total), pa.int64()), "base_score": pa.array(out["base_score"], pa.float64()), "score": pa.array(total)})
 
     return gathered.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
