@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pricegrain.llm import language_id
+from pricegrain.llm import language_id, ppm
 from pricegrain.llm.common import remainder, small_batches
 from pricegrain.llm.ppm import BEFORE, END, ORDER, SYMBOLS, ppm_scores
 from pricegrain.llm.simhash import block_masks, blocks_for, simhash_groups
@@ -76,6 +76,30 @@ def test_ppm(spark, texts):
         assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-9, abs=1e-6)
 
 
+def test_ppm_tally_of_long_texts(monkeypatch):
+    """Texts longer than a stretch, empty ones and repeats give every gram and word once for each place."""
+    monkeypatch.setattr(ppm, "CHUNK", 64)
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.choice(list(b"ab c\n"), n)) for n in (0, 1, 63, 64, 65, 128, 129, 1000, 5, 5, 0, 7)] * 2
+    want: Counter = Counter()
+    for text in texts:
+        padded = BEFORE * ORDER + text + END
+        want.update(int.from_bytes(padded[at - ORDER : at + 1]) for at in range(ORDER, len(padded)))
+    words = Counter(ppm.word_key(w) for t in texts for w in [*t.split(), END])
+    tally = ppm.Tally()
+    for text in texts:
+        tally.add(text)
+    (_, keys, counts), (_, word_keys, word_counts) = tally.entries()
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == want
+    assert dict(zip(word_keys.tolist(), word_counts.tolist(), strict=True)) == words
+    owned = Counter()
+    for owners, padded in ppm.stretches(texts):
+        spans = [len(texts[o]) + 1 for o in owners] if len(owners) > 1 else [len(ppm.grams(padded))]
+        assert sum(spans) == len(ppm.grams(padded))
+        owned.update(dict(zip(owners, spans, strict=True)))
+    assert owned == Counter({i: len(t) + 1 for i, t in enumerate(texts)})
+
+
 def test_simhash_links(spark, texts):
     rng = np.random.default_rng(8)
     rows = list(texts)
