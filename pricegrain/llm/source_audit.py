@@ -12,18 +12,27 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, written
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between terms, of which only A-Z are lower-cased: matches of [^\x00-\x40\x5B-\x60\x7B-\x7F]+ are what is left.
+BETWEEN = r"[\x00-\x60\x7B-\x7F]+"
 #: A share of one.
 UNIT = 1_000_000_000
+#: Ends an occurrence of a term that isn't the first in its document; no term holds it.
+AGAIN = "\x00"
+
+
+def lowered(text: Column) -> Column:
+    """ascii_lower(); a text of ASCII alone, which has as many bytes as characters, goes by the plain function."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(ascii_lower(text))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n, documents: how often a term occurs in a group, and in how many of its documents."""
-    terms = docs.select("lang", "source", F.sort_array(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0))).alias("terms"))
-    # Sorted, so that the first of equal terms stands for the document.
-    marked = F.transform("terms", lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (t == F.get("terms", i - 1)), 0).otherwise(1).alias("first")))
-    rows = terms.select("lang", "source", F.explode(marked).alias("t")).select("lang", "source", "t.*")
-    return rows.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("documents"))
+    """lang, source, term, n, first: in how many documents of a group a term occurs (first), and how often besides (not first)."""
+    terms = docs.select("lang", "source", F.sort_array(F.split(lowered(F.col("text")), BETWEEN)).alias("terms"))
+    # Sorted, so that the first of equal terms stands for the document. Plain strings, since exploded structs are costly.
+    marked = F.transform("terms", lambda t, i: F.when((i > 0) & (t == F.get("terms", i - 1)), F.concat(t, F.lit(AGAIN))).otherwise(t))
+    rows = terms.select("lang", "source", F.explode(marked).alias("marked")).groupBy("lang", "source", "marked").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.select("lang", "source", F.rtrim("marked", F.lit(AGAIN)).alias("term"), "n", (~F.endswith("marked", F.lit(AGAIN))).alias("first"))
+    return rows.filter("term != ''")
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -48,12 +57,14 @@ def source_divergence(docs: DataFrame, lang_col: str = "lang", source_col: str =
     """
     text = lambda c, name: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
     rows = docs.select(text(lang_col, "lang"), text(source_col, "source"), text(text_col, "text"))
-    # A term's row holds a count for each source of its language at most; every two of them are a pair in the result.
-    by_term = term_counts(rows).groupBy("lang", "term").agg(F.sum("documents").alias("documents"), F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("counts"))
-    kept = written(by_term.filter(F.col("documents") >= least_documents).drop("documents"))
+    # A term's row holds two counts for each source of its language at most; every two of them are a pair in the result.
+    by_source = lambda first: F.map_from_entries(F.collect_list(F.when(first, F.struct("source", "n"))))
+    by_term = term_counts(rows).groupBy("lang", "term").agg(F.sum(F.when(F.col("first"), F.col("n"))).alias("documents"), F.sum("n").alias("n"), by_source(F.col("first")).alias("once"), by_source(~F.col("first")).alias("again"))
+    none = F.lit(0).cast("long")
+    counts = F.map_zip_with("once", "again", lambda _, x, y: x + F.coalesce(y, none))  # what occurs again has occurred
+    kept = written(by_term.filter(F.col("documents") >= least_documents).select("lang", "term", "n", counts.alias("counts")))
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("lang_total"))
     totals = kept.select("lang", F.explode("counts").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    none = F.lit(0).cast("long")
     groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
     groups = written(groups.select("lang", "source", *(F.coalesce(c, none).alias(c) for c in ("total", "terms", "lang_total"))))
     # Dealt by language and term before groups are crossed in, so that the rows of every group needn't be shuffled to meet.
