@@ -14,10 +14,8 @@ from .common import ascii_lower, written
 
 #: What lies between terms, of which only A-Z are lower-cased: matches of [^\x00-\x40\x5B-\x60\x7B-\x7F]+ are what is left.
 BETWEEN = r"[\x00-\x60\x7B-\x7F]+"
-#: A share of one.
-UNIT = 1_000_000_000
-#: Ends an occurrence of a term that isn't the first in its document; no term holds it.
-AGAIN = "\x00"
+#: A share of one, and the counts up to which UNIT times the next one is within 64 bits.
+UNIT, SMALL = 1_000_000_000, 9_000_000_000
 
 
 def lowered(text: Column) -> Column:
@@ -26,19 +24,21 @@ def lowered(text: Column) -> Column:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n, first: in how many documents of a group a term occurs (first), and how often besides (not first)."""
+    """lang, source, term, n, documents: how often a term occurs in a group, and in how many of its documents."""
     terms = docs.select("lang", "source", F.sort_array(F.split(lowered(F.col("text")), BETWEEN)).alias("terms"))
-    # Sorted, so that the first of equal terms stands for the document. Plain strings, since exploded structs are costly.
-    marked = F.transform("terms", lambda t, i: F.when((i > 0) & (t == F.get("terms", i - 1)), F.concat(t, F.lit(AGAIN))).otherwise(t))
-    rows = terms.select("lang", "source", F.explode(marked).alias("marked")).groupBy("lang", "source", "marked").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.select("lang", "source", F.rtrim("marked", F.lit(AGAIN)).alias("term"), "n", (~F.endswith("marked", F.lit(AGAIN))).alias("first"))
-    return rows.filter("term != ''")
+    # Equal terms are neighbours, so a document's term is one row, with its count, before rows are grouped.
+    starts = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)))
+    runs = F.transform("starts", lambda i, k: F.struct(F.get("terms", i).alias("term"), (F.coalesce(F.get("starts", k + 1), F.size("terms")) - i).alias("times")))
+    rows = terms.withColumn("starts", starts).select("lang", "source", F.inline(runs)).filter("term != ''")
+    return rows.groupBy("lang", "source", "term").agg(F.sum("times").alias("n"), F.count(F.lit(1)).alias("documents"))
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(UNIT * (count + 1) / (total + terms)), in decimals, since UNIT times a count may be over 64 bits."""
+    """1 + floor(UNIT * (count + 1) / (total + terms)), in decimals where UNIT times the count is over 64 bits."""
+    small = F.call_function("div", (count + 1) * F.lit(UNIT), total + terms)
     whole = lambda c: c.cast("decimal(20,0)")
-    return F.lit(1) + F.call_function("div", (whole(count) + 1) * F.lit(UNIT), whole(total) + whole(terms))
+    large = F.call_function("div", (whole(count) + 1) * F.lit(UNIT), whole(total) + whole(terms))
+    return F.lit(1) + F.when(count < SMALL, small).otherwise(large)
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -57,12 +57,10 @@ def source_divergence(docs: DataFrame, lang_col: str = "lang", source_col: str =
     """
     text = lambda c, name: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
     rows = docs.select(text(lang_col, "lang"), text(source_col, "source"), text(text_col, "text"))
-    # A term's row holds two counts for each source of its language at most; every two of them are a pair in the result.
-    by_source = lambda first: F.map_from_entries(F.collect_list(F.when(first, F.struct("source", "n"))))
-    by_term = term_counts(rows).groupBy("lang", "term").agg(F.sum(F.when(F.col("first"), F.col("n"))).alias("documents"), F.sum("n").alias("n"), by_source(F.col("first")).alias("once"), by_source(~F.col("first")).alias("again"))
+    # A term's row holds a count for each source of its language at most; every two of them are a pair in the result.
+    by_term = term_counts(rows).groupBy("lang", "term").agg(F.sum("documents").alias("documents"), F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("counts"))
     none = F.lit(0).cast("long")
-    counts = F.map_zip_with("once", "again", lambda _, x, y: x + F.coalesce(y, none))  # what occurs again has occurred
-    kept = written(by_term.filter(F.col("documents") >= least_documents).select("lang", "term", "n", counts.alias("counts")))
+    kept = written(by_term.filter(F.col("documents") >= least_documents).drop("documents"))
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("lang_total"))
     totals = kept.select("lang", F.explode("counts").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
