@@ -12,19 +12,10 @@ from ..functions.text import fold, normal_name, store_kind
 from ..functions.units import half_up
 from ..sources.extractions import lines as extracted_lines
 from ..sources.extractions import parse
-from ..sources.tables import complete
+from ..sources.tables import complete, settled
 from .receipts import fold_lines, needs_review, reconcile, reprice
 
 
-def settled(frame: DataFrame) -> DataFrame:
-    """The frame, computed once: in the folder of spark.checkpoint.dir, or where there is none, as in tests, persisted."""
-    context = frame.sparkSession.sparkContext
-    folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return frame.checkpoint() if context.getCheckpointDir() else frame.persist()
-
-
 def with_ids(new: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
     """New rows with ids after the largest existing one, in a fixed order: ranges of it are numbered in tasks of their own."""
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
@@ -69,21 +60,26 @@ def upsert_stores(incoming: DataFrame, existing: DataFrame) -> tuple[DataFrame,
     return stores, found
 
 
+def receipt_keys(receipts: DataFrame) -> DataFrame:
+    """With kn, store and number, and kt, store, time and total: what duplicates share; null where a part of it is missing."""
+    number = fold(F.nullif(F.trim(F.substring(F.trim("numero_fatura"), 1, 60)), F.lit("")))
+    key = lambda *parts: F.concat(*(x for p in parts for x in (p.cast("string"), F.lit("\u0000"))))
+    total = F.col("total_impresso").cast("decimal(18,4)")
+    return receipts.select("*", key(F.lit("n"), F.col("loja_id"), number).alias("kn"), key(F.lit("t"), F.col("loja_id"), F.col("data_compra"), total).alias("kt"))
+
+
 def new_receipts(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Receipts that are no duplicates: of the same store, with an equal number, or an equal time and total, as one that is kept.
 
-    They count as inserted in the order of their ids: what only a dropped receipt equals stays. A missing number, time or
-    total equals none. Rows that equal no other are kept at once; the rest is decided in rounds, in each of which the first
+    They count as inserted in the order of their ids: what only a dropped receipt equals stays. A missing store, number, time
+    or total equals none. Rows that equal no other are kept at once; the rest is decided in rounds, in each of which the first
     open row of its equals is kept and what equals it goes. Hot stores are no hot keys, since rows meet by number and total.
     """
-    number = fold(F.nullif(F.trim(F.substring(F.trim("numero_fatura"), 1, 60)), F.lit("")))
-    total = F.when(F.col("data_compra").isNotNull() & F.col("total_impresso").isNotNull(), F.struct("data_compra", F.col("total_impresso").cast("decimal(18,4)").alias("t")))
-    keys = lambda rows: rows.select("*", F.xxhash64(F.lit("n"), "loja_id", number).alias("kn"), F.xxhash64(F.lit("t"), "loja_id", total).alias("kt"), number.isNotNull().alias("hn"), total.isNotNull().alias("ht"))
-    rows, old = keys(incoming), keys(existing)
-    for key, has in (("kn", "hn"), ("kt", "ht")):
-        rows = rows.join(old.filter(has).select(F.col(key).alias("old")), (F.col(key) == F.col("old")) & F.col(has), "left_anti")
+    rows, old = receipt_keys(incoming), receipt_keys(existing)
     # A key that is missing stands for its row alone, so that such rows aren't gathered.
-    rows = rows.withColumns({k: F.when(F.col(h), F.col(k)).otherwise(F.xxhash64(F.lit("row"), "id", F.lit(k))) for k, h in (("kn", "hn"), ("kt", "ht"))}).drop("hn", "ht")
+    rows = rows.withColumns({k: F.coalesce(F.col(k), F.concat(F.lit("row"), F.col("id").cast("string"))) for k in ("kn", "kt")})
+    for key in ("kn", "kt"):
+        rows = rows.join(old.filter(F.col(key).isNotNull()).select(key), key, "left_anti")
     same_number, same_total = Window.partitionBy("kn"), Window.partitionBy("kt")
     peers = rows.withColumn("n", F.count(F.lit(1)).over(same_number)).withColumn("m", F.count(F.lit(1)).over(same_total))
     peers = settled(peers)
@@ -220,6 +216,16 @@ def remember(facts: DataFrame, utilizador: str, fato: str) -> DataFrame:
     return insert_ignore(facts, new, ["utilizador", "fato"])
 
 
+def item_rows(lines: DataFrame, priced: DataFrame) -> DataFrame:
+    """Folded lines (fatura_id, pos, ...) as they are stored, with their prices (fatura_id, pos, unitario, preco_liquido): texts cut, defaults set, no product yet."""
+    quantity = F.coalesce(F.nullif("quantidade", F.lit(0.0)), F.lit(1.0)).alias("quantidade")
+    off = F.coalesce(F.col("desconto_direto"), F.lit(0.0)).alias("desconto_direto")
+    flags = (F.coalesce(c, F.lit(False)).alias(c) for c in ("is_clearance", "is_non_product"))
+    texts = F.substring(F.coalesce("descricao_original", F.lit("")), 1, 200).alias("descricao_original"), F.nullif(F.substring("linha_peso", 1, 80), F.lit("")).alias("linha_peso")
+    rows = lines.join(priced, ["fatura_id", "pos"])
+    return rows.select("fatura_id", "pos", F.lit(None).cast("long").alias("sku_id"), *texts, quantity, F.col("unitario").alias("preco_unitario"), "preco_liquido", F.lit(None).cast("double").alias("preco_por_base"), off, *flags)
+
+
 def reprocess(receipts: DataFrame, items: DataFrame, again: DataFrame, aliases: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Receipts and lines after some receipts were read again: again has their id and the new extracao_json.
 
@@ -232,12 +238,8 @@ def reprocess(receipts: DataFrame, items: DataFrame, again: DataFrame, aliases:
     done = reconcile(lines, read.select("fatura_id", "extracao.total_impresso", "extracao.desconto_global", "extracao.iva"), "fatura_id")
     priced = done.select("fatura_id", F.explode("itens").alias("i")).select("fatura_id", "i.pos", "i.preco_liquido", F.col("i.preco_unitario").alias("unitario"))
     known = aliases.groupBy(fold(F.col("descricao_original")).alias("chave")).agg(F.min("sku_id").alias("sku_id"))
-    rows = lines.join(priced, ["fatura_id", "pos"]).withColumn("chave", fold(F.col("descricao_original"))).join(known, "chave", "left")
-    quantity = F.coalesce(F.nullif("quantidade", F.lit(0.0)), F.lit(1.0))
-    off = F.coalesce(F.col("desconto_direto"), F.lit(0.0))
-    flags = (F.coalesce(c, F.lit(False)).alias(c) for c in ("is_clearance", "is_non_product"))
-    rows = rows.select("fatura_id", "pos", "sku_id", F.substring("descricao_original", 1, 200).alias("descricao_original"), F.substring("linha_peso", 1, 80).alias("linha_peso"), quantity.alias("quantidade"), F.col("unitario").alias("preco_unitario"), "preco_liquido", off.alias("desconto_direto"), *flags)
-    rows = reprice(with_ids(rows, items, ["fatura_id", "pos"]).withColumn("preco_por_base", F.lit(None).cast("double")), products)
+    rows = item_rows(lines, priced).withColumn("chave", fold(F.col("descricao_original"))).drop("sku_id").join(known, "chave", "left").drop("chave")
+    rows = reprice(with_ids(rows, items, ["fatura_id", "pos"]), products)
     fresh = complete(rows, "item")
     facts = done.join(needs_review(done, lines, "fatura_id").select("fatura_id", F.col("needs_review").alias("rever")), "fatura_id").join(read.select("fatura_id", "extracao_json", "extracao.total_impresso", F.coalesce("extracao.desconto_global", F.lit(0.0)).alias("desconto_global")), "fatura_id")
     new = facts.select(F.col("fatura_id").alias("id"), F.struct("total_impresso", "total_reconciliado", "discrepancia", F.col("rever").alias("needs_review"), "desconto_global", "extracao_json").alias("novo"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.units import half_up, pack_format, price_per_base
 from ..sources.extractions import parse
+from ..sources.tables import settled
 
 # What discount and weight lines of receipts look like.
 DISCOUNT = r"(?iu)^(?:poupan|desconto|desc\.|promo[çc])"
@@ -50,16 +51,19 @@ def fold_lines(lines: DataFrame, key: str) -> DataFrame:
     return out.drop("vazio", "especie", "grupo", "descontos", "peso", "valor_do_peso", "n_descontos")
 
 
-def reconcile(lines: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+def reconcile(lines: DataFrame, totals: DataFrame, key: str, empty: bool = False) -> DataFrame:
     """One row per receipt: subtotal, convencao, total_reconciliado, discrepancia, bate, and its priced lines as an array `itens`.
 
     totals: key, total_impresso, desconto_global, iva. Line values are net (A), or gross with real line discounts (B);
     whichever comes closer to the printed total without VAT holds, A on a tie. Without a total nothing is discrepant.
+    empty: receipts without lines count too, with sums of 0.
     """
     value = F.coalesce(F.col("valor").cast("double"), F.lit(0.0)).alias("valor")
     off = F.abs(F.coalesce(F.col("desconto_direto").cast("double"), F.lit(0.0))).alias("desconto_direto")
     listed = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", value, off))).alias("linhas"))  # the lines of one receipt
-    rows = listed.join(totals, key)
+    rows = listed.join(totals, key, "right" if empty else "inner")
+    if empty:
+        rows = rows.withColumn("linhas", F.coalesce("linhas", F.array().cast(rows.schema["linhas"].dataType)))
     sum_of = lambda get: F.aggregate("linhas", F.lit(0.0), lambda a, x: a + get(x))
     net = lambda x: x["valor"] - x["desconto_direto"]
     total, card, vat = F.col("total_impresso").cast("double"), F.coalesce(F.col("desconto_global").cast("double"), F.lit(0.0)), F.coalesce(F.col("iva").cast("double"), F.lit(0.0))
@@ -111,12 +115,31 @@ def best_extraction(candidates: DataFrame, key: str) -> DataFrame:
 
 
 def corrected(first: DataFrame, step: Callable[[DataFrame, int], DataFrame], key: str, most: int = 2) -> DataFrame:
-    """Asks the injected step for up to `most` new extractions of receipts that are still off, and keeps the best of each."""
-    best = first.withColumn("tentativa", F.lit(0))
+    """Asks the injected step for up to `most` new extractions of receipts (key, total_impresso, discrepancia, n_fora, ...) that are still off.
+
+    The open receipts are a frontier: one stays in it while each try is strictly better than the last and still off, and
+    leaves it when it adds up, when a try is no better or is missing (the step failed), or without a printed total, of which
+    nothing is known. A try that is no better is dropped. Rounds cost what the frontier holds, and end when it is empty.
+    step: the open receipts and the number of the try; it returns their columns, one row for each receipt it could read.
+    `tentativa` is the try that each receipt's row comes from.
+    """
+    off = (F.abs("discrepancia") >= 0.015) | (F.col("n_fora") > 0)
+    asks = F.coalesce(off & F.col("total_impresso").isNotNull(), F.lit(False))
+    badness = F.abs("discrepancia") + F.col("n_fora")
+    rows = settled(first.withColumn("tentativa", F.lit(0)))
+    done, open_ = rows.filter(~asks), rows.filter(asks)
     for number in range(1, most + 1):
-        open_ = best.filter((F.abs("discrepancia") >= 0.015) | (F.col("n_fora") > 0))
-        best = best_extraction(best.unionByName(step(open_, number).withColumn("tentativa", F.lit(number))), key)
-    return best
+        if open_.isEmpty():
+            break
+        tries = step(open_.drop("tentativa"), number).withColumn("tentativa", F.lit(number))
+        new = tries.select(key, F.struct(*rows.columns).alias("nova"), badness.alias("falta_nova"))
+        old = open_.select(key, F.struct(*rows.columns).alias("velha"), badness.alias("falta"))
+        better = F.coalesce(F.col("falta_nova") < F.col("falta"), F.lit(False))
+        chosen = old.join(new, key, "left").select(F.when(better, F.col("nova")).otherwise(F.col("velha")).alias("r"), better.alias("melhor"))
+        chosen = settled(chosen.select("r.*", "melhor"))
+        goes_on = F.col("melhor") & asks
+        done, open_ = done.unionByName(chosen.filter(~goes_on).drop("melhor")), chosen.filter(goes_on).drop("melhor")
+    return done.unionByName(open_)
 
 
 def priced(lines: DataFrame, target: Column | None = None) -> DataFrame:

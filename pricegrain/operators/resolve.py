@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, normal_name
+from ..functions.units import pack_format
 from .dml import insert_ignore, settled, with_ids
 from .similar import similar_names
 
@@ -91,6 +92,14 @@ def new_names(nodes: DataFrame, of_products: DataFrame, between: DataFrame, yes:
     return made
 
 
+def with_formats(canonical: DataFrame) -> DataFrame:
+    """Canonical names with the format that their text tells, none where it is weighed, unless they bring formato_valor; and the text's unit where they have none."""
+    pack = canonical.withColumn("embalagem", pack_format(F.trim("descricao_original")))
+    if "formato_valor" not in canonical.columns:
+        pack = pack.withColumn("formato_valor", F.when(F.col("embalagem.quantidade_kg").isNull(), F.col("embalagem.formato_valor")).cast("decimal(10,3)"))
+    return pack.withColumn("unidade_base", F.coalesce(F.nullif("unidade_base", F.lit("")), "embalagem.unidade_base")).drop("embalagem")
+
+
 def resolve(texts: DataFrame, aliases: DataFrame, canonical: DataFrame, products: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """One row per distinct text (case, accents and outer blanks apart): chave, descricao_original, via, sku_id, the canonical fields, representante.
 
@@ -99,9 +108,11 @@ def resolve(texts: DataFrame, aliases: DataFrame, canonical: DataFrame, products
     Texts are decided in order, and each sees the products of earlier ones: a text that stands for a new product has no
     sku_id but the text that made it (representante; its own for novo). Texts of one canonical name, brand, unit and
     format are decided together with the first of them. add_resolved() gives new products their ids.
-    texts: descricao_original; canonical: descricao_original, nome_canonico, marca, categoria, unidade_base, formato_valor, confianca.
+    texts: descricao_original; canonical: descricao_original, nome_canonico, marca, categoria, unidade_base, confianca. The
+    format comes from the text (with_formats()), or from canonical's formato_valor if it has one.
     """
     spark = texts.sparkSession
+    canonical = with_formats(canonical)
     distinct = texts.filter(fold(F.col("descricao_original")) != "").groupBy(fold(F.col("descricao_original")).alias("chave")).agg(F.min("descricao_original").alias("descricao_original"))
     known = aliases.groupBy(fold(F.col("descricao_original")).alias("chave")).agg(F.min("sku_id").alias("de_alias"))
     named = canonical.groupBy(fold(F.col("descricao_original")).alias("chave")).agg(F.min(F.struct("nome_canonico", "marca", "categoria", "unidade_base", "formato_valor", F.coalesce("confianca", F.lit(0.5)).alias("confianca"))).alias("c"))

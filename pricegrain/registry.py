@@ -5,6 +5,7 @@ Arguments are fixed here so that both sides agree; a period always has both ends
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -12,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text, units
-from .operators import dml, receipts, resolve, star
+from .operators import dml, receipts, resolve, star, upload
 from .plans import admin, explorer, purchases
 from .sources.adapter import description, store, table
+from .sources.catalog import Catalog
+from .sources.tables import Store, shared_folder
 
 START, END = "1996-01-01", "1999-12-31"
 SKU = 25
@@ -154,7 +157,34 @@ def q_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dml.classify_stores(store(spark, sf_dir).loja.withColumns({"cadeia": chain, "nome": named})).groupBy("cadeia", "tipo").agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders uploaded as extractions, every fifth twice, into a catalog that has a quarter of them and most of the stores.
+
+    A row for each line as the new version has it; one for each duplicate, with the number of the receipt that it equals.
+    """
+    s, numbered = store(spark, sf_dir), F.concat(F.lit("F"), F.col("id").cast("string"))
+    s = replace(s, sku_normalizado=s.sku_normalizado.withColumn("nome_canonico", F.concat_ws(" ", "nome_canonico", F.col("id").cast("string"))))  # no two of one name
+    shops = s.loja.filter("id % 3 != 0")
+    bills = s.fatura.filter("id % 4 = 0").join(shops.select(F.col("id").alias("loja_id")), "loja_id", "left_semi").withColumn("numero_fatura", numbered)
+    aliases = s.sku_normalizado.filter("id % 17 != 0").select(F.concat(F.lit("P"), F.col("id").cast("string")).alias("descricao_original"), F.col("id").alias("sku_id"))
+    catalog = Catalog(spark, f"{shared_folder(spark)}/catalogo-{uuid.uuid4().hex}")
+    upload.first_version(catalog, Store(shops, s.sku_normalizado, bills, s.item.limit(0).drop("id").withColumn("id", F.lit(None).cast("long")), aliases))
+    line = F.struct("pos", "descricao_original", "valor", "desconto_direto", "quantidade", "preco_unitario")
+    listed = lines(spark, sf_dir).groupBy("fatura_id").agg(F.array_sort(F.collect_list(line)).alias("itens"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fatura_id"), F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("total_impresso"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("data_compra"))
+    told = orders.join(s.loja.select("id", F.struct("cadeia", "nome").alias("loja")), "id").join(listed, "fatura_id")
+    told = told.select("fatura_id", F.to_json(F.struct("loja", F.concat(F.lit("F"), F.col("fatura_id").cast("string")).alias("numero_fatura"), "data_compra", "total_impresso", "itens")).alias("extracao_json"))
+    files = told.select(F.concat(F.lit("a"), F.col("fatura_id").cast("string")).alias("ficheiro"), "extracao_json")
+    files = files.unionByName(told.filter("fatura_id % 5 = 0").select(F.concat(F.lit("b"), F.col("fatura_id").cast("string")).alias("ficheiro"), "extracao_json"))
+    named = lambda texts: texts.select("descricao_original", F.concat(F.lit("Novo"), "descricao_original").alias("nome_canonico"), F.lit(None).cast("string").alias("marca"), F.col("cadeia").alias("categoria"), F.lit("un").alias("unidade_base"), F.lit(1.0).alias("confianca"))
+    version, found = upload.ingest(catalog, files, canonical=named)
+    bill = catalog.read(version).fatura.select(F.col("id").alias("fatura_id"), "numero_fatura")
+    rows = found.join(bill, "fatura_id").select("ficheiro", "numero_fatura", "duplicada", "cadeia", "loja", "data_compra", "total_impresso", "total_reconciliado", "discrepancia", "convencao", "needs_review", "n_fora", F.coalesce("n_itens", F.lit(0).cast("long")).alias("n_itens"), F.explode_outer("itens").alias("i"))
+    return doubles(rows.select(*rows.columns[:-1], "i.descricao_original", "i.produto", "i.quantidade", "i.preco_unitario", "i.preco_liquido", "i.preco_por_base", "i.desconto_direto"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "carregar_faturas": q_upload,
     "ultima_compra": lambda s, d: doubles(purchases.last_purchase(store(s, d), "widget")),
     "comparar_lojas": lambda s, d: purchases.compare_stores(store(s, d), "red plate"),
     "historico_preco": lambda s, d: doubles(purchases.price_history(store(s, d), "brand#25", "1998-01-01")),
@@ -286,6 +316,15 @@ def oracle_sql() -> dict[str, str]:
     folded = "lower(descricao_original)"
     drinks = " OR ".join(matches(t) for t in text.SYNONYMS["bebida alcoolica"])
     return {
+        "carregar_faturas": f"""WITH {LINES}, {LOJA}, {SKU_SQL}, base AS (SELECT o_orderkey AS k, o_custkey AS loja_id, o_totalprice AS total, o_orderkey % 4 = 0 AND o_custkey % 3 != 0 AS antiga, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS data_compra FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+            somas AS (SELECT fatura_id AS k, sum(valor) AS bruto, sum(abs(desconto_direto)) AS desc_, count(*) AS n_itens, count(*) FILTER (quantidade >= 2 AND preco_unitario > 0 AND abs(quantidade * preco_unitario - abs(valor)) > 0.02) AS n_fora FROM linhas GROUP BY 1),
+            julgadas AS (SELECT *, CASE WHEN abs(bruto - desc_ - total) < abs(bruto - total) THEN 'B' ELSE 'A' END AS convencao FROM base JOIN somas USING (k)),
+            feitas AS (SELECT *, CASE convencao WHEN 'B' THEN bruto - desc_ ELSE bruto END AS total_reconciliado, floor((CASE convencao WHEN 'B' THEN bruto - desc_ ELSE bruto END - total) * 100 + 0.5::DOUBLE) / 100 AS discrepancia FROM julgadas),
+            envios AS (SELECT *, 'a' || k AS ficheiro, antiga AS duplicada FROM feitas UNION ALL SELECT *, 'b' || k, TRUE FROM feitas WHERE k % 5 = 0),
+            itens AS (SELECT l.*, CASE WHEN substr(descricao_original, 2)::BIGINT % 17 = 0 THEN 'Novo' || descricao_original ELSE nome_canonico || ' ' || s.id END AS produto, CASE WHEN s.id % 17 = 0 THEN 'un' ELSE unidade_base END AS unidade FROM linhas l JOIN sku s ON s.id = substr(descricao_original, 2)::BIGINT)
+            SELECT ficheiro, 'F' || k AS numero_fatura, duplicada, cadeia, nome AS loja, data_compra, total AS total_impresso, total_reconciliado, discrepancia, convencao, abs(discrepancia) >= 0.015::DOUBLE OR n_fora > 0 AS needs_review, n_fora, CASE WHEN duplicada THEN 0 ELSE n_itens END AS n_itens,
+            i.descricao_original, i.produto, i.quantidade, valor AS preco_unitario, CASE convencao WHEN 'B' THEN valor - abs(desconto_direto) ELSE valor END AS preco_liquido, CASE WHEN unidade = 'un' THEN floor(CASE convencao WHEN 'B' THEN valor - abs(desconto_direto) ELSE valor END / quantidade * 10000 + 0.5::DOUBLE) / 10000 END AS preco_por_base, desconto_direto
+            FROM envios JOIN loja ON loja.id = loja_id LEFT JOIN itens i ON i.fatura_id = k AND NOT duplicada""",
         "nomes_fatura": f"WITH {SKU_SQL}, {ITEM} SELECT fatura_id, descricao_original, coalesce(arg_max(nome_canonico, i.id) FILTER (nome_canonico != ''), descricao_original) AS produto FROM item i LEFT JOIN sku s ON s.id = i.sku_id GROUP BY 1, 2",
         "ultima_compra": f"{BASE} SELECT produto, CAST(preco_liquido AS DOUBLE) AS preco, preco_por_base, unidade_base, loja, cadeia, data, is_clearance FROM base WHERE {matches('widget')} AND {OK} ORDER BY {newest} LIMIT 1",
         "comparar_lojas": f"{BASE} SELECT cadeia, loja, preco_por_base, unidade_base, data FROM base WHERE {matches('red plate')} AND {PLAIN} QUALIFY row_number() OVER (PARTITION BY loja_id ORDER BY {newest}) = 1",

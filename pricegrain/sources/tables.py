@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from dataclasses import dataclass, fields
 
@@ -51,6 +53,25 @@ def read_jdbc(spark: SparkSession, url: str, partitions: int = 8, bounds: tuple[
     return Store(**{name: one(name) for name in TABLES})
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where it is unset and all runs on this machine, as in tests."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """The frame, computed once, in the folder of shared_folder(): its lineage ends there."""
+    shared_folder(frame.sparkSession)
+    return frame.checkpoint()
+
+
 def register(store: Store) -> None:
     """A temporary view of each relation, for spark.sql."""
     for name, frame in store.tables().items():
