@@ -445,7 +445,7 @@ def removed_spans(rows: DataFrame) -> DataFrame:
     ask = lambda meeting, crowded: F.struct(F.col(meeting).alias("meeting"), crowded.alias("crowded"), "place").alias("ask")
     asked = once.filter("meeting is not null").select("ord", "tag", ask("meeting", F.col("crowded")))
     asked = asked.unionByName(again.filter("not gone").select("ord", "tag", ask("bucket", F.col("kinds") > SHARE)))
-    cut = written(rows.select("ord", "tag", "text").join(asked.groupBy("ord", "tag").agg(F.collect_list("ask").alias("asked")), ["ord", "tag"]).mapInArrow(cut_out, CUT))
+    cut = written(rows.select("ord", "tag", "text").join(asked.groupBy("ord", "tag").agg(F.collect_set("ask").alias("asked")), ["ord", "tag"]).mapInArrow(cut_out, CUT))
     small, crowded = [cut.filter("segment is null")], cut.filter("segment is not null")
     for width in (*WIDTHS[1:], None):
         if crowded.isEmpty():
@@ -473,7 +473,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(text).alias("tag"))
     more = [F.col(f"`{c}`").alias(f"carried_{c}") for c in carry]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *key, text.alias("text"), *more)
-    gone = removed_spans(rows).groupBy("ord", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
+    # Repeated rows find the same spans; sets keep what each of them is given from growing with their number.
+    gone = removed_spans(rows).groupBy("ord", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
     done = rows.join(gone, ["ord", "tag"], "left").drop("ord", "tag")
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name.startswith("carried_"))
     return done.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, kept_sha256 string" + kinds)
