@@ -18,7 +18,7 @@ from ..sources.extractions import lines as extracted_lines
 from ..sources.extractions import parse
 from ..sources.tables import Store, complete
 from . import receipts as rc
-from .dml import identical_names, item_rows, merge, new_receipts, receipt_keys, settled, upsert_stores, with_ids
+from .dml import identical_names, item_rows, merge, new_receipts, receipt_keys, reprocess, settled, upsert_stores, with_ids
 from .resolve import add_resolved, resolve
 
 #: Columns of an upload besides its key: who sent it, how it was read, and the kept file.
@@ -175,6 +175,20 @@ def ingest(catalog: Catalog, uploads: DataFrame, key: str = "ficheiro", again: C
     return version, summary(read, told, lines, catalog.read(version).sku_normalizado, key)
 
 
+def reread(catalog: Catalog, again: DataFrame, canonical: Callable[[DataFrame], DataFrame] | None = None, verdicts: DataFrame | None = None) -> int:
+    """Stored receipts (id, extracao_json) read again, as dml.reprocess() does; texts without a product are resolved; the new version's number."""
+    base = catalog.manifest()["version"]
+    store = catalog.read(base)
+    fatura, items = reprocess(store.fatura, store.item, again, store.sku_alias, store.sku_normalizado)
+    fatura, items = settled(fatura), settled(items)
+    own = again.select(F.col("id").alias("fatura_id")).distinct()
+    chains = store.fatura.select(F.col("id").alias("fatura_id"), "loja_id").join(own, "fatura_id", "left_semi").join(store.loja.select(F.col("id").alias("loja_id"), "cadeia"), "loja_id").select("fatura_id", "cadeia")
+    products, aliases, lines = with_products(store, items.join(own, "fatura_id", "left_semi").select(*items.columns), chains, canonical, verdicts)
+    kept = items.join(own, "fatura_id", "left_anti").select(*items.columns)
+    added = {"sku_normalizado": products.join(store.sku_normalizado.select("id"), "id", "left_anti"), "sku_alias": newer(aliases, store.sku_alias)}
+    return catalog.commit(base, added, {"fatura": fatura, "item": kept.unionByName(complete(lines, "item"))})
+
+
 def newer(aliases: DataFrame, old: DataFrame) -> DataFrame:
     """Aliases whose text isn't among the old ones."""
     k = fold(F.col("descricao_original"))

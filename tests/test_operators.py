@@ -120,8 +120,7 @@ def test_changes(spark, shop):
 def test_stream(spark, tmp_path, shop):
     folder, target = str(tmp_path / "in"), str(tmp_path / "out")
     shop.fatura.write.parquet(folder)
-    shop.fatura.limit(0).write.parquet(f"{target}/lote=-1")
-    query = arrivals.ingest(arrivals.arriving(spark, folder), lambda: spark.read.parquet(target), target, str(tmp_path / "c"))
+    query = arrivals.ingest(arrivals.arriving(spark, folder), None, target, str(tmp_path / "c"))
     query.awaitTermination()
     assert spark.read.parquet(target).count() == 3
 

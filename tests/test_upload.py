@@ -85,6 +85,18 @@ def test_products_of_one_name(spark, tmp_path):
     assert {(r["descricao_original"], r["sku_id"]) for r in s.sku_alias.collect()} == {("MANT 250G", 3), ("NOVO", 3)} and found.first()["itens"][0]["produto"] == "manteiga, com sal"
 
 
+def test_read_again(spark, tmp_path):
+    """New texts of a receipt that is read again are resolved too."""
+    catalog = catalog_of(spark, tmp_path)
+    said = receipt("A1", 6.0, [("LEITE 1L", 2.0), ("BOL 500G", 4.0)])
+    assert upload.reread(catalog, spark.createDataFrame([(10, said)], "id long, extracao_json string"), names) == 2
+    s = catalog.read()
+    assert sorted((r["fatura_id"], r["sku_id"], r["descricao_original"], float(r["preco_por_base"])) for r in s.item.collect()) == [(10, 2, "LEITE 1L", 2.0), (10, 3, "BOL 500G", 8.0)]
+    bill = s.fatura.first()
+    assert (float(bill["total_impresso"]), bill["numero_fatura"], bill["needs_review"]) == (6.0, "A1", False)
+    assert s.sku_normalizado.filter("id = 3").first()["nome_canonico"] == "Bolacha Lidl" and s.sku_alias.count() == 3
+
+
 def test_failures_change_nothing(spark, tmp_path):
     catalog = catalog_of(spark, tmp_path)
     broken = F.udf(lambda x: 1 // 0, "string")
