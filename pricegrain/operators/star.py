@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_pattern, expand_target, fold, fold_text, normal_name, term_similarity
 from ..sources.tables import Store
+from .search import names_like, texts_with
 
 #: Folded letters from which a term is also looked for by its spelling, and how alike a name must then be.
 FUZZY_LETTERS, FUZZY = 4, 0.7
@@ -76,7 +77,8 @@ def match_product(store: Store, target: str) -> DataFrame:
 
     A single term that no product contains is also looked for by its spelling: products whose name or one of its words is
     alike to FUZZY count. Products are judged once each, lines by their description only, and just the lines that are left
-    meet receipts and stores. All is one plan; nothing is fetched to decide.
+    meet receipts and stores. All is one plan; nothing is fetched to decide. With an index of the store, descriptions are
+    found in its lists and lines meet the texts that were found, and spelling is looked up; no line is folded.
     """
     terms = expand_target(target)
     found, written = F.lit(False), F.lit(False)
@@ -89,12 +91,17 @@ def match_product(store: Store, target: str) -> DataFrame:
         alike = similar_products(store, terms[0]).select(F.col("id").alias("sku_id"), F.lit(True).alias("parecido"))
         products = products.join(alike, "sku_id", "left").join(F.broadcast(known))
         products = products.withColumn("achado", F.col("achado") | ~F.col("conhecido") & F.coalesce("parecido", F.lit(False))).drop("conhecido", "parecido")
-    lines = store.item.join(products, "sku_id", "left").filter(F.coalesce("achado", F.lit(False)) | written)
-    return with_receipts(lines.drop("achado"), store)
+    lines = store.item.join(products, "sku_id", "left")
+    if store.indice is not None:
+        texts = texts_with(store.indice.textos, terms).select(F.col("texto").alias("descricao_original"), F.lit(True).alias("escrito"))
+        lines, written = lines.join(texts, "descricao_original", "left"), F.coalesce("escrito", F.lit(False))
+    return with_receipts(lines.filter(F.coalesce("achado", F.lit(False)) | written).drop("achado", "escrito"), store)
 
 
 def similar_products(store: Store, term: str, least: float = FUZZY) -> DataFrame:
     """id, nome_canonico, score of the products whose name is spelled like the term."""
+    if store.indice is not None:
+        return names_like(store.indice, term, least)
     names = store.sku_normalizado.select("id", "nome_canonico").filter(normal_name(F.col("nome_canonico")) != "")
     return names.withColumn("score", term_similarity(F.lit(term), F.col("nome_canonico"))).filter(F.col("score") >= least)
 

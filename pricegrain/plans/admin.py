@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_pattern, fold, tokens
 from ..functions.units import half_up
+from ..operators.median import medians
 from ..operators.similar import similar_names
 from ..operators.star import day, fact_items
 from ..sources.tables import Store
@@ -94,8 +95,8 @@ def price_outliers(store: Store, factor: float = 3.0) -> DataFrame:
     factor = min(max(float(factor or 3.0), 1.5), 20.0)
     rows = fact_items(store).filter((F.col("is_non_product") == F.lit(False)) & (F.col("is_clearance") == F.lit(False)) & (F.col("preco_por_base") > 0) & F.col("nome_canonico").isNotNull())
     rows = rows.select("item_id", "fatura_id", "sku_id", "nome_canonico", "unidade_base", "descricao_original", "quantidade", "preco_liquido", "cadeia", "data_compra", F.col("preco_por_base").cast("double").alias("preco_por_base"))
-    medians = rows.groupBy("sku_id").agg(F.median("preco_por_base").alias("mediana"), F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 2) & (F.col("mediana") > 0))
-    joined = rows.join(medians, "sku_id")
+    usual = medians(rows, "sku_id", "preco_por_base").filter((F.col("n") >= 2) & (F.col("mediana") > 0))
+    joined = rows.join(usual, "sku_id")
     odd = (F.col("preco_por_base") > F.col("mediana") * factor) | (F.col("preco_por_base") < F.col("mediana") / factor)
     return joined.filter(odd).withColumn("desvio", F.floor(F.col("preco_por_base") / F.col("mediana") * 10 + 0.5) / 10)
 

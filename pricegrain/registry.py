@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text, units
-from .operators import dml, receipts, resolve, star, upload
+from .operators import dml, median, receipts, resolve, search, star, upload
 from .plans import admin, explorer, purchases
 from .sources.adapter import description, store, table
 from .sources.catalog import Catalog
@@ -62,6 +62,30 @@ def q_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.similar_products(store(spark, sf_dir), "widgt").select("id", "nome_canonico", F.round("score", 6).alias("score"))
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> Store:
+    """The store with posting lists of its descriptions and names, written in the shared folder."""
+    s = store(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/indice-{uuid.uuid4().hex}"
+    search.write_index(search.search_index(s.item, s.sku_normalizado), folder)
+    return replace(s, indice=search.read_index(spark, folder))
+
+
+def q_found_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a term, found in posting lists, by product and description."""
+    return star.match_product(indexed(spark, sf_dir), "et 2").groupBy(F.coalesce("sku_id", F.lit(-1)).alias("sku_id"), "descricao_original").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("loja_id").alias("n_lojas"))
+
+
+def q_found_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star.similar_products(indexed(spark, sf_dir), "plte").select("id", "nome_canonico", F.round("score", 6).alias("score"))
+
+
+def q_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median price per unit of each chain and of all lines: few groups of very many rows, so the middle is selected by counting."""
+    s = store(spark, sf_dir)
+    rows = star.fact_items(s).filter("preco_por_base > 0").select(F.explode(F.array(F.lit("*"), F.col("cadeia"))).alias("cadeia"), "preco_por_base")
+    return median.medians(rows, "cadeia", "preco_por_base")
+
+
 def q_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = store(spark, sf_dir).item.select("descricao_original").distinct()
     return rows.select("descricao_original", units.pack_format(F.col("descricao_original")).alias("f")).select("descricao_original", "f.unidade_base", "f.formato_valor")
@@ -220,6 +244,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "perfil": lambda s, d: admin.facts_of(store(s, d), "3"),
     "merge_identicos": q_merge_identical,
     "fuzzy_alvo": q_fuzzy,
+    "procurar_linhas": q_found_lines,
+    "procurar_nomes": q_found_names,
+    "mediana_cadeia": q_median,
     "expandir_alvo": lambda s, d: doubles(purchases.total_spent(store(s, d), "bebida", None, START, END)),
     "formato": q_format,
     "preco_base": q_price,
@@ -307,6 +334,12 @@ def habitual_sql(start: str, end: str) -> str:
         GROUP BY lower(nome) HAVING idas >= 2 ORDER BY idas DESC, meses DESC, unidades DESC, produto LIMIT 40"""
 
 
+def spelled_sql(term: str) -> str:
+    ratio = f"max(1 - levenshtein('{term}', t) / greatest({len(term)}, length(t)))"
+    return f"""WITH {SKU_SQL}, p AS (SELECT id, nome_canonico, unnest(list_append(string_split(nome_canonico, ' '), replace(nome_canonico, ' ', ''))) AS t FROM sku)
+        SELECT id, nome_canonico, round({ratio}, 6) AS score FROM p GROUP BY ALL HAVING {ratio} >= 0.7::DOUBLE"""
+
+
 def total_sql(where: str, alvo: str, loja: str) -> str:
     return f"{BASE} SELECT '{alvo}' AS alvo, {loja} AS loja, '{START}' AS periodo_inicio, '{END}' AS periodo_fim, CAST(coalesce(sum(preco_liquido), 0) AS DOUBLE) AS total, count(*) AS n_itens FROM base WHERE {OK} AND {PERIOD} AND {where}"
 
@@ -371,8 +404,10 @@ def oracle_sql() -> dict[str, str]:
         "custos_modelo": "SELECT 'm' || (user_id % 4) AS modelo, count(*) AS n, CAST(round(sum(CAST(value AS DECIMAL(12,8))), 6) AS DOUBLE) AS custo FROM events GROUP BY 1",
         "merge_identicos": f"""WITH {SKU_SQL}, {ITEM}, usos AS (SELECT s.id, lower(nome_canonico) AS nome, count(i.id) AS n FROM sku s LEFT JOIN item i ON i.sku_id = s.id GROUP BY ALL)
             SELECT id AS de, para FROM (SELECT id, first_value(id) OVER (PARTITION BY nome ORDER BY n DESC, id) AS para FROM usos) WHERE id != para""",
-        "fuzzy_alvo": f"""WITH {SKU_SQL}, p AS (SELECT id, nome_canonico, unnest(list_append(string_split(nome_canonico, ' '), replace(nome_canonico, ' ', ''))) AS t FROM sku)
-            SELECT id, nome_canonico, round(max(1 - levenshtein('widgt', t) / greatest(5, length(t))), 6) AS score FROM p GROUP BY ALL HAVING max(1 - levenshtein('widgt', t) / greatest(5, length(t))) >= 0.7::DOUBLE""",
+        "fuzzy_alvo": spelled_sql("widgt"),
+        "procurar_nomes": spelled_sql("plte"),
+        "procurar_linhas": f"{BASE} SELECT coalesce(sku_id, -1) AS sku_id, descricao_original, count(*) AS n, count(DISTINCT loja_id) AS n_lojas FROM base WHERE {matches('et 2')} GROUP BY ALL",
+        "mediana_cadeia": f"{BASE} SELECT c AS cadeia, median(preco_por_base) AS mediana, count(*) AS n FROM (SELECT unnest(['*', cadeia]) AS c, preco_por_base FROM base WHERE preco_por_base > 0) GROUP BY 1",
         "expandir_alvo": total_sql(f"({drinks})", "bebida", "CAST(NULL AS VARCHAR)"),
         "formato": f"WITH {ITEM}, {PACKS} SELECT * FROM embalagens",
         "reconciliar": f"""{RECONCILED} SELECT f.*, abs(discrepancia) < 0.015 AS bate, pos, valor AS preco_unitario, CASE convencao WHEN 'B' THEN valor - abs(desconto_direto) ELSE valor END AS preco_liquido FROM feito f JOIN linhas USING (fatura_id)""",

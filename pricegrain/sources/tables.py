@@ -26,9 +26,11 @@ class Store:
     perfil: DataFrame | None = None
     custo_chamada: DataFrame | None = None
     revisao: DataFrame | None = None
+    #: A SearchIndex over the descriptions and names of these relations, if one is kept.
+    indice: object | None = None
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: x for f in fields(self) if (x := getattr(self, f.name)) is not None}
+        return {f.name: x for f in fields(self) if f.name in TABLES and (x := getattr(self, f.name)) is not None}
 
 
 def complete(frame: DataFrame, name: str) -> DataFrame:
@@ -41,14 +43,40 @@ def read_parquet(spark: SparkSession, folder: str) -> Store:
     return Store(**{name: spark.read.schema(schema(name)).parquet(f"{folder}/{name}") for name in TABLES})
 
 
-def read_jdbc(spark: SparkSession, url: str, partitions: int = 8, bounds: tuple[int, int] = (0, 1 << 40), **options: str) -> Store:
-    """The relations of a database; those with an id are read in ranges of it."""
+def id_ranges(ids: DataFrame, partitions: int, name: str = "id") -> list[str]:
+    """Conditions on id that cut its values into ranges of about as many rows each, nulls in the first; one that is true without rows.
+
+    The cuts are quantiles of the ids, one number for each partition.
+    """
+    shares = [k / partitions for k in range(1, partitions)]
+    found = ids.agg(F.percentile_approx("id", shares, 100 * partitions).alias("cortes")).first() if shares else None
+    cuts = sorted(set((found and found["cortes"]) or []))
+    if not cuts:
+        return ["1 = 1"]
+    return [f"{name} <= {cuts[0]} OR {name} IS NULL", *(f"{name} > {a} AND {name} <= {b}" for a, b in zip(cuts, cuts[1:], strict=False)), f"{name} > {cuts[-1]}"]
+
+
+def read_jdbc(spark: SparkSession, url: str, partitions: int = 8, **options: str) -> Store:
+    """The relations of a database; those with an id are read in ranges of it that hold about as many rows each.
+
+    The database is asked for the least and the greatest id, and its ids are read in even ranges between them to find
+    their quantiles, so ids that crowd in one place don't end in one task.
+    """
+
+    column = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier("id")
+
+    def read(table: str, **more) -> DataFrame:  # noqa: ANN003
+        return spark.read.format("jdbc").options(url=url, dbtable=table, **options, **more).load()
 
     def one(name: str) -> DataFrame:
-        reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
-        if TABLES[name].startswith("id "):
-            reader = reader.options(partitionColumn="id", lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions)
-        return complete(reader.load(), name)
+        if not TABLES[name].startswith("id "):
+            return complete(read(name), name)
+        least, most = read(f"(SELECT MIN({column}) AS menor, MAX({column}) AS maior FROM {name}) limites").first()
+        if least is None or partitions < 2 or least == most:
+            return complete(read(name), name)
+        ids = read(f"(SELECT {column} FROM {name}) ids", partitionColumn="id", lowerBound=least, upperBound=most + 1, numPartitions=partitions).toDF("id")
+        properties = {k: str(v) for k, v in options.items()}
+        return complete(spark.read.jdbc(url, name, predicates=id_ranges(ids, partitions, column), properties=properties), name)
 
     return Store(**{name: one(name) for name in TABLES})
 
