@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -48,7 +47,8 @@ PART = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
-def is_boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
+def is_boilerplate(tag: str, attributes: str, in_content: bool, names: bool) -> bool:
+    """By tag, role or hiding; with `names`, also by the words of its class and id."""
     if tag in BOILERPLATE:
         return True
     if tag == "header" and not in_content:
@@ -63,7 +63,7 @@ def is_boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id"):
+        if names and name in ("class", "id"):
             parts = set(PART.split(HUMP.sub(" ", value).lower()))
             if parts & NAMES or not in_content and parts & HEADERS:
                 return True
@@ -71,33 +71,49 @@ def is_boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
 
 
 class Line(NamedTuple):
-    """A block's text, its weight, what it stands in, and the parts of the page around it."""
+    """A block's text, its weight, what it stands in, its innermost part of the page, and the innermost part that holds all since the line before."""
 
     text: str
     weight: float
     boilerplate: bool
     heading: bool
     inside: bool
-    parts: tuple[int, ...]
+    part: int = 0
+    shared: int = 0
 
 
-def lines(page: str) -> list[Line]:
-    """The block lines with text, in page order."""
+class Open(NamedTuple):
+    """An open element; solid counts the blocks, boilerplate and content among the elements up to it."""
+
+    tag: str
+    bad: bool
+    content: bool
+    solid: int
+
+
+def lines(page: str, names: bool = True) -> tuple[list[Line], list[int]]:
+    """The block lines with text, in page order, and the parent of each part of the page; part 0 is the whole.
+
+    Without `names`, neither classes and ids nor an article inside another, as reader comments are, make boilerplate.
+    """
     out: list[Line] = []
-    around: list[int] = []  # numbers of the open parts
-    begun = 0
+    parents = [0]
+    around = [0]  # the open parts
+    shared = 0
     held: list[str] = []  # text pieces of the line that is being read
     linked = 0  # characters of it inside links
-    open_: list[tuple[str, bool, bool]] = []  # (tag, is boilerplate, is content)
-    skipping = inside = links = 0
-    articles = 0
+    open_: list[Open | None] = []  # None: ended out of order
+    places: dict[str, list[int]] = {}  # of a tag's open elements
+    endless: set[str] = set()  # raw elements that never end from here on
+    skipping = inside = links = heads = 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, shared
         text = " ".join(html.unescape("".join(held)).split())
         if text:
             weight = 0.0 if skipping or linked > LINKS * len(text) else len(text) * (INSIDE if inside else 1.0)
-            out.append(Line(text, max(weight, 1.0) if inside else weight, skipping > 0, any(t in HEADINGS for t, _, _ in open_), inside > 0, tuple(around)))
+            out.append(Line(text, max(weight, 1.0) if inside else weight, skipping > 0, heads > 0, inside > 0, around[-1], shared))
+            shared = around[-1]
         held.clear()
         linked = 0
 
@@ -108,16 +124,22 @@ def lines(page: str) -> list[Line]:
             if links:
                 linked += len(piece.strip())
 
+    def ended(element: Open) -> None:
+        nonlocal skipping, inside, links, heads, shared
+        places[element.tag].pop()
+        skipping -= element.bad
+        inside -= element.content
+        links -= element.tag == "a"
+        heads -= element.tag in HEADINGS
+        if element.tag in PARTS:
+            if around.pop() == shared:
+                shared = around[-1]
+
     def close(k: int) -> None:
         """Closes the open elements from position k on."""
-        nonlocal skipping, inside, links
-        flush()
-        for tag, bad, content in open_[k:]:
-            skipping -= bad
-            inside -= content
-            links -= tag == "a"
-            if tag in PARTS:
-                around.pop()
+        for element in reversed(open_[k:]):
+            if element:
+                ended(element)
         del open_[k:]
 
     at = 0
@@ -131,74 +153,90 @@ def lines(page: str) -> list[Line]:
         if not m[2]:
             continue
         tag = m[2].lower()
+        while open_ and not open_[-1]:
+            open_.pop()
         if m[1]:
-            k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == tag), -1)
-            if k >= 0:
-                if tag in BLOCKS or any(bad or content or t in BLOCKS for t, bad, content in open_[k:]):
-                    if tag in BLOCKS:
-                        close(k)
-                    else:  # an inline end tag never closes blocks
-                        _, bad, content = open_.pop(k)
-                        if bad:
-                            flush()
-                            skipping -= 1
-                        links -= tag == "a"
-                else:
-                    links -= sum(t == "a" for t, _, _ in open_[k:])
-                    del open_[k:]
-            elif tag in BLOCKS:
+            if not places.get(tag):
+                if tag in BLOCKS:
+                    flush()
+                continue
+            k = places[tag][-1]
+            if tag in BLOCKS:
                 flush()
+                close(k)
+            elif open_[-1].solid > open_[k].solid or open_[k].bad or open_[k].content:  # an inline end tag never closes blocks
+                if open_[k].bad:
+                    flush()
+                ended(open_[k])
+                open_[k] = None
+            else:
+                close(k)
             continue
-        if tag in RAW:
+        if tag in RAW and tag not in endless:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             if tag not in ("svg", "math", "canvas", "object") or end:
                 at = end.end() if end else len(page)
                 if tag in BLOCKS:
                     flush()
                 continue
+            endless.add(tag)
         if tag in BLOCKS:
-            if tag == "p" and open_ and open_[-1][0] == "p" or tag in ("li", "option", "tr", "td", "th", "dt", "dd") and open_ and open_[-1][0] == tag:
-                close(len(open_) - 1)
             flush()
+            if tag == "p" and open_ and open_[-1].tag == "p" or tag in ("li", "option", "tr", "td", "th", "dt", "dd") and open_ and open_[-1].tag == tag:
+                close(len(open_) - 1)
         if tag == "body":  # a head without an end ends here
+            flush()
             close(0)
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCKS and tag != "a":
             continue
-        bad, content = is_boilerplate(tag, m[3], inside > 0), tag in CONTENT
+        content = tag in CONTENT
+        bad = is_boilerplate(tag, m[3], inside > 0, names) or names and tag == "article" and bool(places.get(tag))
         if bad:
             flush()
-        open_.append((tag, bad, content))
+        places.setdefault(tag, []).append(len(open_))
+        before = open_[-1].solid if open_ and open_[-1] else 0
+        open_.append(Open(tag, bad, content, before + (bad or content or tag in BLOCKS)))
         if tag in PARTS:
-            around.append(begun)
-            begun += 1
+            parents.append(around[-1])
+            around.append(len(parents) - 1)
         skipping += bad
         inside += content
         links += tag == "a"
-        articles += content
+        heads += tag in HEADINGS
     flush()
-    return out
+    return out, parents
 
 
-def with_blanks(found: list[Line]) -> list[Line]:
+def with_blanks(found: list[Line], parents: list[int]) -> list[Line]:
     """The lines, with a blank one for each part of several lines that the page leaves or enters between two of them.
 
     Inside article and main there are none: what is marked as one text is one, however it is divided.
     """
-    size = Counter(p for line in found for p in line.parts)
+    size = [0] * len(parents)
+    for line in found:
+        size[line.part] += 1
+    for part in range(len(parents) - 1, 0, -1):
+        size[parents[part]] += size[part]
+    deep = [0] * len(parents)  # parts of several lines around a part, itself included
+    for part in range(1, len(parents)):
+        deep[part] = deep[parents[part]] + (size[part] > 1)
     out = found[:1]
     for before, line in zip(found, found[1:], strict=False):
         if not (before.inside and line.inside):
-            out += [Line("", 0.0, False, False, False, ())] * sum(size[p] > 1 for p in set(before.parts) ^ set(line.parts))
+            out += [Line("", 0.0, False, False, False)] * (deep[before.part] + deep[line.part] - 2 * deep[line.shared])
         out.append(line)
     return out
 
 
-def main_text(page: str, window: int = WINDOW, surge: float = SURGE) -> str:
-    """The page's main text, its blocks joined by a space; empty if the page has no text of its own."""
-    found = with_blanks(lines(page))
+def main_text(page: str, window: int = WINDOW, surge: float = SURGE, names: bool = True) -> str:
+    """The page's main text, its blocks joined by a space; empty if the page has no text of its own.
+
+    Where names leave nothing of a page, they don't count.
+    """
+    found = with_blanks(*lines(page, names))
     weight = np.array([line.weight for line in found])
     if not any(line.weight and not line.boilerplate for line in found):
-        return ""
+        return main_text(page, window, surge, False) if names else ""
     padded = np.concatenate((np.zeros(window - 1), weight, np.zeros(window - 1)))
     sums = np.convolve(padded, np.ones(window), "valid")  # sum k covers lines k - window + 1 to k
     edges = np.flatnonzero(np.diff(np.concatenate(([False], sums > 0, [False])).astype(np.int8)))

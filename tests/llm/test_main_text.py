@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pricegrain.llm.html_text import main_text
 
 STORY = "The council met for six hours before it agreed on the plan, and the streets stayed full until the last lamps went out. "
@@ -46,3 +48,23 @@ def test_odd_pages():
     assert [main_text(x) for x in ("", "   ", "<p>", "<nav>menu</nav>", "<article><nav>menu</nav></article>")] == [""] * 5
     assert main_text("plain &amp; bare") == "plain & bare" and main_text("<p>one<p>two</div>") == "one two"
     assert main_text(page(f"<p>{'long word ' * 40_000}</p>")).count("word") == 40_000
+
+
+def test_names_alone_empty_no_page():
+    assert main_text(f"<div id='social-studies-lesson'><p>{STORY}</p></div>") == STORY.strip()
+    assert main_text(page(MENU, f"<div class='story-notice'><p>{STORY}</p></div>")) == STORY.strip()
+    assert main_text("<nav>menu</nav><div hidden>gone</div>") == ""
+
+
+def test_articles_within_an_article_are_comments():
+    nested = f"<article><h1>One</h1><p>{STORY}</p><section><article><p>A reader: {STORY}</p></article></section></article>"
+    assert main_text(page(MENU, nested)) == f"One {STORY.strip()}"
+    assert main_text(page(f"<article><article><p>{STORY}</p></article></article>")) == STORY.strip()
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    for broken in ("<div>" * 200_000, "<b>" * 50_000 + "<div>" * 50_000 + "</b>x" * 50_000, "<svg>x" * 120_000, "<div>" * 100_000 + "</p>x" * 60_000, '<a x="' * 150_000, "<!--" * 200_000):
+        start = time.process_time()
+        main_text(broken)
+        assert time.process_time() - start < 10
+    assert main_text("<div>" * 50_000 + STORY) == STORY.strip()
