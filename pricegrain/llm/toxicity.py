@@ -95,10 +95,13 @@ def swaps(text: str) -> Iterator[tuple[list[str], list[str]]]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, allowed) -> DataFrame:
-    """text, y of at most `limit` labelled rows; a doc_id with several labels counts by the largest."""
-    chosen = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & allowed).groupBy("doc_id").agg(F.max(label).alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # two numbers a row, so this side has a size bound
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    """doc_id, text, y of at most `limit` labelled documents; a doc_id with several labels counts by the largest, one with several texts by one of them."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & allowed).groupBy("doc_id").agg(F.max(label).alias("y"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")  # labels without a document take no place
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # two numbers a row, so this side has a size bound
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"), F.max("y").alias("y"))
 
 
 def choose_features(rows: DataFrame) -> list[str]:

@@ -21,3 +21,13 @@ def test_repeated_rows(spark):
         keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.xxhash64("text").alias("tag"), "text")
         sizes.add(removed_spans(keyed).groupBy("ord", "tag").agg(F.size(F.collect_set(F.struct("start", "stop"))).alias("n")).agg(F.max("n")).first()[0])
     assert max(sizes) < 2000
+
+
+def test_toxicity_sample_bounds_rows(spark):
+    from pricegrain.llm.toxicity import sample
+
+    docs = spark.range(500).select(F.when(F.col("id") < 400, 1).otherwise(F.col("id")).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    rows = sample(docs, labels, "toxic", 101, F.lit(True)).collect()
+    assert len(rows) == 101 == len({r["doc_id"] for r in rows})  # labels without a document take no place
+    assert len(sample(docs, labels, "toxic", 20, F.lit(True)).collect()) == 20
