@@ -5,16 +5,21 @@ What a language model decides comes in as tables: canonical names of texts, and
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, normal_name
 from ..functions.units import pack_format
+from .components import components
 from .dml import insert_ignore, settled, with_ids
 from .similar import similar_names
 
 SURE, POSSIBLE, CONFIDENT = 0.85, 0.6, 0.6
 
+#: Names that are linked are decided one after another in a task while their links are at most so many.
+TASK_LINKS = 100_000
+
 
 def close_format(a: Column, b: Column) -> Column:
     """Both unknown, or within 0.01."""
@@ -65,11 +70,58 @@ def decided(nodes: DataFrame, of_products: DataFrame, of_new: DataFrame, yes: Da
     return rows.select("no", "nome", via.alias("via"), sku.alias("sku_id"), other.alias("novo_no"))
 
 
+def said_yes(rows: DataFrame, yes: DataFrame) -> DataFrame:
+    """Rows (de, nome, ...) with `sim`: whether the verdict on the two names is yes."""
+    return rows.join(yes, (fold(F.col("de")) == F.col("ja")) & (fold(F.col("nome")) == F.col("jb")), "left").withColumn("sim", F.coalesce("sim", F.lit(False))).drop("ja", "jb")
+
+
+def made_in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """no of the names of one component that become products.
+
+    rows: the names (no, hesita, and score and sim of their best product), and their links to earlier names (no, candidato, forte, score, sim).
+    """
+    links: dict = {}
+    named = rows["candidato"].isna()
+    for no, candidate, strong, score, sim in rows.loc[~named, ["no", "candidato", "forte", "score", "sim"]].itertuples(index=False):
+        links.setdefault(no, []).append((candidate, strong, score, sim))
+    made: dict = {}
+    for no, doubts, score, sim in sorted(rows.loc[named, ["no", "hesita", "score", "sim"]].itertuples(index=False, name=None)):
+        met = [x for x in links.get(no, ()) if x[0] in made]
+        if any(strong for _, strong, _, _ in met):
+            continue
+        if doubts:
+            if met and (best := min(met, key=lambda x: (-x[2], x[0])))[2] > score:  # products go first on a tie
+                score, sim = best[2], best[3]
+            if score >= POSSIBLE and sim:
+                continue
+        made[no] = True
+    return pd.DataFrame({"no": list(made)}, dtype=object)
+
+
+def new_in_components(open_: DataFrame, hindering: DataFrame, of_products: DataFrame, yes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the open names those that become products, decided by component in a task each; and the names that this decided.
+
+    Components of more than TASK_LINKS links, and names without links, are left to rounds.
+    """
+    groups = components(hindering.select(F.col("no").alias("a"), F.col("candidato").alias("b")))
+    linked = hindering.join(groups, "no")
+    small = linked.groupBy("grupo").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= TASK_LINKS).select("grupo")
+    names = settled(open_.join(groups.join(small, "grupo"), "no"))
+    best = best_of(of_products.join(names.filter("hesita"), "no", "left_semi")).select("no", F.col("melhor.nome").alias("melhor"), F.col("melhor.score").alias("score"))
+    nodes = said_yes(names.join(best, "no", "left").withColumnsRenamed({"nome": "de", "melhor": "nome"}), yes)
+    nodes = nodes.select("grupo", "no", F.lit(None).cast("string").alias("candidato"), F.coalesce("hesita", F.lit(False)).alias("hesita"), F.lit(False).alias("forte"), F.coalesce("score", F.lit(0.0)).alias("score"), "sim")
+    edges = said_yes(linked.join(names.select("no", F.col("nome").alias("de")), "no"), yes)
+    edges = edges.select("grupo", "no", "candidato", F.lit(False).alias("hesita"), ((F.col("score") >= SURE) | F.col("igual")).alias("forte"), "score", "sim")
+    made = nodes.unionByName(edges).groupBy("grupo").applyInPandas(made_in_order, "no string")
+    return settled(made), names.select("no")
+
+
 def new_names(nodes: DataFrame, of_products: DataFrame, between: DataFrame, yes: DataFrame) -> DataFrame:
     """no of the names that become products, when names are decided in the order of `no` and each sees the products that earlier ones made.
 
-    between: links() to earlier names. In each round names without open earlier ones are decided, and those go that are
-    sure to stand for a product just made. Names that no other name resembles, mostly all, are decided in the first.
+    between: links() to earlier names. Names that are linked, over any number of others, are decided in a task of their own.
+    What has too many links for that is decided in rounds: in each, names without open earlier ones are decided, and those go
+    that are sure to stand for a product just made. Names that no other name resembles, mostly all, are decided in the first.
     """
     strong = (F.col("score") >= SURE) | F.col("igual")
     judged = lambda found: found.filter(~strong).join(nodes.select("no", F.col("nome").alias("de")), "no").join(yes, (fold(F.col("de")) == F.col("ja")) & (fold(F.col("nome")) == F.col("jb")))
@@ -78,7 +130,9 @@ def new_names(nodes: DataFrame, of_products: DataFrame, between: DataFrame, yes:
     hindering = between.filter(strong).unionByName(between.filter(~strong).join(hesitant, "no", "left_semi"))
     open_ = settled(nodes.select("no", "nome").join(of_products.filter(strong), "no", "left_anti").join(hesitant.withColumn("hesita", F.lit(True)), "no", "left"))
     hindering = settled(hindering.join(open_, "no", "left_semi").join(open_.select(F.col("no").alias("candidato")), "candidato", "left_semi"))
-    made = open_.select("no").limit(0)
+    made, decided_now = new_in_components(open_, hindering, of_products, yes)
+    open_ = settled(open_.join(decided_now, "no", "left_anti"))
+    hindering = settled(hindering.join(decided_now, "no", "left_anti"))
     while not open_.isEmpty():
         waits = hindering.join(open_.select(F.col("no").alias("candidato")), "candidato", "left_semi").select("no")
         ready = open_.join(waits, "no", "left_anti")
