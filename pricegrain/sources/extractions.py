@@ -42,10 +42,10 @@ def readable(text: str | None) -> bool:
         return False
 
 
-def extracted(files: DataFrame, step: Callable[[bytes, str], str], tries: int = 2) -> DataFrame:
+def extracted(files: DataFrame, step: Callable[[bytes, str], str], tries: int = 2, keep: tuple[str, ...] = ("path",)) -> DataFrame:
     """Runs an injected step (content, kind) -> JSON text over the files of read_files(), in batches on the executors.
 
-    A step whose answer is no receipt is asked again, `tries` times in all; its last answer stays.
+    The columns `keep` of the files stay beside extracao_json and extracao. A step whose answer is no receipt is asked again, `tries` times in all; its last answer stays.
     """
 
     def ask(content: bytes, kind: str) -> str:
@@ -56,6 +56,7 @@ def extracted(files: DataFrame, step: Callable[[bytes, str], str], tries: int =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "extracao_json": [ask(c, k) for c, k in zip(batch["content"], batch["tipo"], strict=True)]})
+            yield batch[list(keep)].assign(extracao_json=[ask(c, k) for c, k in zip(batch["content"], batch["tipo"], strict=True)])
 
-    return parse(files.select("path", "content", "tipo").mapInPandas(run, "path string, extracao_json string"))
+    kinds = dict(files.dtypes)
+    return parse(files.select(*keep, "content", "tipo").mapInPandas(run, f"{', '.join(f'{c} {kinds[c]}' for c in keep)}, extracao_json string"))
