@@ -18,6 +18,7 @@ from .plans import admin, explorer, purchases
 from .sources.adapter import description, store, table
 from .sources.catalog import Catalog
 from .sources.tables import Store, shared_folder
+from .streaming import recurrence
 
 START, END = "1996-01-01", "1999-12-31"
 SKU = 25
@@ -207,6 +208,108 @@ def q_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(rows.select(*rows.columns[:-1], "i.descricao_original", "i.produto", "i.quantidade", "i.preco_unitario", "i.preco_liquido", "i.preco_por_base", "i.desconto_direto"))
 
 
+#: Starts of receipt texts that hold abbreviations, and ends that name a chain.
+SHORT, CHAINS = ("BOL", "qj", "IOG", "C/ MANT", "P/", "CEREAIS", "Emb", "CONSERVACAO", "LOMB S/", "un", "XBOL"), ("", "", "Continente", "PINGO DOCE", "lidl")
+
+
+def q_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's habitual products of the 60 days before."""
+    return doubles(recurrence.habitual_by_day(store(spark, sf_dir)))
+
+
+def q_outlier_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products with outliers and their lines, each in its place."""
+    found = admin.outliers_by_product(admin.price_outliers(store(spark, sf_dir), 2))
+    rows = found.select("sku_id", "nome_canonico", "n", "maior_desvio", F.posexplode("itens").alias("lugar", "i"))
+    return doubles(rows.select("sku_id", "nome_canonico", "n", "maior_desvio", F.col("lugar").cast("long").alias("lugar"), "i.fatura_id", "i.preco_por_base", "i.desvio"))
+
+
+def q_repoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by product after all lines of a text were given another."""
+    s = store(spark, sf_dir)
+    words = s.item.agg(F.min("descricao_original")).first()[0]
+    return dml.repoint(s.item, words.lower(), SKU).groupBy(F.coalesce("sku_id", F.lit(-1)).alias("sku_id")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("descricao_original").alias("textos"))
+
+
+def q_dissociate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and aliases by product after a text was taken from its product."""
+    s = store(spark, sf_dir)
+    aliases = s.item.filter("sku_id is not null").select("descricao_original", "sku_id").distinct()
+    words = s.item.filter(F.col("sku_id") == SKU).agg(F.min("descricao_original")).first()[0]
+    items, aliases = dml.dissociate(s.item, aliases, SKU, words)
+    count = lambda rows, name: rows.groupBy(F.lit(name).alias("tabela"), F.coalesce("sku_id", F.lit(-1)).alias("sku_id")).agg(F.count(F.lit(1)).alias("n"))
+    return count(items, "item").unionByName(count(aliases, "alias"))
+
+
+def q_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities and prices per unit of each receipt after the first line's quantity was corrected to 3."""
+    items = store(spark, sf_dir).item.withColumn("id", F.col("id.l_orderkey") * 10 + F.col("id.l_linenumber"))
+    changed = dml.edit_quantity(items, items.agg(F.min("id")).first()[0], 3)
+    return doubles(changed.groupBy("fatura_id").agg(F.sum("quantidade").alias("quantidade"), F.min("preco_por_base").alias("menor"), F.max("preco_por_base").alias("maior")))
+
+
+def q_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left after each receipt but one in fifty was deleted: receipts, lines, verdicts, products and aliases."""
+    s = store(spark, sf_dir)
+    aliases = s.item.filter("sku_id is not null").select("descricao_original", "sku_id").distinct()
+    left = dml.delete_receipts(s.fatura, s.item, s.revisao, s.sku_normalizado, aliases, s.fatura.filter("id % 50 != 0"))
+    key = {"fatura": "loja_id", "item": "sku_id", "revisao": "fatura_id", "sku_normalizado": "id", "sku_alias": "sku_id"}
+    rows = [left[t].groupBy(F.lit(t).alias("tabela"), F.coalesce(F.col(k), F.lit(-1)).cast("long").alias("chave")).agg(F.count(F.lit(1)).alias("n")) for t, k in key.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]).unionByName(rows[4])
+
+
+def q_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts by user after one was added, added again in capitals, and another forgotten."""
+    facts = store(spark, sf_dir).perfil
+    gone = facts.filter("utilizador = '3'").agg(F.min("fato")).first()[0]
+    facts = dml.remember(dml.remember(facts, "3", "  Gosta de café "), "3", "GOSTA DE CAFE")
+    return dml.forget(facts, "3", gone.upper()).groupBy("utilizador").agg(F.count(F.lit(1)).alias("n"), F.min("fato").alias("primeiro"), F.max("fato").alias("ultimo"))
+
+
+def q_needs_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lines(spark, sf_dir)
+    return receipts.needs_review(receipts.reconcile(read, totals(spark, sf_dir), "fatura_id"), read, "fatura_id")
+
+
+def chosen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A shopping list of all parts, and the categories of two in three of their names."""
+    part = table(spark, sf_dir, "part")
+    kinds = F.get(F.array(*map(F.lit, CATEGORIES)), (F.length("p_name") % len(CATEGORIES)).cast("int"))
+    return part.select(F.col("p_name").alias("produto"), F.col("p_retailprice").alias("preco")), part.filter("length(p_name) % 3 != 0").select(F.col("p_name").alias("produto"), kinds.alias("categoria"))
+
+
+def q_cart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explorer.cart(*chosen(spark, sf_dir)).select("produto", F.col("preco").cast("double").alias("preco"), "categoria", "seccao")
+
+
+def q_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extractions by method: off by 0 to 2, a few of them failed."""
+    k = F.col("o_orderkey")
+    read = F.when(k % 11 != 0, F.col("o_totalprice").cast("decimal(14,2)") + k % 5 - 2)
+    results = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("metodo"), F.col("o_totalprice").cast("decimal(14,2)").alias("total"), read.alias("lido"), F.when(k % 11 == 0, "falhou").alias("erro"))
+    return doubles(admin.score_board(results, "metodo"))
+
+
+def q_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipt texts with their abbreviations written out, and without the chains in them."""
+    pick = lambda words: F.get(F.array(*map(F.lit, words)), (F.col("p_partkey") % len(words)).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", pick(SHORT), "p_name", pick(CHAINS)).alias("texto"))
+    return rows.select(F.col("p_partkey").alias("id"), text.expand_abbreviations(F.col("texto")).alias("extenso"), text.split_chain(F.col("texto")).alias("c")).select("id", "extenso", "c.sem_cadeia", "c.cadeia_token")
+
+
+def q_lights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = admin.quality(store(spark, sf_dir), "cadeia")
+    return found.select("grupo", admin.traffic_light(F.col("reconciliadas"), F.col("n")).alias("leitura"), admin.traffic_light(F.col("ok"), F.col("revistas")).alias("revisao"))
+
+
+def q_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all explored products those whose names hold a text, and what they cost together."""
+    found = explorer.search(explorer.products(store(spark, sf_dir), None, None, 1 << 30), "pl%te")
+    plain = explorer.search(explorer.products(store(spark, sf_dir), None, None, 1 << 30), " PLATE ")
+    total = lambda rows, q: doubles(rows.agg(F.lit(q).alias("q"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("total_gasto"), F.lit(0)).cast("double").alias("total")))
+    return total(found, "pl%te").unionByName(total(plain, "plate"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "carregar_faturas": q_upload,
     "ultima_compra": lambda s, d: doubles(purchases.last_purchase(store(s, d), "widget")),
@@ -262,6 +365,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "seccoes": q_sections,
     "palavras": q_text,
     "tipos_loja": q_stores,
+    "habituais_por_dia": q_by_day,
+    "outliers_por_produto": q_outlier_products,
+    "recolar_texto": q_repoint,
+    "dissociar_texto": q_dissociate,
+    "corrigir_quantidade": q_quantity,
+    "apagar_faturas": q_delete,
+    "guardar_factos": q_facts,
+    "rever_faturas": q_needs_review,
+    "carrinho": q_cart,
+    "carrinho_total": lambda s, d: explorer.cart_total(chosen(s, d)[0]),
+    "comparar_extracoes": q_board,
+    "abreviaturas": q_short,
+    "semaforo": q_lights,
+    "pesquisa_explorador": q_listed,
 }
 
 
@@ -307,6 +424,13 @@ HINTS = """x AS (SELECT f.fatura_id, f.discrepancia AS gap, arg_min(descricao_or
     coalesce(v, d) AS linha, abs(gap) AS diferenca FROM x)"""
 
 
+def written_out(x: str) -> str:
+    """The text x with its abbreviations written out, one after another."""
+    for pattern, meaning in text.ABBREVIATIONS:
+        x = f"regexp_replace({x}, '(?i)\\b{pattern}" + ("\\s*" if pattern.endswith("/") else "\\b") + f"', '{meaning}', 'g')"
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
 def section_sql(folded: str) -> str:
     """The section of a folded text, by the parts of text.SECTIONS in their order."""
     cases = " ".join(f"WHEN {' OR '.join(f'contains({folded}, {p!r})' for p in parts)} THEN '{name}'" for name, parts in text.SECTIONS)
@@ -440,4 +564,33 @@ def oracle_sql() -> dict[str, str]:
         "chat_ultimas": "SELECT turn AS id, CAST(conv_id AS VARCHAR) AS utilizador, role AS papel, text AS conteudo FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
         "tipos_loja": """SELECT CASE c_custkey % 4 WHEN 0 THEN 'Continente' WHEN 1 THEN 'FARMÁCIA Central' ELSE c_mktsegment END AS cadeia, CASE WHEN c_custkey % 4 = 0 OR c_custkey % 5 = 0 THEN 'supermercado' WHEN c_custkey % 4 = 1 THEN 'farmacia' ELSE 'outro' END AS tipo, count(*) AS n
             FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2""",
+        "habituais_por_dia": f"""{BASE}, viagens AS (SELECT lower(nome) AS chave, fatura_id, CAST(data_compra AS DATE) AS dia, min(nome) AS nome, max(categoria) AS categoria, count(*) AS n, sum(preco_liquido) AS pago, max(struct_pack(x := data_compra, y := item_id, z := preco_liquido)) AS ultimo
+            FROM (SELECT *, coalesce(nome_simplificado, nome_canonico, descricao_original) AS nome FROM base WHERE {OK}) GROUP BY ALL), janelas AS (SELECT *, unnest(range(0, 61)) AS depois FROM viagens)
+            SELECT hoje, produto, categoria, idas, meses, unidades, total, ultimo_preco FROM (SELECT strftime(dia + CAST(depois AS INTEGER), '%Y-%m-%d') AS hoje, chave, min(nome) AS produto, max(categoria) AS categoria, count(*) AS idas, count(DISTINCT strftime(dia, '%Y-%m')) AS meses, CAST(sum(n) AS BIGINT) AS unidades,
+            CAST(sum(pago) AS DOUBLE) AS total, CAST(max(ultimo).z AS DOUBLE) AS ultimo_preco FROM janelas GROUP BY 1, 2 HAVING count(*) >= 2) QUALIFY row_number() OVER (PARTITION BY hoje ORDER BY idas DESC, meses DESC, unidades DESC, produto, chave) <= 40""",
+        "outliers_por_produto": f"""{BASE}, pagas AS (SELECT * FROM base WHERE NOT is_non_product AND NOT is_clearance AND nome_canonico IS NOT NULL AND preco_por_base > 0), m AS (SELECT sku_id, median(preco_por_base) AS md, count(*) AS n FROM pagas GROUP BY 1 HAVING count(*) >= 2),
+            o AS (SELECT *, floor(preco_por_base / md * 10 + 0.5::DOUBLE) / 10 AS desvio FROM pagas JOIN m USING (sku_id) WHERE preco_por_base > md * 2 OR preco_por_base < md / 2)
+            SELECT sku_id, nome_canonico, n, max(desvio) OVER (PARTITION BY sku_id) AS maior_desvio, row_number() OVER (PARTITION BY sku_id ORDER BY desvio DESC, item_id) - 1 AS lugar, fatura_id, preco_por_base, desvio FROM o""",
+        "recolar_texto": f"WITH {ITEM} SELECT coalesce(CASE WHEN {folded} = (SELECT min({folded}) FROM item) THEN {SKU} ELSE sku_id END, -1) AS sku_id, count(*) AS n, count(DISTINCT descricao_original) AS textos FROM item GROUP BY 1",
+        "dissociar_texto": f"""WITH {ITEM}, t AS (SELECT min(descricao_original) AS t FROM item WHERE sku_id = {SKU}), aliases AS (SELECT DISTINCT descricao_original, sku_id FROM item WHERE sku_id IS NOT NULL)
+            SELECT 'item' AS tabela, CASE WHEN sku_id IS NULL OR sku_id = {SKU} AND descricao_original = t THEN -1 ELSE sku_id END AS sku_id, count(*) AS n FROM item, t GROUP BY 2 UNION ALL SELECT 'alias', sku_id, count(*) FROM aliases, t WHERE sku_id != {SKU} OR descricao_original != t GROUP BY 2""",
+        "corrigir_quantidade": f"""WITH {ITEM}, x AS (SELECT *, id.a * 10 + id.b AS k FROM item), y AS (SELECT fatura_id, k = (SELECT min(k) FROM x) AS certa, quantidade, preco_liquido, preco_por_base FROM x)
+            SELECT fatura_id, CAST(sum(CASE WHEN certa THEN 3 ELSE quantidade END) AS DOUBLE) AS quantidade, min(CASE WHEN certa THEN floor(CAST(preco_liquido AS DOUBLE) / 3 * 10000 + 0.5::DOUBLE) / 10000 ELSE preco_por_base END) AS menor, max(CASE WHEN certa THEN floor(CAST(preco_liquido AS DOUBLE) / 3 * 10000 + 0.5::DOUBLE) / 10000 ELSE preco_por_base END) AS maior FROM y GROUP BY 1""",
+        "apagar_faturas": f"""WITH {SKU_SQL}, {FATURA}, {ITEM}, {VERDICTS}, f AS (SELECT * FROM fatura WHERE id % 50 = 0), i AS (SELECT * FROM item WHERE fatura_id NOT IN (SELECT id FROM fatura WHERE id % 50 != 0)), vivos AS (SELECT DISTINCT sku_id FROM i WHERE sku_id IS NOT NULL)
+            SELECT 'fatura' AS tabela, loja_id AS chave, count(*) AS n FROM f GROUP BY 2 UNION ALL SELECT 'item', coalesce(sku_id, -1), count(*) FROM i GROUP BY 2 UNION ALL SELECT 'revisao', fatura_id, count(*) FROM revisao WHERE fatura_id % 50 = 0 GROUP BY 2
+            UNION ALL SELECT 'sku_normalizado', id, 1 FROM sku WHERE id IN (SELECT sku_id FROM vivos) UNION ALL SELECT 'sku_alias', sku_id, count(DISTINCT descricao_original) FROM item WHERE sku_id IN (SELECT sku_id FROM vivos) GROUP BY 2""",
+        "guardar_factos": """WITH f AS (SELECT CAST(conv_id AS VARCHAR) AS utilizador, text AS fato, lower(strip_accents(trim(text))) AS k FROM conversations WHERE role = 'user'), g AS (SELECT arg_min(k, fato) AS k FROM f WHERE utilizador = '3'),
+            r AS (SELECT utilizador, fato FROM f WHERE NOT (utilizador = '3' AND k = (SELECT k FROM g)) UNION ALL SELECT '3', 'Gosta de café') SELECT utilizador, count(*) AS n, min(fato) AS primeiro, max(fato) AS ultimo FROM r GROUP BY 1""",
+        "rever_faturas": f"""{RECONCILED}, w AS (SELECT fatura_id, count(*) AS n_fora FROM linhas WHERE quantidade >= 2 AND preco_unitario > 0 AND abs(quantidade * preco_unitario - abs(valor)) > 0.02 GROUP BY 1)
+            SELECT fatura_id, abs(discrepancia) >= 0.015 OR n_fora > 0 AS needs_review, coalesce(n_fora, 0) AS n_fora FROM (SELECT f.*, coalesce(w.n_fora, 0) AS n_fora FROM feito f LEFT JOIN w USING (fatura_id))""",
+        "carrinho": f"""WITH c AS (SELECT DISTINCT p_name AS produto, {list(CATEGORIES)}[length(p_name) % {len(CATEGORIES)} + 1] AS categoria FROM part WHERE length(p_name) % 3 != 0)
+            SELECT p_name AS produto, CAST(p_retailprice AS DOUBLE) AS preco, categoria, CASE WHEN contains(lower(categoria), 'pão') THEN 'Padaria' ELSE {section_sql("coalesce(lower(categoria), '')")} END AS seccao FROM part LEFT JOIN c ON p_name = produto""",
+        "carrinho_total": "SELECT CAST(round(sum(CAST(p_retailprice AS DECIMAL(14,2))), 2) AS DOUBLE) AS total FROM part",
+        "comparar_extracoes": """SELECT o_orderpriority AS metodo, count(*) AS n, count(*) FILTER (o_orderkey % 11 != 0 AND o_orderkey % 5 = 2) AS ok, CAST(sum(abs(o_orderkey % 5 - 2)) FILTER (o_orderkey % 11 != 0) AS DOUBLE) AS desvio, count(*) FILTER (o_orderkey % 11 = 0) AS erros FROM orders GROUP BY 1""",
+        "abreviaturas": f"""WITH t AS (SELECT p_partkey AS id, {list(SHORT)}[p_partkey % {len(SHORT)} + 1] || ' ' || p_name || ' ' || {list(CHAINS)}[p_partkey % {len(CHAINS)} + 1] AS t FROM part)
+            SELECT id, {written_out('t')} AS extenso, trim(regexp_replace(regexp_replace(t, '(?i)\\b({'|'.join(text.CHAIN_TOKENS)})\\b', '', 'g'), '\\s+', ' ', 'g')) AS sem_cadeia, nullif(upper(regexp_extract(t, '(?i)\\b({'|'.join(text.CHAIN_TOKENS)})\\b', 1)), '') AS cadeia_token FROM t""",
+        "semaforo": f"""WITH q AS ({quality_sql('cadeia')}), p AS (SELECT grupo, floor(reconciliadas / n * 100 + 0.5::DOUBLE) AS a, floor(ok / nullif(revistas, 0) * 100 + 0.5::DOUBLE) AS b FROM q)
+            SELECT grupo, CASE WHEN a >= 80 THEN 'good' WHEN a >= 50 THEN 'medium' ELSE 'bad' END AS leitura, CASE WHEN b >= 80 THEN 'good' WHEN b >= 50 THEN 'medium' ELSE 'bad' END AS revisao FROM p""",
+        "pesquisa_explorador": f"""{BASE}, p AS (SELECT DISTINCT sku_id FROM base WHERE {SHOWN}), e AS (SELECT sku_id, any_value(nome_canonico) AS a, any_value(nome_simplificado) AS b, sum(preco_liquido) AS total FROM base WHERE {SHOWN} GROUP BY 1)
+            SELECT q, count(sku_id) AS n, CAST(coalesce(sum(total), 0) AS DOUBLE) AS total FROM (VALUES ('pl%te'), ('plate')) AS t(q) LEFT JOIN e ON contains(lower(a), q) OR contains(lower(b), q) GROUP BY 1""",
     }
