@@ -26,7 +26,8 @@ def recurring(lines: DataFrame, days: int = DAYS, late: str = "1 day", min_idas:
     lines: those of bought(). A stream's day is done, and its row appended, when lines of `late` after its end have come;
     lines that are later still don't count. Lines without a date count on no day. Days are those of a session in UTC, as session() makes it.
     State holds a row for each trip of open days, then one for each product and day, and only these, which no longer grow with
-    the trips, are dealt to the days' windows. Months are a set of at most days / 28 + 2.
+    the trips, are dealt to the days' windows. Months are bits of one number, so `days`
+    may span 63 months.
     """
     day = F.window("quando", "1 day").alias("dia")
     paid = F.max(F.struct("data_compra", "item_id", "preco_liquido")).alias("ultimo")
@@ -34,12 +35,13 @@ def recurring(lines: DataFrame, days: int = DAYS, late: str = "1 day", min_idas:
     timed = lines.withColumn("quando", F.col("data_compra").cast("timestamp"))
     trips = timed.withWatermark("quando", late).groupBy(day, "chave", "fatura_id").agg(first, last, F.count(F.lit(1)).alias("n"), F.sum("preco_liquido").alias("pago"), paid)
     of_day = trips.groupBy("dia", "chave").agg(first, last, F.count(F.lit(1)).alias("idas"), F.sum("n").alias("n"), F.sum("pago").alias("pago"), F.max("ultimo").alias("ultimo"))
+    month = F.expr("shiftleft(1L, CAST((year(ultimo.data_compra) * 12 + month(ultimo.data_compra)) % 64 AS INT))")
     window = F.window("dia", f"{days + 1} days", "1 day").alias("janela")
     grouped = of_day.groupBy(window, "chave").agg(
         F.min("nome").alias("produto"),
         last,
         F.sum("idas").alias("idas"),
-        F.size(F.collect_set(F.date_format("ultimo.data_compra", "yyyy-MM"))).cast("long").alias("meses"),
+        F.bit_count(F.bit_or(month)).cast("long").alias("meses"),
         F.sum("n").alias("unidades"),
         F.round(F.sum("pago"), 2).alias("total"),
         F.max("ultimo")["preco_liquido"].alias("ultimo_preco"),
