@@ -3,7 +3,9 @@
 Every language has a codeword of bits. One binary n-gram classifier per bit says how likely the bit is: it compares the
 n-gram counts of the languages whose codeword has the bit with those of the others. Decoding weighs the loss of every bit
 by how sure its classifier is, chooses the codeword of least loss and flags a text if the next one is almost as near. The
-counts come from all training texts and have a fixed size, languages x buckets.
+counts come from all training texts and are a table of languages and buckets; its sums over languages are taken in tasks
+dealt by bucket, so the driver receives the model alone: a weight for each bucket and bit, and bits grow with the
+logarithm of the languages.
 """
 
 from __future__ import annotations
@@ -16,10 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import dropped, written
+from .simhash import whole_groups
+
 #: Buckets of byte trigrams.
 BUCKETS = 1 << 16
 #: Code bits of more than SMALL languages: this many for each doubling of their number.
 SMALL, BITS_PER_DOUBLING = 5, 10
+#: Languages up to which the best of several random codes is looked for; codes of more are long enough to lie far apart.
+SEARCHED = 64
+#: Languages that a task counts at once, each in half a megabyte.
+COUNTED = 128
 #: A text is ambiguous if the best language's share of the belief is below this.
 CLEAR = 0.6
 #: Text bytes that are handled at once.
@@ -28,7 +37,7 @@ UNKNOWN = "und"
 
 
 def codewords(n: int) -> np.ndarray:
-    """n codewords of 0 and 1: the exhaustive code for few languages, else the random code of largest least distance among some."""
+    """n different codewords of 0 and 1: the exhaustive code for few languages, else a random code, up to SEARCHED the one of largest least distance among some."""
     if n <= 1:
         return np.ones((n, 1), dtype=np.int8)
     if n <= SMALL:
@@ -39,6 +48,10 @@ def codewords(n: int) -> np.ndarray:
     for _ in range(64):
         code = rng.integers(0, 2, (n, length), dtype=np.int8)
         code[:, (code.min(axis=0) == code.max(axis=0))] ^= np.eye(n, 1, dtype=np.int8)
+        if n > SEARCHED:
+            if len(np.unique(code, axis=0)) == n:
+                return code
+            continue
         least = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
         if least > distance:
             best, distance = code, least
@@ -87,9 +100,9 @@ class Model:
                 count[start + of[first]] += np.diff(np.append(first, len(of)))
         # Log odds of a text's bits, tempered: trigrams that overlap aren't independent evidence.
         odds = total / np.maximum(count, 1)[:, None] * np.sqrt(np.maximum(count, 1))[:, None]
-        sign = 2 * self.code - 1
         weight = np.abs(odds) / np.maximum(np.abs(odds).sum(axis=1, keepdims=True), 1e-12)
-        loss = (weight[:, None, :] * np.logaddexp(0, -sign[None] * odds[:, None, :])).sum(axis=2)
+        code = self.code.astype(np.float64)
+        loss = (weight * np.logaddexp(0, -odds)) @ code.T + (weight * np.logaddexp(0, odds)) @ (1 - code).T
         belief = np.exp(-(loss - loss.min(axis=1, keepdims=True)))
         belief /= belief.sum(axis=1, keepdims=True)
         best = belief.argmax(axis=1)
@@ -102,6 +115,14 @@ class Model:
         return out
 
 
+def counted(counts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """lang, bucket, n of the counts, which are empty after it."""
+    while counts:
+        lang, own = counts.popitem()
+        there = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(there), pa.string()), pa.array(there, pa.int32()), pa.array(own[there])], names=["lang", "bucket", "n"])
+
+
 def fit(docs: DataFrame, allowed=None, lang_col: str = "lang", text_col: str = "text") -> Model | None:
     """Learns from all documents with a text and a language for which `allowed` (a condition) holds; None if there are none."""
     rows = docs.filter(F.lit(True) if allowed is None else allowed).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -114,24 +135,41 @@ def fit(docs: DataFrame, allowed=None, lang_col: str = "lang", text_col: str = "
                 own = counts.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
                 for _, part in chunks([batch.column(1)[int(i)].as_py() for i in np.flatnonzero(langs == lang)]):
                     own += np.bincount(trigrams(part)[0], minlength=BUCKETS)
-        for lang, own in counts.items():
-            there = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(there), pa.string()), pa.array(there, pa.int32()), pa.array(own[there])], names=["lang", "bucket", "n"])
-
-    table = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    languages = sorted(set(table.column("lang").to_pylist()))
-    if not languages:
+                if len(counts) >= COUNTED:
+                    yield from counted(counts)
+        yield from counted(counts)
+
+    tallied = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, bucket int, n long")
+    table = written(tallied.groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    found = sorted((r["lang"], r["n"]) for r in table.groupBy("lang").agg(F.sum("n").alias("n")).collect())  # a row for each language, as in the model
+    if not found:
         return None
-    place = {lang: i for i, lang in enumerate(languages)}
-    counts = np.zeros((len(languages), BUCKETS))
-    counts[[place[x] for x in table.column("lang").to_pylist()], table.column("bucket").to_numpy()] = table.column("n").to_numpy()
-    share = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)  # every language weighs the same
-    code = codewords(len(languages))
+    languages, code = [x for x, _ in found], codewords(len(found))
     if len(languages) == 1:
         return Model(languages, code, np.zeros((BUCKETS, 1), dtype=np.float32))
-    yes = (code.T @ share) / code.sum(axis=0)[:, None]
-    no = ((1 - code).T @ share) / (1 - code).sum(axis=0)[:, None]
-    return Model(languages, code, np.ascontiguousarray(np.log(yes / no).T, dtype=np.float32))
+    place = {x: i for i, x in enumerate(languages)}
+    size = np.array([n for _, n in found]) + 0.5 * BUCKETS  # every language weighs the same, and each bucket counts half a time more
+    ones = code.astype(np.float64)
+    base_yes, base_no = 0.5 / size @ ones, 0.5 / size @ (1 - ones)
+
+    def log_odds(yes: np.ndarray, no: np.ndarray) -> np.ndarray:
+        return np.log((yes + base_yes) / ones.sum(axis=0) / ((no + base_no) / (1 - ones).sum(axis=0))).astype(np.float32)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_groups(batches, "bucket"):
+            bucket = part.column("bucket").to_numpy()
+            of = np.array([place[x] for x in part.column("lang").to_pylist()], dtype=np.int64)
+            share = (part.column("n").to_numpy() / size[of])[:, None]
+            first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            odds = log_odds(np.add.reduceat(ones[of] * share, first), np.add.reduceat((1 - ones[of]) * share, first))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array(list(odds), pa.list_(pa.float32()))], names=["bucket", "odds"])
+
+    model = table.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(weigh, "bucket int, odds array<float>").toArrow()
+    weights = np.tile(log_odds(np.zeros(code.shape[1]), np.zeros(code.shape[1])), (BUCKETS, 1))
+    odds = model.column("odds").combine_chunks()
+    weights[model.column("bucket").to_numpy()] = odds.flatten().to_numpy().reshape(-1, code.shape[1])
+    dropped(table)
+    return Model(languages, code, weights)
 
 
 def language_id(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
