@@ -19,12 +19,12 @@ from .receipts import fold_lines, needs_review, reconcile, reprice
 def with_ids(new: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
     """New rows with ids after the largest existing one, in a fixed order: ranges of it are numbered in tasks of their own."""
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    rows = settled(new.drop("id").repartitionByRange(*order).withColumn("parte", F.spark_partition_id()))
-    sizes = rows.groupBy("parte").agg(F.count(F.lit(1)).alias("n"))  # one row for each task
+    rows = settled(new.drop("id").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("lugar", F.monotonically_increasing_id()))
+    part, place = F.shiftright("lugar", 33).alias("parte"), F.col("lugar").bitwiseAND(F.lit((1 << 33) - 1))  # the task, and the row's place in it
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n"))  # one row for each task
     before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("parte").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("parte").orderBy(*order))
-    numbered = rows.withColumn("rank", rank).join(F.broadcast(sizes.select("parte", before.alias("antes"))), "parte").join(F.broadcast(top))
-    return numbered.withColumn("id", F.col("top") + F.col("antes") + F.col("rank")).drop("top", "antes", "rank", "parte")
+    numbered = rows.withColumn("parte", part).join(F.broadcast(sizes.select("parte", before.alias("antes"))), "parte").join(F.broadcast(top))
+    return numbered.withColumn("id", F.col("top") + F.col("antes") + place + 1).drop("top", "antes", "lugar", "parte")
 
 
 def tidy_stores(incoming: DataFrame) -> DataFrame:
@@ -217,12 +217,16 @@ def remember(facts: DataFrame, utilizador: str, fato: str) -> DataFrame:
 
 
 def item_rows(lines: DataFrame, priced: DataFrame) -> DataFrame:
-    """Folded lines (fatura_id, pos, ...) as they are stored, with their prices (fatura_id, pos, unitario, preco_liquido): texts cut, defaults set, no product yet."""
+    """Folded lines (fatura_id, pos, ...) as they are stored, with their prices (fatura_id, pos, unitario, preco_liquido)."""
+    return stored_lines(lines.join(priced, ["fatura_id", "pos"]))
+
+
+def stored_lines(rows: DataFrame) -> DataFrame:
+    """Folded lines with their prices (fatura_id, pos, unitario, preco_liquido, ...) as they are stored: texts cut, defaults set, no product yet."""
     quantity = F.coalesce(F.nullif("quantidade", F.lit(0.0)), F.lit(1.0)).alias("quantidade")
     off = F.coalesce(F.col("desconto_direto"), F.lit(0.0)).alias("desconto_direto")
     flags = (F.coalesce(c, F.lit(False)).alias(c) for c in ("is_clearance", "is_non_product"))
     texts = F.substring(F.coalesce("descricao_original", F.lit("")), 1, 200).alias("descricao_original"), F.nullif(F.substring("linha_peso", 1, 80), F.lit("")).alias("linha_peso")
-    rows = lines.join(priced, ["fatura_id", "pos"])
     return rows.select("fatura_id", "pos", F.lit(None).cast("long").alias("sku_id"), *texts, quantity, F.col("unitario").alias("preco_unitario"), "preco_liquido", F.lit(None).cast("double").alias("preco_por_base"), off, *flags)
 
 

@@ -64,18 +64,27 @@ def reconcile(lines: DataFrame, totals: DataFrame, key: str, empty: bool = False
     rows = listed.join(totals, key, "right" if empty else "inner")
     if empty:
         rows = rows.withColumn("linhas", F.coalesce("linhas", F.array().cast(rows.schema["linhas"].dataType)))
-    sum_of = lambda get: F.aggregate("linhas", F.lit(0.0), lambda a, x: a + get(x))
+    return reconciled(rows).select(key, "subtotal", "convencao", "total_reconciliado", "discrepancia", "bate", "itens")
+
+
+def reconciled(rows: DataFrame) -> DataFrame:
+    """Rows of receipts (linhas, total_impresso, desconto_global, iva) with what reconcile() adds; linhas (pos, valor, desconto_direto, ...) are in order."""
+    amount = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
+    rows = rows.withColumn("__l", F.transform("linhas", lambda x: F.struct(x["pos"].alias("pos"), amount(x["valor"]).alias("valor"), F.abs(amount(x["desconto_direto"])).alias("desconto_direto"))))
+    sum_of = lambda get: F.aggregate("__l", F.lit(0.0), lambda a, x: a + get(x))
     net = lambda x: x["valor"] - x["desconto_direto"]
     total, card, vat = F.col("total_impresso").cast("double"), F.coalesce(F.col("desconto_global").cast("double"), F.lit(0.0)), F.coalesce(F.col("iva").cast("double"), F.lit(0.0))
-    rows = rows.withColumns({"bruto": sum_of(lambda x: x["valor"]), "descontos": sum_of(lambda x: x["desconto_direto"]), "liquido": sum_of(net)})
-    a, b = F.col("bruto") - card, F.col("bruto") - F.col("descontos") - card
+    rows = rows.withColumns({"subtotal": sum_of(lambda x: x["valor"]), "__descontos": sum_of(lambda x: x["desconto_direto"]), "__liquido": sum_of(net)})
+    gross = F.col("subtotal")
+    a, b = gross - card, gross - F.col("__descontos") - card
     goal = F.coalesce(total - vat, b)
     rows = rows.withColumn("convencao", F.when(F.abs(b - goal) < F.abs(a - goal), "B").otherwise("A"))
     real = F.col("convencao") == "B"
-    base = F.when(real, F.col("liquido")).otherwise(F.col("bruto"))
-    priced = F.transform("linhas", lambda x: F.struct(x["pos"].alias("pos"), x["valor"].alias("preco_unitario"), half_up(F.when(real, net(x)).otherwise(x["valor"]), 2).alias("preco_liquido")))
+    base = F.when(real, F.col("__liquido")).otherwise(gross)
+    priced = F.transform("__l", lambda x: F.struct(x["pos"].alias("pos"), x["valor"].alias("preco_unitario"), half_up(F.when(real, net(x)).otherwise(x["valor"]), 2).alias("preco_liquido")))
     gap = F.coalesce(half_up(base - card + vat - total, 2), F.lit(0.0))
-    return rows.select(key, F.col("bruto").alias("subtotal"), "convencao", half_up(base - card + vat, 2).alias("total_reconciliado"), gap.alias("discrepancia"), (F.abs(gap) < 0.015).alias("bate"), priced.alias("itens"))
+    rows = rows.withColumns({"total_reconciliado": half_up(base - card + vat, 2), "discrepancia": gap, "itens": priced})
+    return rows.withColumn("bate", F.abs("discrepancia") < 0.015).drop("__l", "__descontos", "__liquido")
 
 
 def wrong_lines(lines: DataFrame) -> DataFrame:
@@ -101,6 +110,57 @@ def hint(lines: DataFrame, gaps: DataFrame, key: str) -> DataFrame:
     return found.select(key, kind.alias("tipo"), F.coalesce("por_valor", "por_desconto").alias("linha"), F.abs("gap").alias("diferenca"))
 
 
+def folded(rows: DataFrame) -> DataFrame:
+    """Rows of receipts with `linhas` from `itens` (the extracted lines as an array): pos, and the lines as fold_lines() makes them.
+
+    Nothing leaves its row, so the lines of a receipt aren't shuffled to meet each other again.
+    """
+    text = lambda x: F.trim(F.coalesce(x["descricao_original"], F.lit("")))
+    fields = ("valor", "desconto_direto", "quantidade", "preco_unitario", "is_clearance", "is_non_product")
+    kind = lambda x, i: F.when(i == 0, "linha").when(text(x).rlike(DISCOUNT), "desconto").when(text(x).rlike(LOOSE), "peso").otherwise("linha")
+    rows = rows.withColumn("__l", F.transform("itens", lambda x, i: F.struct(i.alias("pos"), kind(x, i).alias("especie"), text(x).alias("nome"), *(x[f].alias(f) for f in fields))))
+    rows = rows.withColumn("__h", F.filter("__l", lambda x: x["especie"] == "linha"))
+    # The lines from one head to the next are attached to it.
+    after = lambda j: F.coalesce(F.get("__h", j + 1)["pos"], F.size("__l"))
+    rows = rows.withColumn("__h", F.transform("__h", lambda h, j: F.struct(h.alias("h"), F.slice("__l", h["pos"] + 2, after(j) - h["pos"] - 1).alias("presas"))))
+
+    def told(x: Column) -> Column:
+        off = F.filter(x["presas"], lambda y: y["especie"] == "desconto")
+        weight = F.filter(x["presas"], lambda y: y["especie"] == "peso")
+        own = F.nullif(F.regexp_extract(x["h"]["nome"], INLINE, 1), F.lit(""))
+        return F.struct(x["h"].alias("h"), own.alias("peso_no_nome"), off.alias("descontos"), weight.alias("pesos"))
+
+    def whole(x: Column) -> Column:
+        h, last = x["h"], lambda rows_: F.try_element_at(rows_, F.lit(-1))
+        clean = F.when(x["peso_no_nome"].isNotNull(), F.trim(F.regexp_replace(h["nome"], INLINE, ""))).otherwise(h["nome"])
+        value = last(F.filter(x["pesos"], lambda y: y["valor"].isNotNull()))["valor"]
+        taken = F.aggregate(x["descontos"], F.lit(0.0), lambda a, y: a + F.abs(F.coalesce(y["valor"], y["desconto_direto"], F.lit(0.0))))
+        off = F.when(F.size(x["descontos"]) > 0, F.coalesce(h["desconto_direto"], F.lit(0.0)) + taken).otherwise(h["desconto_direto"])
+        named = {"pos": h["pos"], "descricao_original": clean, "linha_peso": F.coalesce(last(x["pesos"])["nome"], x["peso_no_nome"]), "valor": F.coalesce(value, h["valor"]), "desconto_direto": off}
+        return F.struct(*(c.alias(n) for n, c in named.items()), *(h[f].alias(f) for f in fields[2:]))
+
+    return rows.withColumn("linhas", F.transform(F.transform("__h", told), whole)).drop("__l", "__h")
+
+
+def checked(rows: DataFrame) -> DataFrame:
+    """Rows of receipts (linhas, discrepancia) with `erradas`, what wrong_lines() finds in linhas (pos, descricao_original, ...), and `pista`, what hint() says, or null."""
+    number = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
+    many = lambda x: F.coalesce(F.nullif(x["quantidade"].cast("double"), F.lit(0.0)), F.lit(1.0))
+    due = lambda x: half_up(many(x) * x["preco_unitario"].cast("double"), 2)
+    line = lambda x: F.struct(*(x[c].alias(c) for c in ("pos", "descricao_original", "quantidade", "preco_unitario", "valor")), due(x).alias("esperado"))
+    wrong = lambda x: (many(x) >= 2) & (x["preco_unitario"].cast("double") > 0) & (F.abs(x["esperado"] - F.abs(number(x["valor"]))) > 0.02)
+    gap = half_up(number(F.col("discrepancia")), 2)
+    rows = rows.withColumns({"erradas": F.filter(F.transform("linhas", line), wrong), "__gap": gap})
+    near = lambda x: F.abs(F.abs(number(x)) - F.abs("__gap")) <= 0.02
+    name = lambda x: F.substring(F.trim(F.coalesce(x["descricao_original"], F.lit(""))), 1, 40)
+    first = lambda condition: F.get(F.transform(F.filter("linhas", condition), name), F.lit(0))
+    odd = F.col("__gap") != 0
+    rows = rows.withColumns({"__v": F.when(odd, first(lambda x: near(x["valor"]))), "__d": F.when(odd, first(lambda x: near(x["desconto_direto"]) & (x["desconto_direto"] != 0)))})
+    kind = F.when(F.col("__v").isNotNull(), F.when(F.col("__gap") > 0, "DUPLICADO").otherwise("FALTAR")).when(F.col("__d").isNotNull(), "DESCONTO").when(F.col("__gap") > 0, "ACIMA").otherwise("ABAIXO")
+    told = F.struct(kind.alias("tipo"), F.coalesce("__v", "__d").alias("linha"), F.abs("__gap").alias("diferenca"))
+    return rows.withColumn("pista", F.when(odd, told)).drop("__gap", "__v", "__d")
+
+
 def needs_review(reconciled: DataFrame, lines: DataFrame, key: str) -> DataFrame:
     """key, needs_review: the total doesn't match, or a line doesn't."""
     bad = wrong_lines(lines).groupBy(key).agg(F.count(F.lit(1)).alias("n_fora"))

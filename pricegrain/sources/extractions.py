@@ -23,6 +23,15 @@ def parse(frame: DataFrame, column: str = "extracao_json") -> DataFrame:
     return frame.withColumn("extracao", F.when(found["itens"].isNotNull(), found))
 
 
+def readable_only(frame: DataFrame, column: str = "extracao_json") -> DataFrame:
+    """The rows of `frame` whose text is a receipt, with `extracao` instead of it.
+
+    The text is parsed once: as a generator's rows, where a filter behind parse() would parse it again for itself and for each field.
+    """
+    found = F.filter(F.array(F.from_json(json_part(F.col(column)), EXTRACTION, {"mode": "PERMISSIVE"})), lambda x: x["itens"].isNotNull())
+    return frame.select(*(c for c in frame.columns if c != column), F.explode(found).alias("extracao"))
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: path, extracao_json, extracao."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("extracao_json"))

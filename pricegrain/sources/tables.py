@@ -95,9 +95,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(frame: DataFrame) -> DataFrame:
-    """The frame, computed once, in the folder of shared_folder(): its lineage ends there."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint()
+    """The frame, computed once, as Parquet in shared_folder(): its lineage ends at those files, of which a plan reads only the columns it needs."""
+    path = f"{shared_folder(frame.sparkSession)}/mesa-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def register(store: Store) -> None:
