@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import half_up, pack_format, price_per_base
-from ..sources.extractions import parse
+from ..sources.extractions import readable_only
 from ..sources.tables import settled
 
 # What discount and weight lines of receipts look like.
@@ -245,11 +245,10 @@ def diagnosis(receipts: DataFrame, key: str = "id") -> DataFrame:
     The hint and the lines that don't add up are computed from the snapshot of the extraction. Receipts with neither are
     left out unless they are under review, and so are those without a snapshot that can be read.
     """
-    rows = parse(receipts.select(F.col(key), "needs_review", F.coalesce(F.col("discrepancia").cast("double"), F.lit(0.0)).alias("discrepancia"), "extracao_json")).filter("extracao is not null")
-    read = rows.select(key, F.posexplode("extracao.itens").alias("pos", "linha")).select(key, "pos", "linha.*")
-    told = hint(read, rows.select(key, "discrepancia"), key).select(key, F.struct("tipo", "linha", "diferenca").alias("pista"))
-    line = F.struct("pos", "descricao_original", "quantidade", "preco_unitario", "valor", "esperado")
-    wrong = wrong_lines(read).groupBy(key).agg(F.array_sort(F.collect_list(line)).alias("linhas_inconsistentes"))  # the lines of one receipt
-    out = rows.select(key, "needs_review", "discrepancia", F.col("extracao.iva").alias("iva")).join(told, key, "left").join(wrong, key, "left")
-    none = F.coalesce(F.size("linhas_inconsistentes"), F.lit(0)) <= 0
-    return out.filter(F.col("needs_review") | F.col("pista").isNotNull() | ~none).drop("needs_review")
+    rows = readable_only(receipts.select(F.col(key), "needs_review", F.coalesce(F.col("discrepancia").cast("double"), F.lit(0.0)).alias("discrepancia"), "extracao_json"))
+    fields = ("descricao_original", "valor", "desconto_direto", "quantidade", "preco_unitario")
+    read = F.transform("extracao.itens", lambda x, i: F.struct(i.alias("pos"), *(x[f].alias(f) for f in fields)))
+    out = checked(rows.select(key, "needs_review", "discrepancia", F.col("extracao.iva").alias("iva"), read.alias("linhas")))
+    any_ = F.size("erradas") > 0
+    out = out.filter(F.col("needs_review") | F.col("pista").isNotNull() | any_)
+    return out.select(key, "discrepancia", "iva", "pista", F.when(any_, F.col("erradas")).alias("linhas_inconsistentes"))

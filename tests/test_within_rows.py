@@ -43,3 +43,9 @@ def test_same_as_exploded(spark):
 def test_no_shuffle(spark):
     plan = upload.judged(extractions(spark, 20), "k")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("from_json") == 1
+
+
+def test_diagnosis_within_rows(spark):
+    stored = extractions(spark, 20).withColumns({"discrepancia": F.lit(1.0), "needs_review": F.lit(True)})
+    plan = rc.diagnosis(stored, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("from_json") == 1
