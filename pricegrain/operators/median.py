@@ -16,10 +16,11 @@ def medians(rows: DataFrame, by: str, value: str, most: int = MOST) -> DataFrame
 
     Groups of up to `most` rows are sorted in a buffer. In larger ones the middle value is selected: a sketch proposes
     cuts, the rows below and at each are counted exactly, and the range that holds the middle is cut again until its rows
-    fit the buffer. A cut that is the middle ends the search, so ties cost no rounds. Each round reads the rows once and
-    shuffles counts only.
+    fit the buffer. A cut that is the middle ends the search, so ties cost no rounds. Groups and values are kept as a table
+    first; each round reads that once and shuffles counts only, whatever joins the rows come from.
     """
     values = rows.select(F.col(by).alias("grupo"), F.col(value).cast("double").alias("valor")).filter("grupo IS NOT NULL AND valor IS NOT NULL")
+    values = settled(values)
     large = settled(values.groupBy("grupo").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most))
     plain = lambda v: v.groupBy("grupo").agg(F.median("valor").alias("mediana"), F.count(F.lit(1)).alias("n"))
     if large.isEmpty():
