@@ -27,8 +27,8 @@ def months(store: Store) -> DataFrame:
     return receipts.groupBy(F.date_format("data_compra", "yyyy-MM").alias("mes")).agg(F.count(F.lit(1)).alias("n")).orderBy("mes")
 
 
-def products(store: Store, q: str | None = None, mes: str | None = None, most: int = 300) -> DataFrame:
-    """Products by how often they were bought, the last bought first on a tie; of a search text or a month if given.
+def products(store: Store, q: str | None = None, mes: str | None = None, most: int | None = 300) -> DataFrame:
+    """Products by how often they were bought, the last bought first on a tie; of a search text or a month if given. most: None for all.
 
     ultimo_preco is what was paid last, of two lines of one time the one of the later id.
     """
@@ -52,7 +52,8 @@ def products(store: Store, q: str | None = None, mes: str | None = None, most: i
     )
     order = F.desc("n_compras"), F.desc("ultima"), "sku_id"
     named = chosen.select(F.col("id").alias("sku_id"), "nome_canonico", "nome_simplificado", "categoria", "unidade_base")
-    top = named.join(grouped.orderBy(*order).limit(most), "sku_id").orderBy(*order)
+    # The first of an order are held in one task; all of them need none.
+    top = named.join(grouped if most is None else grouped.orderBy(*order).limit(most), "sku_id").orderBy(*order)
     return top.withColumn("ultima", day("ultima"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pricegrain import registry
 from pricegrain.operators.median import medians
 
 
@@ -12,3 +13,9 @@ def test_median_keeps_its_values(spark):
     found = medians(rows, "g", "v", most=50)
     assert "Range" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.groupBy("g").agg(F.median("v"), F.count("v")).collect()))
+
+
+def test_all_products_are_in_no_single_task(spark, sf_dir):
+    for name in ("seccoes", "pesquisa_explorador"):
+        plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "limit=1073741824" not in plan and "Expand" not in plan and "GlobalLimit" not in plan
