@@ -10,7 +10,7 @@ from ..functions.units import half_up
 from ..operators.median import medians
 from ..operators.similar import similar_names
 from ..operators.star import day, fact_items
-from ..sources.tables import Store
+from ..sources.tables import Store, settled
 
 
 def latest_verdicts(store: Store) -> DataFrame:
@@ -122,7 +122,7 @@ def merge_suggestions(store: Store, threshold: float = 0.6, most: int = 100) ->
     come first.
     """
     threshold = min(max(float(threshold or 0.6), 0.3), 0.95)
-    products = used_products(store).select("id", "nome_canonico", "unidade_base", "n")
+    products = settled(used_products(store).select("id", "nome_canonico", "unidade_base", "n"))
     names = products.select(F.col("unidade_base").alias("grupo"), F.col("nome_canonico").alias("nome"))
     alike = similar_names(names, names, threshold, ordered=True).withColumnRenamed("grupo", "unidade_base").withColumn("score", half_up(F.col("score"), 2))
     left = products.select(F.col("id").alias("id_a"), F.col("nome_canonico").alias("nome_a"), "unidade_base", F.col("n").alias("n_a"))
@@ -131,11 +131,19 @@ def merge_suggestions(store: Store, threshold: float = 0.6, most: int = 100) ->
     last = alike.orderBy(F.desc("score")).limit(most).agg(F.min("score").alias("last"))
     top_names = alike.join(F.broadcast(last), F.col("score") >= F.col("last")).drop("last")
     same = products.filter(F.size(tokens(F.col("nome_canonico"))) > 0).select("unidade_base", "nome_canonico").distinct().select("unidade_base", F.col("nome_canonico").alias("nome_a"), F.col("nome_canonico").alias("nome_b"), F.lit(1.0).alias("score"))
-    pairs = top_names.unionByName(same).join(left, ["unidade_base", "nome_a"]).join(right, ["unidade_base", "nome_b"]).filter((F.col("id_a") < F.col("id_b")) | (F.col("nome_a") != F.col("nome_b")))
-    first = F.least("id_a", "id_b")
-    keep_a = (F.col("n_a") > F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("id_a") == first)
-    pick = lambda x, y: F.when(keep_a, F.col(x)).otherwise(F.col(y))
-    out = pairs.select(pick("id_a", "id_b").alias("manter"), pick("nome_a", "nome_b").alias("manter_nome"), pick("id_b", "id_a").alias("fundir"), pick("nome_b", "nome_a").alias("fundir_nome"), "unidade_base", "score")
+    other = top_names.select("unidade_base", F.col("nome_b").alias("nome_a"), F.col("nome_a").alias("nome_b"), "score")
+    names = settled(top_names.unionByName(other).unionByName(same))
+    # Of a pair the one used more stays, of equals the smaller id. A product that stays is in a pair with the other name's least one, so
+    # no pairs are needed to find the first `most` products that stay; only these meet all that are less.
+    use = lambda n, i: F.struct(F.col(n).alias("n"), (-F.col(i)).alias("i"))
+    least = products.groupBy("unidade_base", F.col("nome_canonico").alias("nome_b")).agg(F.min(use("n", "id")).alias("menor"))
+    stays = left.join(names.join(least, ["unidade_base", "nome_b"]), ["unidade_base", "nome_a"]).withColumn("uso", use("n_a", "id_a")).filter(F.col("uso") > F.col("menor"))
+    stays = stays.select("id_a", "nome_a", "uso", "nome_b", "unidade_base", "score")
+    place = F.struct((-F.col("score")).alias("s"), F.col("id_a").alias("i"))
+    end = stays.orderBy(F.desc("score"), "id_a").limit(most).agg(F.max(place).alias("fim"))
+    first = settled(stays.join(F.broadcast(end), place <= F.col("fim")).drop("fim"))  # whoever is equal to the last, too
+    pairs = right.join(F.broadcast(first), ["unidade_base", "nome_b"]).filter(use("n_b", "id_b") < F.col("uso"))
+    out = pairs.select(F.col("id_a").alias("manter"), F.col("nome_a").alias("manter_nome"), F.col("id_b").alias("fundir"), F.col("nome_b").alias("fundir_nome"), "unidade_base", "score")
     return out.orderBy(F.desc("score"), "manter", "fundir").limit(most)
 
 
