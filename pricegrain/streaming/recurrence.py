@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import fold
-from ..operators.star import fact_items, product_lines
+from ..operators.star import named_products, product_lines, with_receipts
 from ..sources.tables import Store
 
 DAYS = 60
@@ -17,7 +17,9 @@ def bought(store: Store) -> DataFrame:
     """Lines that count for recurrence: chave, nome, categoria, fatura_id, data_compra, item_id, preco_liquido."""
     name = F.coalesce("nome_simplificado", "nome_canonico", "descricao_original").alias("nome")
     key = F.coalesce("chave_curta", fold(F.col("descricao_original"))).alias("chave")
-    return fact_items(store).filter(product_lines()).select(key, name, "categoria", "fatura_id", "data_compra", "item_id", "preco_liquido")
+    # Products first: lines that meet their receipts last lie by receipt, so trips are counted where they are.
+    lines = with_receipts(store.item.filter(F.col("is_non_product") == F.lit(False)).join(named_products(store), "sku_id", "left"), store)
+    return lines.filter(product_lines()).select(key, name, "categoria", "fatura_id", "data_compra", "item_id", "preco_liquido")
 
 
 def recurring(lines: DataFrame, days: int = DAYS, late: str = "1 day", min_idas: int = 2) -> DataFrame:
