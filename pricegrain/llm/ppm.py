@@ -14,11 +14,11 @@ block receives the code lengths of just the grams and words in it.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,18 +38,15 @@ GRAM, WORD = 0, 1
 ENTRIES = "kind int, key long, n long"
 
 
-def lowered(value: pa.Scalar) -> bytes:
-    return (value.as_py() or "").encode("utf-8", "surrogatepass").lower()
+def lowered(texts: pa.Array) -> list[bytes]:
+    return pc.ascii_lower(texts).cast(pa.binary()).to_pylist()
 
 
 def grams(padded: bytes) -> np.ndarray:
     """Every byte and end behind its context, as ORDER + 1 bytes of an integer; the first ORDER bytes are context only."""
-    b = np.frombuffer(padded, np.uint8)
-    out = np.zeros(max(0, len(b) - ORDER), dtype=np.uint64)
-    for k in range(ORDER + 1):
-        out <<= np.uint64(8)
-        out |= b[k : k + len(out)]
-    return out[b[ORDER:] != BEFORE[0]]
+    spare = 8 - (ORDER + 1)
+    eights = np.ndarray(max(0, len(padded) - ORDER), ">u8", padded + bytes(spare), strides=(1,))  # the eight bytes from each place on
+    return (eights.astype(np.uint64) >> np.uint64(8 * spare))[np.frombuffer(padded, np.uint8)[ORDER:] != BEFORE[0]]
 
 
 def stretches(texts: list[bytes]) -> Iterator[tuple[list[int], bytes]]:
@@ -75,7 +72,21 @@ def word_key(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
-END_KEY = word_key(END)
+class Words:
+    """The words of texts and an end behind each text's, in order: `owner` is the text of each, `key` its place in `keys`, which holds every word once."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        lists = pc.ascii_split_whitespace(pa.array([text + b" " + END for text in texts], pa.binary()).view(pa.string()))
+        found = lists.flatten().dictionary_encode()
+        edges, spelled = np.frombuffer(found.dictionary.buffers()[1], np.int32)[: len(found.dictionary) + 1].tolist(), found.dictionary.buffers()[2].to_pybytes()
+        distinct = [spelled[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+        self.keys = (np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct)) ^ np.uint64(1 << 63)).view(np.int64)  # as word_key()
+        self.owner, self.key = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy())), found.indices.to_numpy()
+        if b"" in distinct:  # what Arrow finds before white space that begins a text
+            void = distinct.index(b"")
+            real = self.key != void
+            self.owner, self.key = self.owner[real], self.key[real] - (self.key[real] > void)
+            self.keys = np.delete(self.keys, void)
 
 
 class Counts:
@@ -113,13 +124,10 @@ class Tally:
             return
         for _, padded in stretches(self.held):
             self.grams.add(*np.unique(grams(padded), return_counts=True))
-        words = Counter({END: len(self.held)})
-        for text in self.held:
-            words.update(text.split())
+        words = Words(self.held)
         self.held, self.size = [], 0
-        keys, counts = np.fromiter(map(word_key, words), np.int64, len(words)), np.fromiter(words.values(), np.int64, len(words))
-        order = np.argsort(keys)
-        self.words.add(keys[order], counts[order])
+        order = np.argsort(words.keys)
+        self.words.add(words.keys[order], np.bincount(words.key, minlength=len(order))[order])
 
     def full(self) -> bool:
         return len(self.words.keys) + len(self.grams.keys) > 4_000_000
@@ -145,8 +153,8 @@ def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind, key, n of (learns, text) rows; texts that teach nothing give their grams and words with n = 0."""
     tallies = {True: Tally(), False: Tally()}
     for batch in batches:
-        for learns, value in zip(batch.column("learns").to_pylist(), batch.column("text"), strict=True):
-            tallies[learns].add(lowered(value))
+        for learns, text in zip(batch.column("learns").to_pylist(), lowered(batch.column("text")), strict=True):
+            tallies[learns].add(text)
             if tallies[learns].full():
                 yield from entry_batches(tallies[learns], int(learns))
                 tallies[learns] = Tally()
@@ -158,9 +166,9 @@ def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """block, kind, key of the grams and words of each block of (block, doc_id, text) rows."""
     tallies: dict[int, Tally] = {}
     for batch in batches:
-        for block, value in zip(batch.column("block").to_pylist(), batch.column("text"), strict=True):
+        for block, text in zip(batch.column("block").to_pylist(), lowered(batch.column("text")), strict=True):
             tally = tallies.setdefault(block, Tally())
-            tally.add(lowered(value))
+            tally.add(text)
             if tally.full():
                 yield from entry_batches(tallies.pop(block), 0, block)
     for block, tally in tallies.items():
@@ -222,6 +230,13 @@ def code_lengths(keys: np.ndarray, orders: list[Order]) -> np.ndarray:
     return out
 
 
+def word_sums(words: Words, keys: np.ndarray, values: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: its tokens, those worth more than `unknown`, and the sum of their values; `keys` are sorted and hold every word."""
+    each = values[np.searchsorted(keys, words.keys)][words.key]
+    first = np.flatnonzero(np.diff(words.owner, prepend=-1))  # each text has its end
+    return np.diff(first, append=len(each)), np.add.reduceat((each > unknown).astype(np.int64), first), np.add.reduceat(each, first)
+
+
 def low_orders(keys: np.ndarray, counts: np.ndarray) -> list[Order]:
     orders: list[Order] = []
     for length in range(3):
@@ -279,28 +294,16 @@ def ppm_scores(docs: DataFrame, learns, id_col: str = "doc_id", text_col: str =
         gram_keys = gram_keys.view(np.uint64)  # grams are below 2^63
         word_keys, word_values = sorted_part(WORD)
         del answers, kind, key, value
-        known: dict[bytes, float] = {}
-
-        def learn(words: list[bytes]) -> None:
-            fresh = [w for w in set(words) if w not in known]
-            at = np.searchsorted(word_keys, np.fromiter(map(word_key, fresh), np.int64, len(fresh)))
-            known.update(zip(fresh, word_values[at].tolist(), strict=True))
-
-        out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": []}
-        total = np.zeros(texts.num_rows)
+        n_tokens, n_known = np.zeros(texts.num_rows, dtype=np.int64), np.zeros(texts.num_rows, dtype=np.int64)
+        base, total = np.zeros(texts.num_rows), np.zeros(texts.num_rows)
         held, first, held_size = [], 0, 0
-        for i, item in enumerate(texts.column("text")):
-            raw = lowered(item)
-            words = [*raw.split(), END]
-            learn(words)
-            each = [known[w] for w in words]
-            out["n_tokens"].append(len(each))
-            out["n_known"].append(sum(v > unknown for v in each))
-            out["base_score"].append(float(np.sum(each)))
+        for i, raw in enumerate(raw for chunk in texts.column("text").chunks for raw in lowered(chunk)):
             held.append(raw)
             held_size += len(raw)
             if held_size < CHUNK and i < texts.num_rows - 1:
                 continue
+            here = slice(first, first + len(held))
+            n_tokens[here], n_known[here], base[here] = word_sums(Words(held), word_keys, word_values, unknown)
             for owners, padded in stretches(held):
                 g = grams(padded)
                 owner = np.repeat(owners, [len(held[o]) + 1 for o in owners] if len(owners) > 1 else len(g))
@@ -309,8 +312,8 @@ def ppm_scores(docs: DataFrame, learns, id_col: str = "doc_id", text_col: str =
                     piece = np.sort(g[k : k + PIECE] << np.uint64(16) | np.arange(len(g[k : k + PIECE]), dtype=np.uint64))
                     found = gram_values[np.searchsorted(gram_keys, piece >> np.uint64(16))]
                     at = owner[k : k + PIECE][(piece & np.uint64(0xFFFF)).astype(np.int64)]
-                    total[first : first + len(held)] += np.bincount(at, weights=found, minlength=len(held))
+                    total[here] += np.bincount(at, weights=found, minlength=len(held))
             held, first, held_size = [], i + 1, 0
-        return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "train_tokens": pa.array([tokens] * len(total), pa.int64()), "base_score": pa.array(out["base_score"], pa.float64()), "score": pa.array(total)})
+        return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": pa.array(n_tokens), "n_known": pa.array(n_known), "train_tokens": pa.array([tokens] * len(total), pa.int64()), "base_score": pa.array(base), "score": pa.array(total)})
 
     return gathered.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

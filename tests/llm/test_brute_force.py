@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -100,6 +101,28 @@ def test_ppm_tally_of_long_texts(monkeypatch):
     assert owned == Counter({i: len(t) + 1 for i, t in enumerate(texts)})
 
 
+def test_ppm_words_take_no_step_each():
+    """Words are cut, counted and scored by the array, without a call of Python for each, and are those that the contract names."""
+    texts = [b"", b" \n ", "\tété\x0b\x0ca\x1cb\x85   x\r".encode(), b"a a  b", " ".join(f"w{k % 15_000}" for k in range(20_000)).encode()]
+    calls = Counter()
+    tally = ppm.Tally()
+    for text in texts:
+        tally.add(text)
+    sys.setprofile(lambda frame, event, _: calls.update([event]))
+    try:
+        tally.merge()
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] < 1000
+    split = [[*re.findall(rb"[^\x20\x09-\x0D]+", t), END] for t in texts]
+    want = Counter(ppm.word_key(w) for each in split for w in each)
+    assert dict(zip(tally.words.keys.tolist(), tally.words.counts.tolist(), strict=True)) == want
+    keys = np.array(sorted(want), dtype=np.int64)
+    sums = ppm.word_sums(ppm.Words(texts), keys, np.array([-1.5 if k % 2 else -4.0 for k in keys.tolist()]), -4.0)
+    worth = [[-1.5 if ppm.word_key(w) % 2 else -4.0 for w in each] for each in split]
+    assert [a.tolist() for a in sums] == [[len(x) for x in worth], [sum(v > -4 for v in x) for x in worth], [sum(x) for x in worth]]
+
+
 def test_simhash_links(spark, texts):
     rng = np.random.default_rng(8)
     rows = list(texts)
