@@ -18,6 +18,8 @@ DOZENS = rf"(?i)(\d+)\s*dz{AFTER}"
 HALF_DOZEN = r"(?iu)meia\s*d[uú]zia"
 DOZEN = rf"(?iu){BEFORE}d[uú]zia{AFTER}"
 EGGS = (rf"(?i)(\d+)\s*ovos?{AFTER}", rf"(?i){BEFORE}ovos?\s+(\d+){AFTER}")
+#: Found wherever any of the patterns above is: texts without it need none of them.
+ANY_PACK = r"(?iu)\d\s*[x×kgmcludo]|ovos?\s+\d|d[uú]zia"
 
 
 def half_up(x: Column, digits: int) -> Column:
@@ -70,7 +72,7 @@ def pack_format(description: Column) -> Column:
     for pattern in (BARE_WEIGHED, WEIGHED):
         kilos = number(part(pattern, 1))
         out = F.when(s.rlike(pattern), _format(F.lit("kg"), kilos, kilos, number(part(pattern, 2)))).otherwise(out)
-    return out
+    return F.when(s.rlike(ANY_PACK), out).otherwise(_format(F.lit("un"), F.lit(1.0)))
 
 
 def price_per_base(net: Column, quantity: Column, pack: Column, target: Column | None = None) -> Column:

@@ -16,14 +16,24 @@ from ..sources.tables import complete, settled
 from .receipts import fold_lines, needs_review, reconcile, reprice
 
 
-def with_ids(new: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
-    """New rows with ids after the largest existing one, in a fixed order: ranges of it are numbered in tasks of their own."""
+def with_ids(new: DataFrame, existing: DataFrame, order: list[str], counted: str | None = None) -> DataFrame:
+    """New rows with ids after the largest existing one, in a fixed order: ranges of it are numbered in tasks of their own.
+
+    counted: a column of whole numbers; its sum over all rows before is added as `antes_<counted>`.
+    """
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     rows = settled(new.drop("id").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("lugar", F.monotonically_increasing_id()))
     part, place = F.shiftright("lugar", 33).alias("parte"), F.col("lugar").bitwiseAND(F.lit((1 << 33) - 1))  # the task, and the row's place in it
-    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n"))  # one row for each task
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("parte").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = rows.withColumn("parte", part).join(F.broadcast(sizes.select("parte", before.alias("antes"))), "parte").join(F.broadcast(top))
+    sums = {"antes": F.count(F.lit(1)), **({"soma": F.sum(counted)} if counted else {})}
+    sizes = rows.groupBy(part).agg(*(x.alias(n) for n, x in sums.items()))  # one row for each task
+    until = lambda n, window: F.coalesce(F.sum(n).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sizes.select("parte", *(until(n, Window.partitionBy(F.lit(0)).orderBy("parte")).alias(n) for n in sums))
+    numbered = rows.withColumn("parte", part)
+    if counted:
+        numbered = numbered.withColumn("nela", until(counted, Window.partitionBy("parte").orderBy("lugar")))
+    numbered = numbered.join(F.broadcast(before), "parte").join(F.broadcast(top))
+    if counted:
+        numbered = numbered.withColumn(f"antes_{counted}", F.col("soma") + F.col("nela")).drop("soma", "nela")
     return numbered.withColumn("id", F.col("top") + F.col("antes") + place + 1).drop("top", "antes", "lugar", "parte")
 
 
@@ -78,22 +88,24 @@ def new_receipts(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     rows, old = receipt_keys(incoming), receipt_keys(existing)
     # A key that is missing stands for its row alone, so that such rows aren't gathered.
     rows = rows.withColumns({k: F.coalesce(F.col(k), F.concat(F.lit("row"), F.col("id").cast("string"))) for k in ("kn", "kt")})
-    for key in ("kn", "kt"):
-        rows = rows.join(old.filter(F.col(key).isNotNull()).select(key), key, "left_anti")
+    # Rows meet the kept ones and each other by a key in one shuffle. Those that go by the second key may count in the first.
+    for key, n in (("kn", "n"), ("kt", "m")):
+        rows = rows.join(old.filter(F.col(key).isNotNull()).select(key), key, "left_anti").withColumn(n, F.count(F.lit(1)).over(Window.partitionBy(key)))
     same_number, same_total = Window.partitionBy("kn"), Window.partitionBy("kt")
-    peers = rows.withColumn("n", F.count(F.lit(1)).over(same_number)).withColumn("m", F.count(F.lit(1)).over(same_total))
-    peers = settled(peers)
-    kept, open_ = peers.filter("n = 1 and m = 1").select(*incoming.columns), peers.filter("n > 1 or m > 1").drop("n", "m")
-    # Rows of one store that equal each other in both go with the first of them.
-    open_ = open_.withColumn("rn", F.row_number().over(Window.partitionBy("kn", "kt").orderBy("id"))).filter("rn = 1").drop("rn")
-    while not (open_ := settled(open_)).isEmpty():
-        first = (F.col("id") == F.min("id").over(same_number)) & (F.col("id") == F.min("id").over(same_total))
-        judged = open_.withColumn("fica", first)
-        beaten = F.max("fica").over(same_number) | F.max("fica").over(same_total)
-        judged = settled(judged.withColumn("sai", beaten))
-        kept = kept.unionByName(judged.filter("fica").select(*incoming.columns))
-        open_ = judged.filter("not sai").drop("fica", "sai")
-    return kept
+    rows = settled(rows)
+    single = rows.filter("n = 1 and m = 1").select(*incoming.columns)
+    peers = rows.filter("n > 1 or m > 1").drop("n", "m")
+    # Rows of one store that equal each other in both go with the first of them. Only ids and keys go through the rounds.
+    open_ = peers.select("id", "kn", "kt").repartition("kn").withColumn("rn", F.row_number().over(Window.partitionBy("kn", "kt").orderBy("id"))).filter("rn = 1").drop("rn")
+    open_, kept = settled(open_), None
+    while not open_.isEmpty():
+        judged = open_.withColumn("primeira", F.col("id") == F.min("id").over(same_number)).withColumn("fica", F.col("primeira") & (F.col("id") == F.min("id").over(same_total)))
+        beaten = judged.withColumn("sai", F.max("fica").over(same_total)).withColumn("sai", F.col("sai") | F.max("fica").over(same_number))
+        judged = settled(beaten.select("id", "kn", "kt", "fica", "sai"))
+        won = judged.filter("fica").select("id")
+        kept = won if kept is None else kept.unionByName(won)
+        open_ = judged.filter("not sai").select("id", "kn", "kt")
+    return single if kept is None else single.unionByName(peers.join(kept, "id", "left_semi").select(*incoming.columns))
 
 
 def insert_receipts(receipts: DataFrame, items: DataFrame, incoming: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -221,13 +233,13 @@ def item_rows(lines: DataFrame, priced: DataFrame) -> DataFrame:
     return stored_lines(lines.join(priced, ["fatura_id", "pos"]))
 
 
-def stored_lines(rows: DataFrame) -> DataFrame:
-    """Folded lines with their prices (fatura_id, pos, unitario, preco_liquido, ...) as they are stored: texts cut, defaults set, no product yet."""
+def stored_lines(rows: DataFrame, *more: str) -> DataFrame:
+    """Folded lines with their prices (fatura_id, pos, unitario, preco_liquido, ...) as they are stored: texts cut, defaults set, no product yet; and the columns `more`."""
     quantity = F.coalesce(F.nullif("quantidade", F.lit(0.0)), F.lit(1.0)).alias("quantidade")
     off = F.coalesce(F.col("desconto_direto"), F.lit(0.0)).alias("desconto_direto")
     flags = (F.coalesce(c, F.lit(False)).alias(c) for c in ("is_clearance", "is_non_product"))
     texts = F.substring(F.coalesce("descricao_original", F.lit("")), 1, 200).alias("descricao_original"), F.nullif(F.substring("linha_peso", 1, 80), F.lit("")).alias("linha_peso")
-    return rows.select("fatura_id", "pos", F.lit(None).cast("long").alias("sku_id"), *texts, quantity, F.col("unitario").alias("preco_unitario"), "preco_liquido", F.lit(None).cast("double").alias("preco_por_base"), off, *flags)
+    return rows.select("fatura_id", "pos", F.lit(None).cast("long").alias("sku_id"), *texts, quantity, F.col("unitario").alias("preco_unitario"), "preco_liquido", F.lit(None).cast("double").alias("preco_por_base"), off, *flags, *more)
 
 
 def reprocess(receipts: DataFrame, items: DataFrame, again: DataFrame, aliases: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -23,6 +23,16 @@ LOOSE = rf"(?iu)^\s*{WEIGHT}"
 INLINE = rf"(?iu)\s+({WEIGHT}|{BARE_WEIGHT})\s*$"
 
 
+def discounts(text: Column) -> Column:
+    """Whether a text is that of a discount line; the pattern is tried only where its first letter is there."""
+    return F.substring(text, 1, 1).isin("p", "P", "d", "D") & text.rlike(DISCOUNT)
+
+
+def has_fraction(text: Column) -> Column:
+    """Without a comma or a point a text holds no weight, so its patterns aren't tried."""
+    return text.contains(",") | text.contains(".")
+
+
 def fold_lines(lines: DataFrame, key: str) -> DataFrame:
     """Discount lines go into the line above as its discount, weight lines as its weight and value; weights leave names.
 
@@ -117,29 +127,37 @@ def folded(rows: DataFrame) -> DataFrame:
     """
     text = lambda x: F.trim(F.coalesce(x["descricao_original"], F.lit("")))
     fields = ("valor", "desconto_direto", "quantidade", "preco_unitario", "is_clearance", "is_non_product")
-    kind = lambda x, i: F.when(i == 0, "linha").when(text(x).rlike(DISCOUNT), "desconto").when(text(x).rlike(LOOSE), "peso").otherwise("linha")
+    kind = lambda x, i: F.when(i == 0, "linha").when(discounts(text(x)), "desconto").when(has_fraction(text(x)) & text(x).rlike(LOOSE), "peso").otherwise("linha")
     rows = rows.withColumn("__l", F.transform("itens", lambda x, i: F.struct(i.alias("pos"), kind(x, i).alias("especie"), text(x).alias("nome"), *(x[f].alias(f) for f in fields))))
-    rows = rows.withColumn("__h", F.filter("__l", lambda x: x["especie"] == "linha"))
+    # Only receipts with attached lines need more than a look at each line.
+    rows = rows.withColumn("__h", F.when(F.exists("__l", lambda x: x["especie"] != "linha"), F.filter("__l", lambda x: x["especie"] == "linha")))
     # The lines from one head to the next are attached to it.
     after = lambda j: F.coalesce(F.get("__h", j + 1)["pos"], F.size("__l"))
     rows = rows.withColumn("__h", F.transform("__h", lambda h, j: F.struct(h.alias("h"), F.slice("__l", h["pos"] + 2, after(j) - h["pos"] - 1).alias("presas"))))
 
+    def own_weight(name: Column) -> Column:
+        return F.when(has_fraction(name), F.nullif(F.regexp_extract(name, INLINE, 1), F.lit("")))
+
+    def line(h: Column, own: Column, weight: Column, value: Column, off: Column) -> Column:
+        clean = F.when(own.isNotNull(), F.trim(F.regexp_replace(h["nome"], INLINE, ""))).otherwise(h["nome"])
+        named = {"pos": h["pos"], "descricao_original": clean, "linha_peso": F.coalesce(weight, own), "valor": value, "desconto_direto": off}
+        return F.struct(*(c.alias(n) for n, c in named.items()), *(h[f].alias(f) for f in fields[2:]))
+
     def told(x: Column) -> Column:
         off = F.filter(x["presas"], lambda y: y["especie"] == "desconto")
         weight = F.filter(x["presas"], lambda y: y["especie"] == "peso")
-        own = F.nullif(F.regexp_extract(x["h"]["nome"], INLINE, 1), F.lit(""))
-        return F.struct(x["h"].alias("h"), own.alias("peso_no_nome"), off.alias("descontos"), weight.alias("pesos"))
+        return F.struct(x["h"].alias("h"), own_weight(x["h"]["nome"]).alias("peso_no_nome"), off.alias("descontos"), weight.alias("pesos"))
 
     def whole(x: Column) -> Column:
         h, last = x["h"], lambda rows_: F.try_element_at(rows_, F.lit(-1))
-        clean = F.when(x["peso_no_nome"].isNotNull(), F.trim(F.regexp_replace(h["nome"], INLINE, ""))).otherwise(h["nome"])
         value = last(F.filter(x["pesos"], lambda y: y["valor"].isNotNull()))["valor"]
         taken = F.aggregate(x["descontos"], F.lit(0.0), lambda a, y: a + F.abs(F.coalesce(y["valor"], y["desconto_direto"], F.lit(0.0))))
         off = F.when(F.size(x["descontos"]) > 0, F.coalesce(h["desconto_direto"], F.lit(0.0)) + taken).otherwise(h["desconto_direto"])
-        named = {"pos": h["pos"], "descricao_original": clean, "linha_peso": F.coalesce(last(x["pesos"])["nome"], x["peso_no_nome"]), "valor": F.coalesce(value, h["valor"]), "desconto_direto": off}
-        return F.struct(*(c.alias(n) for n, c in named.items()), *(h[f].alias(f) for f in fields[2:]))
+        return line(h, x["peso_no_nome"], last(x["pesos"])["nome"], F.coalesce(value, h["valor"]), off)
 
-    return rows.withColumn("linhas", F.transform(F.transform("__h", told), whole)).drop("__l", "__h")
+    alone = F.transform("__l", lambda x: line(x, own_weight(x["nome"]), F.lit(None).cast("string"), x["valor"], x["desconto_direto"]))
+    attached = F.transform(F.transform("__h", told), whole)
+    return rows.withColumn("linhas", F.when(F.col("__h").isNull(), alone).otherwise(attached)).drop("__l", "__h")
 
 
 def checked(rows: DataFrame) -> DataFrame:
@@ -213,7 +231,12 @@ def priced(lines: DataFrame, target: Column | None = None) -> DataFrame:
 def reprice(items: DataFrame, products: DataFrame) -> DataFrame:
     """Lines with the price per their product's unit, where they have a product."""
     unit = products.select(F.col("id").alias("sku_id"), F.col("unidade_base").alias("unidade_do_sku"))
-    return priced(items.join(unit, "sku_id", "left"), F.col("unidade_do_sku")).select(*items.columns)
+    return priced_in(items.join(unit, "sku_id", "left"), "unidade_do_sku").select(*items.columns)
+
+
+def priced_in(items: DataFrame, unit: str) -> DataFrame:
+    """Lines with the price per the unit in the column `unit`, without that column."""
+    return priced(items, F.col(unit)).select(*(c for c in items.columns if c != unit))
 
 
 def purchase_time(text: Column) -> Column:

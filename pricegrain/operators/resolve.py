@@ -193,20 +193,35 @@ def resolve(texts: DataFrame, aliases: DataFrame, canonical: DataFrame, products
     return out.select("chave", "descricao_original", via.alias("via"), F.coalesce("de_alias", "sku_id").alias("sku_id"), "nome_canonico", "marca", "categoria", "unidade_base", "formato_valor", F.col("novo_no").alias("representante"))
 
 
-def add_resolved(resolved: DataFrame, products: DataFrame, aliases: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Products, aliases and lines after resolve(): new products, an alias of every text with a product, and lines without one given theirs.
-
-    Lines that are no products stay without; aliases that are there already stay as they are.
-    """
+def resolved_texts(resolved: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Products after resolve(), and the texts that have one: chave, descricao_original, achado (its id)."""
     made = with_ids(resolved.filter("via = 'novo'"), products, ["chave"])
     all_products = products.unionByName(made.select("id", *(c for c in products.columns if c != "id" and c in made.columns)), allowMissingColumns=True)
     of_text = resolved.join(made.select(F.col("chave").alias("representante"), F.col("id").alias("novo_id")), "representante", "left")
-    of_text = settled(of_text.select("chave", "descricao_original", F.coalesce("sku_id", "novo_id").alias("achado")).filter("achado is not null"))
+    return all_products, settled(of_text.select("chave", "descricao_original", F.coalesce("sku_id", "novo_id").alias("achado")).filter("achado is not null"))
+
+
+def with_aliases(aliases: DataFrame, of_text: DataFrame) -> DataFrame:
+    """Aliases of all resolved_texts(); those that are there already stay as they are."""
     fresh = of_text.select("descricao_original", F.col("achado").alias("sku_id"), F.lit("llm").alias("origem")).select(*(c for c in ("descricao_original", "sku_id", "origem") if c in aliases.columns))
-    lines = items.withColumn("chave", fold(F.col("descricao_original"))).join(of_text.select("chave", "achado"), "chave", "left")
+    return insert_ignore(aliases, fresh, ["descricao_original"])
+
+
+def given_products(items: DataFrame, of_text: DataFrame, *more: str) -> DataFrame:
+    """Lines without a product given that of their text, but for lines that are no products; and its columns `more`, null for other lines."""
+    lines = items.withColumn("chave", fold(F.col("descricao_original"))).join(of_text.select("chave", "achado", *more), "chave", "left")
     own = F.col("sku_id").isNull() & (F.col("is_non_product") == F.lit(False))
-    lines = lines.withColumn("sku_id", F.when(own, F.col("achado")).otherwise(F.col("sku_id")))
-    return all_products, insert_ignore(aliases, fresh, ["descricao_original"]), lines.select(*items.columns)
+    lines = lines.withColumns({"sku_id": F.when(own, F.col("achado")).otherwise(F.col("sku_id")), **{c: F.when(own, F.col(c)) for c in more}})
+    return lines.select(*items.columns, *more)
+
+
+def add_resolved(resolved: DataFrame, products: DataFrame, aliases: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Products, aliases and lines after resolve(): new products, an alias of every text with a product, and lines without one given theirs.
+
+    Lines that are no products stay without; aliases that are there already stay as they are.
+    """
+    all_products, of_text = resolved_texts(resolved, products)
+    return all_products, with_aliases(aliases, of_text), given_products(items, of_text)
 
 
 def counters(resolved: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ from ..schemas import EXTRACTION
 
 
 def json_part(text: Column) -> Column:
-    """What lies from the first { to the last }, without code fences; null if there is none."""
-    return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
+    """What lies from the first { to the last }, without code fences; null if there is none. A text that is nothing else isn't searched."""
+    part = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
+    return F.when(text.startswith("{") & text.endswith("}"), text).otherwise(part)
 
 
 def parse(frame: DataFrame, column: str = "extracao_json") -> DataFrame:

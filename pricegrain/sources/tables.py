@@ -33,9 +33,9 @@ class Store:
         return {f.name: x for f in fields(self) if f.name in TABLES and (x := getattr(self, f.name)) is not None}
 
 
-def complete(frame: DataFrame, name: str) -> DataFrame:
-    """The frame with the relation's columns and types; columns that it lacks are null."""
-    return frame.select(*((F.col(f"`{f.name}`") if f.name in frame.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(name)))
+def complete(frame: DataFrame, name: str, *more: str) -> DataFrame:
+    """The frame with the relation's columns and types, and the columns `more`; columns that it lacks are null."""
+    return frame.select(*((F.col(f"`{f.name}`") if f.name in frame.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(name)), *more)
 
 
 def read_parquet(spark: SparkSession, folder: str) -> Store:
