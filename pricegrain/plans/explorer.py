@@ -27,10 +27,11 @@ def months(store: Store) -> DataFrame:
     return receipts.groupBy(F.date_format("data_compra", "yyyy-MM").alias("mes")).agg(F.count(F.lit(1)).alias("n")).orderBy("mes")
 
 
-def products(store: Store, q: str | None = None, mes: str | None = None, most: int | None = 300) -> DataFrame:
+def products(store: Store, q: str | None = None, mes: str | None = None, most: int | None = 300, ordered: bool = True) -> DataFrame:
     """Products by how often they were bought, the last bought first on a tie; of a search text or a month if given. most: None for all.
 
-    ultimo_preco is what was paid last, of two lines of one time the one of the later id.
+    ultimo_preco is what was paid last, of two lines of one time the one of the later id. ordered: False where only sums over
+    the products are wanted; what such a sum doesn't read isn't computed either.
     """
     receipts = store.fatura.filter(F.col("needs_review") == F.lit(False))
     if mes and re.fullmatch(r"\d{4}-\d{2}", mes):
@@ -40,7 +41,9 @@ def products(store: Store, q: str | None = None, mes: str | None = None, most: i
         pattern = contains_pattern(q[:80])
         chosen = chosen.filter(fold(F.col("nome_canonico")).like(pattern) | F.coalesce(fold(F.col("nome_simplificado")).like(pattern), F.lit(False)))
     lines = store.item.filter((F.col("is_non_product") == F.lit(False)) & F.col("preco_por_base").isNotNull() & F.col("sku_id").isNotNull())
-    lines = lines.join(chosen.select(F.col("id").alias("sku_id")), "sku_id", "left_semi").join(receipts.select(F.col("id").alias("fatura_id"), "loja_id", "data_compra"), "fatura_id")
+    if most is not None or chosen is not store.sku_normalizado:
+        lines = lines.join(chosen.select(F.col("id").alias("sku_id")), "sku_id", "left_semi")
+    lines = lines.join(receipts.select(F.col("id").alias("fatura_id"), "loja_id", "data_compra"), "fatura_id")
     grouped = lines.groupBy("sku_id").agg(
         F.countDistinct("fatura_id").alias("n_compras"),
         F.countDistinct("loja_id").alias("n_lojas"),
@@ -52,9 +55,10 @@ def products(store: Store, q: str | None = None, mes: str | None = None, most: i
     )
     order = F.desc("n_compras"), F.desc("ultima"), "sku_id"
     named = chosen.select(F.col("id").alias("sku_id"), "nome_canonico", "nome_simplificado", "categoria", "unidade_base")
-    # The first of an order are held in one task; all of them need none.
-    top = named.join(grouped if most is None else grouped.orderBy(*order).limit(most), "sku_id").orderBy(*order)
-    return top.withColumn("ultima", day("ultima"))
+    # The first of an order are held in one task; all of them need none. All meet by shuffle: files of products are small for
+    # what the driver would hold to broadcast them.
+    top = named.hint("merge").join(grouped, "sku_id") if most is None else named.join(grouped.orderBy(*order).limit(most), "sku_id")
+    return (top.orderBy(*order) if ordered else top).withColumn("ultima", day("ultima"))
 
 
 def search(listed: DataFrame, q: str) -> DataFrame:
@@ -114,8 +118,8 @@ def product_statistics(store: Store, metric: str = "unitario", sku_id: int | Non
 
 
 def by_section(listed: DataFrame, folds: bool = True) -> DataFrame:
-    """Products by shop section, in the order of the aisles."""
-    grouped = listed.groupBy(section(F.col("categoria"), folds).alias("seccao")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("total_gasto").cast("double")), 2).alias("total"))
+    """Products by shop section, in the order of the aisles. Amounts that are decimals are summed as such."""
+    grouped = listed.groupBy(section(F.col("categoria"), folds).alias("seccao")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("total_gasto"), 2).cast("double").alias("total"))
     return grouped.orderBy(aisle(F.col("seccao")), "seccao")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import text, units
 from .operators import dml, median, receipts, resolve, search, star, upload
 from .plans import admin, explorer, purchases
-from .sources.adapter import description, store, table
+from .sources.adapter import description, items, store, table
 from .sources.catalog import Catalog
 from .sources.tables import Store, shared_folder
 from .streaming import recurrence
@@ -167,7 +167,8 @@ def q_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = store(spark, sf_dir)
     kinds = F.array(*map(F.lit, CATEGORIES))
     named = s.sku_normalizado.withColumn("categoria", F.get(kinds, (F.col("id") % len(CATEGORIES)).cast("int")))
-    return doubles(explorer.by_section(explorer.products(replace(s, sku_normalizado=named), None, None, None))).withColumn("n", F.col("n").cast("long"))
+    s = replace(s, sku_normalizado=named, item=items(spark, sf_dir, described=False))
+    return doubles(explorer.by_section(explorer.products(s, None, None, None, ordered=False))).withColumn("n", F.col("n").cast("long"))
 
 
 def q_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,8 +305,9 @@ def q_lights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all explored products those whose names hold a text, and what they cost together."""
-    found = explorer.search(explorer.products(store(spark, sf_dir), None, None, None), "pl%te")
-    plain = explorer.search(explorer.products(store(spark, sf_dir), None, None, None), " PLATE ")
+    s = replace(store(spark, sf_dir), item=items(spark, sf_dir, described=False))
+    found = explorer.search(explorer.products(s, None, None, None, ordered=False), "pl%te")
+    plain = explorer.search(explorer.products(s, None, None, None, ordered=False), " PLATE ")
     total = lambda rows, q: doubles(rows.agg(F.lit(q).alias("q"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("total_gasto"), F.lit(0)).cast("double").alias("total")))
     return total(found, "pl%te").unionByName(total(plain, "plate"))
 

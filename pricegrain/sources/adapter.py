@@ -58,15 +58,17 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def items(spark: SparkSession, sf_dir: str, described: bool = True) -> DataFrame:
+    """Lines of known parts; without their descriptions, lines of any part, for queries that meet the products themselves."""
     price, discount = F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_discount").cast("decimal(4,2)")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    rows = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = table(spark, sf_dir, "lineitem")
+    rows = rows.join(part, F.col("l_partkey") == F.col("p_partkey")) if described else rows
     return rows.select(
         F.struct(*LINE_ID).alias("id"),
         F.col("l_orderkey").alias("fatura_id"),
         F.when(F.col("l_partkey") % 17 != 0, F.col("l_partkey")).alias("sku_id"),
-        description(F.col("l_partkey"), F.col("p_name"), F.col("p_size")).alias("descricao_original"),
+        *([description(F.col("l_partkey"), F.col("p_name"), F.col("p_size")).alias("descricao_original")] if described else []),
         F.col("l_quantity").cast("decimal(10,3)").alias("quantidade"),
         F.when(F.col("l_quantity") < 10, price.cast("decimal(14,4)")).alias("preco_unitario"),
         F.round(price * (1 - discount), 2).cast("decimal(12,2)").alias("preco_liquido"),
